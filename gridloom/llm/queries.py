@@ -2,9 +2,53 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from gridloom.llm.ann import op5_ann
 from gridloom.llm.decontaminate import op2_decontaminate
 from gridloom.llm.jaccard_join import op7_jaccard_join
+from gridloom.llm.language_id import op10_language_id
+from gridloom.llm.line_dedup import op8_line_dedup
+from gridloom.llm.lm_score import op3_lm_score
+from gridloom.llm.mix_sources import op9_mix_sources
 from gridloom.llm.suffix_dedup import op6_suffix_dedup
+from gridloom.llm.token_counts import op1_token_counts
+from gridloom.llm.warc import op4_warc
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_lm_score, op4_warc, op5_ann, op6_suffix_dedup, op7_jaccard_join, op8_line_dedup, op9_mix_sources, op10_language_id, pipeline)}
+
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op6_suffix_dedup, op7_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": rf"""
+        with item as (select item_id::varchar i, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+        win as (select distinct i, least(10, len(w)) k, array_to_string(w[p:p + least(10, len(w)) - 1], ' ') t
+                from (select i, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) p from item where len(w) > 0)),
+        doc as (select row_number() over () r, doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+        at as (select r, w, unnest(range(1, len(w) + 1)) p from doc where len(w) > 0),
+        cut as (select r, p, k, array_to_string(w[p:p + k - 1], ' ') t from at, (select distinct k from win) where p + k - 1 <= len(w)),
+        hit as (select r, p, win.k, i from cut join win using (k, t)),
+        words as (select r, count(distinct q) n_hit from (select r, unnest(range(p, p + k)) q from hit) group by r),
+        items as (select r, count(*) n_items, string_agg(i, ',' order by i) ids from (select distinct r, i from hit) group by r)
+        select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+               sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+        from doc left join words using (r) left join items using (r)""",
+    "op7_jaccard_join": rf"""
+        with recursive doc as (select doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+') w from documents),
+        sh as (select distinct doc_id, array_to_string(w[p:p + 2], ' ') s from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) p from doc where len(w) > 0)),
+        n as (select doc_id, count(*) n from sh group by 1),
+        common as (select s from sh group by s having count(*) between 2 and 100000),
+        few as (select sh.doc_id, s from sh join common using (s)),
+        pair as (select a.doc_id x, b.doc_id y, count(*) c from few a join few b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+        link as (select x, y from pair join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 90 * (a.n + b.n - c)),
+        reach as (select doc_id a, doc_id b from documents union select reach.a, link.y from reach join link on reach.b = link.x),
+        comp as (select a, min(b) c from reach group by a)
+        select doc_id, coalesce(n, 0)::bigint n_shingles, c component_id from documents left join n using (doc_id) join comp on a = doc_id""",
+}
