@@ -137,7 +137,7 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 def fit(vectors: DataFrame, sample: int = SAMPLE, **kw) -> Router:
     rows = vectors.orderBy(F.xxhash64("v"), "vec_id").limit(sample).select("v").collect()
-    return Router(np.array([r.v for r in rows]).reshape(len(rows), -1), **kw)
+    return Router(np.array([r.v for r in rows]) if rows else np.zeros((0, 1)), **kw)
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, block_rows: int = BLOCK_ROWS, router: Router | None = None) -> DataFrame:
