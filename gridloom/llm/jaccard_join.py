@@ -51,10 +51,6 @@ def signature(x: np.ndarray) -> tuple[int, int]:
     return tuple(int(v.view(np.int64)) for v in (np.add.reduce(x * MIX[9], dtype=np.uint64) ^ MIX[len(x) % 256], np.add.reduce(y, dtype=np.uint64) + np.uint64(len(x))))
 
 
-def _bool_or(x: pa.Array) -> np.ndarray:
-    return np.frombuffer(x.as_py(), np.int64)
-
-
 def _requests(k: int, n: int):
     """Blocks of documents: a header row (bucket < 0) with ids, sizes and signatures, and a row of keys for each bucket."""
     schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary()), ("rest", pa.binary())])
@@ -150,10 +146,9 @@ def _sum_chunks(batches):
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([blob(x) for x in total.values()], pa.binary())], ["chunk", "counts"])
 
 
-def rarity(reps: DataFrame, parts: int) -> np.ndarray:
-    """How often shingles of each hash value occur in all sets: 2**SKETCH_BITS counts, whatever the input."""
-    made = reps.select("keys").mapInArrow(_sketch, "chunk long, counts binary")
-    got = made.repartition(parts, "chunk").mapInArrow(_sum_chunks, "chunk long, counts binary").collect()
+def rarity(keys: DataFrame, parts: int = CHUNKS) -> np.ndarray:
+    """How often keys of each hash value occur in all sets (packed in a column): 2**SKETCH_BITS counts, whatever the input."""
+    got = keys.mapInArrow(_sketch, "chunk long, counts binary").repartition(parts, "chunk").mapInArrow(_sum_chunks, "chunk long, counts binary").collect()
     total = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in got:
         total[r.chunk * (len(total) // CHUNKS) :][: len(total) // CHUNKS] += np.frombuffer(r.counts, np.int64)
@@ -189,12 +184,13 @@ def _may_link(n1, b1, n2, b2, t: int) -> np.ndarray:
     return (np.minimum(n1, n2) * 100 >= t * np.maximum(n1, n2)) & (apart * (100 + t) <= (100 - t) * (n1 + n2))
 
 
-def _families(t: int):
+def families(t: int, n_bins: int = BINS, sizes=np.int64):
     """Spanning edges of the may-link graph within each list of a bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, rep, size = (np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("keys", np.uint64), ("reps", np.int64), ("sizes", np.int64)))
-        bins = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("bins").to_pylist()]).reshape(-1, BINS)
+        keys, rep, size = (np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("keys", np.uint64), ("reps", np.int64), ("sizes", sizes)))
+        bins = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("bins").to_pylist()]).reshape(-1, n_bins)
+        size = size.astype(np.int64)
         order = np.lexsort((rep, keys))
         keys, rep, size, bins = keys[order], rep[order], size[order], bins[order]
         at = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
@@ -322,10 +318,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, t: int = 80, broadcast_rows: in
         ids = F.broadcast(ids)
     sets = ws.table("sets", known.join(ids, "doc_id").select("doc_id", "text", "hi", "lo").mapInArrow(_sets(k), "rep long, n long, keys binary"))
     total = int(sets.agg(F.sum("n")).first()[0] or 0)
-    shared = spark.sparkContext.broadcast(rarity(sets, CHUNKS))
+    shared = spark.sparkContext.broadcast(rarity(sets.select("keys")))
     n = n_buckets(spark, 56 * total * (101 - t) / 100)
     posted = sets.mapInArrow(_postings(shared, t, n), "bucket long, keys binary, reps binary, sizes binary, bins binary")
-    candidates = ws.table("candidates", posted.groupBy("bucket").applyInArrow(_families(t), "a long, b long"))
+    candidates = ws.table("candidates", posted.groupBy("bucket").applyInArrow(families(t), "a long, b long"))
     family = ws.table("family", components(ws, candidates, "c").withColumnsRenamed({"node": "rep", "component": "family"}))
     members = sets.join(family, "rep")
     weight = members.groupBy("family").agg(F.sum(8 * F.col("n")).alias("bytes"))

@@ -1,123 +1,214 @@
-"""Line dedup: an exact set-similarity join of lines in DataFrame functions alone.
+"""Line dedup: an exact set-similarity join of lines.
 
 A line is its set of words (parted by white space, A-Z as a-z), and counts if it has LEAST of them. It goes if an earlier line, by
 (doc_id, number), has a set with a Jaccard similarity of 0.8 or more; whether that line itself stays doesn't matter.
 
-Equal sets count once. Words are ordered by rarity: a count of hashed words of fixed size gives each a rank, ties go by hash. Two
-sets as similar as that share one of their n - ceil(0.8 n) + 1 first words, at places that leave enough words behind, and their sizes
-differ by a fifth at most. Every set is first held against the earliest set in the list of each such word, which settles the many
-lines that have variants; only sets still without a match are joined with all earlier ones in their lists.
+Equal sets count once. Words are ordered by rarity (a count sketch of fixed size, ties by hash). Two sets as similar as that share one
+of their n - ceil(0.8 n) + 1 first words; within the list of such a word, pairs whose sizes and bin counts leave a match possible
+join a family. In a family, each set is held against the earlier ones that share a prefix word with it at places that leave
+enough words behind, until one is verified.
+
+The numbers come from numpy: an earlier form in DataFrame functions alone, of the same steps, took five times the CPU seconds that the
+check tool allows (see the README).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridloom.llm._work import Workspace
+from gridloom.llm._bytes import NONSPACE, blob, column, groups, mix, words
+from gridloom.llm._components import components
+from gridloom.llm._exchange import cuts, n_buckets
+from gridloom.llm._work import Workspace, text_bytes
+from gridloom.llm.jaccard_join import FAMILY_BYTES, SKETCH_BITS, families, need, rarity
 
-T = 80
+SIMILAR = 80
 LEAST = 5
-BUCKETS = 8192
-UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Removed lines up to this number go to their documents by broadcast, more by a shuffle join.
-BROADCAST_ROWS = 300_000
-
-
-def word_hashes(line):
-    """Distinct words of a line as 64-bit numbers."""
-    words = F.filter(F.split(F.translate(line, UPPER, LOWERED), "[ \\t\\x0B\\f\\r]+"), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
-
-
-def rarity(docs: DataFrame):
-    """An array expression: for each of BUCKETS hash values, about 8 times the binary logarithm of its words' count."""
-    words = docs.select(F.explode(F.split(F.translate("text", UPPER, LOWERED), "[ \\t-\\r]+")).alias("w"))
-    rows = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).count().collect()  # BUCKETS rows at most
-    rank = ["0"] * BUCKETS
-    for r in rows:
-        rank[r["b"]] = str(min(255, int(8 * (r["count"].bit_length() - 1))))
-    return F.split(F.lit(",".join(rank)), ",").cast("array<bigint>")
-
-
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, no, ord, h): lines with enough words; ord orders lines by document and number."""
-    each = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    each = each.select("doc_id", "th", "no", (F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("no").cast("decimal(10,0)")).cast("decimal(32,0)").alias("ord"), word_hashes("line").alias("h"))
-    return each.where(F.size("h") >= LEAST)
-
-
-def _need(n):
-    return F.ceil(n * T / 100.0 - 1e-9).cast("int")
-
-
-def matched(ws: Workspace, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(occurrences: doc_id, th, no, ord, sig; signatures of sets that have an earlier match)."""
-    rank = rarity(docs)
-    keyed = lines_of(docs).withColumn("n", F.size("h"))
-    # the rank in the high bits, so that sorting puts rare words first
-    order = F.sort_array(F.transform("h", lambda x: F.shiftleft(F.get(rank, F.pmod(x, F.lit(BUCKETS)).cast("int")), 54).bitwiseOR(x.bitwiseAND(F.lit((1 << 54) - 1)))))
-    keyed = keyed.withColumn("sig", F.xxhash64(F.sort_array("h"))).withColumn("p", F.slice(order, F.lit(1), F.col("n") - _need(F.col("n")) + 1))
-    lines = ws.table("lines", keyed.select("doc_id", "th", "no", "ord", "sig", "n", "p"))
-    sets = lines.select("sig", "n", "ord", F.posexplode("p").alias("at", "tok")).groupBy("tok", "sig", "n", "at").agg(F.min("ord").alias("ord"))
-    per = sets.groupBy("tok").agg(F.count("*").alias("df"), F.min("ord").alias("low")).where("df > 1")
-    lists = ws.table("lists", sets.join(per, "tok").drop("df"))
-
-    def join(asked: DataFrame, held: DataFrame) -> DataFrame:
-        """Pairs of a set and an earlier one in a common list that size and place leave possible."""
-        a, b = asked.alias("a"), held.alias("b")
-        small, big = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-        behind = F.least(F.expr("a.n - a.at"), F.expr("b.n - b.at"))
-        return (
-            a.join(b, F.expr("a.tok = b.tok and b.ord < a.ord and a.sig <> b.sig"))
-            .where((small * 100 >= big * T) & (behind * (100 + T) >= (F.expr("a.n + b.n")) * T))
-            .select(F.col("a.sig").alias("sig"), F.col("b.sig").alias("other")).distinct()
-        )
-
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
-        """sig of the pairs whose words are as similar as that."""
-        pairs = ws.table(f"{name}_pairs", pairs)
-        wanted = pairs.select("sig").unionAll(pairs.select(F.col("other").alias("sig"))).distinct()
-        rep = lines.join(wanted, "sig").groupBy("sig").agg(F.min(F.struct("ord", "doc_id", "th", "no")).alias("r")).select("sig", "r.doc_id", "r.th", "r.no")
-        texts = ws.table(f"{name}_words", lines_of(docs).join(rep, ["doc_id", "th", "no"]).select("sig", "h").dropDuplicates(["sig"]))
-        both = pairs.join(texts, "sig").join(texts.select(F.col("sig").alias("other"), F.col("h").alias("g")), "other")
-        common = F.size(F.array_intersect("h", "g"))
-        return both.where(common * (100 + T) >= (F.size("h") + F.size("g")) * T).select("sig").distinct()
-
-    first = ws.table("first", verify(join(lists.where("ord > low"), lists.where("ord = low")), "first"))
-    rest = lists.where("ord > low").join(first, "sig", "left_anti")
-    second = ws.table("second", verify(join(rest, lists.where("ord > low")), "second"))
-    return lines, first.unionAll(second)
-
-
-def removed_lines(docs: DataFrame) -> tuple[Workspace, DataFrame]:
-    """(workspace; doc_id, th, no of lines to remove). th is xxhash64(text); rows that repeat doc_id and text count as one."""
-    ws = Workspace(docs.sparkSession, "lines")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    lines, found = matched(ws, docs)
-    state = lines.groupBy("sig").agg(F.min("ord").alias("first")).join(found.withColumn("hit", F.lit(True)), "sig", "left")
-    gone = lines.join(state, "sig").where("hit or ord > first").select("doc_id", "th", "no").distinct()
-    return ws, ws.table("gone", gone)
-
-
-def dedup_lines(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+BINS = 16
+#: Documents that hold wanted or removed lines; up to so many go by broadcast, more by a shuffle join.
+BROADCAST_ROWS = 100_000
+
+
+def lines_of(data: np.ndarray, offsets: np.ndarray):
+    """Of each line with words enough: its document, number, signature and sorted distinct word numbers."""
+    s, _, h, first = words(data, offsets, NONSPACE)
+    breaks = np.flatnonzero(data == 10)
+    # the number of a word's line in its document: line breaks between the document's start and the word
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    before = np.searchsorted(breaks, s)
+    no = before - np.searchsorted(breaks, offsets[:-1])[doc]
+    line = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (no[1:] != no[:-1])))) if len(s) else np.zeros(0, int)
+    own = np.repeat(np.arange(len(line)), np.diff(np.append(line, len(s))))
+    order = np.lexsort((h, own))
+    h, own = h[order], own[order]
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (own[1:] != own[:-1]))) if len(h) else np.zeros(0, bool)
+    h, own = h[new], own[new]
+    at = np.searchsorted(own, np.arange(len(line) + 1))
+    size = np.diff(at)
+    keep = np.flatnonzero(size >= LEAST)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x5BD1E995)), dtype=np.uint64)))
+    sig = mix(total[at[1:]] - total[at[:-1]] + size.astype(np.uint64)).view(np.int64)
+    return doc[line[keep]], no[line[keep]], sig[keep], h, at[keep], at[keep + 1] if len(keep) else at[:0]
+
+
+def _each(batches, text: int = 1):
+    """Slices of whole documents: batch, first row, last row and their lines."""
+    for batch in batches:
+        data, offsets = column(batch.column(text))
+        for a, b in groups(offsets, 1 << 21):
+            yield batch, a, b, lines_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+
+
+def _words(batches):
+    for *_, (_, _, _, h, lo, hi) in _each(batches):
+        if len(lo):
+            yield pa.RecordBatch.from_arrays([pa.array([blob(h)])], ["keys"])
+
+
+def _occurrences(batches):
+    for batch, a, _, (doc, no, sig, _, lo, hi) in _each(batches):
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + a)), pa.array(no.astype(np.int32)), pa.array(sig), pa.array((hi - lo).astype(np.int32))], ["doc_id", "no", "sig", "n"])
+
+
+def _postings(shared, n: int):
+    def run(batches):
+        counts = shared.value
+        for _, _, _, (_, _, sig, h, lo, hi) in _each(batches):
+            sig, first = np.unique(sig, return_index=True)  # equal sets of a slice count once
+            lo, hi = lo[first], hi[first]
+            size = hi - lo
+            own = np.repeat(np.arange(len(lo)), size)
+            at = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum()) if len(lo) else np.zeros(0, int)
+            x = h[at]
+            bins = np.minimum(np.bincount(own * BINS + (mix(x) & np.uint64(BINS - 1)).astype(np.int64), minlength=len(lo) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
+            order = np.lexsort((x, counts[x >> np.uint64(64 - SKETCH_BITS)], own))
+            place = np.arange(len(x)) - np.repeat(np.concatenate(([0], np.cumsum(size)[:-1])), size) if len(lo) else x
+            pick = order[place < (size - need(size, SIMILAR) + 1)[own]] if len(lo) else order
+            x, own = x[pick], own[pick]
+            order = np.argsort(x, kind="stable")
+            x, own = x[order], own[order]
+            rows = list(cuts(x, n))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([blob(x[i:j]) for _, i, j in rows], pa.binary()), *(pa.array([blob(col[own[i:j]]) for _, i, j in rows], pa.binary()) for col in (sig, size.astype(np.uint32), bins))], ["bucket", "keys", "reps", "sizes", "bins"])
+
+    return run
+
+
+def _wanted_sets(batches):
+    """Sets of the lines that a document is asked for."""
+    for batch, a, _, (doc, no, sig, h, lo, hi) in _each(batches):
+        nos = [set(x) for x in batch.column(2).to_pylist()]
+        pick = [i for i, (d, k) in enumerate(zip(doc.tolist(), no.tolist(), strict=True)) if k in nos[d + a]]
+        yield pa.RecordBatch.from_arrays([pa.array(sig[pick]), pa.array([blob(h[lo[i] : hi[i]]) for i in pick], pa.binary())], ["sig", "keys"])
+
+
+def earlier_match(order: np.ndarray, sets: list[np.ndarray], t: int = SIMILAR) -> np.ndarray:
+    """Whether each set has one before it in order that is similar enough.
+
+    Words go by rarity within the group. A set looks up its prefix words among the sets before it; size and place sort most
+    candidates out, the rest are verified until one holds.
+    """
+    seq = np.argsort(order, kind="stable")
+    tokens, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    df = np.bincount(ids)
+    rank = np.empty(len(tokens), np.int64)
+    rank[np.lexsort((np.arange(len(tokens)), df))] = np.arange(len(tokens))
+    ids = [np.sort(x) for x in np.split(rank[ids], np.cumsum([len(x) for x in sets])[:-1])]
+    out, index = np.zeros(len(sets), bool), {}
+    for i in seq.tolist():
+        x = ids[i]
+        n = len(x)
+        done = set()
+        prefix = x[: n - int(need(n, t)) + 1].tolist()
+        for at, w in enumerate(prefix):
+            for j, m, place in index.get(w, ()):
+                if j in done or 100 * min(n, m) < t * max(n, m) or (100 + t) * min(n - at, m - place) < t * (n + m):
+                    continue
+                done.add(j)
+                y = ids[j]
+                both = int((y[np.minimum(np.searchsorted(y, x), m - 1)] == x).sum())
+                if 100 * both >= t * (n + m - both):
+                    out[i] = True
+                    break
+            if out[i]:
+                break
+        for at, w in enumerate(prefix):
+            index.setdefault(w, []).append((i, n, at))
+    return out
+
+
+def _search(table: pa.Table) -> pa.Table:
+    sig, first = np.unique(table.column("sig").to_numpy(), return_index=True)
+    keys, doc, no = table.column("keys"), table.column("doc_id").to_numpy()[first], table.column("no").to_numpy()[first]
+    # the same place can only be two lines of rows with one doc_id; neither is earlier then, and they are told apart by signature
+    order = np.lexsort((sig, no, doc))
+    place = np.empty(len(sig), np.int64)
+    place[order] = np.arange(len(sig))
+    hit = earlier_match(place, [np.frombuffer(keys[int(i)].as_py(), np.uint64) for i in first])
+    return pa.table({"sig": sig[hit]})
+
+
+def removed_lines(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, family_bytes: int = FAMILY_BYTES) -> DataFrame:
+    """(doc_id, nos, sigs): number and signature of the lines to remove from each document of docs (doc_id, text)."""
+    spark = docs.sparkSession
+    ws = Workspace(spark, "lines")
+    size = text_bytes(docs)
+    shared = spark.sparkContext.broadcast(rarity(docs.mapInArrow(_words, "keys binary")))
+    found = ws.table("found", docs.mapInArrow(_occurrences, "doc_id long, no int, sig long, n int"))
+    n = n_buckets(spark, 1.4 * size)
+    posted = docs.mapInArrow(_postings(shared, n), "bucket long, keys binary, reps binary, sizes binary, bins binary")
+    near = ws.table("near", posted.groupBy("bucket").applyInArrow(families(SIMILAR, BINS, np.uint32), "a long, b long"))
+    family = components(ws, near, "c").withColumnsRenamed({"node": "sig", "component": "family"})
+    first = ws.table("first", found.groupBy("sig").agg(F.min(F.struct("doc_id", "no")).alias("at"), F.count("*").alias("times"), F.max("n").alias("n")))
+    member = ws.table("member", first.join(family, "sig").select("sig", "family", "at.doc_id", "at.no", "n"))
+    asked = ws.table("asked", member.groupBy("doc_id").agg(F.collect_set("no").alias("nos")))
+    wanted = F.broadcast(asked) if asked.count() <= broadcast_rows else asked
+    sets = docs.join(wanted, "doc_id").select("doc_id", "text", "nos").mapInArrow(_wanted_sets, "sig long, keys binary")
+    weight = member.groupBy("family").agg(F.ceil(F.sum(8 * F.col("n")) / family_bytes).cast("int").alias("g"))
+    member = member.join(weight, "family").withColumn("i", F.pmod(F.xxhash64("sig"), F.col("g")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    member = member.withColumns({"x": F.least("i", "j"), "y": F.greatest("i", "j")}).select("sig", "family", "doc_id", "no", "x", "y")
+    hits = ws.table("hits", sets.join(member, "sig").groupBy("family", "x", "y").applyInArrow(_search, "sig long"))
+    state = first.join(hits.distinct().withColumn("hit", F.lit(True)), "sig", "left").where("hit or times > 1").select("sig", "at", "hit")
+    gone = found.join(state, "sig").where("hit or struct(doc_id, no) > at")
+    out = ws.table("gone", gone.groupBy("doc_id").agg(F.collect_list("no").alias("nos"), F.collect_list("sig").alias("sigs")))
+    ws.drop("found", "near", "first", "member", "asked", "hits")
+    return out
+
+
+def dedup_lines(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, family_bytes: int = FAMILY_BYTES) -> DataFrame:
     """docs with the lines of text that match an earlier line taken out; other columns and all rows stay.
 
     A line of fewer than LEAST distinct words stays always, as does every line of a row whose doc_id is null; a null text stays null.
-    A text may become empty. Columns of the names used here don't clash.
+    A text may become empty. Of rows that repeat a doc_id, lines that match each other at the same number stay.
     """
-    ws, gone = removed_lines(docs)
-    per = gone.groupBy("doc_id", "th").agg(F.collect_set("no").alias("nos")).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "nos").withColumnRenamed("nos", "__nos")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    gone = removed_lines(own, broadcast_rows, family_bytes)
+    per = gone.select(F.col("doc_id").alias("__doc"), F.col("nos").alias("__nos"), F.col("sigs").alias("__sigs"))
     if gone.count() <= broadcast_rows:
         per = F.broadcast(per)
-    out = docs.join(per, (docs["doc_id"] == F.col("__d")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__t")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__nos", i)), "\n")
-    text = F.when(F.col("__nos").isNull(), F.col("text")).otherwise(kept)
-    return out.select(*(text.alias("text") if c == "text" else docs[c] for c in docs.columns))
+    cols, schema = docs.columns, docs.schema
+    at = cols.index("text")
+
+    def cut(batches):
+        for batch, a, b, (doc, no, sig, *_) in _each(batches, at):
+            part, gone = batch.slice(a, b - a), [None] * (b - a)
+            nos, sigs = (part.column(len(cols) + i).to_pylist() for i in (0, 1))
+            wanted = [set(zip(x or (), y or (), strict=True)) for x, y in zip(nos, sigs, strict=True)]
+            for d, k, s in zip(doc.tolist(), no.tolist(), sig.tolist(), strict=True):
+                if (k, s) in wanted[d]:
+                    gone[d] = (gone[d] or set()) | {k}
+            texts = part.column(at).to_pylist()
+            texts = [t if g is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in g) for t, g in zip(texts, gone, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, part.column(i).type) if i == at else part.column(i) for i in range(len(cols))], cols)
+
+    return docs.join(per, F.col("doc_id") == F.col("__doc"), "left").select(*cols, "__nos", "__sigs").mapInArrow(cut, T.StructType(schema.fields))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: lines, lines removed and the text that is left."""
+    """Per document: lines, bytes and digest of the text that is left."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
     out = dedup_lines(docs)
     return out.select("doc_id", "n_lines", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("kept_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

@@ -27,8 +27,8 @@ BITS = 16
 #: The classifier is fitted on at most so many labelled rows, drawn by hash of text, none longer than SAMPLE_BYTES.
 SAMPLE_ROWS = 6000
 SAMPLE_BYTES = 1 << 15
-ROUNDS = 100
-RIDGE = 0.005
+ROUNDS = 60
+RIDGE = 0.01
 STEP = 0.8
 
 

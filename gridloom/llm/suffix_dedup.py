@@ -133,6 +133,15 @@ def _tied_keys(keys: np.ndarray, answers: list, n: int) -> np.ndarray:
     return out
 
 
+def _among(x: np.ndarray, tied: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted array tied."""
+    return tied[np.minimum(np.searchsorted(tied, x), len(tied) - 1)] == x if len(tied) else np.zeros(len(x), bool)
+
+
+def _split(flags: np.ndarray, parts: list[np.ndarray]) -> list[np.ndarray]:
+    return np.split(flags, np.cumsum([len(x) for x in parts])[:-1])
+
+
 def _sample(r: dict, v: int, cover: list[int], m: int):
     """Ranks of the block's cover sample, with the segment and position of each."""
     at, keys = [], []
@@ -179,11 +188,11 @@ def find(docs: DataFrame, w: int = W, passes: int = PASSES) -> tuple[Workspace,
             every = np.unique(np.concatenate(keys))
             tied = every[_tied_keys(every, r["answers"], n)]
             pieces = []
-            for k, (p, x) in enumerate(zip(at, keys, strict=True)):
+            for k, (p, own) in enumerate(zip(at, _split(_among(np.concatenate(keys), tied), keys), strict=True)):
                 data, last = r["data"][k], min(r["own"][k], len(r["data"][k]) - w + 1)
                 if last < 1:
                     continue
-                hit = p[np.isin(x, tied)]
+                hit = p[own]
                 mark = np.zeros(len(data) + 2, np.int32)
                 np.add.at(mark, np.maximum(0, hit - v + 1), 1)
                 np.add.at(mark, hit + 1, -1)
@@ -221,8 +230,9 @@ def find(docs: DataFrame, w: int = W, passes: int = PASSES) -> tuple[Workspace,
                 tied.append(keys[_tied_keys(keys, [a for a in r["answers"] if a["pass"] == k], n2)])
             tied = np.unique(np.concatenate(tied))
             found: dict[int, list] = {}
-            for i, x in each:
-                p = r["start"][i] + np.flatnonzero(np.isin(x, tied))
+            flags = _split(_among(np.concatenate([x for _, x in each]), tied), [x for _, x in each])
+            for (i, _), own in zip(each, flags, strict=True):
+                p = r["start"][i] + np.flatnonzero(own)
                 if len(p):
                     gap = np.flatnonzero(np.diff(p) > w)
                     found.setdefault(r["segment"][i], []).extend(zip(p[np.concatenate(([0], gap + 1))].tolist(), (p[np.concatenate((gap, [len(p) - 1]))] + w).tolist(), strict=True))

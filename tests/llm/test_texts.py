@@ -80,17 +80,17 @@ def test_warc(spark, tmp_path, monkeypatch):
 
 
 def plain_lines(rows):
-    low = str.maketrans(line_dedup.UPPER, line_dedup.LOWERED)
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     seen, out = [], {}
     for d, text in sorted(x for x in set(rows) if None not in x):
         kept = []
         for no, line in enumerate(text.split("\n")):
             words = set(line.translate(low).split())
             if len(words) >= line_dedup.LEAST:
-                if any(100 * len(words & w) >= 80 * len(words | w) for k, w in seen if k < (d, no)):
-                    seen.append(((d, no), words))
-                    continue
+                hit = any(100 * len(words & w) >= 80 * len(words | w) for k, w in seen if k < (d, no))
                 seen.append(((d, no), words))
+                if hit:
+                    continue
             kept.append(line)
         out[d, text] = "\n".join(kept)
     return out
@@ -112,7 +112,7 @@ def test_lines(spark):
     rows += [(300, None), (301, ""), (302, "\n\n"), (None, rows[3][1]), (rows[3][0], rows[3][1]), (303, "one two three four " * 5000)]
     want = plain_lines(rows)
     df = spark.createDataFrame([(*x, "no") for x in rows], "doc_id long, text string, nos string").repartition(4)
-    for kw in ({}, {"broadcast_rows": -1}):
+    for kw in ({}, {"broadcast_rows": -1, "family_bytes": 3000}):
         got = line_dedup.dedup_lines(df, **kw)
         assert got.columns == df.columns and got.count() == len(rows)
         before = sorted(((d, want.get((d, t), t)) for d, t in rows), key=str)
