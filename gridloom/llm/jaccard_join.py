@@ -24,6 +24,8 @@ from gridloom.llm._work import Workspace, text_bytes
 SKETCH_BITS = 20
 CHUNKS = 16
 BINS = 32
+#: Lists up to this length have all their pairs looked at, longer ones only as far as they aren't connected yet.
+SHORT_LIST = 32
 FAMILY_BYTES = 48 << 20
 #: Rows of two longs; up to so many go by broadcast, more by a shuffle join.
 BROADCAST_ROWS = 500_000
@@ -195,11 +197,19 @@ def families(t: int, n_bins: int = BINS, sizes=np.int64):
         keys, rep, size, bins = keys[order], rep[order], size[order], bins[order]
         at = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
         start, length = at[:-1], np.diff(at)
-        two = start[length == 2]
-        ok = _may_link(size[two], bins[two], size[two + 1], bins[two + 1], t)
-        edges = [np.column_stack((rep[two[ok]], rep[two[ok] + 1]))]
+        edges = [np.zeros((0, 2), np.int64)]
+        short = np.repeat(length <= SHORT_LIST, length)
+        for d in range(1, SHORT_LIST):  # all pairs of the short lists, by distance
+            near = np.flatnonzero(short[d:] & (keys[d:] == keys[:-d]))
+            if not len(near):
+                break
+            near = near[np.minimum(size[near], size[near + d]) * 100 >= t * np.maximum(size[near], size[near + d])]
+            for c in range(0, len(near), 1 << 17):
+                i = near[c : c + (1 << 17)]
+                i = i[_may_link(size[i], bins[i], size[i + d], bins[i + d], t)]
+                edges.append(np.column_stack((rep[i], rep[i + d])))
         seen = set()
-        for s, m in zip(start[length > 2].tolist(), length[length > 2].tolist(), strict=True):
+        for s, m in zip(start[length > SHORT_LIST].tolist(), length[length > SHORT_LIST].tolist(), strict=True):
             own = rep[s : s + m]
             if (mark := (m, hash(own.tobytes()))) in seen:  # many shingles stand in the very same sets
                 continue

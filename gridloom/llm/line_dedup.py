@@ -24,11 +24,12 @@ from gridloom.llm._bytes import NONSPACE, blob, column, groups, mix, words
 from gridloom.llm._components import components
 from gridloom.llm._exchange import cuts, n_buckets
 from gridloom.llm._work import Workspace, text_bytes
-from gridloom.llm.jaccard_join import FAMILY_BYTES, SKETCH_BITS, families, need, rarity
+from gridloom.llm.jaccard_join import SKETCH_BITS, families, need, rarity
 
 SIMILAR = 80
 LEAST = 5
 BINS = 16
+FAMILY_BYTES = 8 << 20
 #: Documents that hold wanted or removed lines; up to so many go by broadcast, more by a shuffle join.
 BROADCAST_ROWS = 100_000
 

@@ -133,11 +133,6 @@ def _tied_keys(keys: np.ndarray, answers: list, n: int) -> np.ndarray:
     return out
 
 
-def _among(x: np.ndarray, tied: np.ndarray) -> np.ndarray:
-    """Which of x are in the sorted array tied."""
-    return tied[np.minimum(np.searchsorted(tied, x), len(tied) - 1)] == x if len(tied) else np.zeros(len(x), bool)
-
-
 def _split(flags: np.ndarray, parts: list[np.ndarray]) -> list[np.ndarray]:
     return np.split(flags, np.cumsum([len(x) for x in parts])[:-1])
 
@@ -185,10 +180,10 @@ def find(docs: DataFrame, w: int = W, passes: int = PASSES) -> tuple[Workspace,
         """The pieces of text around starts that can tie; start and whole tell where a piece stands, own how many starts it has."""
         for r in _rows(batches):
             at, keys = _sample(r, v, cover, m)
-            every = np.unique(np.concatenate(keys))
-            tied = every[_tied_keys(every, r["answers"], n)]
+            every, code = np.unique(np.concatenate(keys), return_inverse=True)
+            tied = _tied_keys(every, r["answers"], n)[code]
             pieces = []
-            for k, (p, own) in enumerate(zip(at, _split(_among(np.concatenate(keys), tied), keys), strict=True)):
+            for k, (p, own) in enumerate(zip(at, _split(tied, keys), strict=True)):
                 data, last = r["data"][k], min(r["own"][k], len(r["data"][k]) - w + 1)
                 if last < 1:
                     continue
@@ -224,13 +219,13 @@ def find(docs: DataFrame, w: int = W, passes: int = PASSES) -> tuple[Workspace,
     def runs(batches):
         for r in _rows(batches):
             each = list(_starts(r, w))
-            tied = []
+            every = np.concatenate([x for _, x in each])
+            flags = np.zeros(len(every), bool)
             for k in range(passes):
-                keys = np.unique(np.concatenate([x[(x >> np.uint64(7)) % np.uint64(passes) == k] for _, x in each]))
-                tied.append(keys[_tied_keys(keys, [a for a in r["answers"] if a["pass"] == k], n2)])
-            tied = np.unique(np.concatenate(tied))
-            found: dict[int, list] = {}
-            flags = _split(_among(np.concatenate([x for _, x in each]), tied), [x for _, x in each])
+                at = np.flatnonzero((every >> np.uint64(7)) % np.uint64(passes) == k)
+                keys, code = np.unique(every[at], return_inverse=True)
+                flags[at] = _tied_keys(keys, [a for a in r["answers"] if a["pass"] == k], n2)[code]
+            flags, found = _split(flags, [x for _, x in each]), {}
             for (i, _), own in zip(each, flags, strict=True):
                 p = r["start"][i] + np.flatnonzero(own)
                 if len(p):
