@@ -94,7 +94,7 @@ def wrap_longitude(g: Grid, n: int) -> Grid:
     """n // 2 columns of each side added at the other."""
     h, w = n // 2, g.meta.ncols
     at = F.filter(F.array(F.col("col"), F.col("col") - w, F.col("col") + w), lambda c: (c >= -h) & (c < w + h))
-    return Grid(g.df.select("row", (F.explode(at) + h).alias("col"), "value"), replace(g.meta, ncols=w + 2 * h, nw_lon=g.meta.nw_lon - h * g.meta.lon_res))
+    return Grid(g.df.select("row", F.explode(at).alias("c"), "value").select("row", (F.col("c") + h).alias("col"), "value"), replace(g.meta, ncols=w + 2 * h, nw_lon=g.meta.nw_lon - h * g.meta.lon_res))
 
 
 def upsample(g: Grid, f: int) -> Grid:

@@ -56,10 +56,10 @@ def _numbered(g: Grid, found: DataFrame, order: DataFrame) -> DataFrame:
 
 def _kernel(g: Grid, f) -> DataFrame:
     """(row, col, value) from a numpy function of the whole grid: for algorithms that depend on the order of cells. Grids run in parallel."""
-    n, m = g.meta.nrows, g.meta.ncols
+    n, m, missing = g.meta.nrows, g.meta.ncols, g.meta.missing
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.full((n, m), g.meta.missing, np.int64)
+        a = np.full((n, m), missing, np.int64)
         a[pdf["row"], pdf["col"]] = pdf["value"]
         out = f(a)
         r, c = np.indices(out.shape)
