@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from gridloom.llm._bytes import ALNUM, NONSPACE, column, groups, words
 from gridloom.llm._work import Workspace
+from gridloom.llm.language_id import hash_key, sample
 
 DOMAINS = ("good", "plain", "toxic")
 #: Shares of tokens by domain.
@@ -78,9 +79,9 @@ class Classifier:
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     """Domains by label: toxic 1, else quality 0 is plain and 1 is good. Rows with a null label or text teach nothing."""
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("toxic").isNull() | F.col("quality").isNull(), None).when(F.col("quality") == 0, 1).otherwise(0)
-    rows = docs.select("doc_id", "text").join(labels.select("doc_id", domain.alias("domain")).where("domain is not null").distinct(), "doc_id")
-    rows = rows.where(F.octet_length("text") <= SAMPLE_BYTES).select("text", "domain").orderBy(F.xxhash64("text"), "domain", "text").limit(SAMPLE_ROWS)
-    return Classifier([(r.text, r.domain) for r in rows.collect()])
+    drawn = sample(labels.select("doc_id", domain.alias("domain")).where("domain is not null and doc_id is not null").distinct(), SAMPLE_ROWS, "doc_id")
+    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(drawn), "doc_id").limit(2 * SAMPLE_ROWS)
+    return Classifier(sorted(((r.text, r.domain) for r in rows.select("text", "domain").collect()), key=lambda r: hash_key(*r)))
 
 
 def posteriors(docs: DataFrame, model: Classifier, names: tuple[str, ...] = DOMAINS) -> DataFrame:
@@ -142,17 +143,20 @@ def rates(scored: DataFrame, residuals: np.ndarray, step: float = STEP, ridge: f
     return scored.mapInArrow(run, schema)
 
 
-def mix(docs: DataFrame, labelled: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, keep_text: bool = True) -> DataFrame:
     """docs with n_tokens, posterior and rate: how often to draw each document. Every row stays; columns of these names are replaced.
 
-    Without labelled rows the posterior is uniform. labelled: documents that labels refer to.
+    Without labelled rows the posterior is uniform. labelled: documents that labels refer to. For the fit, tokens are summed by
+    posterior, rounded to three places. keep_text=False leaves text out.
     """
     ws = Workspace(docs.sparkSession, "mix")
     scored = posteriors(docs.drop("rate"), fit(labelled, labels))
-    small = ws.table("scored", scored.select("n_tokens", "posterior").groupBy(F.expr("transform(posterior, x -> round(x, 3))").alias("posterior")).agg(F.sum("n_tokens").alias("n_tokens")))
+    scored = ws.table("scored", scored if keep_text else scored.drop("text"))
+    small = ws.table("sums", scored.groupBy(F.expr("transform(posterior, x -> round(x, 3))").alias("posterior")).agg(F.sum("n_tokens").alias("n_tokens")))
     return rates(scored, fit_rates(small, targets))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(docs.select("doc_id", "text"), docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "n_tokens", *(F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate")
+    out = mix(docs.select("doc_id", "text"), docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_text=False)
+    return out.select("doc_id", "n_tokens", *(F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate")
