@@ -37,7 +37,7 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
-        """Delete tables that no later step reads, and the shuffles behind them."""
+        """Delete tables that no later step reads, and let go of the shuffles behind tables already written."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
             at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")

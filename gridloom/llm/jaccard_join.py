@@ -194,7 +194,9 @@ def families(t: int, n_bins: int = BINS, sizes=np.int64):
         bins = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("bins").to_pylist()]).reshape(-1, n_bins)
         size = size.astype(np.int64)
         order = np.lexsort((rep, keys))
-        keys, rep, size, bins = keys[order], rep[order], size[order], bins[order]
+        keys, rep = keys[order], rep[order]
+        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (rep[1:] != rep[:-1])))  # a set that several blocks sent counts once
+        keys, rep, size, bins = keys[new], rep[new], size[order][new], bins[order][new]
         at = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
         start, length = at[:-1], np.diff(at)
         edges = [np.zeros((0, 2), np.int64)]

@@ -162,20 +162,23 @@ def removed_lines(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, family_
     n = n_buckets(spark, 1.4 * size)
     posted = docs.mapInArrow(_postings(shared, n), "bucket long, keys binary, reps binary, sizes binary, bins binary")
     near = ws.table("near", posted.groupBy("bucket").applyInArrow(families(SIMILAR, BINS, np.uint32), "a long, b long"))
+    ws.drop()
     family = components(ws, near, "c").withColumnsRenamed({"node": "sig", "component": "family"})
     first = ws.table("first", found.groupBy("sig").agg(F.min(F.struct("doc_id", "no")).alias("at"), F.count("*").alias("times"), F.max("n").alias("n")))
     member = ws.table("member", first.join(family, "sig").select("sig", "family", "at.doc_id", "at.no", "n"))
     asked = ws.table("asked", member.groupBy("doc_id").agg(F.collect_set("no").alias("nos")))
     wanted = F.broadcast(asked) if asked.count() <= broadcast_rows else asked
-    sets = docs.join(wanted, "doc_id").select("doc_id", "text", "nos").mapInArrow(_wanted_sets, "sig long, keys binary")
+    sets = ws.table("sets", docs.join(wanted, "doc_id").select("doc_id", "text", "nos").mapInArrow(_wanted_sets, "sig long, keys binary"))
+    ws.drop("near")
     weight = member.groupBy("family").agg(F.ceil(F.sum(8 * F.col("n")) / family_bytes).cast("int").alias("g"))
     member = member.join(weight, "family").withColumn("i", F.pmod(F.xxhash64("sig"), F.col("g")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     member = member.withColumns({"x": F.least("i", "j"), "y": F.greatest("i", "j")}).select("sig", "family", "doc_id", "no", "x", "y")
     hits = ws.table("hits", sets.join(member, "sig").groupBy("family", "x", "y").applyInArrow(_search, "sig long"))
+    ws.drop()
     state = first.join(hits.distinct().withColumn("hit", F.lit(True)), "sig", "left").where("hit or times > 1").select("sig", "at", "hit")
     gone = found.join(state, "sig").where("hit or struct(doc_id, no) > at")
     out = ws.table("gone", gone.groupBy("doc_id").agg(F.collect_list("no").alias("nos"), F.collect_list("sig").alias("sigs")))
-    ws.drop("found", "near", "first", "member", "asked", "hits")
+    ws.drop("found", "first", "member", "asked", "hits", "sets")
     return out
 
 
