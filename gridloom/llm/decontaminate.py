@@ -102,7 +102,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N, max_windows: int = M
             index = shared.value
             for whole in batches:
                 data, offsets = column(whole.column(whole.schema.get_field_index("text")))
-                for a, b in groups(offsets, 1 << 22):
+                for a, b in groups(offsets, 1 << 20):
                     batch = whole.slice(a, b - a)
                     had = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("spans", "items")), strict=True)
                     got = [(m, _merged([*_pairs(spans), *_pairs(old)]), sorted({*items, *seen})) for (m, spans, items), (old, seen) in zip(index.scan(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), had, strict=True)]

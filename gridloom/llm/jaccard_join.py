@@ -62,7 +62,7 @@ def _requests(k: int, n: int):
         for batch in batches:
             data, offsets = column(batch.column(1))
             doc = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b in groups(offsets, 1 << 21):
+            for a, b in groups(offsets, 1 << 20):
                 sets = sets_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
                 sig = np.array([signature(x) for x in sets], np.int64).reshape(-1, 2)
                 _, first, own = np.unique(sig, axis=0, return_index=True, return_inverse=True)  # equal sets of a block count once
@@ -123,7 +123,7 @@ def _sets(k: int):
         for batch in batches:
             data, offsets = column(batch.column(1))
             want = [batch.column(i).to_pylist() for i in (0, 2, 3)]
-            for a, b in groups(offsets, 1 << 21):
+            for a, b in groups(offsets, 1 << 20):
                 sets = sets_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
                 keep = [(i, x) for i, x in zip(range(a, b), sets, strict=True) if signature(x) == (want[1][i], want[2][i])]
                 yield pa.RecordBatch.from_arrays([pa.array([want[0][i] for i, _ in keep], pa.int64()), pa.array([len(x) for _, x in keep], pa.int64()), pa.array([blob(x) for _, x in keep], pa.binary())], ["rep", "n", "keys"])

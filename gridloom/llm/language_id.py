@@ -99,10 +99,10 @@ class Model:
         """Calibrated probabilities of each text; whole texts, in slices of bounded size."""
         n, k = len(offsets) - 1, self.scores.shape[1]
         total, count = np.zeros((n, k)), np.zeros(n)
-        for a, b in groups(offsets, 1 << 19):
+        for a, b in groups(offsets, 1 << 18):
             lo, hi = int(offsets[a]), int(offsets[b])
-            for s in range(lo, hi, 1 << 22):  # a very long text goes by pieces that overlap by a gram less one byte
-                e = min(hi, s + (1 << 22) + GRAMS[-1] - 1)
+            for s in range(lo, hi, 1 << 18):  # a very long text goes by pieces that overlap by a gram less one byte
+                e = min(hi, s + (1 << 18) + GRAMS[-1] - 1)
                 piece, own = data[s:e], np.clip(offsets[a : b + 1] - s, 0, e - s)
                 for ids, at in subwords(piece, own):
                     add = np.zeros((len(ids) + 1, k))

@@ -60,7 +60,7 @@ def _each(batches, text: int = 1):
     """Slices of whole documents: batch, first row, last row and their lines."""
     for batch in batches:
         data, offsets = column(batch.column(text))
-        for a, b in groups(offsets, 1 << 21):
+        for a, b in groups(offsets, 1 << 20):
             yield batch, a, b, lines_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 

@@ -95,7 +95,7 @@ def posteriors(docs: DataFrame, model: Classifier, names: tuple[str, ...] = DOMA
         for batch in batches:
             data, offsets = column(batch.column(batch.schema.get_field_index("text")))
             n, p = [], []
-            for a, b in groups(offsets, 1 << 21):
+            for a, b in groups(offsets, 1 << 20):
                 own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 n += np.diff(words(own, at, NONSPACE)[3]).tolist()
                 p += [m.one(ids).astype(float).tolist() for ids in features(own, at)]
