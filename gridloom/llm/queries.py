@@ -32,8 +32,8 @@ ORACLE_SQL: dict[str, str] = {
         win as (select distinct i, least(10, len(w)) k, array_to_string(w[p:p + least(10, len(w)) - 1], ' ') t
                 from (select i, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) p from item where len(w) > 0)),
         doc as (select row_number() over () r, doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
-        at as (select r, w, unnest(range(1, len(w) + 1)) p from doc where len(w) > 0),
-        cut as (select r, p, k, array_to_string(w[p:p + k - 1], ' ') t from at, (select distinct k from win) where p + k - 1 <= len(w)),
+        place as (select r, w, unnest(range(1, len(w) + 1)) p from doc where len(w) > 0),
+        cut as (select r, p, k, array_to_string(w[p:p + k - 1], ' ') t from place, (select distinct k from win) where p + k - 1 <= len(w)),
         hit as (select r, p, win.k, i from cut join win using (k, t)),
         words as (select r, count(distinct q) n_hit from (select r, unnest(range(p, p + k)) q from hit) group by r),
         items as (select r, count(*) n_items, string_agg(i, ',' order by i) ids from (select distinct r, i from hit) group by r)
