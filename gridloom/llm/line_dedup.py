@@ -1,214 +1,169 @@
-"""Line dedup: an exact set-similarity join of lines.
+"""Line dedup: an exact set-similarity join of lines, in DataFrame functions alone.
 
-A line is its set of words (parted by white space, A-Z as a-z), and counts if it has LEAST of them. It goes if an earlier line, by
-(doc_id, number), has a set with a Jaccard similarity of 0.8 or more; whether that line itself stays doesn't matter.
+A line is its set of words (parted by ASCII white space, lower-cased), and counts if it has LEAST of them. It goes if an earlier line,
+by (doc_id, number), has a set with a Jaccard similarity of 0.8 or more; whether that line itself stays doesn't matter.
 
-Equal sets count once. Words are ordered by rarity (a count sketch of fixed size, ties by hash). Two sets as similar as that share one
-of their n - ceil(0.8 n) + 1 first words; within the list of such a word, pairs whose sizes and bin counts leave a match possible
-join a family. In a family, each set is held against the earlier ones that share a prefix word with it at places that leave
-enough words behind, until one is verified.
+Lines of one text (after lower-casing) count once, under a 64-bit signature. A word is a long: its rarity, then its hash, so sorting
+a line's words orders them by rarity (a count sketch of fixed size, a megabyte, that each task gets with its code). Two lines as similar as that
+share one of their n - ceil(0.8 n) + 1 first words. Each such word has a list of lines:
 
-The numbers come from numpy: an earlier form in DataFrame functions alone, of the same steps, took five times the CPU seconds that the
-check tool allows (see the README).
+1. Each line of a list is held against the one before it. That settles all but a few members of a family of near copies, with one
+   candidate per line and list.
+2. Lines that have no earlier match so far are held against all of their lists, under the length filter (size classes are part of the
+   join key), the positional filter and a bound on the difference by parity bits. Filters are conditions of the join: pairs that
+   fail them are never rows.
+
+Candidates of either step are verified on the words themselves. Lists of frequent words are split by salts.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gridloom.llm._bytes import NONSPACE, blob, column, groups, mix, words
-from gridloom.llm._components import components
-from gridloom.llm._exchange import cuts, n_buckets
-from gridloom.llm._work import Workspace, text_bytes
-from gridloom.llm.jaccard_join import SKETCH_BITS, families, need, rarity
+from gridloom.llm._work import Workspace
 
 SIMILAR = 80
 LEAST = 5
-BINS = 16
-FAMILY_BYTES = 8 << 20
-#: Documents that hold wanted or removed lines; up to so many go by broadcast, more by a shuffle join.
-BROADCAST_ROWS = 100_000
-
-
-def lines_of(data: np.ndarray, offsets: np.ndarray):
-    """Of each line with words enough: its document, number, signature and sorted distinct word numbers."""
-    s, _, h, first = words(data, offsets, NONSPACE)
-    breaks = np.flatnonzero(data == 10)
-    # the number of a word's line in its document: line breaks between the document's start and the word
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    before = np.searchsorted(breaks, s)
-    no = before - np.searchsorted(breaks, offsets[:-1])[doc]
-    line = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (no[1:] != no[:-1])))) if len(s) else np.zeros(0, int)
-    own = np.repeat(np.arange(len(line)), np.diff(np.append(line, len(s))))
-    order = np.lexsort((h, own))
-    h, own = h[order], own[order]
-    new = np.concatenate(([True], (h[1:] != h[:-1]) | (own[1:] != own[:-1]))) if len(h) else np.zeros(0, bool)
-    h, own = h[new], own[new]
-    at = np.searchsorted(own, np.arange(len(line) + 1))
-    size = np.diff(at)
-    keep = np.flatnonzero(size >= LEAST)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x5BD1E995)), dtype=np.uint64)))
-    sig = mix(total[at[1:]] - total[at[:-1]] + size.astype(np.uint64)).view(np.int64)
-    return doc[line[keep]], no[line[keep]], sig[keep], h, at[keep], at[keep + 1] if len(keep) else at[:0]
-
-
-def _each(batches, text: int = 1):
-    """Slices of whole documents: batch, first row, last row and their lines."""
-    for batch in batches:
-        data, offsets = column(batch.column(text))
-        for a, b in groups(offsets, 1 << 20):
-            yield batch, a, b, lines_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-
-
-def _words(batches):
-    for *_, (_, _, _, h, lo, hi) in _each(batches):
-        if len(lo):
-            yield pa.RecordBatch.from_arrays([pa.array([blob(h)])], ["keys"])
-
-
-def _occurrences(batches):
-    for batch, a, _, (doc, no, sig, _, lo, hi) in _each(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + a)), pa.array(no.astype(np.int32)), pa.array(sig), pa.array((hi - lo).astype(np.int32))], ["doc_id", "no", "sig", "n"])
-
-
-def _postings(shared, n: int):
-    def run(batches):
-        counts = shared.value
-        for _, _, _, (_, _, sig, h, lo, hi) in _each(batches):
-            sig, first = np.unique(sig, return_index=True)  # equal sets of a slice count once
-            lo, hi = lo[first], hi[first]
-            size = hi - lo
-            own = np.repeat(np.arange(len(lo)), size)
-            at = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum()) if len(lo) else np.zeros(0, int)
-            x = h[at]
-            bins = np.minimum(np.bincount(own * BINS + (mix(x) & np.uint64(BINS - 1)).astype(np.int64), minlength=len(lo) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
-            order = np.lexsort((x, counts[x >> np.uint64(64 - SKETCH_BITS)], own))
-            place = np.arange(len(x)) - np.repeat(np.concatenate(([0], np.cumsum(size)[:-1])), size) if len(lo) else x
-            pick = order[place < (size - need(size, SIMILAR) + 1)[own]] if len(lo) else order
-            x, own = x[pick], own[pick]
-            order = np.argsort(x, kind="stable")
-            x, own = x[order], own[order]
-            rows = list(cuts(x, n))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([blob(x[i:j]) for _, i, j in rows], pa.binary()), *(pa.array([blob(col[own[i:j]]) for _, i, j in rows], pa.binary()) for col in (sig, size.astype(np.uint32), bins))], ["bucket", "keys", "reps", "sizes", "bins"])
-
-    return run
-
-
-def _wanted_sets(batches):
-    """Sets of the lines that a document is asked for."""
-    for batch, a, _, (doc, no, sig, h, lo, hi) in _each(batches):
-        nos = [set(x) for x in batch.column(2).to_pylist()]
-        pick = [i for i, (d, k) in enumerate(zip(doc.tolist(), no.tolist(), strict=True)) if k in nos[d + a]]
-        yield pa.RecordBatch.from_arrays([pa.array(sig[pick]), pa.array([blob(h[lo[i] : hi[i]]) for i in pick], pa.binary())], ["sig", "keys"])
-
-
-def earlier_match(order: np.ndarray, sets: list[np.ndarray], t: int = SIMILAR) -> np.ndarray:
-    """Whether each set has one before it in order that is similar enough.
-
-    Words go by rarity within the group. A set looks up its prefix words among the sets before it; size and place sort most
-    candidates out, the rest are verified until one holds.
-    """
-    seq = np.argsort(order, kind="stable")
-    tokens, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    df = np.bincount(ids)
-    rank = np.empty(len(tokens), np.int64)
-    rank[np.lexsort((np.arange(len(tokens)), df))] = np.arange(len(tokens))
-    ids = [np.sort(x) for x in np.split(rank[ids], np.cumsum([len(x) for x in sets])[:-1])]
-    out, index = np.zeros(len(sets), bool), {}
-    for i in seq.tolist():
-        x = ids[i]
-        n = len(x)
-        done = set()
-        prefix = x[: n - int(need(n, t)) + 1].tolist()
-        for at, w in enumerate(prefix):
-            for j, m, place in index.get(w, ()):
-                if j in done or 100 * min(n, m) < t * max(n, m) or (100 + t) * min(n - at, m - place) < t * (n + m):
-                    continue
-                done.add(j)
-                y = ids[j]
-                both = int((y[np.minimum(np.searchsorted(y, x), m - 1)] == x).sum())
-                if 100 * both >= t * (n + m - both):
-                    out[i] = True
-                    break
-            if out[i]:
-                break
-        for at, w in enumerate(prefix):
-            index.setdefault(w, []).append((i, n, at))
-    return out
+#: Count sketch: 2 ** SKETCH_BITS bytes, each twice the binary logarithm of a count.
+SKETCH_BITS = 20
+HASH_BITS = 56
+#: Lists of words that occur more than 2 ** SALT_AT times are split, into at most MOST_SALTS parts in step 2.
+SALT_AT = 17
+MOST_SALTS = 64
+SPACES = r"[ \t-\r]+"
 
 
-def _search(table: pa.Table) -> pa.Table:
-    sig, first = np.unique(table.column("sig").to_numpy(), return_index=True)
-    keys, doc, no = table.column("keys"), table.column("doc_id").to_numpy()[first], table.column("no").to_numpy()[first]
-    # the same place can only be two lines of rows with one doc_id; neither is earlier then, and they are told apart by signature
-    order = np.lexsort((sig, no, doc))
-    place = np.empty(len(sig), np.int64)
-    place[order] = np.arange(len(sig))
-    hit = earlier_match(place, [np.frombuffer(keys[int(i)].as_py(), np.uint64) for i in first])
-    return pa.table({"sig": sig[hit]})
-
-
-def removed_lines(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, family_bytes: int = FAMILY_BYTES) -> DataFrame:
-    """(doc_id, nos, sigs): number and signature of the lines to remove from each document of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    ws = Workspace(spark, "lines")
-    size = text_bytes(docs)
-    shared = spark.sparkContext.broadcast(rarity(docs.mapInArrow(_words, "keys binary")))
-    found = ws.table("found", docs.mapInArrow(_occurrences, "doc_id long, no int, sig long, n int"))
-    n = n_buckets(spark, 1.4 * size)
-    posted = docs.mapInArrow(_postings(shared, n), "bucket long, keys binary, reps binary, sizes binary, bins binary")
-    near = ws.table("near", posted.groupBy("bucket").applyInArrow(families(SIMILAR, BINS, np.uint32), "a long, b long"))
-    ws.drop()
-    family = components(ws, near, "c").withColumnsRenamed({"node": "sig", "component": "family"})
-    first = ws.table("first", found.groupBy("sig").agg(F.min(F.struct("doc_id", "no")).alias("at"), F.count("*").alias("times"), F.max("n").alias("n")))
-    member = ws.table("member", first.join(family, "sig").select("sig", "family", "at.doc_id", "at.no", "n"))
-    asked = ws.table("asked", member.groupBy("doc_id").agg(F.collect_set("no").alias("nos")))
-    wanted = F.broadcast(asked) if asked.count() <= broadcast_rows else asked
-    sets = ws.table("sets", docs.join(wanted, "doc_id").select("doc_id", "text", "nos").mapInArrow(_wanted_sets, "sig long, keys binary"))
-    ws.drop("near")
-    weight = member.groupBy("family").agg(F.ceil(F.sum(8 * F.col("n")) / family_bytes).cast("int").alias("g"))
-    member = member.join(weight, "family").withColumn("i", F.pmod(F.xxhash64("sig"), F.col("g")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    member = member.withColumns({"x": F.least("i", "j"), "y": F.greatest("i", "j")}).select("sig", "family", "doc_id", "no", "x", "y")
-    hits = ws.table("hits", sets.join(member, "sig").groupBy("family", "x", "y").applyInArrow(_search, "sig long"))
+def words(text: Column) -> Column:
+    return F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\f\r")), SPACES)
+
+
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit((1 << SKETCH_BITS) - 1)).cast("int")
+
+
+def rarity(docs: DataFrame) -> bytes:
+    """A byte for each bucket of word hashes: twice the binary logarithm of its number of words. Its size doesn't depend on the data."""
+    half = 1 << SKETCH_BITS // 2
+    counts = docs.select(F.explode(words(F.col("text"))).alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("k"))
+    all_ = counts.unionByName(docs.sparkSession.range(1 << SKETCH_BITS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("k")))
+    level = all_.groupBy("b").agg(F.floor(2 * F.log2(F.sum("k") + 1)).cast("byte").alias("q"))
+    part = level.groupBy(F.floor(F.col("b") / half).cast("int").alias("hi")).agg(F.sort_array(F.collect_list(F.struct("b", "q"))).alias("x"))
+    return bytes(part.agg(F.flatten(F.sort_array(F.collect_list(F.struct("hi", F.col("x.q").alias("q"))))["q"]).alias("q")).first()["q"])
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, no, sig, line) of all lines; row tells rows of one doc_id apart by their text."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
+    return rows.withColumn("line", F.lower("line")).withColumn("sig", F.xxhash64("line"))
+
+
+def need(n: Column) -> Column:
+    return F.floor((n * SIMILAR + 99) / 100).cast("int")
+
+
+def prefixes(lines: DataFrame, sketch: bytes) -> DataFrame:
+    """Of each line that may count: place, size, parity bits and first words by rarity.
+
+    No filter on the size here: it would be pushed below the sets, which would then be made twice.
+    """
+    levels = F.lit(sketch)
+
+    def token(w: Column) -> Column:
+        h = F.xxhash64(w)
+        level = F.coalesce(F.ascii(F.substring(levels, _bucket(h) + 1, 1).cast("string")), F.lit(0)).cast("long")
+        return F.shiftleft(level, HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+
+    sets = lines.where(F.length("line") >= 2 * LEAST - 1).withColumn("toks", F.sort_array(F.array_distinct(F.transform(words(F.col("line")), token))))
+    sets = sets.withColumn("n", F.size("toks"))
+    bits = F.aggregate("toks", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    return sets.select("doc_id", "row", "no", "sig", "n", bits.alias("bits"), F.slice("toks", 1, F.col("n") - need(F.col("n")) + 1).alias("toks"))
+
+
+def _similar(n: Column, at: Column, bits: Column, m: Column, place: Column, other: Column) -> Column:
+    """Length, positional and parity filters of two lines that share a word."""
+    t = SIMILAR
+    return (
+        (100 * F.least(n, m) >= t * F.greatest(n, m))
+        & ((100 + t) * F.least(n - at, m - place) >= t * (n + m))
+        & ((100 + t) * F.bit_count(bits.bitwiseXOR(other)) <= (100 - t) * (n + m))
+    )
+
+
+def _salts(most: int | None = None) -> Column:
+    shift = F.greatest(F.lit(0), F.floor(F.shiftrightunsigned("tok", HASH_BITS) / 2).cast("int") - SALT_AT)
+    s = F.call_function("shiftleft", F.lit(1).cast("long"), shift)
+    return s if most is None else F.least(s, F.lit(most).cast("long"))
+
+
+def verified(ws: Workspace, name: str, pairs: DataFrame, reps: DataFrame, lines: DataFrame) -> DataFrame:
+    """Signatures of lines that an earlier one of their pairs is similar to, by the words themselves."""
+    at = reps.select("sig", F.struct("doc_id", "no", "n").alias("p"))
+    pairs = pairs.distinct().join(at.select(F.col("sig").alias("a"), F.col("p").alias("pa")), "a").join(at.select(F.col("sig").alias("b"), F.col("p").alias("pb")), "b")
+    later = F.struct("pa.doc_id", "pa.no") > F.struct("pb.doc_id", "pb.no")
+    pairs = pairs.where(F.struct("pa.doc_id", "pa.no") != F.struct("pb.doc_id", "pb.no"))
+    pairs = pairs.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("late"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("early"), (F.col("pa.n") + F.col("pb.n")).alias("sum"))
+    pairs = ws.table(f"{name}-pairs", pairs.distinct())
+    asked = pairs.select(F.explode(F.array("late", "early")).alias("sig")).distinct().join(reps.select("sig", "doc_id", "no"), "sig")
+    texts = ws.table(f"{name}-texts", lines.join(asked, ["doc_id", "no", "sig"]).select("sig", "line").dropDuplicates(["sig"]))
+    both = pairs.join(texts.select(F.col("sig").alias("late"), F.col("line").alias("x")), "late").join(texts.select(F.col("sig").alias("early"), F.col("line").alias("y")), "early")
+    same = F.size(F.array_intersect(words(F.col("x")), words(F.col("y"))))
+    hits = ws.table(f"{name}-hits", both.where((100 + SIMILAR) * same >= SIMILAR * F.col("sum")).select(F.col("late").alias("sig")).distinct())
+    ws.drop(f"{name}-pairs", f"{name}-texts")
+    return hits
+
+
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, nos): numbers of the lines to remove from each row of docs (doc_id, text)."""
+    ws = Workspace(docs.sparkSession, "lines")
+    lines = lines_of(docs)
+    found = ws.table("found", prefixes(lines, rarity(docs))).where(F.col("n") >= LEAST)
+    rep = F.min_by(F.struct("doc_id", "no", "n", "bits", "toks"), F.struct("doc_id", "no")).alias("r")
+    reps = ws.table("reps", found.groupBy("sig").agg(rep, F.count("*").alias("times")).select("sig", "times", "r.*"))
+    posted = reps.select("sig", "doc_id", "n", "bits", F.posexplode("toks").alias("at", "tok"))
+    chain = Window.partitionBy("tok", "salt").orderBy("doc_id", "sig")
+    before = posted.withColumn("salts", _salts()).withColumn("salt", F.pmod("sig", "salts"))
+    before = before.withColumn("p", F.lag(F.struct("sig", "n", "at", "bits")).over(chain)).withColumn("next", F.lead("sig").over(chain))
+    before = before.where("p is not null or next is not null or salts > 1")
+    close = _similar(F.col("n"), F.col("at"), F.col("bits"), F.col("p.n"), F.col("p.at"), F.col("p.bits"))
+    posted = ws.table("posted", before.select("tok", "sig", "doc_id", "n", "at", "bits", F.when(close, F.col("p.sig")).alias("prev")))
     ws.drop()
-    state = first.join(hits.distinct().withColumn("hit", F.lit(True)), "sig", "left").where("hit or times > 1").select("sig", "at", "hit")
-    gone = found.join(state, "sig").where("hit or struct(doc_id, no) > at")
-    out = ws.table("gone", gone.groupBy("doc_id").agg(F.collect_list("no").alias("nos"), F.collect_list("sig").alias("sigs")))
-    ws.drop("found", "first", "member", "asked", "hits", "sets")
+    near = verified(ws, "near", posted.where("prev is not null").select(F.col("sig").alias("a"), F.col("prev").alias("b")), reps, lines)
+    # sizes of two similar lines lie in the same class or in classes side by side
+    posted = posted.drop("prev").withColumn("class", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / SIMILAR) + 1e-9).cast("int")).withColumn("salts", _salts(MOST_SALTS))
+    seek = posted.join(near, "sig", "left_anti")
+    seek = seek.withColumn("class", F.explode(F.array(*(F.col("class") + i for i in (-1, 0, 1))))).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    every = posted.withColumn("salt", F.pmod("sig", "salts"))
+    a, b = seek.alias("a"), every.alias("b")
+    same = (F.col("a.tok") == F.col("b.tok")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.salt") == F.col("b.salt"))
+    filters = (F.col("a.sig") != F.col("b.sig")) & (F.col("b.doc_id") <= F.col("a.doc_id")) & _similar(*(F.col(f"{s}.{c}") for s in "ab" for c in ("n", "at", "bits")))
+    far = verified(ws, "far", a.join(b, same & filters).select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b")), reps, lines)
+    ws.drop("posted")
+    hits = near.union(far).distinct().withColumn("hit", F.lit(True))
+    state = reps.join(hits, "sig", "left").where("hit or times > 1").select("sig", "hit", F.struct("doc_id", "no").alias("first"))
+    gone = found.select("doc_id", "row", "no", "sig").join(state, "sig").where("hit or struct(doc_id, no) > first")
+    out = ws.table("gone", gone.groupBy("doc_id", "row").agg(F.collect_set("no").alias("nos")))
+    ws.drop("found", "reps", "near-hits", "far-hits")
     return out
 
 
-def dedup_lines(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, family_bytes: int = FAMILY_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the lines of text that match an earlier line taken out; other columns and all rows stay.
 
     A line of fewer than LEAST distinct words stays always, as does every line of a row whose doc_id is null; a null text stays null.
     A text may become empty. Of rows that repeat a doc_id, lines that match each other at the same number stay.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    gone = removed_lines(own, broadcast_rows, family_bytes)
-    per = gone.select(F.col("doc_id").alias("__doc"), F.col("nos").alias("__nos"), F.col("sigs").alias("__sigs"))
-    if gone.count() <= broadcast_rows:
-        per = F.broadcast(per)
-    cols, schema = docs.columns, docs.schema
-    at = cols.index("text")
-
-    def cut(batches):
-        for batch, a, b, (doc, no, sig, *_) in _each(batches, at):
-            part, gone = batch.slice(a, b - a), [None] * (b - a)
-            nos, sigs = (part.column(len(cols) + i).to_pylist() for i in (0, 1))
-            wanted = [set(zip(x or (), y or (), strict=True)) for x, y in zip(nos, sigs, strict=True)]
-            for d, k, s in zip(doc.tolist(), no.tolist(), sig.tolist(), strict=True):
-                if (k, s) in wanted[d]:
-                    gone[d] = (gone[d] or set()) | {k}
-            texts = part.column(at).to_pylist()
-            texts = [t if g is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in g) for t, g in zip(texts, gone, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, part.column(i).type) if i == at else part.column(i) for i in range(len(cols))], cols)
-
-    return docs.join(per, F.col("doc_id") == F.col("__doc"), "left").select(*cols, "__nos", "__sigs").mapInArrow(cut, T.StructType(schema.fields))
+    gone = removed_lines(own).alias("g")
+    text = F.col("d.text").cast("string")
+    joined = docs.alias("d").join(gone, (F.col("d.doc_id").cast("long") == F.col("g.doc_id")) & (F.xxhash64(text) == F.col("g.row")), "left")
+    split = joined.select("d.*", F.struct(F.col("g.nos").alias("nos"), F.split(text, "\n", -1).alias("lines")).alias(cut := "__cut_" + "_".join(docs.columns)))
+    lines, nos = F.col(f"`{cut}`.lines"), F.col(f"`{cut}`.nos")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), nos)
+    new = F.when(nos.isNull(), F.col("text").cast("string")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    return split.select(*(new.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

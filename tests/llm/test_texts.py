@@ -96,7 +96,7 @@ def plain_lines(rows):
     return out
 
 
-def test_lines(spark):
+def test_lines(spark, monkeypatch):
     r = random.Random(5)
     vocab = [f"{a}{b}" for a in "abcdef" for b in "xyzuvw"]
     base = [r.choices(vocab, k=r.randint(3, 25)) for _ in range(25)]
@@ -112,8 +112,9 @@ def test_lines(spark):
     rows += [(300, None), (301, ""), (302, "\n\n"), (None, rows[3][1]), (rows[3][0], rows[3][1]), (303, "one two three four " * 5000)]
     want = plain_lines(rows)
     df = spark.createDataFrame([(*x, "no") for x in rows], "doc_id long, text string, nos string").repartition(4)
-    for kw in ({}, {"broadcast_rows": -1, "family_bytes": 3000}):
-        got = line_dedup.dedup_lines(df, **kw)
+    for salt_at in (line_dedup.SALT_AT, 4):
+        monkeypatch.setattr(line_dedup, "SALT_AT", salt_at)
+        got = line_dedup.dedup_lines(df)
         assert got.columns == df.columns and got.count() == len(rows)
         before = sorted(((d, want.get((d, t), t)) for d, t in rows), key=str)
         assert sorted(((x.doc_id, x.text) for x in got.collect()), key=str) == before
