@@ -7,10 +7,10 @@ Lines of one text (after lower-casing) count once, under a 64-bit signature. A w
 a line's words orders them by rarity (a count sketch of fixed size, a megabyte, that each task gets with its code). Two lines as similar as that
 share one of their n - ceil(0.8 n) + 1 first words. Each such word has a list of lines:
 
-1. Each line of a list is held against the one before it. That settles all but a few members of a family of near copies, with one
-   candidate per line and list.
-2. Lines that have no earlier match so far are held against all of their lists, under the length filter (size classes are part of the
-   join key), the positional filter and a bound on the difference by parity bits. Filters are conditions of the join: pairs that
+1. Lines without another of a like size in the list leave it. Each other line is held against the one before it. That settles all
+   but a few members of a family of near copies, with one candidate per line and list.
+2. Lines that have no earlier match so far are held against all of their lists, under the length filter (in long lists, size classes
+   are part of the join key), the positional filter and a bound on the difference by parity bits. Filters are conditions of the join: pairs that
    fail them are never rows.
 
 Candidates of either step are verified on the words themselves. Lists of frequent words are split by salts.
@@ -33,11 +33,15 @@ HASH_BITS = 56
 #: Lists of words that occur more than 2 ** SALT_AT times are split, into at most MOST_SALTS parts in step 2.
 SALT_AT = 17
 MOST_SALTS = 64
-SPACES = r"[ \t-\r]+"
+#: Lists of words that occur more than 2 ** CLASS_AT times are searched by size class.
+CLASS_AT = 10
 
 
 def words(text: Column) -> Column:
-    return F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\f\r")), SPACES)
+    """Split by one plain character, which takes no regular expression; the others are made spaces first."""
+    for c in "\t\n\x0b\f\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(F.lower(text), " "), "")
 
 
 def _bucket(h: Column) -> Column:
@@ -57,7 +61,7 @@ def rarity(docs: DataFrame) -> bytes:
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, row, no, sig, line) of all lines; row tells rows of one doc_id apart by their text."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
-    return rows.withColumn("line", F.lower("line")).withColumn("sig", F.xxhash64("line"))
+    return rows.withColumn("sig", F.xxhash64(F.lower("line")))
 
 
 def need(n: Column) -> Column:
@@ -92,9 +96,13 @@ def _similar(n: Column, at: Column, bits: Column, m: Column, place: Column, othe
     )
 
 
+def _level() -> Column:
+    """Binary logarithm of the number of times that a word may occur."""
+    return F.floor(F.shiftrightunsigned("tok", HASH_BITS) / 2).cast("int")
+
+
 def _salts(most: int | None = None) -> Column:
-    shift = F.greatest(F.lit(0), F.floor(F.shiftrightunsigned("tok", HASH_BITS) / 2).cast("int") - SALT_AT)
-    s = F.call_function("shiftleft", F.lit(1).cast("long"), shift)
+    s = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), _level() - SALT_AT))
     return s if most is None else F.least(s, F.lit(most).cast("long"))
 
 
@@ -123,18 +131,24 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     rep = F.min_by(F.struct("doc_id", "no", "n", "bits", "toks"), F.struct("doc_id", "no")).alias("r")
     reps = ws.table("reps", found.groupBy("sig").agg(rep, F.count("*").alias("times")).select("sig", "times", "r.*"))
     posted = reps.select("sig", "doc_id", "n", "bits", F.posexplode("toks").alias("at", "tok"))
-    chain = Window.partitionBy("tok", "salt").orderBy("doc_id", "sig")
+    # in order of size, a line whose neighbours are both too far off has no match in its list
+    part = Window.partitionBy("tok", "salt")
+    by_size, chain = part.orderBy("n"), part.orderBy("doc_id", "sig")
     before = posted.withColumn("salts", _salts()).withColumn("salt", F.pmod("sig", "salts"))
-    before = before.withColumn("p", F.lag(F.struct("sig", "n", "at", "bits")).over(chain)).withColumn("next", F.lead("sig").over(chain))
-    before = before.where("p is not null or next is not null or salts > 1")
+    before = before.withColumn("less", F.lag("n").over(by_size)).withColumn("more", F.lead("n").over(by_size))
+    before = before.where((100 * F.col("less") >= SIMILAR * F.col("n")) | (100 * F.col("n") >= SIMILAR * F.col("more")) | (F.col("salts") > 1)).drop("less", "more")
+    before = before.withColumn("p", F.lag(F.struct("sig", "n", "at", "bits")).over(chain))
     close = _similar(F.col("n"), F.col("at"), F.col("bits"), F.col("p.n"), F.col("p.at"), F.col("p.bits"))
     posted = ws.table("posted", before.select("tok", "sig", "doc_id", "n", "at", "bits", F.when(close, F.col("p.sig")).alias("prev")))
     ws.drop()
     near = verified(ws, "near", posted.where("prev is not null").select(F.col("sig").alias("a"), F.col("prev").alias("b")), reps, lines)
     # sizes of two similar lines lie in the same class or in classes side by side
-    posted = posted.drop("prev").withColumn("class", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / SIMILAR) + 1e-9).cast("int")).withColumn("salts", _salts(MOST_SALTS))
+    by_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / SIMILAR) + 1e-9).cast("int")
+    posted = posted.drop("prev").withColumn("class", F.when(_level() >= CLASS_AT, by_class)).withColumn("salts", _salts(MOST_SALTS))
     seek = posted.join(near, "sig", "left_anti")
-    seek = seek.withColumn("class", F.explode(F.array(*(F.col("class") + i for i in (-1, 0, 1))))).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    seek = seek.withColumn("class", F.explode(F.when(F.col("class").isNull(), F.array(F.lit(0))).otherwise(F.array(*(F.col("class") + i for i in (-1, 0, 1))))))
+    seek = seek.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    posted = posted.withColumn("class", F.coalesce("class", F.lit(0)))
     every = posted.withColumn("salt", F.pmod("sig", "salts"))
     a, b = seek.alias("a"), every.alias("b")
     same = (F.col("a.tok") == F.col("b.tok")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.salt") == F.col("b.salt"))

@@ -114,6 +114,7 @@ def test_lines(spark, monkeypatch):
     df = spark.createDataFrame([(*x, "no") for x in rows], "doc_id long, text string, nos string").repartition(4)
     for salt_at in (line_dedup.SALT_AT, 4):
         monkeypatch.setattr(line_dedup, "SALT_AT", salt_at)
+        monkeypatch.setattr(line_dedup, "CLASS_AT", salt_at)
         got = line_dedup.dedup_lines(df)
         assert got.columns == df.columns and got.count() == len(rows)
         before = sorted(((d, want.get((d, t), t)) for d, t in rows), key=str)
