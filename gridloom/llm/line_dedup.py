@@ -7,8 +7,8 @@ Lines of one text (after lower-casing) count once, under a 64-bit signature. A w
 a line's words orders them by rarity (a count sketch of fixed size, a megabyte, that each task gets with its code). Two lines as similar as that
 share one of their n - ceil(0.8 n) + 1 first words. Each such word has a list of lines:
 
-1. Lines without another of a like size in the list leave it. Each other line is held against the one before it. That settles all
-   but a few members of a family of near copies, with one candidate per line and list.
+1. Lines without another of a like size in the list leave it. Each other line is held against the LAGS before it. That settles all
+   but a few members of a family of near copies, with a fixed number of candidates per line and list.
 2. Lines that have no earlier match so far are held against all of their lists, under the length filter (in long lists, size classes
    are part of the join key), the positional filter and a bound on the difference by parity bits. Filters are conditions of the join: pairs that
    fail them are never rows.
@@ -33,15 +33,15 @@ HASH_BITS = 56
 #: Lists of words that occur more than 2 ** SALT_AT times are split, into at most MOST_SALTS parts in step 2.
 SALT_AT = 17
 MOST_SALTS = 64
+SPACES = r"[ \t-\r]+"
+#: Lines of a list that step 1 holds each line against, those just before it.
+LAGS = (1, 2, 3, 5, 8, 13)
 #: Lists of words that occur more than 2 ** CLASS_AT times are searched by size class.
 CLASS_AT = 10
 
 
 def words(text: Column) -> Column:
-    """Split by one plain character, which takes no regular expression; the others are made spaces first."""
-    for c in "\t\n\x0b\f\r":
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return F.array_remove(F.split(F.lower(text), " "), "")
+    return F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\f\r")), SPACES)
 
 
 def _bucket(h: Column) -> Column:
@@ -137,11 +137,11 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     before = posted.withColumn("salts", _salts()).withColumn("salt", F.pmod("sig", "salts"))
     before = before.withColumn("less", F.lag("n").over(by_size)).withColumn("more", F.lead("n").over(by_size))
     before = before.where((100 * F.col("less") >= SIMILAR * F.col("n")) | (100 * F.col("n") >= SIMILAR * F.col("more")) | (F.col("salts") > 1)).drop("less", "more")
-    before = before.withColumn("p", F.lag(F.struct("sig", "n", "at", "bits")).over(chain))
-    close = _similar(F.col("n"), F.col("at"), F.col("bits"), F.col("p.n"), F.col("p.at"), F.col("p.bits"))
-    posted = ws.table("posted", before.select("tok", "sig", "doc_id", "n", "at", "bits", F.when(close, F.col("p.sig")).alias("prev")))
+    before = before.withColumns({f"p{i}": F.lag(F.struct("sig", "n", "at", "bits"), i).over(chain) for i in LAGS})
+    prev = [F.when(_similar(*(F.col(c) for c in ("n", "at", "bits")), *(F.col(f"p{i}.{c}") for c in ("n", "at", "bits"))), F.col(f"p{i}.sig")) for i in LAGS]
+    posted = ws.table("posted", before.select("tok", "sig", "doc_id", "n", "at", "bits", F.array_compact(F.array(*prev)).alias("prev")))
     ws.drop()
-    near = verified(ws, "near", posted.where("prev is not null").select(F.col("sig").alias("a"), F.col("prev").alias("b")), reps, lines)
+    near = verified(ws, "near", posted.select(F.col("sig").alias("a"), F.explode("prev").alias("b")), reps, lines)
     # sizes of two similar lines lie in the same class or in classes side by side
     by_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / SIMILAR) + 1e-9).cast("int")
     posted = posted.drop("prev").withColumn("class", F.when(_level() >= CLASS_AT, by_class)).withColumn("salts", _salts(MOST_SALTS))
