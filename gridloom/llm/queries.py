@@ -44,7 +44,7 @@ ORACLE_SQL: dict[str, str] = {
         with recursive doc as (select doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+') w from documents),
         sh as (select distinct doc_id, array_to_string(w[p:p + 2], ' ') s from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) p from doc where len(w) > 0)),
         n as (select doc_id, count(*) n from sh group by 1),
-        common as (select s from sh group by s having count(*) between 2 and 100000),
+        common as (select s from sh group by s having count(*) > 1),
         few as (select sh.doc_id, s from sh join common using (s)),
         pair as (select a.doc_id x, b.doc_id y, count(*) c from few a join few b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
         link as (select x, y from pair join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 90 * (a.n + b.n - c)),
