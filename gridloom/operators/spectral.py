@@ -14,22 +14,27 @@ def padded(n: int) -> int:
     return 1 << max(0, (n - 1).bit_length())
 
 
-def fft2(g: Grid, inverse: bool = False) -> DataFrame:
-    """row, col, re, im of the transform, padded with 0 to powers of two: one pass by rows, a shuffle, one by columns."""
-    nr, nc = padded(g.meta.nrows), padded(g.meta.ncols)
+def fft2(g: Grid | DataFrame, nrows: int = 0, ncols: int = 0) -> DataFrame:
+    """row, col, re, im of the transform: one pass by rows, a shuffle, one by columns. Sizes are powers of two at least as large as given.
+
+    g: a grid, padded with 0, or the cells (row, col, re, im) of a complex one of nrows by ncols.
+    """
+    if isinstance(g, Grid):
+        nrows, ncols = nrows or g.meta.nrows, ncols or g.meta.ncols
+        g = g.df.select("row", "col", F.col("value").cast("double").alias("re"), F.lit(0.0).alias("im"))
+    nr, nc = padded(nrows), padded(ncols)
 
     def one(key: str, along: str, n: int):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             x = np.zeros(n, complex)
             x[pdf[along]] = pdf["re"] + 1j * pdf["im"]
-            x = (np.fft.ifft if inverse else np.fft.fft)(x)
+            x = np.fft.fft(x)
             return pd.DataFrame({key: pdf[key].iloc[0], along: np.arange(n), "re": x.real, "im": x.imag})[["row", "col", "re", "im"]]
 
         return run
 
     schema = "row int, col int, re double, im double"
-    df = g.df.select("row", "col", F.col("value").cast("double").alias("re"), F.lit(0.0).alias("im"))
-    return df.groupBy("row").applyInPandas(one("row", "col", nc), schema).groupBy("col").applyInPandas(one("col", "row", nr), schema)
+    return g.groupBy("row").applyInPandas(one("row", "col", nc), schema).groupBy("col").applyInPandas(one("col", "row", nr), schema)
 
 
 def phase_shift(a: np.ndarray, b: np.ndarray, max_u: int, max_v: int) -> tuple[int, int]:

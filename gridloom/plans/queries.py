@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.grid import Grid, GridMeta
-from gridloom.operators import cells, distance, geometry, mining, motion, segment, spectral, stats, stencil
+from gridloom.operators import cells, distance, frequency, geometry, mining, models, motion, objects, segment, spectral, stats, stencil, texture, tracking
+from gridloom.plans import compositions
 from gridloom.plans.tables import FRAME, META, g1, g1g, g2, points, read, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -300,3 +301,71 @@ def _hs(spark, d):
 query("fft2")(lambda s, d: _rounded(spectral.fft2(g2(s, d, 3)), 6))
 query("hough")(lambda s, d: spectral.hough(g1g(s, d), 800))
 assert FRAME.nrows == 24
+
+# texture and frequency
+grid_query("log_edges", lambda g: texture.log_edges(g, 3, 20))
+grid_query("oriented_ellipses", lambda g: texture.oriented(g, 4, 3, 1))
+grid_query("vq_normalise", texture.normalised, f"""select "row", col, case when {V} = {M} then -1 else floor(100.0::double * ({V} - lo) / hi + 0.5)::int end "value" from g1g, (select min({V}) lo, max({V}) hi from g1g where {V} <> {M})""")
+grid_query("vector_quantizer", lambda g: texture.quantize([g, cells.threshold(g, 500)], texture.vector_quantizer([g, cells.threshold(g, 500)], 4)))
+grid_query("local_texture", lambda g: objects.local_texture(g, 3, 3, 0, 200, 6), "select 1")
+ORACLE["local_texture"] = sql("g1 g1g", "")[:-1] + f""", own as (select r "row", c col, case when v is null then 6 else v end b1 from (select unnest(range(-1, 49)) r), (select unnest(range(-1, 65)) c)
+    left join (select "row" i, col j, {_B} v from g1g) on i = r and j = c),
+    d as (select * from (values {", ".join(f"('{k}', {i}, {j})" for k, (i, j) in stats.DIRECTIONS.items())}) t(direction, i, j)),
+    pair as (select a."row", a.col, direction, a.b1, coalesce(b.b1, 6) b2 from own a cross join d left join own b on b."row" = a."row" + i and b.col = a.col + j),
+    cnt as (select "row" + x "row", col + y col, direction, b1, b2, count(*) n from pair, (select unnest([-1, 0, 1]) x), (select unnest([-1, 0, 1]) y) group by all)
+    select "row"::int "row", col::int col, direction, floor(100 * round(sum(n * n) / 81.0::double, 9) + 0.5)::int uniformity, floor(100 * round(max(n) / 9.0::double, 9) + 0.5)::int max_prob
+    from cnt where "row" between 0 and 47 and col between 0 and 63 group by all"""
+grid_query("fft_convolve", lambda g: frequency.fft_convolve(cells.replace_value(g, M, 0), [[1.0, 2.0], [0.0, 1.0]]), f"""select a."row", a.col, (coalesce(a.v, 0) + 2 * coalesce(b.v, 0) + coalesce(c.v, 0))::int "value" from (select "row", col, greatest({V}, 0) v from g1g) a
+    left join (select "row", col, greatest({V}, 0) v from g1g) b on b."row" = a."row" and b.col = (a.col + 1) % 64 left join (select "row", col, greatest({V}, 0) v from g1g) c on c."row" = a."row" + 1 and c.col = (a.col + 1) % 64""")
+grid_query("fft_bandpass", lambda g: frequency.bandpass(g, 0.1, 0.6))
+grid_query("fft_bandpass_fixed", lambda g: frequency.bandpass(g, 0.1, 0.6, "fixed"))
+
+# models
+_p, _l = (lambda v: (v % 400).cast("double")), (lambda v: (v % 100).cast("double"))
+grid_query("decision_tree", lambda g: g.map(lambda v: models.decision_tree(_p(v), _l(v))), _map(f"case when {V} % 100 < 17.61 then 0 when {V} % 100 < 48.91 then 1 when {V} % 100 < 81.25 then case when {V} % 400 >= 31.77 then 1 else 2 end when {V} % 400 >= 105.7 then 2 else 4 end"))
+_sig = lambda x: f"(1 / (1 + exp(-({x}))))"
+grid_query("neural_net", lambda g: g.map(lambda v: models.neural_net(_p(v), _l(v))), _map("floor(100 * " + _sig(f"2.4291 * {_sig(f'3.06728::double * ({V} % 400) + 3.26584 + 1.77153::double * ({V} % 100)')} + 3.12817 - 11.29847 * {_sig(f'0.00625::double * ({V} % 400) + 2.82917 - 0.03631::double * ({V} % 100)')}") + " + 0.5)"))
+query("projection_pursuit")(lambda s, d: s.createDataFrame([(*map(float, c), w) for c, w in models.projection_pursuit(cells.replace_value(g1g(s, d), M, 0), 100.0, 3)], "row double, col double, sx double, sy double, amplitude double"))
+query("gmm_start")(lambda s, d: s.createDataFrame(models.gmm_start(g1g(s, d), 4), "row double, col double"))
+grid_query("gmm_render", lambda g: models.gmm_render(g, [(20, 30, 40.0, 5.0, 60.0), (35, 10, 30.0, 0.0, 20.0)], 100.0))
+query("kmeans")(lambda s, d: s.createDataFrame(sorted(map(tuple, models.kmeans(read(s, d, "lineitem"), ["l_quantity", "l_discount"])[0])), "l_quantity double, l_discount double"))
+query("kendall", """with v as (select o_custkey % 97 x, o_orderkey % 89 y from orders where o_orderkey is not null), c as (select x, y, count(*) n from v group by 1, 2),
+    s as (select sum(a.n * b.n * sign(a.x - b.x) * sign(a.y - b.y)) / 2.0::double s from c a, c b),
+    t as (select sum(n * (n - 1) / 2.0::double) t from (select count(*) n from v group by x)), u as (select sum(n * (n - 1) / 2.0::double) u from (select count(*) n from v group by y)), w as (select count(*) * (count(*) - 1) / 2.0::double w from v)
+    select round(s / sqrt((w - t) * (w - u)), 6) tau from s, t, u, w""")(lambda s, d: _rounded(models.kendall(read(s, d, "orders").selectExpr("o_custkey % 97 x", "o_orderkey % 89 y"), "x", "y")))
+query("summary", "select min(l_quantity)::double \"min\", quantile_cont(l_quantity::double, 0.25) q1, quantile_cont(l_quantity::double, 0.5) median, round(avg(l_quantity), 6) mean, quantile_cont(l_quantity::double, 0.75) q3, max(l_quantity)::double \"max\" from lineitem")(lambda s, d: _rounded(models.summary(read(s, d, "lineitem").select(F.col("l_quantity").cast("double").alias("x")), "x")))
+
+# objects, motion, compositions
+grid_query("peak_objects", lambda g: objects.peak_objects(g, _cut(g), 25, _cut(g) + 400, 6, 4))
+grid_query("kmeans_levels", lambda g: objects.kmeans_levels(g, _cut(g), _cut(g) + 200, 4, 3))
+query("pyramid")(lambda s, d: tracking.pyramid(g2(s, d, 3), g2(s, d, 4), 4))
+query("object_track")(lambda s, d: tracking.track(g2(s, d, 3), g2(s, d, 4), 0, 1, 3))
+query("hybrid_track")(lambda s, d: tracking.hybrid(g2(s, d, 3), g2(s, d, 4), stats.prune(segment.hysteresis(g2(s, d, 4), 0, 1), 3), 2, 2))
+query("prefix_lookup", """with a as (select distinct substring(p_name, 1, 12) "name" from part), t as (select "name", min(p_partkey) code from (select substring(p_name, 1, 12) "name", p_partkey from part where p_partkey % 3 = 0) group by 1)
+    select a."name", coalesce(t.code, (select arg_min(x.code, x."name") from t x where starts_with(x."name", substring(a."name", 1, length(a."name") // 2)))) code from a left join t using ("name")""")(lambda s, d: compositions.prefix_lookup(*_names(s, d)))
+
+
+def _names(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    p = read(s, d, "part").select(F.substring("p_name", 1, 12).alias("name"), "p_partkey")
+    return p.select("name").distinct(), p.where("p_partkey % 3 = 0").groupBy("name").agg(F.min("p_partkey").alias("code"))
+
+
+def _raised(g: Grid) -> Grid:
+    return stencil.smooth(cells.replace_value(g, M, 0), stencil.boxcar(5))
+
+
+def _spots(g: Grid) -> Grid:
+    """What a smoothed grid has above its mean, tenfold."""
+    g = _raised(g)
+    mean = int(g.valid.agg(F.avg("value")).first()[0])
+    return g.map_valid(lambda v: F.greatest(v - mean, F.lit(0)) * 10)
+
+
+grid_query("metro", lambda g: compositions.metro(g, 0, 25, 60, 50))
+query("sprawl")(lambda s, d: compositions.sprawl(_spots(g1(s, d)), _spots(g1g(s, d)), 0, 10, 100))
+query("primary_city", sql("g1 g1g", f"""select country, label, round(cval, 6) cval from (select b."value" // 300 country, label, cval from (select {_L} label, avg("row") cx, avg(col) cy, avg({V}) cval from g1g where {_L} > 0 group by 1) r
+    join g1g b on b."row" = floor(cx)::int and b.col = floor(cy)::int where b."value" <> {M}) qualify row_number() over (partition by country order by cval desc, label) = 1"""))(
+    lambda s, d: _rounded(compositions.primary_cities(stats.regions(_labels(g1g(s, d))), g1g(s, d).map(lambda v: F.when(v == M, -1).otherwise(F.floor(v / 300))))))
+query("city_models")(lambda s, d: _rounded(compositions.city_models(g1g(s, d), g1g(s, d).map(lambda v: v % 90), _labels(g1g(s, d)))))
+grid_query("skeleton_lines", lambda g: compositions.skeleton_lines(g, 500))
+grid_query("outlines", lambda g: compositions.outlines(_raised(g), _cut(_raised(g)), _cut(_raised(g)) + 20, 12))
