@@ -89,7 +89,7 @@ def peak_objects(g: Grid, low: int, incr: int, high: int, least: int, delta: int
 
 
 def kmeans_levels(g: Grid, t1: int, t2: int, k: int, rounds: int = 9) -> Grid:
-    """Levels 0..k of valid cells: by 0.8 * |v - mean| / increment + 0.2 * share of unlike neighbours, 0 if no level is below 1.
+    """Levels 0..k of valid cells: by 0.8 * |v - mean| / increment + 0.2 * share of cells around that differ from its own, 0 if no level is below 1.
 
     They begin as round((v - t1) / increment). A round is one aggregation of k means and a join of each cell with its neighbours' levels.
     """
@@ -98,12 +98,13 @@ def kmeans_levels(g: Grid, t1: int, t2: int, k: int, rounds: int = 9) -> Grid:
     cur = g.df.select("row", "col", "value", F.when(F.col("value") == g.meta.missing, 0).otherwise(start).alias("level"))
     for _ in range(rounds):
         means = {r["level"]: r["m"] for r in cur.where("level > 0").groupBy("level").agg(F.avg("value").alias("m")).collect()}
-        step = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in RING)))
+        step = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in [(0, 0), *RING])))
         near = cur.select("level", step.alias("o"), "row", "col").select((F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"), "level")
-        like = near.groupBy("row", "col").agg(*(F.count(F.when(F.col("level") == x, 1)).alias(f"n{x}") for x in range(1, k + 1)))
-        d = [F.struct((0.8 * F.abs(F.col("value") - F.lit(float(means[x]))) / F.lit(incr) + 0.2 * (1 - F.coalesce(f"n{x}", F.lit(0)) / 8)).alias("d"), F.lit(x).alias("x")) for x in sorted(means)]
+        around = near.groupBy("row", "col").agg(F.array(*(F.count(F.when(F.col("level") == x, 1)) for x in range(k + 1))).alias("like"), F.count("*").alias("all"))
+        unlike = 1 - F.get("like", F.col("level")) / F.col("all")
+        d = [F.struct((0.8 * F.abs(F.col("value") - F.lit(float(means[x]))) / F.lit(incr) + 0.2 * unlike).alias("d"), F.lit(x).alias("x")) for x in sorted(means)]
         best = F.array_min(F.array(F.struct(F.lit(1.0).alias("d"), F.lit(0).alias("x")), *d))["x"]
-        new = keep(cur.join(like, ["row", "col"], "left").select("row", "col", "value", F.when(F.col("value") == g.meta.missing, 0).otherwise(best).alias("level"), F.col("level").alias("was")), "levels")
+        new = keep(cur.join(around, ["row", "col"]).select("row", "col", "value", F.when(F.col("value") == g.meta.missing, 0).otherwise(best).alias("level"), F.col("level").alias("was")), "levels")
         changed = new.where("level <> was").limit(1).count()
         cur = new.drop("was")
         if not changed:

@@ -17,13 +17,13 @@ def otsu_of(g: Grid, low: int, incr: int, nbins: int) -> int:
 def prefix_lookup(names: DataFrame, table: DataFrame) -> DataFrame:
     """names (name) with code of table (name, code): by the whole name, else by the first name in order that begins with half of it, else null.
 
-    The half names meet the table by equality of prefixes of the same length, of which there are as many as names have letters.
+    Each start of a name in the table is a row, and keeps the first name that has it; half names meet these by equality.
     """
     exact = names.join(table, "name", "left")
     half = exact.where("code is null").select("name", F.expr("substring(name, 1, cast(length(name) / 2 as int))").alias("half")).distinct()
-    sizes = half.select(F.length("half").alias("k")).distinct()
-    known = table.select(F.col("name").alias("other"), "code").join(F.broadcast(sizes.where("k < 1000")), F.length("other") >= F.col("k")).select("other", "code", F.expr("substring(other, 1, k)").alias("half"))
-    found = half.join(known, "half").groupBy("name").agg(F.min_by("code", "other").alias("near"))
+    starts = F.explode(F.transform(F.sequence(F.lit(0), F.length("name")), lambda k: F.substring(F.col("name"), F.lit(1), k)))
+    first = table.select("name", "code", starts.alias("half")).groupBy("half").agg(F.min_by("code", "name").alias("near"))
+    found = half.join(first, "half").select("name", "near")
     return exact.join(found, "name", "left").select("name", F.coalesce("code", "near").alias("code"))
 
 
