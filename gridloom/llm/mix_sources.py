@@ -3,10 +3,15 @@
 A classifier fitted on the labelled table gives each document a posterior over domains. Projected gradient descent then finds
 nonnegative rates r, near 1, whose expected domain tokens sum(r * tokens * posterior) match the targets:
 
-    minimise 1/2 * sum over domains ((T(r) - target) / total)**2 + ridge / 2 * weighted mean of (r - 1)**2,  r >= 0
+    minimise 1/2 * sum over domains weight / share * ((T(r) - target) / total)**2 + ridge / 2 * weighted mean of (r - 1)**2,  r >= 0
 
-A document's rate follows from its posterior and the sequence of residuals alone, so an iteration is one pass over (tokens,
-posterior) that sums as many numbers as there are domains; nothing else travels.
+A residual counts against its domain's share of the tokens as they are, so the ridge is as small for a rare domain as for a common
+one. It would still hold the rate of a document of a domain with target 0 at ridge / (1 + ridge): at the end, rates up to ridge
+are 0. Domains with a target above 0 weigh more, so that the ridge moves them little. Steps have momentum, which starts anew when it
+points uphill, and end when the projected gradient is below TOLERANCE.
+
+A document's rate follows from its posterior and the sequence of residuals and momenta alone, so an iteration is one pass over (tokens,
+posterior) that sums two numbers more than there are domains; nothing else travels.
 """
 
 from __future__ import annotations
@@ -28,9 +33,12 @@ BITS = 16
 #: The classifier is fitted on at most so many labelled rows, drawn by hash of text, none longer than SAMPLE_BYTES.
 SAMPLE_ROWS = 6000
 SAMPLE_BYTES = 1 << 15
-ROUNDS = 60
-RIDGE = 0.01
-STEP = 0.8
+#: Residuals of domains with a target above 0 count so many times.
+WEIGHT = 10
+RIDGE = 0.05
+#: Mean size of the projected gradient at which the descent ends, and steps after which it gives up.
+TOLERANCE = 5e-5
+ROUNDS = 1000
 
 
 def features(data: np.ndarray, offsets: np.ndarray):
@@ -104,41 +112,52 @@ def posteriors(docs: DataFrame, model: Classifier, names: tuple[str, ...] = DOMA
     return docs.mapInArrow(run, schema)
 
 
-def _rates(p: np.ndarray, residuals: np.ndarray, step: float, ridge: float) -> np.ndarray:
-    r = np.ones(len(p))
-    for res in residuals:
-        r = np.maximum(0.0, r - step * (p @ res + ridge * (r - 1)))
-    return r
+def _descend(p: np.ndarray, steps: np.ndarray, ridge: float):
+    """Rates after the steps (rows: gradient by domain, momentum), the point of the next step, and the last step's start and former rates."""
+    r = at = start = former = np.ones(len(p))
+    for *grad, momentum in steps:
+        start, former = at, r
+        r = np.maximum(0.0, at - (p @ np.array(grad) + ridge * (at - 1)) / (WEIGHT + ridge))
+        at = r + momentum * (r - former)
+    return r, at, start, former
 
 
-def fit_rates(scored: DataFrame, targets: dict[str, float] = TARGETS, rounds: int = ROUNDS, step: float = STEP, ridge: float = RIDGE) -> np.ndarray:
-    """The sequence of residuals, from which rates() follow. scored: n_tokens, posterior."""
-    want, residuals = np.array([targets[d] for d in DOMAINS]), np.zeros((0, len(DOMAINS)))
+def fit_rates(scored: DataFrame, targets: dict[str, float] = TARGETS, ridge: float = RIDGE, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> np.ndarray:
+    """The sequence of steps, from which rates() follow. scored: n_tokens, posterior."""
+    want, steps, age = np.array([targets[d] for d in DOMAINS]), np.zeros((0, len(DOMAINS) + 1)), 1.0
     total = float(scored.agg(F.sum("n_tokens")).first()[0] or 0)
+    names = [*DOMAINS, "__uphill", "__moved"]
     for _ in range(rounds if total else 0):
 
-        def sums(batches, residuals=residuals):
-            out = np.zeros(len(DOMAINS))
+        def sums(batches, steps=steps):
+            out = np.zeros(len(names))
             for batch in batches:
-                p = np.array(batch.column(1).to_pylist()).reshape(-1, len(DOMAINS))
-                out += (_rates(p, residuals, step, ridge) * batch.column(0).to_numpy()) @ p
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], list(DOMAINS))
-
-        row = scored.select("n_tokens", "posterior").mapInArrow(sums, ", ".join(f"{d} double" for d in DOMAINS)).agg(*(F.sum(d) for d in DOMAINS)).first()
-        res = np.array(row) / total - want
-        if len(residuals) and np.abs(res - residuals[-1]).max() < 1e-5:
-            break
-        residuals = np.vstack((residuals, res))
-    return residuals
-
-
-def rates(scored: DataFrame, residuals: np.ndarray, step: float = STEP, ridge: float = RIDGE) -> DataFrame:
+                p, n = np.array(batch.column(1).to_pylist()).reshape(-1, len(DOMAINS)), batch.column(0).to_numpy()
+                r, at, start, former = _descend(p, steps, ridge)
+                out += [*((at * n) @ p), n @ ((start - r) * (r - former)), n @ np.abs(r - start)]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names)
+
+        row = scored.select("n_tokens", "posterior").mapInArrow(sums, ", ".join(f"{d} double" for d in names)).agg(*(F.sum(d) for d in names)).first()
+        *now, uphill, moved = np.array(row) / total
+        if not len(steps):
+            scale = np.where(want > 0, WEIGHT, 1) / np.maximum(now, 1e-12)
+        elif moved * (WEIGHT + ridge) < tolerance:
+            return steps
+        before, age = (1.0 if uphill > 0 else age), (1 + np.sqrt(1 + 4 * (1.0 if uphill > 0 else age) ** 2)) / 2
+        steps = np.vstack((steps, [*((np.array(now) - want) * scale), (before - 1) / age]))
+    if total:
+        raise RuntimeError(f"rates have not settled in {rounds} rounds")
+    return steps
+
+
+def rates(scored: DataFrame, steps: np.ndarray, ridge: float = RIDGE) -> DataFrame:
     schema = T.StructType([*scored.schema.fields, T.StructField("rate", T.DoubleType())])
 
     def run(batches):
         for batch in batches:
             p = np.array(batch.column(batch.schema.get_field_index("posterior")).to_pylist()).reshape(-1, len(DOMAINS))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_rates(p, residuals, step, ridge))], [f.name for f in schema.fields])
+            r = _descend(p, steps, ridge)[0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(r > ridge, r, 0.0))], [f.name for f in schema.fields])
 
     return scored.mapInArrow(run, schema)
 

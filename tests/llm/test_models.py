@@ -159,3 +159,23 @@ def test_mixing_meets_targets(spark):
     assert np.mean([x.rate for x in got if kind.get(x.doc_id) == "toxic"]) < 0.3 < np.mean([x.rate for x in got if kind.get(x.doc_id) == "good"])
     assert mix_sources.mix(docs.limit(0), docs.limit(0), lab).count() == 0
     assert mix_sources.mix(docs, docs, lab.limit(0)).count() == 503
+
+
+@pytest.mark.parametrize("share,error", [(0.01, 0.0), (0.01, 0.005), (0.01, 0.02), (0.05, 0.0), (0.05, 0.005), (0.05, 0.02)])
+def test_mixing_drops_a_rare_domain_with_target_zero(spark, share, error):
+    r = np.random.default_rng(7)
+    kind = r.choice(3, 2000, p=[0.6 - share, 0.4, share])
+    p = np.eye(3)[kind]
+    if error:
+        e = np.minimum(0.3, r.exponential(error, len(p)))[:, None]
+        other = 1 - p
+        other *= r.random(p.shape)
+        p = (1 - e) * p + e * other / other.sum(1, keepdims=True)
+    rows = list(zip(r.integers(20, 400, len(p)).tolist(), np.round(p, 3).tolist(), kind.tolist(), strict=True))
+    scored = spark.createDataFrame(rows, "n_tokens long, posterior array<double>, kind int").coalesce(1).cache()
+    got = mix_sources.rates(scored, mix_sources.fit_rates(scored)).collect()
+    assert all(x.rate == 0 for x in got if x.kind == 2)
+    assert sum(x.rate == 0 for x in got if x.kind != 2) <= 0.02 * len(got)
+    total = sum(x.n_tokens for x in got)
+    for k, d in enumerate(mix_sources.DOMAINS):
+        assert abs(sum(x.rate * x.n_tokens * x.posterior[k] for x in got) / total - mix_sources.TARGETS[d]) < (0.005 if mix_sources.TARGETS[d] or not error else error)
