@@ -110,14 +110,13 @@ class Model:
     def learn(self, g: np.ndarray, c: np.ndarray) -> int:
         """One online step over the distinct grams of a slice and how often each occurs; returns the bits seen.
 
-        Weights step on chunks of the grams, on every chunk of a short slice and every eighth of a long one; all grams are counted.
+        Weights step on chunks of the grams, all of them at every size.
         """
-        flat, every = self.counts.reshape(-1), 8 if len(g) > 8 * STEP else 1
+        flat = self.counts.reshape(-1)
         for a in range(0, len(g), STEP):
             bits, nodes, slots = _slots(g[a : a + STEP])
             own = c[a : a + STEP]
-            if a // STEP % every == 0:
-                self._step(bits, nodes, slots, own.astype(np.float32))
+            self._step(bits, nodes, slots, own.astype(np.float32))
             whole = np.broadcast_to(own.astype(np.uint32), bits.shape).ravel()
             for k in range(K):
                 np.add.at(flat, (2 * slots[k] + bits).ravel(), whole)

@@ -179,3 +179,11 @@ def test_mixing_drops_a_rare_domain_with_target_zero(spark, share, error):
     total = sum(x.n_tokens for x in got)
     for k, d in enumerate(mix_sources.DOMAINS):
         assert abs(sum(x.rate * x.n_tokens * x.posterior[k] for x in got) / total - mix_sources.TARGETS[d]) < (0.005 if mix_sources.TARGETS[d] or not error else error)
+
+
+def test_lm_weights_learn_from_all_grams(monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm_score.Model, "_step", lambda self, bits, nodes, slots, w: seen.append(w.sum()))
+    g = np.arange(10 * lm_score.STEP, dtype=np.uint64)
+    lm_score.Model().learn(g, np.ones(len(g), np.int64))
+    assert sum(seen) == len(g)
