@@ -1,6 +1,6 @@
 """Line dedup: an exact set-similarity join of lines, in DataFrame functions alone.
 
-A line is its set of words (parted by ASCII white space, lower-cased), and counts if it has LEAST of them. It goes if an earlier line,
+A line is its set of words (parted by ASCII white space, lower-cased), and counts if it has LEAST of them, any at all. It goes if an earlier line,
 by (doc_id, number), has a set with a Jaccard similarity of 0.8 or more; whether that line itself stays doesn't matter.
 
 Lines of one text (after lower-casing) count once, under a 64-bit signature. A word is a long: its rarity, then its hash, so sorting
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from gridloom.llm._work import Workspace
 
 SIMILAR = 80
-LEAST = 5
+LEAST = 1
 #: Count sketch: 2 ** SKETCH_BITS bytes, each twice the binary logarithm of a count.
 SKETCH_BITS = 20
 HASH_BITS = 56
@@ -71,7 +71,7 @@ def need(n: Column) -> Column:
 def prefixes(lines: DataFrame, sketch: bytes) -> DataFrame:
     """Of each line that may count: place, size, parity bits and first words by rarity.
 
-    No filter on the size here: it would be pushed below the sets, which would then be made twice.
+    No filter on the size here: it would be pushed below the sets, which would then be made twice. Blank lines have no words.
     """
     levels = F.lit(sketch)
 
@@ -80,7 +80,7 @@ def prefixes(lines: DataFrame, sketch: bytes) -> DataFrame:
         level = F.coalesce(F.ascii(F.substring(levels, _bucket(h) + 1, 1).cast("string")), F.lit(0)).cast("long")
         return F.shiftleft(level, HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
-    sets = lines.where(F.length("line") >= 2 * LEAST - 1).withColumn("toks", F.sort_array(F.array_distinct(F.transform(words(F.col("line")), token))))
+    sets = lines.where(F.btrim("line", F.lit(" \t\n\x0b\f\r")) != "").withColumn("toks", F.sort_array(F.array_distinct(F.transform(words(F.col("line")), token))))
     sets = sets.withColumn("n", F.size("toks"))
     bits = F.aggregate("toks", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     return sets.select("doc_id", "row", "no", "sig", "n", bits.alias("bits"), F.slice("toks", 1, F.col("n") - need(F.col("n")) + 1).alias("toks"))
@@ -166,7 +166,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the lines of text that match an earlier line taken out; other columns and all rows stay.
 
-    A line of fewer than LEAST distinct words stays always, as does every line of a row whose doc_id is null; a null text stays null.
+    A line without words stays always, as does every line of a row whose doc_id is null; a null text stays null.
     A text may become empty. Of rows that repeat a doc_id, lines that match each other at the same number stay.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")

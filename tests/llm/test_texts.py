@@ -120,3 +120,9 @@ def test_lines(spark, monkeypatch):
         before = sorted(((d, want.get((d, t), t)) for d, t in rows), key=str)
         assert sorted(((x.doc_id, x.text) for x in got.collect()), key=str) == before
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_short_lines_take_part(spark):
+    rows = [(1, "Yes.\n\none two three four\n漢字仮名\na b"), (2, "yes.\n \nfour three two one\n漢字仮名\na c\none two three four five"), (3, "\nb a\n\nnew")]
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: " \na c", 3: "\n\nnew"}
