@@ -1,7 +1,7 @@
-"""Removal of every byte that lies in a 200-byte string which occurs twice, by blockwise suffix sorting.
+"""Removal of every byte that lies in a 200-byte string which occurs twice, by sorting hashes of suffixes' first bytes.
 
-Suffixes matter here by their first W bytes only. They are sorted one bucket at a time, and a difference cover decides beforehand
-which suffixes can tie at all:
+Suffixes matter here by their first W bytes only. Hashes of these are sorted one bucket at a time (so there is no order of suffixes),
+and a difference cover decides beforehand which suffixes can tie at all:
 
 1. D is a difference cover modulo V: any two positions i, j have a d < V with both i + d and j + d in the cover. The
    cover sample of all texts is ranked by its next W - V + 1 bytes, bucket by bucket. If the W bytes at i and j are equal, so are those
@@ -179,9 +179,11 @@ def find(docs: DataFrame, w: int = W, passes: int = PASSES) -> tuple[Workspace,
     def candidates(batches, n=n):
         """The pieces of text around starts that can tie; start and whole tell where a piece stands, own how many starts it has."""
         for r in _rows(batches):
+            if not r["answers"] and all(a + b >= c for a, b, c in zip(r["start"], r["own"], r["whole"], strict=True)):
+                continue
             at, keys = _sample(r, v, cover, m)
             every, code = np.unique(np.concatenate(keys), return_inverse=True)
-            tied = _tied_keys(every, r["answers"], n)[code]
+            tied = _tied_keys(every, r["answers"] or [], n)[code]
             pieces = []
             for k, (p, own) in enumerate(zip(at, _split(tied, keys), strict=True)):
                 data, last = r["data"][k], min(r["own"][k], len(r["data"][k]) - w + 1)
@@ -199,7 +201,7 @@ def find(docs: DataFrame, w: int = W, passes: int = PASSES) -> tuple[Workspace,
             if pieces:
                 yield pa.RecordBatch.from_arrays([pa.array([r["block"]]), *(pa.array([[x[c] for x in pieces]], pa.list_(pa.int64())) for c in (0, 1, 2)), pa.array([[x[3] for x in pieces]], pa.list_(pa.binary()))], ["block", "segment", "start", "own", "data"])
 
-    left = ws.table("left", blocks.join(answers, "block").mapInArrow(candidates, "block long, segment array<long>, start array<long>, own array<long>, data array<binary>"))
+    left = ws.table("left", blocks.join(answers, "block", "left").mapInArrow(candidates, "block long, segment array<long>, start array<long>, own array<long>, data array<binary>"))
     ws.drop("ranks")
     starts = int(left.agg(F.sum(F.expr("aggregate(own, 0L, (a, x) -> a + x)"))).first()[0] or 0)
     n2 = n_buckets(spark, 8 * starts / passes)

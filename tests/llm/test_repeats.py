@@ -40,3 +40,17 @@ def test_cover_has_every_difference():
     for w in (12, 30, 200, 400):
         v, d = op.cover_for(w)
         assert {(a - b) % v for a in d for b in d} == set(range(v))
+
+
+def test_passage_over_the_cut_of_an_otherwise_unrepeated_text(spark, monkeypatch):
+    monkeypatch.setattr(op, "SEGMENT", 2000)
+    v, cover = op.cover_for(op.W)
+    r = random.Random(1)
+    cut = next(k for k in range(4000, 40000, 4000) if not {(k - d) % v for d in range(1, 8)} & set(cover))  # blocks end there
+    text = "".join(r.choices("abcdefghijklmnop", k=cut + 9000))
+    passage = text[cut - 7 : cut + 193]
+    data = [(1, text), (2, "".join(r.choices("qrstuvw", k=500)) + passage + "".join(r.choices("qrstuvw", k=500)))]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(2, "doc_id")
+    got = op.remove_repeats(df).selectExpr("doc_id", "n_bytes", "n_bytes - octet_length(kept)", "cast(size(runs) / 2 as int)", "sha2(kept, 256)")
+    want = brute.repeats(data)
+    assert [x[2] for x in want] == [200, 200] and sorted(map(tuple, got.collect())) == want
