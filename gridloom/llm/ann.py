@@ -171,15 +171,19 @@ def search(vectors: DataFrame, is_query, k: int = 20, block_rows: int = BLOCK_RO
         x = _matrix(v)
         cand, own = np.flatnonzero(~q), np.flatnonzero(q)
         cand = cand[np.argsort(ids[cand], kind="stable")]
+        # copies of one vector have one score, which is added up once
+        first, copy = np.unique(x[cand], axis=0, return_index=True, return_inverse=True)[1:] if len(cand) else (cand, cand)
+        longest = np.sqrt((x[cand] ** 2).sum(1).max()) if len(cand) else 0.0
         out = []
         for a in range(0, len(own), 256):
             part = own[a : a + 256]
             for i, s in zip(part.tolist(), x[part] @ x[cand].T, strict=True) if len(cand) else ():
                 s[ids[cand] == ids[i]] = -np.inf
-                # the product of a matrix may differ from a plain sum in the last bits, so a few more are kept
-                top = np.argpartition(-s, k + 9)[: k + 10] if len(s) > k + 10 else np.arange(len(s))
-                top = top[s[top] > -np.inf]
-                exact = np.array([float(np.add.accumulate(x[i] * x[cand[j]])[-1]) for j in top])
+                # the product of a matrix may differ from a plain sum in the last bits, so all that may tie with the k-th are kept
+                slack = 4 * x.shape[1] * np.finfo(float).eps * np.sqrt((x[i] ** 2).sum()) * longest
+                top = np.flatnonzero((s >= np.partition(s, -k)[-k] - slack if len(s) > k else True) & (s > -np.inf))
+                own_copy, at = np.unique(copy[top], return_inverse=True)
+                exact = np.add.accumulate(x[i] * x[cand[first[own_copy]]], axis=1)[:, -1][at]
                 best = np.lexsort((ids[cand[top]], -exact))[:k]
                 out += [(ids[i], ids[cand[top[j]]], exact[j]) for j in best.tolist()]
         return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.float64())})

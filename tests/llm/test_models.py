@@ -187,3 +187,16 @@ def test_lm_weights_learn_from_all_grams(monkeypatch):
     g = np.arange(10 * lm_score.STEP, dtype=np.uint64)
     lm_score.Model().learn(g, np.ones(len(g), np.int64))
     assert sum(seen) == len(g)
+
+
+def test_nearest_breaks_many_ties_by_id(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in np.float32(r.normal(size=8))]) for i in range(100)]
+    same = [float(v) for v in np.float32(10 * np.array(rows[0][1]))]
+    rows += [(i, same) for i in range(100, 400)]
+    r.shuffle(rows)
+    df = spark.createDataFrame([(int(i), list(map(float, v))) for i, v in rows], "vec_id long, embedding array<float>")
+    router = ann.fit(ann.usable(df).where("vec_id < 3"))  # one part
+    got = ann.search(df, F.col("vec_id") % 20 == 0, router=router).collect()
+    want = exact([(int(i), list(map(float, v))) for i, v in rows])
+    assert {q: [x.vec_id for x in sorted(got, key=lambda x: x["rank"]) if x.query_id == q] for q in want} == {q: [i for _, i in near] for q, near in want.items()}
