@@ -139,6 +139,15 @@ def redactions(text: str) -> list[tuple[int, int, str]]:
 _MAIL, _PHONE = regex.compile(MAIL), regex.compile(PHONE)
 
 
+def row(counter: Counter, doc: int | None, text: str, changes: list[tuple[int, int, str]]) -> tuple:
+    """A row of count(), from the text's tree."""
+    tree = Tree(counter, text)
+    before, n = tree.total, sum(map(len, tree.leaves))
+    for change in changes:
+        tree.edit(*change)
+    return doc, before, n, len(changes), tree.total, tree.encoded
+
+
 def count(docs: DataFrame, edits=redactions, path: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, n_pretokens, n_edits, n_tokens_edited and n_reencoded (pre-tokens tokenised again) of every row.
 
@@ -151,17 +160,7 @@ def count(docs: DataFrame, edits=redactions, path: str = VOCABULARY) -> DataFram
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
-                changes = edits(text)
-                if changes:
-                    tree = Tree(counter, text)
-                    before, n = tree.total, sum(map(len, tree.leaves))
-                    for change in changes:
-                        tree.edit(*change)
-                    rows.append((doc, before, n, len(changes), tree.total, tree.encoded))
-                else:
-                    words = counter.pattern.findall(text)
-                    total = sum(map(counter.tokens, words))
-                    rows.append((doc, total, len(words), 0, total, 0))
+                rows.append(row(counter, doc, text, edits(text)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], ["doc_id", "n_tokens", "n_pretokens", "n_edits", "n_tokens_edited", "n_reencoded"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_tokens long, n_pretokens long, n_edits long, n_tokens_edited long, n_reencoded long")

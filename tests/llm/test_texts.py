@@ -126,3 +126,18 @@ def test_short_lines_take_part(spark):
     rows = [(1, "Yes.\n\none two three four\n漢字仮名\na b"), (2, "yes.\n \nfour three two one\n漢字仮名\na c\none two three four five"), (3, "\nb a\n\nnew")]
     got = {x.doc_id: x.text for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: rows[0][1], 2: " \na c", 3: "\n\nnew"}
+
+
+def test_every_text_is_counted_by_its_tree(monkeypatch):
+    built = []
+
+    class Tree(token_counts.Tree):
+        def __init__(self, counter, text):
+            built.append(text)
+            super().__init__(counter, text)
+
+    monkeypatch.setattr(token_counts, "Tree", Tree)
+    text = "no personal data here"
+    n = len(COUNTER.encoding.encode_ordinary(text))
+    assert token_counts.row(COUNTER, 4, text, []) == (4, n, len(COUNTER.pattern.findall(text)), 0, n, 0)
+    assert built == [text] and token_counts.row(COUNTER, 5, "", []) == (5, 0, 0, 0, 0, 0)
