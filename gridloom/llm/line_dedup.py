@@ -1,14 +1,15 @@
 """Line dedup: an exact set-similarity join of lines, in DataFrame functions alone.
 
-A line is its set of words (parted by ASCII white space, lower-cased), and counts if it has LEAST of them, any at all. It goes if an earlier line,
+A line is its set of words (parted by ASCII white space, lower-cased), and counts if it has any. It goes if an earlier line,
 by (doc_id, number), has a set with a Jaccard similarity of 0.8 or more; whether that line itself stays doesn't matter.
 
-Lines of one text (after lower-casing) count once, under a 64-bit signature. A word is a long: its rarity, then its hash, so sorting
-a line's words orders them by rarity (a count sketch of fixed size, a megabyte, that each task gets with its code). Two lines as similar as that
-share one of their n - ceil(0.8 n) + 1 first words. Each such word has a list of lines:
+Lines of equal words in equal order count once, under 128 bits of hash, for which their first line stands. A word is a long: its rarity,
+then its hash, so sorting a line's words orders them by rarity (a count sketch of fixed size, 128 kB, that each task gets with its
+code). Two lines as similar as that share one of their n - ceil(0.8 n) + 1 first words. Each such word has a list of lines, in order of size:
 
-1. Lines without another of a like size in the list leave it. Each other line is held against the LAGS before it. That settles all
-   but a few members of a family of near copies, with a fixed number of candidates per line and list.
+1. A line whose neighbours are both too far off in size has no match in its list and leaves it. Lines that have more than a few of their
+   size before them are held against some of these: the first, and those LAGS places before. That settles all but a few
+   members of a large family of near copies, with a fixed number of candidates per line and list.
 2. Lines that have no earlier match so far are held against all of their lists, under the length filter (in long lists, size classes
    are part of the join key), the positional filter and a bound on the difference by parity bits. Filters are conditions of the join: pairs that
    fail them are never rows.
@@ -26,64 +27,71 @@ from pyspark.sql import functions as F
 from gridloom.llm._work import Workspace
 
 SIMILAR = 80
-LEAST = 1
-#: Count sketch: 2 ** SKETCH_BITS bytes, each twice the binary logarithm of a count.
-SKETCH_BITS = 20
+#: Count sketch: 2 ** SKETCH_BITS levels, each twice the binary logarithm of a count.
+SKETCH_BITS = 17
 HASH_BITS = 56
-#: Lists of words that occur more than 2 ** SALT_AT times are split, into at most MOST_SALTS parts in step 2.
+#: Lists of words that occur more than 2 ** SALT_AT times are split.
 SALT_AT = 17
-MOST_SALTS = 64
-SPACES = r"[ \t-\r]+"
-#: Lines of a list that step 1 holds each line against, those just before it.
-LAGS = (1, 2, 3, 5, 8, 13)
+#: Step 1 is for lines with at least so many lines of their own size before them in a list ...
+DEEP = 4
+#: ... and holds a line against the first of these and those so many places before it.
+LAGS = (1, 2, 4)
 #: Lists of words that occur more than 2 ** CLASS_AT times are searched by size class.
 CLASS_AT = 10
+LINE = ("doc_id", "row", "no")
 
 
-def words(text: Column) -> Column:
-    return F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\f\r")), SPACES)
+def plain(text: Column) -> Column:
+    """Lower-cased text whose lines have words parted by single spaces."""
+    odd = text.contains("  ")
+    for space in "\t\x0b\f\r":
+        odd = odd | text.contains(space)
+    return F.lower(F.when(odd, F.regexp_replace(text, "[ \t\x0b\f\r]+", " ")).otherwise(text))
 
 
-def _bucket(h: Column) -> Column:
-    return h.bitwiseAND(F.lit((1 << SKETCH_BITS) - 1)).cast("int")
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, no, line) of all lines with words; row tells rows of one doc_id apart by their text."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split(plain(F.col("text")), "\n", -1)).alias("no", "line"))
+    return rows.withColumn("line", F.btrim("line", F.lit(" "))).where("line <> ''")
 
 
-def rarity(docs: DataFrame) -> bytes:
-    """A byte for each bucket of word hashes: twice the binary logarithm of its number of words. Its size doesn't depend on the data."""
-    half = 1 << SKETCH_BITS // 2
-    counts = docs.select(F.explode(words(F.col("text"))).alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("k"))
-    all_ = counts.unionByName(docs.sparkSession.range(1 << SKETCH_BITS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("k")))
-    level = all_.groupBy("b").agg(F.floor(2 * F.log2(F.sum("k") + 1)).cast("byte").alias("q"))
-    part = level.groupBy(F.floor(F.col("b") / half).cast("int").alias("hi")).agg(F.sort_array(F.collect_list(F.struct("b", "q"))).alias("x"))
-    return bytes(part.agg(F.flatten(F.sort_array(F.collect_list(F.struct("hi", F.col("x.q").alias("q"))))["q"]).alias("q")).first()["q"])
+def words(line: Column) -> Column:
+    return F.split(line, " ")
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, no, sig, line) of all lines; row tells rows of one doc_id apart by their text."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
-    return rows.withColumn("sig", F.xxhash64(F.lower("line")))
+def _bucket(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(F.lit((1 << SKETCH_BITS) - 1))
+
+
+def rarity(lines: DataFrame) -> list[int]:
+    """A level for each bucket of words: twice the binary logarithm of how often they occur. Its size doesn't depend on the data."""
+    counts = lines.select(F.explode(words(F.col("line"))).alias("w")).groupBy(_bucket(F.col("w")).alias("b")).agg(F.count("*").alias("k"))
+    levels = [0] * (1 << SKETCH_BITS)
+    for r in counts.select("b", F.floor(2 * F.log2(F.col("k") + 1)).cast("int").alias("q")).toLocalIterator():
+        levels[r.b] = r.q
+    return levels
+
+
+def signature() -> tuple[Column, Column]:
+    """128 bits that stand for a line."""
+    return F.xxhash64("line").alias("sig"), F.xxhash64(F.lit(7), "line").alias("sig2")
 
 
 def need(n: Column) -> Column:
     return F.floor((n * SIMILAR + 99) / 100).cast("int")
 
 
-def prefixes(lines: DataFrame, sketch: bytes) -> DataFrame:
-    """Of each line that may count: place, size, parity bits and first words by rarity.
-
-    No filter on the size here: it would be pushed below the sets, which would then be made twice. Blank lines have no words.
-    """
-    levels = F.lit(sketch)
+def prefixes(lines: DataFrame, levels: list[int]) -> DataFrame:
+    """Of each line: place, hashes, size, parity bits and first words by rarity."""
+    high = F.split(F.lit(",".join(str(q << HASH_BITS) for q in levels)), ",").cast("array<bigint>")
 
     def token(w: Column) -> Column:
-        h = F.xxhash64(w)
-        level = F.coalesce(F.ascii(F.substring(levels, _bucket(h) + 1, 1).cast("string")), F.lit(0)).cast("long")
-        return F.shiftleft(level, HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+        return F.get(high, _bucket(w)).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
-    sets = lines.where(F.btrim("line", F.lit(" \t\n\x0b\f\r")) != "").withColumn("toks", F.sort_array(F.array_distinct(F.transform(words(F.col("line")), token))))
+    sets = lines.select(*LINE, *signature(), F.sort_array(F.array_distinct(F.transform(words(F.col("line")), token))).alias("toks"))
     sets = sets.withColumn("n", F.size("toks"))
     bits = F.aggregate("toks", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    return sets.select("doc_id", "row", "no", "sig", "n", bits.alias("bits"), F.slice("toks", 1, F.col("n") - need(F.col("n")) + 1).alias("toks"))
+    return sets.select(*LINE, "sig", "sig2", "n", bits.alias("bits"), F.slice("toks", 1, F.col("n") - need(F.col("n")) + 1).alias("toks"))
 
 
 def _similar(n: Column, at: Column, bits: Column, m: Column, place: Column, other: Column) -> Column:
@@ -101,65 +109,67 @@ def _level() -> Column:
     return F.floor(F.shiftrightunsigned("tok", HASH_BITS) / 2).cast("int")
 
 
-def _salts(most: int | None = None) -> Column:
-    s = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), _level() - SALT_AT))
-    return s if most is None else F.least(s, F.lit(most).cast("long"))
+def _salts() -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), _level() - SALT_AT))
+
 
+def _place(name: str, prefix: str = "") -> Column:
+    return F.struct(*(F.col(f"{prefix}{c}").alias(c) for c in LINE)).alias(name)
 
-def verified(ws: Workspace, name: str, pairs: DataFrame, reps: DataFrame, lines: DataFrame) -> DataFrame:
-    """Signatures of lines that an earlier one of their pairs is similar to, by the words themselves."""
-    at = reps.select("sig", F.struct("doc_id", "no", "n").alias("p"))
-    pairs = pairs.distinct().join(at.select(F.col("sig").alias("a"), F.col("p").alias("pa")), "a").join(at.select(F.col("sig").alias("b"), F.col("p").alias("pb")), "b")
-    later = F.struct("pa.doc_id", "pa.no") > F.struct("pb.doc_id", "pb.no")
-    pairs = pairs.where(F.struct("pa.doc_id", "pa.no") != F.struct("pb.doc_id", "pb.no"))
-    pairs = pairs.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("late"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("early"), (F.col("pa.n") + F.col("pb.n")).alias("sum"))
+
+def verified(ws: Workspace, name: str, pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Places of lines (late) that an earlier one (early) of their pairs is similar to, by the words themselves (hashes of them go first)."""
     pairs = ws.table(f"{name}-pairs", pairs.distinct())
-    asked = pairs.select(F.explode(F.array("late", "early")).alias("sig")).distinct().join(reps.select("sig", "doc_id", "no"), "sig")
-    texts = ws.table(f"{name}-texts", lines.join(asked, ["doc_id", "no", "sig"]).select("sig", "line").dropDuplicates(["sig"]))
-    both = pairs.join(texts.select(F.col("sig").alias("late"), F.col("line").alias("x")), "late").join(texts.select(F.col("sig").alias("early"), F.col("line").alias("y")), "early")
-    same = F.size(F.array_intersect(words(F.col("x")), words(F.col("y"))))
-    hits = ws.table(f"{name}-hits", both.where((100 + SIMILAR) * same >= SIMILAR * F.col("sum")).select(F.col("late").alias("sig")).distinct())
-    ws.drop(f"{name}-pairs", f"{name}-texts")
+    asked = ws.table(f"{name}-asked", pairs.select(F.explode(F.array("late", "early")).alias("p")).select("p.*").distinct())
+    texts = lines.join(asked, list(LINE)).select(_place("p"), "line", F.array_distinct(F.transform(words(F.col("line")), lambda w: F.hash(w))).alias("h"), F.size(F.array_distinct(words(F.col("line")))).alias("n"))
+    texts = ws.table(f"{name}-texts", texts.dropDuplicates(["p"]))
+    both = pairs
+    for side in ("late", "early"):
+        both = both.join(texts.select(F.col("p").alias(side), F.col("h").alias(f"{side}_h"), F.col("n").alias(f"{side}_n")), side)
+    # words whose hashes fall together in one line may hide as many common words
+    most = F.size(F.array_intersect("late_h", "early_h")) + F.col("late_n") - F.size("late_h")
+    both = ws.table(f"{name}-likely", both.where((100 + SIMILAR) * most >= SIMILAR * (F.col("late_n") + F.col("early_n"))).select("late", "early", (F.col("late_n") + F.col("early_n")).alias("sum")))
+    for side in ("late", "early"):
+        both = both.join(texts.select(F.col("p").alias(side), words(F.col("line")).alias(f"{side}_w")), side)
+    hits = ws.table(f"{name}-hits", both.where((100 + SIMILAR) * F.size(F.array_intersect("late_w", "early_w")) >= SIMILAR * F.col("sum")).select("late.*").distinct())
+    ws.drop(f"{name}-pairs", f"{name}-asked", f"{name}-texts", f"{name}-likely")
     return hits
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, row, nos): numbers of the lines to remove from each row of docs (doc_id, text)."""
     ws = Workspace(docs.sparkSession, "lines")
-    lines = lines_of(docs)
-    found = ws.table("found", prefixes(lines, rarity(docs))).where(F.col("n") >= LEAST)
-    rep = F.min_by(F.struct("doc_id", "no", "n", "bits", "toks"), F.struct("doc_id", "no")).alias("r")
-    reps = ws.table("reps", found.groupBy("sig").agg(rep, F.count("*").alias("times")).select("sig", "times", "r.*"))
-    posted = reps.select("sig", "doc_id", "n", "bits", F.posexplode("toks").alias("at", "tok"))
-    # in order of size, a line whose neighbours are both too far off has no match in its list
-    part = Window.partitionBy("tok", "salt")
-    by_size, chain = part.orderBy("n"), part.orderBy("doc_id", "sig")
-    before = posted.withColumn("salts", _salts()).withColumn("salt", F.pmod("sig", "salts"))
-    before = before.withColumn("less", F.lag("n").over(by_size)).withColumn("more", F.lead("n").over(by_size))
-    before = before.where((100 * F.col("less") >= SIMILAR * F.col("n")) | (100 * F.col("n") >= SIMILAR * F.col("more")) | (F.col("salts") > 1)).drop("less", "more")
-    before = before.withColumns({f"p{i}": F.lag(F.struct("sig", "n", "at", "bits"), i).over(chain) for i in LAGS})
-    prev = [F.when(_similar(*(F.col(c) for c in ("n", "at", "bits")), *(F.col(f"p{i}.{c}") for c in ("n", "at", "bits"))), F.col(f"p{i}.sig")) for i in LAGS]
-    posted = ws.table("posted", before.select("tok", "sig", "doc_id", "n", "at", "bits", F.array_compact(F.array(*prev)).alias("prev")))
+    lines = ws.table("lines", lines_of(docs))
+    rep = F.min_by(F.struct(*LINE, "n", "bits", "toks"), F.struct("doc_id", "no", "row")).alias("r")
+    reps = ws.table("reps", prefixes(lines, rarity(lines)).groupBy("sig", "sig2").agg(rep, F.count("*").alias("times")).select("sig", "sig2", "times", "r.*"))
+    ws.drop()
+    by_size = Window.partitionBy("tok", "salt").orderBy("n", "doc_id", "no", "row")
+    posted = reps.select(*LINE, "n", "bits", F.posexplode("toks").alias("at", "tok")).withColumn("salts", _salts()).withColumn("salt", F.pmod(F.xxhash64(*LINE), "salts"))
+    posted = posted.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size), "deep": F.coalesce(F.lag("n", DEEP).over(by_size) == F.col("n"), F.lit(False))})
+    posted = posted.where((100 * F.col("less") >= SIMILAR * F.col("n")) | (100 * F.col("n") >= SIMILAR * F.col("more")) | (F.col("salts") > 1))
+    posted = ws.table("posted", posted.select("tok", "salt", *LINE, "n", "at", "bits", "deep"))
     ws.drop()
-    near = verified(ws, "near", posted.select(F.col("sig").alias("a"), F.explode("prev").alias("b")), reps, lines)
+    own_size = Window.partitionBy("tok", "salt", "n").orderBy("doc_id", "no", "row")
+    one, mine = F.struct(*LINE, "at", "bits"), [F.col(c) for c in ("n", "at", "bits")]
+    deep = posted.where("deep").withColumns({"p0": F.first(one).over(own_size)} | {f"p{i}": F.lag(one, i).over(own_size) for i in LAGS})
+    prev = [F.when((F.struct(f"{p}.doc_id", f"{p}.no") < F.struct("doc_id", "no")) & _similar(*mine, F.col("n"), F.col(f"{p}.at"), F.col(f"{p}.bits")), _place(p, f"{p}.")) for p in ("p0", *(f"p{i}" for i in LAGS))]
+    near = verified(ws, "near", deep.select(_place("late"), F.explode(F.array_compact(F.array(*prev))).alias("early")), lines)
     # sizes of two similar lines lie in the same class or in classes side by side
     by_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / SIMILAR) + 1e-9).cast("int")
-    posted = posted.drop("prev").withColumn("class", F.when(_level() >= CLASS_AT, by_class)).withColumn("salts", _salts(MOST_SALTS))
-    seek = posted.join(near, "sig", "left_anti")
-    seek = seek.withColumn("class", F.explode(F.when(F.col("class").isNull(), F.array(F.lit(0))).otherwise(F.array(*(F.col("class") + i for i in (-1, 0, 1))))))
-    seek = seek.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-    posted = posted.withColumn("class", F.coalesce("class", F.lit(0)))
-    every = posted.withColumn("salt", F.pmod("sig", "salts"))
+    every = posted.drop("deep").withColumn("class", F.when(_level() >= CLASS_AT, by_class).otherwise(0))
+    seek = every.drop("salt").join(near, list(LINE), "left_anti").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), _salts() - 1)))
+    seek = seek.withColumn("class", F.explode(F.when(_level() >= CLASS_AT, F.array(*(F.col("class") + i for i in (-1, 0, 1)))).otherwise(F.array("class"))))
     a, b = seek.alias("a"), every.alias("b")
     same = (F.col("a.tok") == F.col("b.tok")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.salt") == F.col("b.salt"))
-    filters = (F.col("a.sig") != F.col("b.sig")) & (F.col("b.doc_id") <= F.col("a.doc_id")) & _similar(*(F.col(f"{s}.{c}") for s in "ab" for c in ("n", "at", "bits")))
-    far = verified(ws, "far", a.join(b, same & filters).select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b")), reps, lines)
+    earlier = (F.col("b.doc_id") < F.col("a.doc_id")) | ((F.col("b.doc_id") == F.col("a.doc_id")) & (F.col("b.no") < F.col("a.no")))
+    filters = earlier & _similar(*(F.col(f"{s}.{c}") for s in "ab" for c in ("n", "at", "bits")))
+    far = verified(ws, "far", a.join(b, same & filters).select(_place("late", "a."), _place("early", "b.")), lines)
     ws.drop("posted")
     hits = near.union(far).distinct().withColumn("hit", F.lit(True))
-    state = reps.join(hits, "sig", "left").where("hit or times > 1").select("sig", "hit", F.struct("doc_id", "no").alias("first"))
-    gone = found.select("doc_id", "row", "no", "sig").join(state, "sig").where("hit or struct(doc_id, no) > first")
+    state = reps.select("sig", "sig2", "times", *LINE).join(hits, list(LINE), "left").where("hit or times > 1").select("sig", "sig2", "hit", F.struct("doc_id", "no").alias("first"))
+    gone = lines.select(*LINE, *signature()).join(state, ["sig", "sig2"]).where("hit or struct(doc_id, no) > first")
     out = ws.table("gone", gone.groupBy("doc_id", "row").agg(F.collect_set("no").alias("nos")))
-    ws.drop("found", "reps", "near-hits", "far-hits")
+    ws.drop("lines", "reps", "near-hits", "far-hits")
     return out
 
 

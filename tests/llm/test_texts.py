@@ -86,7 +86,7 @@ def plain_lines(rows):
         kept = []
         for no, line in enumerate(text.split("\n")):
             words = set(line.translate(low).split())
-            if len(words) >= line_dedup.LEAST:
+            if words:
                 hit = any(100 * len(words & w) >= 80 * len(words | w) for k, w in seen if k < (d, no))
                 seen.append(((d, no), words))
                 if hit:
