@@ -19,6 +19,7 @@ Candidates of either step are verified on the words themselves. Lists of frequen
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,6 +33,8 @@ SKETCH_BITS = 17
 HASH_BITS = 56
 #: Lists of words that occur more than 2 ** SALT_AT times are split.
 SALT_AT = 17
+#: Lists go in so many passes (a power of 2), by hash of the word, so that only a share of them is shuffled at once.
+PASSES = 4
 #: Step 1 is for lines with at least so many lines of their own size before them in a list ...
 DEEP = 4
 #: ... and holds a line against the first of these and those so many places before it.
@@ -50,8 +53,8 @@ def plain(text: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, no, line) of all lines with words; row tells rows of one doc_id apart by their text."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split(plain(F.col("text")), "\n", -1)).alias("no", "line"))
+    """(doc_id, row, no, line) of all lines with words; docs: (doc_id, row, text)."""
+    rows = docs.select("doc_id", "row", F.posexplode(F.split(plain(F.col("text")), "\n", -1)).alias("no", "line"))
     return rows.withColumn("line", F.btrim("line", F.lit(" "))).where("line <> ''")
 
 
@@ -137,18 +140,22 @@ def verified(ws: Workspace, name: str, pairs: DataFrame, lines: DataFrame) -> Da
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, nos): numbers of the lines to remove from each row of docs (doc_id, text)."""
+    """(doc_id, row, nos): numbers of the lines to remove from each row of docs (doc_id, row, text)."""
     ws = Workspace(docs.sparkSession, "lines")
     lines = ws.table("lines", lines_of(docs))
     rep = F.min_by(F.struct(*LINE, "n", "bits", "toks"), F.struct("doc_id", "no", "row")).alias("r")
     reps = ws.table("reps", prefixes(lines, rarity(lines)).groupBy("sig", "sig2").agg(rep, F.count("*").alias("times")).select("sig", "sig2", "times", "r.*"))
     ws.drop()
     by_size = Window.partitionBy("tok", "salt").orderBy("n", "doc_id", "no", "row")
-    posted = reps.select(*LINE, "n", "bits", F.posexplode("toks").alias("at", "tok")).withColumn("salts", _salts()).withColumn("salt", F.pmod(F.xxhash64(*LINE), "salts"))
-    posted = posted.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size), "deep": F.coalesce(F.lag("n", DEEP).over(by_size) == F.col("n"), F.lit(False))})
-    posted = posted.where((100 * F.col("less") >= SIMILAR * F.col("n")) | (100 * F.col("n") >= SIMILAR * F.col("more")) | (F.col("salts") > 1))
-    posted = ws.table("posted", posted.select("tok", "salt", *LINE, "n", "at", "bits", "deep"))
-    ws.drop()
+    every = reps.select(*LINE, "n", "bits", F.posexplode("toks").alias("at", "tok")).withColumn("salts", _salts()).withColumn("salt", F.pmod(F.xxhash64(*LINE), "salts"))
+    parts = []
+    for k in range(PASSES):
+        part = every.where(F.shiftrightunsigned("tok", 20).bitwiseAND(F.lit(PASSES - 1)) == k)
+        part = part.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size), "deep": F.coalesce(F.lag("n", DEEP).over(by_size) == F.col("n"), F.lit(False))})
+        part = part.where((100 * F.col("less") >= SIMILAR * F.col("n")) | (100 * F.col("n") >= SIMILAR * F.col("more")) | (F.col("salts") > 1))
+        parts.append(ws.table(f"posted{k}", part.select("tok", "salt", *LINE, "n", "at", "bits", "deep")))
+        ws.drop()
+    posted = functools.reduce(DataFrame.unionAll, parts)
     own_size = Window.partitionBy("tok", "salt", "n").orderBy("doc_id", "no", "row")
     one, mine = F.struct(*LINE, "at", "bits"), [F.col(c) for c in ("n", "at", "bits")]
     deep = posted.where("deep").withColumns({"p0": F.first(one).over(own_size)} | {f"p{i}": F.lag(one, i).over(own_size) for i in LAGS})
@@ -156,23 +163,31 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     near = verified(ws, "near", deep.select(_place("late"), F.explode(F.array_compact(F.array(*prev))).alias("early")), lines)
     # sizes of two similar lines lie in the same class or in classes side by side
     by_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / SIMILAR) + 1e-9).cast("int")
-    every = posted.drop("deep").withColumn("class", F.when(_level() >= CLASS_AT, by_class).otherwise(0))
-    seek = every.drop("salt").join(near, list(LINE), "left_anti").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), _salts() - 1)))
-    seek = seek.withColumn("class", F.explode(F.when(_level() >= CLASS_AT, F.array(*(F.col("class") + i for i in (-1, 0, 1)))).otherwise(F.array("class"))))
-    a, b = seek.alias("a"), every.alias("b")
-    same = (F.col("a.tok") == F.col("b.tok")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.salt") == F.col("b.salt"))
-    earlier = (F.col("b.doc_id") < F.col("a.doc_id")) | ((F.col("b.doc_id") == F.col("a.doc_id")) & (F.col("b.no") < F.col("a.no")))
-    filters = earlier & _similar(*(F.col(f"{s}.{c}") for s in "ab" for c in ("n", "at", "bits")))
-    far = verified(ws, "far", a.join(b, same & filters).select(_place("late", "a."), _place("early", "b.")), lines)
-    ws.drop("posted")
+    far = []
+    for k, part in enumerate(parts):
+        every = part.drop("deep").withColumn("class", F.when(_level() >= CLASS_AT, by_class).otherwise(0))
+        seek = every.drop("salt").join(near, list(LINE), "left_anti").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), _salts() - 1)))
+        seek = seek.withColumn("class", F.explode(F.when(_level() >= CLASS_AT, F.array(*(F.col("class") + i for i in (-1, 0, 1)))).otherwise(F.array("class"))))
+        a, b = seek.alias("a"), every.alias("b")
+        same = (F.col("a.tok") == F.col("b.tok")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.salt") == F.col("b.salt"))
+        earlier = (F.col("b.doc_id") < F.col("a.doc_id")) | ((F.col("b.doc_id") == F.col("a.doc_id")) & (F.col("b.no") < F.col("a.no")))
+        filters = earlier & _similar(*(F.col(f"{s}.{c}") for s in "ab" for c in ("n", "at", "bits")))
+        far.append(ws.table(f"far{k}", a.join(b, same & filters).select(_place("late", "a."), _place("early", "b."))))
+        ws.drop(f"posted{k}")
+    far = verified(ws, "far", functools.reduce(DataFrame.unionAll, far), lines)
     hits = near.union(far).distinct().withColumn("hit", F.lit(True))
     state = reps.select("sig", "sig2", "times", *LINE).join(hits, list(LINE), "left").where("hit or times > 1").select("sig", "sig2", "hit", F.struct("doc_id", "no").alias("first"))
     gone = lines.select(*LINE, *signature()).join(state, ["sig", "sig2"]).where("hit or struct(doc_id, no) > first")
     out = ws.table("gone", gone.groupBy("doc_id", "row").agg(F.collect_set("no").alias("nos")))
-    ws.drop("lines", "reps", "near-hits", "far-hits")
+    ws.drop("lines", "reps", "near-hits", "far-hits", *(f"far{k}" for k in range(PASSES)))
     return out
 
 
+def _row(text: Column, repeated: Column) -> Column:
+    """Tells rows of one doc_id apart by their text; 0 where a doc_id has one row."""
+    return F.when(repeated, F.xxhash64(text)).otherwise(0)
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the lines of text that match an earlier line taken out; other columns and all rows stay.
 
@@ -180,9 +195,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     A text may become empty. Of rows that repeat a doc_id, lines that match each other at the same number stay.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    gone = removed_lines(own).alias("g")
+    # a table, so that Spark knows its size and doesn't shuffle texts for the few
+    repeated = Workspace(docs.sparkSession, "lines").table("repeated", own.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id", F.lit(True).alias("repeated")))
+    own = own.join(repeated, "doc_id", "left").select("doc_id", _row(F.col("text"), F.col("repeated")).alias("row"), "text")
+    gone = removed_lines(own).join(repeated, "doc_id", "left").alias("g")
     text = F.col("d.text").cast("string")
-    joined = docs.alias("d").join(gone, (F.col("d.doc_id").cast("long") == F.col("g.doc_id")) & (F.xxhash64(text) == F.col("g.row")), "left")
+    joined = docs.alias("d").join(gone, (F.col("d.doc_id").cast("long") == F.col("g.doc_id")) & (_row(text, F.col("g.repeated")) == F.col("g.row")), "left")
     split = joined.select("d.*", F.struct(F.col("g.nos").alias("nos"), F.split(text, "\n", -1).alias("lines")).alias(cut := "__cut_" + "_".join(docs.columns)))
     lines, nos = F.col(f"`{cut}`.lines"), F.col(f"`{cut}`.nos")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), nos)
