@@ -31,6 +31,8 @@ SIMILAR = 80
 #: Count sketch: 2 ** SKETCH_BITS levels, each twice the binary logarithm of a count.
 SKETCH_BITS = 17
 HASH_BITS = 56
+#: Longs of parity bits that candidates are held against before their words (a power of 2).
+WIDE = 4
 #: Lists of words that occur more than 2 ** SALT_AT times are split.
 SALT_AT = 17
 #: Lists go in so many passes (a power of 2), by hash of the word, so that only a share of them is shuffled at once.
@@ -120,18 +122,28 @@ def _place(name: str, prefix: str = "") -> Column:
     return F.struct(*(F.col(f"{prefix}{c}").alias(c) for c in LINE)).alias(name)
 
 
+def wide_parity(w: Column) -> Column:
+    """WIDE longs of parity bits of distinct words: two lines differ in as many words at least as in bits."""
+    def bits(i: int) -> Column:
+        one = lambda h: F.when(F.shiftright(h, 6).bitwiseAND(F.lit(WIDE - 1)) == i, F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)))).otherwise(0)
+        return F.aggregate(F.transform(w, lambda x: F.hash(x)), F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(one(h)))
+
+    return F.array(*(bits(i) for i in range(WIDE)))
+
+
 def verified(ws: Workspace, name: str, pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Places of lines (late) that an earlier one (early) of their pairs is similar to, by the words themselves (hashes of them go first)."""
+    """Places of lines (late) that an earlier one (early) of their pairs is similar to, by the words themselves; wide parity bits go first."""
     pairs = ws.table(f"{name}-pairs", pairs.distinct())
     asked = ws.table(f"{name}-asked", pairs.select(F.explode(F.array("late", "early")).alias("p")).select("p.*").distinct())
-    texts = lines.join(asked, list(LINE)).select(_place("p"), "line", F.array_distinct(F.transform(words(F.col("line")), lambda w: F.hash(w))).alias("h"), F.size(F.array_distinct(words(F.col("line")))).alias("n"))
+    texts = lines.join(asked, list(LINE)).select(_place("p"), "line", F.array_distinct(words(F.col("line"))).alias("w"))
+    texts = texts.select("p", "line", F.size("w").alias("n"), wide_parity(F.col("w")).alias("bits"))
     texts = ws.table(f"{name}-texts", texts.dropDuplicates(["p"]))
     both = pairs
     for side in ("late", "early"):
-        both = both.join(texts.select(F.col("p").alias(side), F.col("h").alias(f"{side}_h"), F.col("n").alias(f"{side}_n")), side)
-    # words whose hashes fall together in one line may hide as many common words
-    most = F.size(F.array_intersect("late_h", "early_h")) + F.col("late_n") - F.size("late_h")
-    both = ws.table(f"{name}-likely", both.where((100 + SIMILAR) * most >= SIMILAR * (F.col("late_n") + F.col("early_n"))).select("late", "early", (F.col("late_n") + F.col("early_n")).alias("sum")))
+        both = both.join(texts.select(F.col("p").alias(side), F.col("n").alias(f"{side}_n"), F.col("bits").alias(f"{side}_bits")), side)
+    apart = sum((F.bit_count(F.get("late_bits", F.lit(i)).bitwiseXOR(F.get("early_bits", F.lit(i)))) for i in range(WIDE)), F.lit(0))
+    both = both.where((100 + SIMILAR) * apart <= (100 - SIMILAR) * (F.col("late_n") + F.col("early_n")))
+    both = ws.table(f"{name}-likely", both.select("late", "early", (F.col("late_n") + F.col("early_n")).alias("sum")))
     for side in ("late", "early"):
         both = both.join(texts.select(F.col("p").alias(side), words(F.col("line")).alias(f"{side}_w")), side)
     hits = ws.table(f"{name}-hits", both.where((100 + SIMILAR) * F.size(F.array_intersect("late_w", "early_w")) >= SIMILAR * F.col("sum")).select("late.*").distinct())
