@@ -2,33 +2,58 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.grid import Grid
 from gridloom.operators.stencil import neighbours
-from gridloom.plans.tables import keep
+from gridloom.plans.tables import forget, keep
 
 CAP = 250 * 250
 
 
+def _envelope(g: np.ndarray) -> np.ndarray:
+    """For each row r the least of g[k] + (r - k)**2 over k, by the lower envelope of these parabolas; inf in g is no parabola."""
+    seeds = np.flatnonzero(np.isfinite(g))
+    if not len(seeds):
+        return np.full(len(g), np.inf)
+    at, start = [], []
+    for k in seeds.tolist():
+        while at:
+            x = (g[k] + k * k - g[at[-1]] - at[-1] * at[-1]) / (2 * (k - at[-1]))
+            if x > start[-1]:
+                break
+            at.pop()
+            start.pop()
+        start.append(x if at else -np.inf)
+        at.append(k)
+    r = np.arange(len(g))
+    best = np.array(at)[np.searchsorted(start, r, "right") - 1]
+    return g[best] + (r - best) ** 2
+
+
 def edt(g: Grid, t: int) -> Grid:
     """Squared distance to the nearest value above t; nrows**2 + ncols**2 where there is none.
 
-    The distance along the row comes from two windows; the second pass joins the cells of a column, whose candidates are only
-    those with a seed in their row.
+    The distance along the row comes from two windows; the second pass takes one column at a time, in linear time.
     """
-    top = g.meta.nrows**2 + g.meta.ncols**2
+    top, nrows = g.meta.nrows**2 + g.meta.ncols**2, g.meta.nrows
     w = Window.partitionBy("row").orderBy("col")
     seed = F.when(F.col("value") > t, F.col("col"))
     left = F.last(seed, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     right = F.first(seed, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     d = F.least(F.col("col") - left, right - F.col("col"))
-    one = g.df.select("row", "col", (d * d).alias("g"))
-    up = one.where("g is not null").select("col", F.col("row").alias("r"), "g")
-    best = one.select("row", "col").join(up, "col").groupBy("row", "col").agg(F.min(F.col("g") + (F.col("row") - F.col("r")) * (F.col("row") - F.col("r"))).alias("value"))
-    out = g.filled(best, missing=top)
-    return out
+
+    def column(pdf: pd.DataFrame) -> pd.DataFrame:
+        along = np.full(nrows, np.inf)
+        along[pdf["row"]] = pdf["g"]
+        best = _envelope(along)
+        return pd.DataFrame({"row": np.arange(nrows), "col": pdf["col"].iloc[0], "value": np.where(np.isfinite(best), best, top).astype(np.int64)})
+
+    one = g.df.select("row", "col", (d * d).cast("double").alias("g"))
+    return Grid(one.groupBy("col").applyInPandas(column, "row int, col int, value int"), g.meta)
 
 
 def edt_clamped(g: Grid, t: int, cap: int = CAP) -> Grid:
@@ -47,27 +72,53 @@ def medial_axis(g: Grid, t: int) -> Grid:
     return Grid(n.select("row", "col", ok.cast("int").alias("value")), g.meta)
 
 
-def skeleton(g: Grid, t: int, rounds: int = 200) -> Grid:
-    """Thin what is above t to lines by parallel peeling: a cell goes if it has 2 to 6 neighbours, one change from 0 to 1 around it, and
-    the tests on its north and east neighbours hold. Inner cells only; stops when nothing changes."""
-    ring = ["n_m_0", "n_m_p", "n_0_p", "n_p_p", "n_p_0", "n_p_m", "n_0_m", "n_m_m"]
+#: Tiles of thinning: their side, and rounds of one pass; a round sees two cells far.
+TILE, ROUNDS = 256, 16
 
-    def around(n):
-        p = [F.coalesce(c, F.lit(0)) for c in ring]
-        a = sum(((p[i] == 0) & (p[(i + 1) % 8] == 1)).cast("int") for i in range(8))
-        return p, a, sum(p)
 
-    cur = Grid(keep(g.df.select("row", "col", (F.col("value") > t).cast("int").alias("value")), "thin"), g.meta)
+def _peel(x: np.ndarray, inner: np.ndarray, rounds: int) -> np.ndarray:
+    """Rounds of parallel peeling; x is padded with 0 beyond its edges."""
     for _ in range(rounds):
-        n = neighbours(cur)
-        p, a, b = around(n)
-        n = n.select("row", "col", "value", a.alias("a"), b.alias("b"), p[0].alias("p2"), p[2].alias("p4"), p[4].alias("p6"), p[6].alias("p8"))
-        rw, cw = Window.partitionBy("col").orderBy("row"), Window.partitionBy("row").orderBy("col")
-        n = n.withColumns({"north": F.coalesce(F.lag("a").over(rw), F.lit(0)), "east": F.coalesce(F.lead("a").over(cw), F.lit(0))})
-        go = F.expr("value = 1 and b between 2 and 6 and a = 1 and (p2 * p4 * p8 = 0 or north <> 1) and (p2 * p4 * p6 = 0 or east <> 1)")
-        inner = F.col("row").between(1, g.meta.nrows - 2) & F.col("col").between(1, g.meta.ncols - 2)
-        new = keep(n.select("row", "col", F.when(go & inner, 0).otherwise(F.col("value")).alias("value"), (go & inner).alias("gone")), "thin")
-        cur = Grid(new.select("row", "col", "value"), g.meta)
-        if not new.where("gone").limit(1).count():
+        p = np.pad(x, 1)
+        ring = [p[1 + i : p.shape[0] - 1 + i, 1 + j : p.shape[1] - 1 + j] for i, j in ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))]
+        a = sum(((ring[i] == 0) & (ring[(i + 1) % 8] == 1)).astype(np.int8) for i in range(8))
+        b = sum(ring)
+        q = np.pad(a, 1)
+        north, east = q[:-2, 1:-1], q[1:-1, 2:]
+        go = inner & (x == 1) & (b >= 2) & (b <= 6) & (a == 1) & ((ring[0] * ring[2] * ring[6] == 0) | (north != 1)) & ((ring[0] * ring[2] * ring[4] == 0) | (east != 1))
+        if not go.any():
             break
-    return cur
+        x = np.where(go, 0, x).astype(np.int8)
+    return x
+
+
+def skeleton(g: Grid, t: int, tile: int = TILE, rounds: int = ROUNDS) -> Grid:
+    """Thin what is above t to lines by parallel peeling: a cell goes if it has 2 to 6 neighbours, one change from 0 to 1 around it, and
+    the tests on its north and east neighbours hold. Inner cells only; stops when nothing changes.
+
+    A pass peels each tile some rounds at once, with as much of its surroundings as those can see; passes go on until no cell changes.
+    """
+    halo, nrows, ncols = 2 * rounds, g.meta.nrows, g.meta.ncols
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        tr, tc = int(pdf["tr"].iloc[0]), int(pdf["tc"].iloc[0])
+        r0, c0 = tr * tile - halo, tc * tile - halo
+        x = np.zeros((tile + 2 * halo, tile + 2 * halo), np.int8)
+        x[pdf["row"] - r0, pdf["col"] - c0] = pdf["value"]
+        r, c = np.ogrid[r0 : r0 + x.shape[0], c0 : c0 + x.shape[1]]
+        out = _peel(x, (r >= 1) & (r <= nrows - 2) & (c >= 1) & (c <= ncols - 2), rounds)
+        own = (pdf["row"] // tile == tr) & (pdf["col"] // tile == tc)
+        pdf = pdf[own]
+        new = out[pdf["row"] - r0, pdf["col"] - c0].astype(int)
+        return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "value": new, "gone": new != pdf["value"]})
+
+    cur = g.df.select("row", "col", (F.col("value") > t).cast("int").alias("value"))
+    while True:
+        near = lambda c, n: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - halo) / tile)), F.least(F.lit((n - 1) // tile), F.floor((F.col(c) + halo) / tile))))
+        new = keep(cur.withColumn("tr", near("row", nrows)).withColumn("tc", near("col", ncols)).groupBy("tr", "tc").applyInPandas(run, "row int, col int, value int, gone boolean"), "thin")
+        if hasattr(cur, "old"):
+            forget(cur.old)
+        if not new.where("gone").limit(1).count():
+            return Grid(new.select("row", "col", "value"), g.meta)
+        cur = new.select("row", "col", "value")
+        cur.old = new

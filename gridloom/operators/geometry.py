@@ -163,6 +163,28 @@ def interpolate(points: DataFrame, meta: GridMeta, weight: Callable[[Column], Co
     return Grid(points, meta).filled(s.where(F.col("n") >= least).select("row", "col", jround(F.col("s") / F.col("w")).alias("value")))
 
 
+def bounding_grid(points: DataFrame, lat_res: float, lon_res: float, missing: int = -9999) -> GridMeta:
+    """The shape and place of a grid that holds all points (lat, lon), a cell beyond them on each side, with edges at multiples of the cell."""
+    s, n, w, e = points.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
+    if s is None:
+        raise ValueError("there are no points")
+    near = lambda x, d: math.floor(x / d + 0.5) * d
+    s, n, w, e = near(s - lat_res, lat_res), near(n + lat_res, lat_res), near(w - lon_res, lon_res), near(e + lon_res, lon_res)
+    return GridMeta(math.floor((n - s) / lat_res + 0.5), math.floor((e - w) / lon_res + 0.5), missing, n, w, lat_res, lon_res)
+
+
+def scatter(points: DataFrame, meta: GridMeta, weight: Callable[[Column], Column], reach: float, least: int = 1) -> Grid:
+    """As interpolate(), but with the weights of a kernel that is centred on the cell of each point, not on the point itself."""
+    nr, nc = (int(math.ceil(reach / x)) for x in (meta.lat_res, meta.lon_res))
+    r, c = to_cell(Grid(points, meta), F.col("lat"), F.col("lon"))
+    cells = points.where(F.col("value") != meta.missing).select(r.alias("r"), c.alias("c"), F.col("value").cast("double").alias("value")).groupBy("r", "c").agg(F.sum("value").alias("value"), F.count("*").alias("k"))
+    e = cells.withColumn("i", F.explode(F.sequence(F.lit(-nr), F.lit(nr)))).withColumn("j", F.explode(F.sequence(F.lit(-nc), F.lit(nc))))
+    y, x = F.col("i") * meta.lat_res, F.col("j") * meta.lon_res
+    e = e.select((F.col("r") + F.col("i")).alias("row"), (F.col("c") + F.col("j")).alias("col"), "value", "k", weight(y * y + x * x).alias("w")).where("w > 0")
+    s = e.where(F.col("row").between(0, meta.nrows - 1) & F.col("col").between(0, meta.ncols - 1)).groupBy("row", "col").agg(F.sum(F.col("w") * F.col("value")).alias("s"), F.sum(F.col("w") * F.col("k")).alias("w"), F.sum("k").alias("n"))
+    return Grid(points, meta).filled(s.where(F.col("n") >= least).select("row", "col", jround(F.col("s") / F.col("w")).alias("value")))
+
+
 def interpolate_passes(points: DataFrame, meta: GridMeta, weight, reach: float, passes: int = 2, least: int = 1) -> Grid:
     """Further passes analyse the residuals at the points and add them, within the range of the first."""
     from gridloom.operators.cells import lookup
@@ -188,14 +210,34 @@ def line_cells(lines: DataFrame) -> DataFrame:
 
 
 def catmull_rom(knots: DataFrame, at: DataFrame) -> DataFrame:
-    """at (x) with y of the spline through knots (x, y), ends clamped; outside the knots nothing. Knots at one x are averaged."""
+    """at (x) with y of the spline through knots (x, y), ends clamped; outside the knots nothing. Knots at one x are averaged.
+
+    Intervals and positions meet in cells of the mean interval's width, so there are at most twice as many cells as knots.
+    """
     k = knots.groupBy("x").agg(F.avg("y").alias("y"))
+    low, top, n = k.agg(F.min("x"), F.max("x"), F.count("*")).first()
+    width = (top - low) / (n - 1) if n > 1 else 1.0
     w = Window.orderBy("x")  # the knots of one curve
-    k = k.select(F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2"), F.lag("y").over(w).alias("p0"), F.lead("y", 2).over(w).alias("p3"), F.max("x").over(Window.partitionBy()).alias("top")).where("x2 is not null")
+    k = k.select(F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2"), F.lag("y").over(w).alias("p0"), F.lead("y", 2).over(w).alias("p3")).where("x2 is not null")
+    cell = lambda c: F.floor((F.col(c) - F.lit(low)) / width)
+    k = k.withColumn("cell", F.explode(F.sequence(cell("x1"), cell("x2"))))
     t = (F.col("x") - F.col("x1")) / (F.col("x2") - F.col("x1"))
     p0, p1, p2, p3 = F.coalesce("p0", "y1"), F.col("y1"), F.col("y2"), F.coalesce("p3", "y2")
     y = 0.5 * (2 * p1 + (p2 - p0) * t + (2 * p0 - 5 * p1 + 4 * p2 - p3) * t * t + (3 * p1 - p0 - 3 * p2 + p3) * t * t * t)
-    return at.join(k, F.expr("x >= x1 and (x < x2 or (x = x2 and x2 = top))")).select("x", y.alias("y"))
+    inside = (F.col("x") >= F.col("x1")) & ((F.col("x") < F.col("x2")) | ((F.col("x") == F.col("x2")) & (F.col("x2") == F.lit(top))))
+    return at.withColumn("cell", cell("x")).join(k, "cell").where(inside).select("x", y.alias("y"))
+
+
+def spline_raster(g: Grid, control: DataFrame, value: int = 1) -> Grid:
+    """g with value at the cells of the Catmull-Rom curve through control (seq, lat, lon), sampled at each column between its ends."""
+    m = g.meta
+    ends = control.agg(F.min("lon"), F.max("lon")).first()
+    cols = [int((x - m.nw_lon) / m.lon_res) for x in ends]
+    at = control.sparkSession.range(max(0, cols[0]), min(m.ncols - 1, cols[1]) + 1).select((F.lit(m.nw_lon) + (F.col("id") + 0.5) * m.lon_res).alias("x"))
+    curve = catmull_rom(control.select(F.col("lon").alias("x"), F.col("lat").alias("y")), at)
+    r, c = to_cell(g, F.col("y"), F.col("x"))
+    on = curve.select(r.alias("row"), c.alias("col")).distinct().withColumn("on", F.lit(True))
+    return Grid(g.df.join(on, ["row", "col"], "left").select("row", "col", F.when(F.col("on"), value).otherwise(F.col("value")).alias("value")), m)
 
 
 def polygon_raster(meta: GridMeta, vertices: DataFrame) -> Grid:

@@ -11,27 +11,59 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.grid import Grid
+from gridloom.operators.graph import connected
 from gridloom.plans.tables import keep
 
 
-def components(cells: DataFrame, ncols: int) -> DataFrame:
+#: Side of the tiles that are labelled one by one.
+TILE = 512
+
+
+def _tile_roots(row: np.ndarray, col: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For cells of a tile the smallest of own among their 8-connected cells."""
+    order = np.argsort(own)
+    row, col, own = row[order] - row.min() + 1, col[order] - col.min() + 1, own[order]
+    at = np.full((row.max() + 2, col.max() + 2), -1)
+    at[row, col] = np.arange(len(row))
+    ends = [(np.flatnonzero(at[row + i, col + j] >= 0), i, j) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))]
+    a = np.concatenate([k for k, _, _ in ends])
+    b = np.concatenate([at[row[k] + i, col[k] + j] for k, i, j in ends])
+    root = np.arange(len(row))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))  # hook the larger root to the smaller
+        while (root[root] != root).any():
+            root = root[root]
+    out = np.empty_like(own)
+    out[order] = own[root]
+    return out
+
+
+def components(cells: DataFrame, ncols: int, tile: int = TILE) -> DataFrame:
     """cells (row, col, value) with root: the smallest row * ncols + col of their 8-connected component.
 
-    Min-label propagation with pointer jumping; each round is written to the shared folder, so lineage stays short.
+    Tiles are labelled one by one; pairs of labels that touch across a border of tiles then go through connected(), whose rounds are
+    logarithmic in the number of tiles that a component crosses.
     """
-    at = F.col("row").cast("long") * ncols + F.col("col")
-    cur = keep(cells.withColumn("id", at).withColumn("root", at), "cc")
-    step = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    while True:
-        near = cur.select("row", "col", "root", step.alias("o")).select((F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"), "root").groupBy("row", "col").agg(F.min("root").alias("low"))
-        new = cur.join(near, ["row", "col"])
-        # a root that learns of a smaller one takes all its cells along
-        hook = new.groupBy("root").agg(F.min("low").alias("to"))
-        new = new.join(hook, "root").select("row", "col", "value", "id", F.least("low", "to").alias("low"), F.col("root").alias("old"))
-        new = keep(new.withColumn("root", F.col("low")), "cc")
-        if not new.where("root <> old").limit(1).count():
-            return new.select("row", "col", "value", "root")
-        cur = new.select("row", "col", "value", "id", "root")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf["row"].to_numpy(np.int64) * ncols + pdf["col"].to_numpy(np.int64)
+        return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "value": pdf["value"], "root": _tile_roots(pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64), own)})
+
+    t = lambda c: F.floor(F.col(c) / tile)
+    one = keep(cells.select("row", "col", "value").groupBy(t("row").alias("tr"), t("col").alias("tc")).applyInPandas(run, "row int, col int, value int, root long"), "tiles")
+    edge = one.where(F.expr(f"row % {tile} in (0, {tile - 1}) or col % {tile} in (0, {tile - 1})")).select("row", "col", "root")
+    step = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1)))))
+    near = edge.select(step.alias("o"), "row", "col", F.col("root").alias("a")).select((F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"), "a")
+    pairs = keep(near.join(edge, ["row", "col"]).where("a <> root").select("a", F.col("root").alias("b")).distinct(), "borders")
+    if not pairs.limit(1).count():
+        return one
+    joined = connected(pairs)
+    return one.join(joined, F.col("root") == F.col("node"), "left").select("row", "col", "value", F.coalesce("component", "root").alias("root"))
 
 
 def label(g: Grid, t: int) -> DataFrame:

@@ -37,22 +37,46 @@ def fft2(g: Grid | DataFrame, nrows: int = 0, ncols: int = 0) -> DataFrame:
     return g.groupBy("row").applyInPandas(one("row", "col", nc), schema).groupBy("col").applyInPandas(one("col", "row", nr), schema)
 
 
-def phase_shift(a: np.ndarray, b: np.ndarray, max_u: int, max_v: int) -> tuple[int, int]:
-    """The shift that takes a to b, from the whitened cross power."""
-    x = np.conj(np.fft.fft2(a)) * np.fft.fft2(b)
-    size = np.abs(x)
-    if not size.all():
-        size[size == 0] = 1
-    c = np.abs(np.fft.ifft2(x / size)) ** 2
-    best = max(((c[u % a.shape[0], v % a.shape[1]], -abs(u), -abs(v), u, v) for u in range(-max_u, max_u + 1) for v in range(-max_v, max_v + 1)))
-    return best[3], best[4]
-
-
 def hough(g: Grid, t: int, dtheta: int = 20, drho: int = 10) -> DataFrame:
-    """theta, rho bin, votes, r0, c0, r1, c1 and quality (votes**2 / length) of lines through cells above t."""
+    """theta (degrees), bin, rho, votes, r0, c0, r1, c1 and quality of lines through cells above t.
+
+    A cell votes at each angle for the bin nearest to its distance, if that isn't negative. rho is that of the line's last cell in raster
+    order; quality is votes**2 / length, rounded, and 0 with one vote.
+    """
     hot = g.df.where(F.col("value") > t).withColumn("theta", F.explode(F.array(*(F.lit(a) for a in range(0, 360, dtheta)))))
-    rho = F.col("row") * F.cos(F.radians(F.col("theta").cast("double"))) + F.col("col") * F.sin(F.radians(F.col("theta").cast("double")))
-    v = hot.withColumn("rho", rho).where(F.col("rho") >= 0).withColumn("bin", F.floor(F.round(F.col("rho"), 9) / drho).cast("int"))
-    s = v.groupBy("theta", "bin").agg(F.count("*").alias("votes"), F.min("row").alias("r0"), F.min("col").alias("c0"), F.max("row").alias("r1"), F.max("col").alias("c1"))
-    length = F.greatest(F.lit(1), F.col("r1") - F.col("r0"), F.col("c1") - F.col("c0"))
-    return s.withColumn("quality", jround(F.col("votes") * F.col("votes") / length))
+    angle = F.radians(F.col("theta").cast("double"))
+    v = hot.withColumn("rho", F.round(F.col("row") * F.cos(angle) + F.col("col") * F.sin(angle), 9)).withColumn("bin", jround(F.col("rho") / drho)).where("bin >= 0")
+    s = v.groupBy("theta", "bin").agg(F.max_by("rho", F.struct("row", "col")).alias("rho"), F.count("*").alias("votes"), F.min("row").alias("r0"), F.min("col").alias("c0"), F.max("row").alias("r1"), F.max("col").alias("c1"))
+    dr, dc = F.col("r1") - F.col("r0"), F.col("c1") - F.col("c0")
+    return s.withColumn("quality", F.when(F.col("votes") > 1, jround(F.col("votes") * F.col("votes") / F.sqrt((dr * dr + dc * dc).cast("double")))).otherwise(0))
+
+
+def line_pixels(lines: DataFrame, nrows: int, ncols: int) -> DataFrame:
+    """theta, bin, row, col: cells of lines of hough() with at least two votes, stepping along the longer side (rows only if it is longer)."""
+    angle = F.radians(F.col("theta").cast("double"))
+    by_row = (F.col("r1") - F.col("r0")) > (F.col("c1") - F.col("c0"))
+    step = F.explode(F.when(by_row, F.sequence("r0", "r1")).otherwise(F.sequence("c0", "c1")))
+    k = lines.where("votes > 1").withColumn("by_row", by_row).withColumn("k", step)
+    other = F.when(F.col("by_row"), F.try_divide(F.col("rho") - F.col("k") * F.cos(angle), F.sin(angle))).otherwise(F.try_divide(F.col("rho") - F.col("k") * F.sin(angle), F.cos(angle)))
+    k = k.withColumn("other", F.floor(F.round(other, 6) + 0.5))
+    row, col = F.when(F.col("by_row"), F.col("k")).otherwise(F.col("other")), F.when(F.col("by_row"), F.col("other")).otherwise(F.col("k"))
+    inside = F.when(F.col("by_row"), F.col("other").between(0, ncols - 1)).otherwise(F.col("other").between(0, nrows - 1))
+    return k.where(inside).select("theta", "bin", row.cast("int").alias("row"), col.cast("int").alias("col"))
+
+
+def phase_correlation(before: Grid, now: Grid, max_u: int, max_v: int) -> DataFrame:
+    """u, v: the one shift, of up to max_u rows and max_v columns, that takes the frame before to now, from the whitened cross power.
+
+    Transforms and the product of spectra are DataFrames; the inverse transform's cells within reach compete, and on ties the shorter shift,
+    then the smaller one wins.
+    """
+    a, b = (fft2(g).select("row", "col", F.col("re").alias(f"re{k}"), F.col("im").alias(f"im{k}")) for k, g in enumerate((before, now)))
+    re, im = F.expr("re0 * re1 + im0 * im1"), F.expr("re0 * im1 - im0 * re1")
+    size = F.sqrt(re * re + im * im)
+    nr, nc = padded(now.meta.nrows), padded(now.meta.ncols)
+    # the inverse transform is the transform of the conjugate, conjugated and divided by the number of cells
+    x = fft2(a.join(b, ["row", "col"]).select("row", "col", F.coalesce(F.try_divide(re, size), F.lit(0.0)).alias("re"), F.coalesce(F.try_divide(-im, size), F.lit(0.0)).alias("im")), nr, nc)
+    u, v = F.expr(f"if(row > {nr // 2}, row - {nr}, row)"), F.expr(f"if(col > {nc // 2}, col - {nc}, col)")
+    found = x.select(u.alias("u"), v.alias("v"), F.round((F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (nr * nc) ** 2, 9).alias("c")).where(F.col("u").between(-max_u, max_u) & F.col("v").between(-max_v, max_v))
+    best = found.agg(F.min_by(F.struct("u", "v"), F.struct(-F.col("c"), F.abs("u"), F.abs("v"), "u", "v")).alias("b"))
+    return best.select("b.u", "b.v")

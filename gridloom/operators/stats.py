@@ -45,12 +45,13 @@ def entropy(hist: DataFrame) -> DataFrame:
 
 
 def otsu(hist: DataFrame) -> DataFrame:
-    """threshold: the upper end of the first bin that parts the values with the most variance between the two sides."""
+    """threshold: the upper end of the first bin that parts the values with the most variance between the two sides, or the lowest bin's
+    lower end where no cut has any."""
     every, run = Window.partitionBy(), Window.orderBy("bin")
-    p = hist.select("bin", "hi", (F.col("n") / F.sum("n").over(every)).alias("p"))
-    p = p.select("bin", "hi", F.sum("p").over(run).alias("w"), F.sum(F.col("p") * F.col("bin")).over(run).alias("m"), F.sum(F.col("p") * F.col("bin")).over(every).alias("t"))
+    p = hist.select("bin", "hi", F.min("lo").over(every).alias("low"), (F.col("n") / F.sum("n").over(every)).alias("p"))
+    p = p.select("bin", "hi", "low", F.sum("p").over(run).alias("w"), F.sum(F.col("p") * F.col("bin")).over(run).alias("m"), F.sum(F.col("p") * F.col("bin")).over(every).alias("t"))
     var = F.when((F.col("w") > 1e-12) & (F.col("w") < 1 - 1e-12), F.pow(F.col("t") * F.col("w") - F.col("m"), 2) / (F.col("w") * (1 - F.col("w")))).otherwise(0.0)
-    return p.withColumn("var", F.round(var, 9)).orderBy(F.desc("var"), "bin").limit(1).select(F.col("hi").alias("threshold"))
+    return p.withColumn("var", F.round(var, 9)).orderBy(F.desc("var"), "bin").limit(1).select(F.when(F.col("var") > 0, F.col("hi")).otherwise(F.col("low")).alias("threshold"))
 
 
 def bin_choice(g: Grid, how: str) -> DataFrame:

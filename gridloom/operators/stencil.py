@@ -106,17 +106,18 @@ def speckle(g: Grid, h: int, change: int) -> Grid:
 
 
 def separable_smooth(g: Grid, kr: list[float], kc: list[float]) -> Grid:
-    """Along columns' axis first with rounding, then along rows; cells that the first pass leaves out are 0 for the second."""
-    def one(df, k, by, along, n):
+    """Along columns' axis first with rounding, then along rows; cells that the first pass leaves out are 0 for the second, edges included."""
+    def one(df, k, by, along, n, none):
         h, w = len(k) // 2, Window.partitionBy(by).orderBy(along)
         v = F.when(F.col("value") != g.meta.missing, F.col("value"))
-        at = [(F.lag(v, h - i).over(w) if i < h else F.lead(v, i - h).over(w) if i > h else v, x) for i, x in enumerate(k)]
-        top, low = (sum((F.coalesce(c * F.lit(x), F.lit(0.0)) if t else F.when(c.isNotNull(), x).otherwise(0.0)) for c, x in at) for t in (True, False))
-        return df.select("row", "col", F.when(F.col(along).between(h, n - 1 - h), F.when(low > 0, jround(top / F.nullif(low, F.lit(0.0)))).otherwise(g.meta.missing)).alias("value"))
-
-    first = one(g.df, kr, "col", "row", g.meta.nrows).select("row", "col", F.coalesce("value", F.lit(0)).alias("value"))
-    second = one(first, kc, "row", "col", g.meta.ncols)
-    return Grid(second.select("row", "col", F.when(_inner(g, len(kr) // 2, len(kc) // 2), F.coalesce("value", F.lit(g.meta.missing))).otherwise(g.meta.missing).alias("value")), g.meta)
+        at = df.select("row", "col", *((F.lag(v, h - i).over(w) if i < h else F.lead(v, i - h).over(w) if i > h else v).alias(f"v{i}") for i in range(len(k))))
+        top = sum(F.coalesce(F.col(f"v{i}") * F.lit(x), F.lit(0.0)) for i, x in enumerate(k))
+        low = sum(F.when(F.col(f"v{i}").isNotNull(), x).otherwise(0.0) for i, x in enumerate(k))
+        inner = F.col(along).between(h, n - 1 - h) & (low > 0)
+        return at.select("row", "col", F.when(inner, jround(top / F.nullif(low, F.lit(0.0)))).otherwise(none).alias("value"))
+
+    first = one(g.df, kr, "col", "row", g.meta.nrows, 0)
+    return Grid(one(first, kc, "row", "col", g.meta.ncols, g.meta.missing), g.meta)
 
 
 def neighbours(g: Grid) -> DataFrame:

@@ -109,7 +109,7 @@ def hist_query(name: str, make, body: str) -> None:
 hist_query("histogram", lambda h: h, "select bin, lo, hi, n from h")
 hist_query("cdf", lambda h: _rounded(stats.cdf(h)), "select bin, lo, hi, round(sum(n) over (order by bin) / sum(n) over ()::double, 6) prob from h")
 hist_query("entropy", lambda h: _rounded(stats.entropy(h)), "select round(sum(-p * log2(p)), 6) entropy from (select n / sum(n) over ()::double p from h where n > 0)")
-hist_query("otsu", stats.otsu, """select hi threshold from (select bin, hi, round(case when w > 1e-12 and w < 1 - 1e-12 then power(t * w - m, 2) / (w * (1 - w)) else 0 end, 9) v from
+hist_query("otsu", stats.otsu, """select case when v > 0 then hi else 0 end threshold from (select bin, hi, round(case when w > 1e-12 and w < 1 - 1e-12 then power(t * w - m, 2) / (w * (1 - w)) else 0 end, 9) v from
     (select bin, hi, sum(p) over (order by bin) w, sum(p * bin) over (order by bin) m, sum(p * bin) over () t from (select bin, hi, n / sum(n) over ()::double p from h))) order by v desc, bin limit 1""")
 for _how, _n in {"range": "1 + floor(log2(greatest(hi - lo, 1)) + 0.5)", "full": "hi - lo + 1", "stddev": "1 + floor(3.5::double * sd / power(n, 1.0::double / 3) + 0.5)", "sqrt": "1 + floor(sqrt(n) + 0.5)"}.items():
     grid_query(f"hist_bins_{_how}", lambda g, how=_how: stats.bin_choice(g, how), f"""select lo low, {'1' if _how == 'full' else 'greatest(1, (hi - lo) // nbins)'}::int incr, nbins from (select *, ({_n})::int nbins from
@@ -136,7 +136,9 @@ def _labels(g: Grid) -> DataFrame:
 
 
 grid_query("region_props", lambda g: _rounded(stats.regions(_labels(g)).select("label", "cx", "cy", "cval", "size", "cxy")), f'select {_L} label, round(avg("row"), 6) cx, round(avg(col), 6) cy, round(avg({V}), 6) cval, count(*) size, round(avg("row" * col), 6) cxy from g1g where {_L} > 0 group by 1')
-grid_query("region_ellipses", lambda g: _rounded(stats.ellipses(stats.regions(_labels(g))), 4))
+grid_query("region_ellipses", lambda g: _rounded(stats.ellipses(stats.regions(_labels(g))), 4), f"""select label, round(2 * sqrt(greatest(e1, 0)), 4) a, round(2 * sqrt(greatest(e2, 0)), 4) b, round(degrees(atan2(e1 - s11, s12)), 4) phi
+    from (select *, (s11 + s22 + sqrt(power(s11 - s22, 2) + 4 * s12 * s12)) / 2 e1, (s11 + s22 - sqrt(power(s11 - s22, 2) + 4 * s12 * s12)) / 2 e2 from (select {_L} label, avg("row" * "row") - power(avg("row"), 2) s11, avg(col * col) - power(avg(col), 2) s22, avg("row" * col) - avg("row") * avg(col) s12
+    from g1g where {_L} > 0 group by 1))""")
 grid_query("prune", lambda g: stats.prune(_labels(g), 340), f"""select "row", col, {V}, coalesce(k, 0)::int label from (select *, {_L} l from g1g) left join
     (select l, dense_rank() over (order by l) k from (select {_L} l, count(*) n from g1g group by 1) where l > 0 and n >= 340) using (l)""")
 grid_query("region_size", lambda g: stats.region_size(_labels(g)), f'select "row", col, (case when {_L} = 0 then 0 else count(*) over (partition by {_L}) end)::int "value" from g1g')
@@ -144,22 +146,28 @@ grid_query("weighted_centroid", lambda g: _rounded(stats.weighted_centroid(g)),
 
 
 # neighbourhoods
-def _around(agg: str, h: int, inner: bool = True) -> str:
-    edge = f'case when a."row" between {h} and {47 - h} and a.col between {h} and {63 - h} then coalesce({agg}, {M}) else {M} end' if inner else agg
-    return f"""select a."row", a.col, cast({edge} as int) "value" from g1g a left join g1g b on b."row" between a."row" - {h} and a."row" + {h} and b.col between a.col - {h} and a.col + {h} and b."value" <> {M} group by a."row", a.col"""
+def _around(agg: str, h: int, inner: bool = True, src: str = "g1g", none: int = M) -> str:
+    edge = f'case when a."row" between {h} and {47 - h} and a.col between {h} and {63 - h} then coalesce({agg}, {none}) else {none} end' if inner else agg
+    return f"""select a."row", a.col, cast({edge} as int) "value" from {src} a left join {src} b on b."row" between a."row" - {h} and a."row" + {h} and b.col between a.col - {h} and a.col + {h} and b."value" <> {M} group by a."row", a.col"""
 
 
 grid_query("dilate", lambda g: stencil.dilate(g, 2), _around('max(b."value")', 2))
 grid_query("erode", lambda g: stencil.erode(g, 2), _around('min(b."value")', 2))
-grid_query("morph_close", lambda g: stencil.close(g, 1))
-grid_query("morph_open", lambda g: stencil.open_(g, 1))
+for _name, _first, _then in (("close", "max", "min"), ("open", "min", "max")):
+    grid_query(f"morph_{_name}", lambda g, n=_name: (stencil.close if n == "close" else stencil.open_)(g, 1), "select 1")
+    ORACLE[f"morph_{_name}"] = sql("g1 g1g", "")[:-1] + ", one as (" + _around(f'{_first}(b."value")', 1) + ") " + _around(f'{_then}(b."value")', 1, src="one")
 grid_query("smooth_boxcar", lambda g: stencil.smooth(g, stencil.boxcar(3)), _around('floor(sum(b."value") / count(b."value")::double + 0.5)', 1))
 grid_query("convolve_boxcar", lambda g: stencil.convolve(g, stencil.boxcar(3)), f'select "row", col, case when "row" between 1 and 46 and col between 1 and 62 and "value" = {M} then 0 else "value" end "value" from (' + _around('sum(b."value")', 1) + ")")
-grid_query("smooth_gauss", lambda g: stencil.smooth(g, stencil.gauss(5)))
-grid_query("separable_smooth", lambda g: stencil.separable_smooth(g, [1.0, 2.0, 1.0], [1.0, 2.0, 1.0]))
+_W = 'exp(-power((b."row" - a."row" - 0.5::double) / (5 / 6.0::double), 2) - power((b.col - a.col - 0.5::double) / (5 / 6.0::double), 2))'
+grid_query("smooth_gauss", lambda g: stencil.smooth(g, stencil.gauss(5)), _around(f'floor(sum({_W} * b."value") / sum({_W}) + 0.5)', 2))
+_three = lambda src, by, along, n, none: f"""select "row", col, case when {along} between 1 and {n - 2} then coalesce(floor((coalesce(a, 0) + 2 * coalesce(v, 0) + coalesce(b, 0)) / nullif((a is not null)::int + 2 * (v is not null)::int + (b is not null)::int, 0)::double + 0.5)::int, {none}) else {none} end "value"
+    from (select *, lag(v) over o a, lead(v) over o b from (select "row", col, nullif("value", {M}) v from {src}) window o as (partition by {by} order by {along}))"""
+grid_query("separable_smooth", lambda g: stencil.separable_smooth(g, [1.0, 2.0, 1.0], [1.0, 2.0, 1.0]), "select 1")
+ORACLE["separable_smooth"] = sql("g1 g1g", "")[:-1] + ", one as (" + _three("g1g", "col", '"row"', 48, 0) + ") " + _three("one", '"row"', "col", 64, M)
 grid_query("median", lambda g: stencil.median(g, 1), _around('list_sort(list(b."value") filter (b."value" is not null))[count(b."value") // 2 + 1]', 1))
 grid_query("speckle", lambda g: stencil.speckle(g, 1, 80), f"""select "row", col, case when m."value" <> {M} and abs(g1g."value" - m."value") > 80 then m."value" else g1g."value" end "value" from g1g join (""" + _around('list_sort(list(b."value") filter (b."value" is not null))[count(b."value") // 2 + 1]', 1) + ') m using ("row", col)')
-grid_query("matched_filter", lambda g: stencil.matched(g, [[0.0, 1.0, 0.0], [1.0, 2.0, 1.0], [0.0, 1.0, 0.0]]))
+_K = '(2 - abs(b."row" - a."row") - abs(b.col - a.col))'
+grid_query("matched_filter", lambda g: stencil.matched(g, [[0.0, 1.0, 0.0], [1.0, 2.0, 1.0], [0.0, 1.0, 0.0]]), _around(f'floor(10000 * sum({_K} / 6.0::double * b."value") / nullif(sum(b."value") filter ({_K} > 0), 0)::double + 0.5)', 1, none=-1))
 _at = lambda i, j: f'max(b."value") filter (b."row" = a."row" + {i} and b.col = a.col + {j})'
 _GX = f"{_at(-1, 1)} + 2 * {_at(0, 1)} + {_at(1, 1)} - {_at(-1, -1)} - 2 * {_at(0, -1)} - {_at(1, -1)}"
 _GY = f"{_at(1, -1)} + 2 * {_at(1, 0)} + {_at(1, 1)} - {_at(-1, -1)} - 2 * {_at(-1, 0)} - {_at(-1, 1)}"
@@ -174,23 +182,43 @@ def _cut(g: Grid) -> int:
     return stats.otsu(stats.histogram(g, 0, 25, 60)).first()[0]
 
 
+def _otsu_sql(name: str, src: str, low: int, incr: int, nbins: int, missing: int = M) -> str:
+    """A one-row table (t) with the threshold of stats.otsu over a histogram."""
+    return f"""{name} as (select case when v > 0 then hi else {low} end t from (select bin, hi, round(case when w > 1e-12 and w < 1 - 1e-12 then power(t * w - m, 2) / (w * (1 - w)) else 0 end, 9) v from
+    (select bin, hi, sum(p) over (order by bin) w, sum(p * bin) over (order by bin) m, sum(p * bin) over () t from (select b::int bin, {low} + (b + 1) * {incr} hi, coalesce(n, 0) / sum(coalesce(n, 0)) over ()::double p
+    from (select unnest(range({nbins})) b) left join (select least(("value" - {low}) // {incr}, {nbins - 1}) k, count(*) n from {src} where "value" <> {missing} and "value" >= {low} group by 1) on k = b))) order by v desc, bin limit 1)"""
+
+
+def _labels_sql(low: str, first: str) -> str:
+    """Components of cells above low, by the smallest id that reaches a cell; numbered by their first cell for which first holds."""
+    return f"""with recursive {sql("g1 g1g", "")[5:-1]}, {_otsu_sql("cut", "g1g", 0, 25, 60)}, live as (select "row" r, col c, "row" * 64 + col id, "value" v, t from g1g, cut where "value" > {low}),
+    reach(id, r, c, root) using key (id) as (select id, r, c, id from live union
+        select l.id, l.r, l.c, min(x.root) from reach x join live l on abs(l.r - x.r) <= 1 and abs(l.c - x.c) <= 1 join recurring.reach y on y.id = l.id where x.root < y.root group by all),
+    strong as (select root, min(id) k from reach join live using (id) where {first} group by 1), numbered as (select root, row_number() over (order by k) n from strong)
+    select g1g."row", g1g.col, "value", coalesce(n, 0)::int label from g1g left join reach on reach.id = g1g."row" * 64 + g1g.col left join numbered using (root)"""
+
+
 grid_query("threshold_segment", lambda g: segment.label(g, _cut(g)))
 grid_query("hysteresis", lambda g: segment.hysteresis(g, _cut(g), _cut(g) + 60))
+ORACLE |= {"threshold_segment": _labels_sql("t", "true"), "hysteresis": _labels_sql("t", "v > t + 60")}
 grid_query("watershed", lambda g: segment.watershed(g, _cut(g)))
 grid_query("kmeans_contiguity", lambda g: segment.kmeans_contiguity(g, _cut(g), _cut(g) + 120, 400.0, 20.0, 2))
 _EDT = f"""select a."row", a.col, coalesce(min((a."row" - b."row") * (a."row" - b."row") + (a.col - b.col) * (a.col - b.col)), 6400)::int "value" from g1g a left join g1g b on b."value" > 800 group by a."row", a.col"""
 grid_query("edt", lambda g: distance.edt(g, 800), _EDT)
 grid_query("edt_clamped", lambda g: distance.edt_clamped(g, 800, 50), f'select "row", col, case when "value" > 50 then {M} else "value" end "value" from ({_EDT})')
-grid_query("medial_axis", lambda g: distance.medial_axis(g, 500))
+grid_query("medial_axis", lambda g: distance.medial_axis(g, 500), "select 1")
+ORACLE["medial_axis"] = sql("g1 g1g", "")[:-1] + """, d as (select a."row", a.col, coalesce(min((a."row" - b."row") * (a."row" - b."row") + (a.col - b.col) * (a.col - b.col)), 6400) v from g1g a left join g1g b on b."value" <= 500 group by 1, 2)
+    select "row", col, (v <> 0 and v >= coalesce(lag(v) over r, 0) and v >= coalesce(lead(v) over r, 0) and v >= coalesce(lag(v) over c, 0) and v >= coalesce(lead(v) over c, 0))::int "value" from d
+    window r as (partition by "row" order by col), c as (partition by col order by "row")"""
 grid_query("skeleton", lambda g: distance.skeleton(g, 500))
 
 
 # geometry and points
-@query("nearest_point", sql("pts", """, p as (select s_suppkey place, 26 + (s_suppkey * 41 % 240) / 10.0::double plat, -100 + (s_suppkey * 59 % 320) / 10.0::double plon from supplier where s_suppkey <= 100)
+@query("nearest_point", sql("pts", """, p as (select s_suppkey place, 26 + (s_suppkey * 41 % 240) / 10.0::double plat, -100 + (s_suppkey * 59 % 320) / 10.0::double plon from supplier)
     select id, lat, lon, arg_min(place, (power(lat - plat, 2) + power(lon - plon, 2), place)) filter (power(lat - plat, 2) + power(lon - plon, 2) < 4.0) place from pts, p group by 1, 2, 3""").replace(") , p", "), p"))
 def _nearest(spark, d):
     k = F.col("s_suppkey")
-    places = read(spark, d, "supplier").where(k <= 100).select(k.alias("place"), (26 + (k * 41 % 240) / 10.0).alias("plat"), (-100 + (k * 59 % 320) / 10.0).alias("plon"))
+    places = read(spark, d, "supplier").select(k.alias("place"), (26 + (k * 41 % 240) / 10.0).alias("plat"), (-100 + (k * 59 % 320) / 10.0).alias("plon"))
     return geometry.nearest(points(spark, d).select("id", "lat", "lon"), places, 2.0)
 
 
@@ -220,7 +248,11 @@ def _area(spark, d):
     return geometry.area(_vertices(spark)).select("poly", F.round("area", 6).alias("area"))
 
 
-@query("polygon_raster")
+@query("polygon_raster", f"""with pts as (select r::int "row", c::int col, 50.0::double - (r + 0.5) * 0.5 lat, -100.0::double + (c + 0.5) * 0.5 lon from (select unnest(range(48)) r), (select unnest(range(64)) c)),
+    e as (select poly, lat y0, lon x0, coalesce(lead(lat) over w, first_value(lat) over w) y1, coalesce(lead(lon) over w, first_value(lon) over w) x1 from {_POLY} window w as (partition by poly order by seq)),
+    h as (select "row", col, poly from pts join e on true group by all having count(*) filter ((y0 > lat) <> (y1 > lat) and lon < x0 + (lat - y0) * (x1 - x0) / (y1 - y0)) % 2 = 1
+    and count(*) filter ((x0 > lon) <> (x1 > lon) and lat < y0 + (lon - x0) * (y1 - y0) / (x1 - x0)) % 2 = 1)
+    select "row", col, coalesce(min(poly), -1)::int "value" from pts left join h using ("row", col) group by 1, 2""")
 def _praster(spark, d):
     return geometry.polygon_raster(META, _vertices(spark)).df
 
@@ -236,6 +268,19 @@ def _oban2(spark, d):
     return geometry.interpolate_passes(points(spark, d), GridMeta(24, 32, M, 50.0, -100.0, 1.0, 1.0), geometry.gaussian(1.0), 4.3, 2).df
 
 
+@query("oban_scatter", sql("pts", """select r::int "row", c::int col, coalesce(cast(floor(sum(w * "value") / sum(w) + 0.5) as int), -9999) "value" from (select unnest(range(24)) r), (select unnest(range(32)) c) left join lateral
+    (select "value", (1 - d / 9.0::double) / (1 + d / 9.0::double) w from (select "value", power(r - trunc((50.0::double - lat) / 1.0)::int, 2)::double + power(c - trunc((lon + 100.0::double) / 1.0)::int, 2)::double d from pts) where d < 9) on true group by r, c"""))
+def _scatter(spark, d):
+    return geometry.scatter(points(spark, d), GridMeta(24, 32, M, 50.0, -100.0, 1.0, 1.0), geometry.cressman(3.0), 3.0).df
+
+
+@query("bounding_grid", sql("pts", """select floor((n - s) / 0.7::double + 0.5)::int nrows, floor((e - w) / 0.7::double + 0.5)::int ncols, round(n, 6) nw_lat, round(w, 6) nw_lon from
+    (select floor((min(lat) - 0.7::double) / 0.7::double + 0.5) * 0.7::double s, floor((max(lat) + 0.7::double) / 0.7::double + 0.5) * 0.7::double n, floor((min(lon) - 0.7::double) / 0.7::double + 0.5) * 0.7::double w, floor((max(lon) + 0.7::double) / 0.7::double + 0.5) * 0.7::double e from pts)"""))
+def _bounds(spark, d):
+    m = geometry.bounding_grid(points(spark, d), 0.7, 0.7)
+    return spark.createDataFrame([(m.nrows, m.ncols, round(m.nw_lat, 6), round(m.nw_lon, 6))], "nrows int, ncols int, nw_lat double, nw_lon double")
+
+
 @query("lambert_roundtrip", sql("pts", "select id, round(lat, 6) lat, round(lon, 6) lon from pts"))
 def _lambert(spark, d):
     m = geometry.Lambert(51.0, -97.0, 43.5, 28.5)
@@ -245,17 +290,22 @@ def _lambert(spark, d):
     return p.select("id", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
 
 
-@query("line_raster", """with l as (select l_orderkey % 48 r0, l_partkey % 64 c0, l_suppkey % 48 r1, l_linenumber * 7 c1, greatest(abs(r1 - r0), abs(c1 - c0)) n from lineitem where l_orderkey <= 40)
+@query("line_raster", """with l as (select l_orderkey % 48 r0, l_partkey % 64 c0, l_suppkey % 48 r1, l_linenumber * 7 c1, greatest(abs(r1 - r0), abs(c1 - c0)) n from lineitem)
     select distinct (r0 + floor(coalesce((r1 - r0) * k / nullif(n, 0)::double, 0) + 0.5))::int "row", (c0 + floor(coalesce((c1 - c0) * k / nullif(n, 0)::double, 0) + 0.5))::int col from (select *, unnest(range(n + 1)) k from l)""")
 def _lines(spark, d):
-    li = read(spark, d, "lineitem").where("l_orderkey <= 40")
+    li = read(spark, d, "lineitem")
     return geometry.line_cells(li.selectExpr("cast(l_orderkey % 48 as int) r0", "cast(l_partkey % 64 as int) c0", "cast(l_suppkey % 48 as int) r1", "l_linenumber * 7 c1")).select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
 
 
-@query("spline")
+@query("spline", sql("pts", """, k as (select lon x1, avg("value"::double) y1 from pts group by 1),
+    w as (select x1, y1, lead(x1) over o x2, lead(y1) over o y2, lag(y1) over o p0, lead(y1, 2) over o p3, max(x1) over () top from k window o as (order by x1)),
+    p as (select distinct -100 + (s_suppkey * 59 % 320) / 10.0::double + 0.05::double x from supplier),
+    m as (select x, (x - x1) / (x2 - x1) t, coalesce(p0, y1) p0, y1 p1, y2 p2, coalesce(p3, y2) p3 from p join w on x >= x1 and (x < x2 or (x = x2 and x2 = top)))
+    select round(x, 4) x, round(0.5::double * (2 * p1 + (p2 - p0) * t + (2 * p0 - 5 * p1 + 4 * p2 - p3) * t * t + (3 * p1 - p0 - 3 * p2 + p3) * t * t * t), 4) y from m""").replace(") , k", "), k"))
 def _spline(spark, d):
-    knots = points(spark, d, 40).select(F.col("lon").alias("x"), F.col("value").cast("double").alias("y"))
-    return geometry.catmull_rom(knots, points(spark, d, 200).select(F.col("lon").alias("x")).distinct())
+    knots = points(spark, d).select(F.col("lon").alias("x"), F.col("value").cast("double").alias("y"))
+    at = read(spark, d, "supplier").select((-100 + (F.col("s_suppkey") * 59 % 320) / 10.0 + 0.05).alias("x")).distinct()
+    return _rounded(geometry.catmull_rom(knots, at), 4)
 
 
 # mining
@@ -286,7 +336,11 @@ def _bands(g: Grid) -> DataFrame:
     return stats.regions(g.df.withColumn("label", F.col("value")))
 
 
-query("cross_correlation")(lambda s, d: motion.cross_correlation(g2(s, d, 3), g2(s, d, 4), 2, 2, 2))
+query("cross_correlation", sql("f1 f2", """, s as (select (row_number() over (order by u, v))::int k, u::int u, v::int v from (select unnest(range(-2, 3)) u), (select unnest(range(-2, 3)) v)),
+    d as (select b."row", b.col, k, u, v, power(b."value" - a."value", 2)::double d, power(b."value", 2)::double q from f2 b, s join f1 a on a."row" = b."row" - u and a.col = b.col - v),
+    w as (select "row" + i "row", col + j col, k, u, v, sum(d) d, sum(q) q, count(*) n from d, (select unnest(range(-2, 3)) i), (select unnest(range(-2, 3)) j) group by all),
+    best as (select "row", col, arg_min(u, (d / q, k)) u, arg_min(v, (d / q, k)) v from w where q > 0 and d < 0.75::double * q and 2 * n >= 25 group by 1, 2)
+    select f2."row", f2.col, coalesce(u, 0)::int u, coalesce(v, 0)::int v from f2 left join best using ("row", col)""").replace(") , s", "), s"))(lambda s, d: motion.cross_correlation(g2(s, d, 3), g2(s, d, 4), 2, 2, 2))
 query("frame_difference", ORACLE["grid_diff"])(lambda s, d: motion.frame_difference(g2(s, d, 4), g2(s, d, 3)).df)
 query("kalman")(lambda s, d: motion.kalman(read(s, d, "events").groupBy(F.col("event_type").alias("key"), F.dayofmonth("ts").alias("t")).agg(F.count("*").alias("z"))))
 
@@ -298,13 +352,25 @@ def _hs(spark, d):
     return spark.createDataFrame([(i // 24, i % 24, int(x), int(y)) for i, (x, y) in enumerate(zip(u.ravel(), v.ravel(), strict=True))], "row int, col int, u int, v int")
 
 
-query("fft2")(lambda s, d: _rounded(spectral.fft2(g2(s, d, 3)), 6))
-query("hough")(lambda s, d: spectral.hough(g1g(s, d), 800))
+query("fft2", sql("f1", """select i::int "row", j::int col, round(sum("value" * cos(2 * pi() * ((i * "row" + j * col) % 32) / 32)), 4) + 0.0::double re, round(-sum("value" * sin(2 * pi() * ((i * "row" + j * col) % 32) / 32)), 4) + 0.0::double im
+    from f1, (select unnest(range(32)) i), (select unnest(range(32)) j) group by 1, 2"""))(lambda s, d: spectral.fft2(g2(s, d, 3)).select("row", "col", *((F.round(c, 4) + 0.0).alias(c) for c in ("re", "im"))))
+_LINES = """, hot as (select "row" r, col c, theta::int theta, round("row" * cos(radians(theta::double)) + col * sin(radians(theta::double)), 9) rho from g1g, (select unnest(range(0, 360, 20)) theta) where "value" > {t}),
+    voted as (select *, floor(rho / 10 + 0.5)::int bin from hot where floor(rho / 10 + 0.5) >= 0),
+    line as (select theta, bin, arg_max(rho, (r, c)) rho, count(*) votes, min(r) r0, min(c) c0, max(r) r1, max(c) c1 from voted group by 1, 2),
+    found as (select *, case when votes > 1 then floor(votes * votes / sqrt(((r1 - r0) * (r1 - r0) + (c1 - c0) * (c1 - c0))::double) + 0.5)::int else 0 end quality from line)"""
+query("hough", sql("g1 g1g", "")[:-1] + _LINES.format(t=800) + " select theta, bin, rho + 0.0::double rho, votes, r0, c0, r1, c1, quality from found")(lambda s, d: spectral.hough(g1g(s, d), 800).withColumn("rho", F.col("rho") + 0.0))
+query("line_pixels", sql("g1 g1g", "")[:-1] + _LINES.format(t=800) + """, k as (select *, r1 - r0 > c1 - c0 by_row, unnest(case when r1 - r0 > c1 - c0 then range(r0, r1 + 1) else range(c0, c1 + 1) end) k from found where votes > 1),
+    o as (select *, floor(round(case when by_row then (rho - k * cos(radians(theta::double))) / sin(radians(theta::double)) else (rho - k * sin(radians(theta::double))) / cos(radians(theta::double)) end, 6) + 0.5) other from k)
+    select theta, bin, (case when by_row then k else other end)::int "row", (case when by_row then other else k end)::int col from o where other >= 0 and other < case when by_row then 64 else 48 end""")(
+    lambda s, d: spectral.line_pixels(spectral.hough(g1g(s, d), 800), META.nrows, META.ncols))
+query("phase_correlation")(lambda s, d: spectral.phase_correlation(g2(s, d, 3), g2(s, d, 4), 6, 6))
 assert FRAME.nrows == 24
 
 # texture and frequency
 grid_query("log_edges", lambda g: texture.log_edges(g, 3, 20))
-grid_query("oriented_ellipses", lambda g: texture.oriented(g, 4, 3, 1))
+_MASKS = ", ".join(f"({f}, {i - 3}, {j - 3})" for f, m in enumerate(texture.ellipse_masks(4, 3, 1)) for i, line in enumerate(m) for j, on in enumerate(line) if on)
+grid_query("oriented_ellipses", lambda g: texture.oriented(g, 4, 3, 1), f"""select a."row", a.col, coalesce(m, {M})::int "value" from g1g a left join (select "row", col, max(floor(x + 0.5)) m from (select a."row", a.col, f, avg(b."value") x from g1g a, (values {_MASKS}) t(f, i, j)
+    join g1g b on b."row" = a."row" + i and b.col = a.col + j where b."value" <> {M} and a."row" between 3 and 44 and a.col between 3 and 60 group by 1, 2, 3) group by 1, 2) using ("row", col)""")
 grid_query("vq_normalise", texture.normalised, f"""select "row", col, case when {V} = {M} then -1 else floor(100.0::double * ({V} - lo) / hi + 0.5)::int end "value" from g1g, (select min({V}) lo, max({V}) hi from g1g where {V} <> {M})""")
 grid_query("vector_quantizer", lambda g: texture.quantize([g, cells.threshold(g, 500)], texture.vector_quantizer([g, cells.threshold(g, 500)], 4)))
 grid_query("local_texture", lambda g: objects.local_texture(g, 3, 3, 0, 200, 6), "select 1")
@@ -327,7 +393,8 @@ _sig = lambda x: f"(1 / (1 + exp(-({x}))))"
 grid_query("neural_net", lambda g: g.map(lambda v: models.neural_net(_p(v), _l(v))), _map("floor(100 * " + _sig(f"2.4291 * {_sig(f'3.06728::double * ({V} % 400) + 3.26584 + 1.77153::double * ({V} % 100)')} + 3.12817 - 11.29847 * {_sig(f'0.00625::double * ({V} % 400) + 2.82917 - 0.03631::double * ({V} % 100)')}") + " + 0.5)"))
 query("projection_pursuit")(lambda s, d: s.createDataFrame([(*map(float, c), w) for c, w in models.projection_pursuit(cells.replace_value(g1g(s, d), M, 0), 100.0, 3)], "row double, col double, sx double, sy double, amplitude double"))
 query("gmm_start")(lambda s, d: s.createDataFrame(models.gmm_start(g1g(s, d), 4), "row double, col double"))
-grid_query("gmm_render", lambda g: models.gmm_render(g, [(20, 30, 40.0, 5.0, 60.0), (35, 10, 30.0, 0.0, 20.0)], 100.0))
+_G = lambda x, y, a, b, c: f'exp(-({c}::double * power("row" - {x}, 2) - 2 * {b}::double * ("row" - {x}) * (col - {y}) + {a}::double * power(col - {y}, 2)) / (2 * {a * c - b * b}::double))'
+grid_query("gmm_render", lambda g: models.gmm_render(g, [(20, 30, 40.0, 5.0, 60.0), (35, 10, 30.0, 0.0, 20.0)], 100.0), f'select "row", col, floor(({_G(20, 30, 40.0, 5.0, 60.0)} + {_G(35, 10, 30.0, 0.0, 20.0)}) * 100 + 0.5)::int "value" from g1g')
 query("kmeans")(lambda s, d: s.createDataFrame(sorted(map(tuple, models.kmeans(read(s, d, "lineitem"), ["l_quantity", "l_discount"])[0])), "l_quantity double, l_discount double"))
 query("kendall", """with v as (select o_custkey % 97 x, o_orderkey % 89 y from orders where o_orderkey is not null), c as (select x, y, count(*) n from v group by 1, 2),
     s as (select sum(a.n * b.n * sign(a.x - b.x) * sign(a.y - b.y)) / 2.0::double s from c a, c b),
@@ -362,10 +429,17 @@ def _spots(g: Grid) -> Grid:
 
 
 grid_query("metro", lambda g: compositions.metro(g, 0, 25, 60, 50))
+ORACLE["metro"] = f"""{sql("g1 g1g", "")[:-1]}, {_otsu_sql("cut", "g1g", 0, 25, 60)}, far as (select a."row", a.col, coalesce(min((a."row" - b."row") * (a."row" - b."row") + (a.col - b.col) * (a.col - b.col)), 6400)::int v from g1g a left join (select * from g1g, cut where "value" > t) b on true group by 1, 2),
+    near as (select "row", col, case when v > 50 then {M} else 50 - v end "value" from far), {_otsu_sql("cut2", "near", 0, 1, 50)} select "row", col, ("value" >= t)::int "value" from near, cut2"""
 query("sprawl")(lambda s, d: compositions.sprawl(_spots(g1(s, d)), _spots(g1g(s, d)), 0, 10, 100))
 query("primary_city", sql("g1 g1g", f"""select country, label, round(cval, 6) cval from (select b."value" // 300 country, label, cval from (select {_L} label, avg("row") cx, avg(col) cy, avg({V}) cval from g1g where {_L} > 0 group by 1) r
     join g1g b on b."row" = floor(cx)::int and b.col = floor(cy)::int where b."value" <> {M}) qualify row_number() over (partition by country order by cval desc, label) = 1"""))(
     lambda s, d: _rounded(compositions.primary_cities(stats.regions(_labels(g1g(s, d))), g1g(s, d).map(lambda v: F.when(v == M, -1).otherwise(F.floor(v / 300))))))
-query("city_models")(lambda s, d: _rounded(compositions.city_models(g1g(s, d), g1g(s, d).map(lambda v: v % 90), _labels(g1g(s, d)))))
+_CITY = lambda sig: f"""select label, round(pop, 6) pop, round(light, 6) light, floor(0.003494::double + 0.034444::double * light - 0.005992::double * pop + 0.5)::int linear,
+    case when light < 17.61 then 0 when light < 48.91 then 1 when light < 81.25 then case when pop >= 31.77 then 1 else 2 end when pop >= 105.7 then 2 else 4 end tree,
+    floor(100 * {sig(f"2.4291 * {sig('3.06728::double * pop + 3.26584 + 1.77153::double * light')} + 3.12817 - 11.29847 * {sig('0.00625::double * pop + 2.82917 - 0.03631::double * light')}")} + 0.5)::int net,
+    floor(10 * least(least(1 - {_m('(20.0::double - pop) / 15.0')}, 1 - {_m('(pop - 100.0::double) / 200.0')}), {_m('(light - 20.0::double) / 40.0')}) + 0.5)::int market
+    from (select {_L} label, avg({V}) pop, avg({V} % 90) light from g1g where {_L} > 0 group by 1)"""
+query("city_models", sql("g1 g1g", _CITY(_sig)))(lambda s, d: _rounded(compositions.city_models(g1g(s, d), g1g(s, d).map(lambda v: v % 90), _labels(g1g(s, d)))))
 grid_query("skeleton_lines", lambda g: compositions.skeleton_lines(g, 500))
 grid_query("outlines", lambda g: compositions.outlines(_raised(g), _cut(_raised(g)), _cut(_raised(g)) + 20, 12))

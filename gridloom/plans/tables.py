@@ -14,17 +14,34 @@ META = GridMeta(48, 64, -9999, 50.0, -100.0, 0.5, 0.5)
 FRAME = GridMeta(24, 24, -1, 40.0, -90.0, 0.25, 0.25)
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the session's checkpoint folder, which executors share; a folder of our own only where none is set."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which executors share. Where none is set, a local session gets one of its own; a cluster's needs one."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         sc.setCheckpointDir(at)
-    path = f"{at.rstrip('/')}/gridloom/{name}-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the session's checkpoint folder; forget() deletes it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of keep() that no later step reads."""
+    for t in tables:
+        jvm, conf = t.sparkSession.sparkContext._jvm, t.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(t.kept_at)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,10 +67,10 @@ def g2(spark: SparkSession, sf_dir: str, day: int) -> Grid:
     return g.map(lambda v: F.when(v == FRAME.missing, 0).otherwise(v))
 
 
-def points(spark: SparkSession, sf_dir: str, n: int = 300) -> DataFrame:
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as observations: id, lat, lon, value."""
     k = F.col("c_custkey")
-    return read(spark, sf_dir, "customer").where(k <= n).select(k.alias("id"), (26 + (k * 37 % 240) / 10.0).alias("lat"), (-100 + (k * 53 % 320) / 10.0).alias("lon"), F.floor(F.col("c_acctbal") + 0.5).cast("int").alias("value"))
+    return read(spark, sf_dir, "customer").select(k.alias("id"), (26 + (k * 37 % 240) / 10.0).alias("lat"), (-100 + (k * 53 % 320) / 10.0).alias("lon"), F.floor(F.col("c_acctbal") + 0.5).cast("int").alias("value"))
 
 
 SQL = {
@@ -65,7 +82,7 @@ SQL = {
     "f2": """f2 as (select r::int "row", c::int col, coalesce(v, 0)::int "value" from (select unnest(range(24)) r), (select unnest(range(24)) c)
         left join (select user_id % 24 a, hour(ts) b, count(*) v from events where day(ts) = 4 group by 1, 2) on a = r and b = c)""",
     "pts": """pts as (select c_custkey id, 26 + (c_custkey * 37 % 240) / 10.0::double lat, -100 + (c_custkey * 53 % 320) / 10.0::double lon,
-        cast(floor(c_acctbal + 0.5) as int) "value" from customer where c_custkey <= 300)""",
+        cast(floor(c_acctbal + 0.5) as int) "value" from customer)""",
 }
 
 
