@@ -9,7 +9,12 @@ import pyarrow as pa
 
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
+#: Fingerprints are two polynomials modulo the prime 2**31 - 1, as modulo 2**64 some texts (Thue-Morse words) would be equal by construction.
+_M = U64(2**31 - 1)
+_BASES = (1313131, 987654321)
 _rng = np.random.default_rng(20240229)
+#: A number below that prime for each byte and polynomial, and none is 0.
+TERMS = _rng.integers(1, 2**31 - 1, (2, 256), dtype=np.uint64)
 #: A random odd number for each byte, so that no text hashes to nothing.
 MIX = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -20,19 +25,26 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[65:91] = ALNUM[128:] = True
 #: Words are what stands between white space.
 NONSPACE = np.ones(256, bool)
 NONSPACE[[32, *range(9, 14)]] = False
-_pow = np.ones(1, U64)
-_inv = np.ones(1, U64)
+_pows: list[list[np.ndarray]] = [[np.ones(1, U64), np.ones(1, U64)] for _ in _BASES]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pow, _inv
-    if len(_pow) < n:
-        n = max(n, 1 << 16)
-        for name, base in (("_pow", _P), ("_inv", pow(_P, -1, 2**64))):
-            x = np.full(n, base, U64)
-            x[0] = 1
-            globals()[name] = np.multiply.accumulate(x)
-    return _pow, _inv
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x, below 2**63, modulo the prime."""
+    for _ in range(2):
+        x = (x & _M) + (x >> U64(31))
+    return np.where(x >= _M, x - _M, x)
+
+
+def powers(n: int) -> list[list[np.ndarray]]:
+    """For each polynomial, the powers of its base and of the base's inverse, n of them at least."""
+    if len(_pows[0][0]) < n:
+        for own, base in zip(_pows, _BASES, strict=True):
+            for k, b in enumerate((base, pow(base, -1, int(_M)))):
+                x = own[k]
+                while len(x) < max(n, 1 << 16):
+                    x = np.concatenate((x, _mod(x * U64(pow(b, len(x), int(_M))))))
+                own[k] = x
+    return _pows
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,16 +58,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """H with H[e] - H[s] = the sum of MIX[byte] * P**position over s..e."""
-    h = np.zeros(len(data) + 1, U64)
-    np.multiply(MIX[data], powers(len(data) + 1)[0][: len(data)], out=h[1:])
-    np.cumsum(h, out=h)
+    """For each polynomial H with H[e] - H[s] = the sum of its terms for data[s:e]."""
+    h = np.zeros((2, len(data) + 1), U64)
+    for own, terms, (pw, _) in zip(h, TERMS, powers(len(data) + 1), strict=True):
+        np.cumsum(_mod(terms[data] * pw[: len(data)]), out=own[1:])
     return h
 
 
 def between(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """Fingerprints of data[s:e], equal for equal bytes wherever they stand."""
-    return mix((h[e] - h[s]) * powers(len(h))[1][s])
+    x, y = (_mod(_mod(own[e] - own[s]) * inv[s]) for own, (_, inv) in zip(h, powers(h.shape[1]), strict=True))
+    return mix(x | (y << U64(32)))
 
 
 def column(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,35 +1,15 @@
-"""Connected components of an edge table by alternating large-star and small-star steps, all in DataFrames."""
+"""Connected components of an edge table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from gridloom.llm._work import Workspace
+from gridloom.llm._work import release
+from gridloom.operators.graph import connected
 
 
-def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
-    """(node, component) for every node of edges (a, b); component is the smallest node reachable.
-
-    Ends after a number of rounds logarithmic in the longest path. Each round is a table in the shared folder.
-    """
-    cur, last, k = ws.table(f"{name}0", _clean(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))), None, 0
-    while True:
-        both = cur.unionAll(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = ws.table(f"{name}{k}l", _clean(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))))
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b")))
-        new = ws.table(f"{name}{k + 1}", _clean(small))
-        state = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        ws.drop(f"{name}{k}", f"{name}{k}l")
-        cur, k = new, k + 1
-        if state == last:
-            # every edge is now (node, smallest of its component)
-            return cur.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("component")).unionAll(cur.select(F.least("a", "b").alias("node"), F.least("a", "b").alias("component")).distinct())
-        last = state
-
-
-def _clean(e: DataFrame) -> DataFrame:
-    return e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for every node of edges (a, b); component is the smallest node reachable."""
+    found = connected(edges)
+    release(edges.sparkSession)
+    return found

@@ -3,20 +3,11 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset, a folder of our own is made and set."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
+from gridloom.plans.tables import shared_dir
 
 
 def release(spark: SparkSession) -> None:

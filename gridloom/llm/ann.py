@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows that the graph and the classifier are fitted on; every row is indexed.
 SAMPLE = 6000
-PARTS = 16
+#: Parts: PARTS at least, and one for each PART_ROWS rows, as far as the sample can teach them (50 rows a part).
+PARTS, PART_ROWS = 16, 50_000
 HIDDEN = 64
 RECALL = 0.95
 #: Rows of one part that one task ranks.
@@ -136,18 +137,25 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 
 def fit(vectors: DataFrame, sample: int = SAMPLE, **kw) -> Router:
-    rows = vectors.orderBy(F.xxhash64("v"), "vec_id").limit(sample).select("v").collect()
-    return Router(np.array([r.v for r in rows]) if rows else np.zeros((0, 1)), **kw)
+    """A router from a sample, drawn by hash of the vector and its id: a share of the rows, so no task sends more than its part."""
+    n = vectors.count()
+    share = min(1.0, 0.9 * sample / max(1, n))
+    rows = vectors.where(F.pmod(F.xxhash64("v", "vec_id"), F.lit(1 << 31)) < F.lit(int(share * (1 << 31)))).limit(sample).collect()
+    rows = [r.v for r in sorted(rows, key=lambda r: (r.v, r.vec_id))]
+    return Router(np.array(rows)[np.random.default_rng(0).permutation(len(rows))] if rows else np.zeros((0, 1)), **({"parts": max(PARTS, -(-n // PART_ROWS))} | kw))
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, block_rows: int = BLOCK_ROWS, router: Router | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows found for each query, by inner product, ties to the smaller vec_id.
 
-    vectors: vec_id, embedding, all of one length. Vectors that are null, zero or not finite take no part, nor does a query's own id.
+    vectors: vec_id, embedding. Vectors that are null, zero or not finite take no part, nor do those that have not the most frequent length (the
+    smallest of several), nor does a query's own id.
     A row that repeats counts once. Fewer candidates than k give them all.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors).dropDuplicates(["vec_id", "v"])
+    rows = usable(vectors)
+    length = rows.groupBy(F.size("v").alias("length")).count().orderBy(F.desc("count"), "length").first()
+    rows = rows.where(F.size("v") == (length["length"] if length else 0)).dropDuplicates(["vec_id", "v"])
     router = router or fit(rows)
     shared = spark.sparkContext.broadcast(router)
 
@@ -194,4 +202,5 @@ def search(vectors: DataFrame, is_query, k: int = 20, block_rows: int = BLOCK_RO
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found for each row whose vec_id is divisible by 20."""
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -83,11 +81,11 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N, max_windows: int = M
     """Documents with n_words, spans (runs of hit words: start, end, start, end, ...) and items (sorted ids).
 
     A window is n consecutive words of an item, or all words of a shorter one. An item without words has none,
-    and a null text no words. The set is broadcast up to max_windows windows; a larger benchmark goes by in slices of
+    and a null text no words. Items without an id go by the empty one. The set is broadcast up to max_windows windows; a larger benchmark goes by in slices of
     that size, each a pass over the documents. Other columns stay, whatever their names but these three.
     """
     spark = docs.sparkSession
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
+    bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where("text is not null")
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # no more windows than bytes
     slices = max(1, -(-total // max_windows))
     docs = docs.drop("n_words", "spans", "items")
@@ -119,18 +117,17 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N, max_windows: int = M
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, mode: str = "documents") -> DataFrame:
     """Remove documents that hold a benchmark n-gram, or (mode "spans") only the words of its occurrences.
 
-    Removing a span takes the bytes from its first to its last word. Columns stay as they are.
+    Removing a span takes the bytes from its first to its last word; a null text stays null. Columns stay as they are, whatever their names.
     """
-    found = find(docs, benchmark, n)
+    # the row travels as one column, so that its names clash with none of find()'s
+    found = find(docs.select(F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), benchmark, n)
     if mode == "documents":
-        return found.where(F.size("spans") == 0).select(*docs.columns)
-    schema = docs.schema
+        return found.where(F.size("spans") == 0).select("row.*")
 
     def cut(batches):
         for batch in batches:
-            i = batch.schema.get_field_index("text")
-            texts, out = batch.column(i).to_pylist(), []
-            for text, spans in zip(texts, batch.column(batch.schema.get_field_index("spans")).to_pylist(), strict=True):
+            texts, out = batch.column(0).to_pylist(), []
+            for text, spans in zip(texts, batch.column(2).to_pylist(), strict=True):
                 if text and spans:
                     raw = text.encode()
                     data = np.frombuffer(raw, np.uint8)
@@ -141,13 +138,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, mode: str =
                         at = int(e[b - 1])
                     text = (b"".join(keep) + raw[at:]).decode()
                 out.append(text)
-            batch = batch.set_column(i, batch.schema.field(i), pa.array(out, batch.schema.field(i).type))
-            yield batch.select([f.name for f in schema.fields])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column(1)], ["text", "row"])
 
-    return found.mapInArrow(cut, schema)
+    done = found.select("text", "row", "spans").mapInArrow(cut, T.StructType([found.schema["text"], found.schema["row"]]))
+    return done.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: words, words hit, items and a digest of their ids."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hit = "aggregate(sequence(0, cast(size(spans) / 2 as int) - 1), 0L, (n, i) -> n + spans[2 * i + 1] - spans[2 * i])"

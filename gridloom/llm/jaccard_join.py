@@ -310,8 +310,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, t: int = 80, broadcast_rows: in
 
     Documents link when 100 * intersection >= t * union of their sets of k-word shingles; component_id is the smallest doc_id
     reachable. A text of fewer words is one shingle; one without words, or null, links with nothing. Rows with a null doc_id
-    keep a null component_id and link with nothing. A doc_id that occurs on several rows is one node for its links' ids,
-    but each row keeps its own set.
+    have their number of shingles and a null component_id, and link with nothing. A doc_id that occurs on several rows is one node, with the links
+    of all of them, but each row keeps its own set.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "jaccard")
@@ -334,7 +334,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, t: int = 80, broadcast_rows: in
     n = n_buckets(spark, 56 * total * (101 - t) / 100)
     posted = sets.mapInArrow(_postings(shared, t, n), "bucket long, keys binary, reps binary, sizes binary, bins binary")
     candidates = ws.table("candidates", posted.groupBy("bucket").applyInArrow(families(t), "a long, b long"))
-    family = ws.table("family", components(ws, candidates, "c").withColumnsRenamed({"node": "rep", "component": "family"}))
+    family = ws.table("family", components(candidates).withColumnsRenamed({"node": "rep", "component": "family"}))
     members = sets.join(family, "rep")
     weight = members.groupBy("family").agg(F.sum(8 * F.col("n")).alias("bytes"))
     blocks = weight.select("family", F.ceil(F.col("bytes") / family_bytes).cast("int").alias("g"))
@@ -342,12 +342,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, t: int = 80, broadcast_rows: in
     # of a family in g blocks, each pair of blocks is a task of its own; most families have one block
     members = members.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).withColumns({"x": F.least("i", "j"), "y": F.greatest("i", "j")})
     edges = ws.table("edges", members.groupBy("family", "x", "y").applyInArrow(_search_group(t), "a long, b long"))
-    linked = components(ws, edges, "l")
-    same = all_docs.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    same = same.join(linked, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.when(F.col("n") > 0, F.coalesce("component", "rep")).alias("component"))
-    # links that meet only in a repeated doc_id
-    out = all_docs.join(same, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    return out.unionAll(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+    ws.drop("candidates", "family", "sets", "reps")
+    same = ws.table("same", all_docs.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
+    # rows of one doc_id with different texts are one node
+    node = all_docs.join(same.select("hi", "lo", "rep"), ["hi", "lo"])
+    several = ws.table("several", node.groupBy("doc_id").agg(F.count("*").alias("k"), F.collect_set(F.when(F.col("n") > 0, F.col("rep"))).alias("reps")).where("k > 1").select("doc_id", "reps"))
+    meet = several.where(F.size("reps") > 1).select(F.array_min("reps").alias("a"), F.explode("reps").alias("b"))
+    linked = components(edges.unionByName(meet))
+    of = same.join(linked, F.col("rep") == F.col("node"), "left").select("hi", "lo", "rep", F.when(F.col("n") > 0, F.coalesce("component", "rep")).alias("component"))
+    out = ws.table("linked", all_docs.join(of, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
+    # a row without words goes with the other rows of its doc_id
+    least = out.join(several.select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min("component_id").alias("least"))
+    out = out.join(least, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "component_id").alias("component_id"))
+    ws.drop("docs", "edges", "same")
+    nobody = docs.where("doc_id is null").select("text").mapInArrow(_sizes(k), "n_shingles long")
+    return out.unionAll(nobody.select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id")))
+
+
+def _sizes(k: int):
+    def run(batches):
+        for batch in batches:
+            data, offsets = column(batch.column(0))
+            for a, b in groups(offsets, 1 << 20):
+                yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in sets_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)], pa.int64())], ["n_shingles"])
+
+    return run
 
 
 def deduplicate(docs: DataFrame, k: int = 5, t: int = 80) -> DataFrame:

@@ -8,15 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.llm._bytes import LOWER, column, groups, mix
 
 BITS = 15
 DIM = 16
 GRAMS = (2, 3, 4)
-#: The model is fitted on at most so many labelled rows, drawn by hash of text, none longer than SAMPLE_BYTES.
+#: The model is fitted on at most so many labelled rows, drawn by hash of text. Whole texts count; the driver gets their distinct grams only.
 SAMPLE_ROWS = 4000
-SAMPLE_BYTES = 1 << 15
 #: Share of well-predicted calibration rows that the threshold may reject, and the highest threshold.
 REJECT_SHARE, REJECT_BELOW = 0.002, 0.5
 
@@ -27,7 +27,7 @@ _LETTER[123:128] = 32
 
 
 def subwords(data: np.ndarray, offsets: np.ndarray):
-    """For each length of gram: hashed ids of the byte grams of letters and word ends, and where each text's ids begin.
+    """For each length of gram: hashed ids of the byte grams of letters and word ends, where each text's ids begin, and where each gram does.
 
     Grams keep to one text; whatever isn't a letter counts as a space, and grams of spaces alone are none.
     """
@@ -40,20 +40,38 @@ def subwords(data: np.ndarray, offsets: np.ndarray):
             h = h * np.uint64(257) + x[j : j + m]
             blank &= x[j : j + m] == 32
         at = np.flatnonzero(~blank & (np.arange(m) + n <= ends[:m]))
-        yield (mix(h[at] + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int64), np.searchsorted(at, offsets)
+        yield (mix(h[at] + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int64), np.searchsorted(at, offsets), at
 
 
-def _sparse(text: str) -> tuple[np.ndarray, np.ndarray]:
+SLICE = 1 << 18
+
+
+def slices(data: np.ndarray, offsets: np.ndarray, a: int, b: int):
+    """subwords() of the texts a..b in slices of bounded size, each gram once: (ids, where each text's ids begin)."""
+    lo, hi, longest = int(offsets[a]), int(offsets[b]), GRAMS[-1] - 1
+    for s in range(lo, max(hi, lo + 1), SLICE):
+        e = min(hi, s + SLICE + longest)
+        for n, (ids, at, place) in zip(GRAMS, subwords(data[s:e], np.clip(offsets[a : b + 1] - s, 0, e - s)), strict=True):
+            if e < hi or s + SLICE < e:  # grams that begin in the overlap belong to the next slice
+                own = place < SLICE
+                at = np.searchsorted(np.flatnonzero(own), at) if not own.all() else at
+                ids = ids[own]
+            yield ids, at
+
+
+def sparse(text: str) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(text.encode(), np.uint8)
-    ids = np.concatenate([i for i, _ in subwords(data, np.array([0, len(data)]))])
-    ids, n = np.unique(ids, return_counts=True)
-    return ids, (n / max(1, n.sum())).astype(np.float32)
+    total = np.zeros(1 << BITS, np.int64)
+    for ids, _ in slices(data, np.array([0, len(data)]), 0, 1):
+        total += np.bincount(ids, minlength=len(total))
+    ids = np.flatnonzero(total)
+    return ids, (total[ids] / max(1, total.sum())).astype(np.float32)
 
 
 class Model:
-    """class names, per-bucket class scores (embedding times softmax weights), bias, temperature and threshold."""
+    """class names, per-bucket class scores (embedding times softmax weights), bias, temperature and threshold; rows: a text or its sparse(), and lang."""
 
-    def __init__(self, rows: list[tuple[str, str]], epochs: int = 12, rate: float = 4.0, seed: int = 1):
+    def __init__(self, rows: list[tuple], epochs: int = 12, rate: float = 4.0, seed: int = 1):
         self.names = sorted({lang for _, lang in rows})
         k = len(self.names)
         self.scores, self.bias = np.zeros((1 << BITS, max(1, k)), np.float32), np.zeros(max(1, k), np.float32)
@@ -61,7 +79,7 @@ class Model:
         if k < 2:
             return
         y = np.array([self.names.index(lang) for _, lang in rows])
-        x = [_sparse(text) for text, _ in rows]
+        x = [sparse(text) if isinstance(text, str) else text for text, _ in rows]
         held = np.arange(len(rows)) % 5 == 4 if len(rows) >= 50 else np.zeros(len(rows), bool)
         fit = np.flatnonzero(~held)
         rng = np.random.default_rng(seed)
@@ -99,16 +117,12 @@ class Model:
         """Calibrated probabilities of each text; whole texts, in slices of bounded size."""
         n, k = len(offsets) - 1, self.scores.shape[1]
         total, count = np.zeros((n, k)), np.zeros(n)
-        for a, b in groups(offsets, 1 << 18):
-            lo, hi = int(offsets[a]), int(offsets[b])
-            for s in range(lo, hi, 1 << 18):  # a very long text goes by pieces that overlap by a gram less one byte
-                e = min(hi, s + (1 << 18) + GRAMS[-1] - 1)
-                piece, own = data[s:e], np.clip(offsets[a : b + 1] - s, 0, e - s)
-                for ids, at in subwords(piece, own):
-                    add = np.zeros((len(ids) + 1, k))
-                    np.cumsum(self.scores[ids], axis=0, out=add[1:])
-                    total[a:b] += add[at[1:]] - add[at[:-1]]
-                    count[a:b] += np.diff(at)
+        for a, b in groups(offsets, SLICE):
+            for ids, at in slices(data, offsets, a, b):
+                add = np.zeros((len(ids) + 1, k))
+                np.cumsum(self.scores[ids], axis=0, out=add[1:])
+                total[a:b] += add[at[1:]] - add[at[:-1]]
+                count[a:b] += np.diff(at)
         return _softmax((total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature)
 
 
@@ -123,11 +137,27 @@ def sample(rows: DataFrame, most: int, *by: str) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(*by), F.lit(1 << 31)) < F.lit(int(share * (1 << 31)))).limit(most)
 
 
+def features_of(rows: DataFrame, one, *others: str) -> list:
+    """Rows of a bounded sample as (hash of text, one's ids and weights of the whole text, others), worked out where the texts are."""
+    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("ids", T.BinaryType()), T.StructField("weights", T.BinaryType()), *(rows.schema[c] for c in others)])
+
+    def run(batches):
+        for batch in batches:
+            for i, text in enumerate(batch.column(0)):
+                ids, weights = one(text.as_py())
+                key = hashlib.blake2b(text.as_py().encode(), digest_size=16).hexdigest()
+                made = [pa.array([key]), pa.array([ids.astype(np.int32).tobytes()]), pa.array([weights.astype(np.float32).tobytes()])]
+                yield pa.RecordBatch.from_arrays([*made, *(batch.column(1 + j).slice(i, 1) for j in range(len(others)))], ["key", "ids", "weights", *others])
+
+    got = rows.select(F.col("text").cast("string").alias("text"), *others).mapInArrow(run, schema).toLocalIterator()
+    return [(r.key, (np.frombuffer(r.ids, np.int32).astype(np.int64), np.frombuffer(r.weights, np.float32)), *(r[c] for c in others)) for r in got]
+
+
 def fit(labelled: DataFrame) -> Model:
     """From rows (text, lang), told apart by doc_id if there is one: a bounded sample, the same whatever their order."""
-    rows = labelled.where("text is not null and lang is not null").where(F.octet_length("text") <= SAMPLE_BYTES)
+    rows = labelled.where("text is not null and lang is not null")
     rows = sample(rows, SAMPLE_ROWS, "text", "lang", *(["doc_id"] if "doc_id" in labelled.columns else []))
-    return Model(sorted(((r.text, r.lang) for r in rows.select("text", "lang").collect()), key=lambda r: hash_key(*r)))
+    return Model([(x, lang) for _, x, lang in sorted(features_of(rows, sparse, "lang"), key=lambda r: hash_key(r[0], r[2]))])
 
 
 def hash_key(*values) -> bytes:
@@ -142,8 +172,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """
     docs = docs.drop("lang_pred", "score", "accepted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    from pyspark.sql import types as T
-
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
 
     def run(batches):

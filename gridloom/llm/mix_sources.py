@@ -24,15 +24,16 @@ from pyspark.sql import types as T
 
 from gridloom.llm._bytes import ALNUM, NONSPACE, column, groups, words
 from gridloom.llm._work import Workspace
-from gridloom.llm.language_id import hash_key, sample
+from gridloom.llm.language_id import features_of, hash_key, sample
 
 DOMAINS = ("good", "plain", "toxic")
 #: Shares of tokens by domain.
 TARGETS = {"good": 0.85, "plain": 0.15, "toxic": 0.0}
 BITS = 16
-#: The classifier is fitted on at most so many labelled rows, drawn by hash of text, none longer than SAMPLE_BYTES.
+#: The classifier is fitted on at most so many labelled rows, drawn by hash of doc_id. Whole texts count; the driver gets their features only.
 SAMPLE_ROWS = 6000
-SAMPLE_BYTES = 1 << 15
+#: Posteriors are whole numbers of this part, so that documents of one posterior can be summed for the fit.
+GRAIN = 1000
 #: Residuals of domains with a target above 0 count so many times.
 WEIGHT = 10
 RIDGE = 0.05
@@ -51,13 +52,24 @@ def features(data: np.ndarray, offsets: np.ndarray):
         yield np.unique(ids).astype(np.int64)
 
 
+def presence(text: str) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    ids = next(features(data, np.array([0, len(data)])))
+    return ids, np.zeros(0)
+
+
+def whole(p: np.ndarray) -> np.ndarray:
+    """Probabilities rounded to whole parts of GRAIN that sum to 1: the largest remainders are rounded up."""
+    low = np.floor(p * GRAIN + 1e-9).astype(int)
+    low[np.argsort(low - p * GRAIN, kind="stable")[: GRAIN - low.sum()]] += 1
+    return low / GRAIN
+
+
 class Classifier:
-    """Softmax regression on presence of hashed features that several labelled rows have, by AdaGrad."""
+    """Softmax regression on presence of hashed features that several labelled rows have, by AdaGrad. rows: a text or its features, and domain."""
 
-    def __init__(self, rows: list[tuple[str, int]], k: int = len(DOMAINS), epochs: int = 12, least: int = 5, seed: int = 2):
-        data = [np.frombuffer((t or "").encode(), np.uint8) for t, _ in rows]
-        offsets = np.cumsum([0, *map(len, data)])
-        x = list(features(np.concatenate(data) if data else np.zeros(0, np.uint8), offsets)) if rows else []
+    def __init__(self, rows: list[tuple], k: int = len(DOMAINS), epochs: int = 12, least: int = 5, seed: int = 2):
+        x = [presence(t)[0] if isinstance(t, str) else t for t, _ in rows]
         y = np.array([d for _, d in rows], int)
         seen = np.bincount(np.concatenate(x), minlength=1 << BITS) if x else np.zeros(1 << BITS, int)
         self.w, self.b = np.zeros((1 << BITS, k), np.float32), np.log((np.bincount(y, minlength=k) + 0.5) / (len(y) + 0.5 * k)).astype(np.float32)
@@ -88,12 +100,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     """Domains by label: toxic 1, else quality 0 is plain and 1 is good. Rows with a null label or text teach nothing."""
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("toxic").isNull() | F.col("quality").isNull(), None).when(F.col("quality") == 0, 1).otherwise(0)
     drawn = sample(labels.select("doc_id", domain.alias("domain")).where("domain is not null and doc_id is not null").distinct(), SAMPLE_ROWS, "doc_id")
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(drawn), "doc_id").limit(2 * SAMPLE_ROWS)
-    return Classifier(sorted(((r.text, r.domain) for r in rows.select("text", "domain").collect()), key=lambda r: hash_key(*r)))
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id").limit(2 * SAMPLE_ROWS)
+    return Classifier([(x[0], d) for _, x, d in sorted(features_of(rows, presence, "domain"), key=lambda r: hash_key(r[0], r[2]))])
 
 
 def posteriors(docs: DataFrame, model: Classifier, names: tuple[str, ...] = DOMAINS) -> DataFrame:
-    """docs with n_tokens (space-parted, whole texts; null has none) and posterior (array over names)."""
+    """docs with n_tokens (space-parted, whole texts; null has none) and posterior (array over names, in whole parts of GRAIN)."""
     docs = docs.drop("n_tokens", "posterior")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))])
@@ -106,7 +118,7 @@ def posteriors(docs: DataFrame, model: Classifier, names: tuple[str, ...] = DOMA
             for a, b in groups(offsets, 1 << 20):
                 own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 n += np.diff(words(own, at, NONSPACE)[3]).tolist()
-                p += [m.one(ids).astype(float).tolist() for ids in features(own, at)]
+                p += [whole(m.one(ids).astype(float)).tolist() for ids in features(own, at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(p, pa.list_(pa.float64()))], [f.name for f in schema.fields])
 
     return docs.mapInArrow(run, schema)
@@ -166,16 +178,24 @@ def mix(docs: DataFrame, labelled: DataFrame, labels: DataFrame, targets: dict[s
     """docs with n_tokens, posterior and rate: how often to draw each document. Every row stays; columns of these names are replaced.
 
     Without labelled rows the posterior is uniform. labelled: documents that labels refer to. For the fit, tokens are summed by
-    posterior, rounded to three places. keep_text=False leaves text out.
+    posterior. keep_text=False leaves text out. achieved() tells what the rates come to.
     """
     ws = Workspace(docs.sparkSession, "mix")
     scored = posteriors(docs.drop("rate"), fit(labelled, labels))
     scored = ws.table("scored", scored if keep_text else scored.drop("text"))
-    small = ws.table("sums", scored.groupBy(F.expr("transform(posterior, x -> round(x, 3))").alias("posterior")).agg(F.sum("n_tokens").alias("n_tokens")))
+    small = ws.table("sums", scored.groupBy("posterior").agg(F.sum("n_tokens").alias("n_tokens")))
     return rates(scored, fit_rates(small, targets))
 
 
+def achieved(mixed: DataFrame) -> dict[str, float]:
+    """The share of expected tokens of each domain, of what mix() returns."""
+    n = F.col("rate") * F.col("n_tokens")
+    row = mixed.agg(*(F.sum(n * F.col("posterior")[i]).alias(d) for i, d in enumerate(DOMAINS)), F.sum(n).alias("all")).first()
+    return {d: (row[d] or 0.0) / (row["all"] or 1.0) for d in DOMAINS}
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: tokens, posterior by domain and rate."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = mix(docs.select("doc_id", "text"), docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_text=False)
     return out.select("doc_id", "n_tokens", *(F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate")

@@ -9,6 +9,7 @@ text from a common boundary on gives equal pre-tokens.
 from __future__ import annotations
 
 import base64
+import bisect
 import os
 
 import numpy as np
@@ -32,9 +33,8 @@ REDACTED = "[redacted]"
 
 
 class Counter:
-    def __init__(self, path: str = VOCABULARY):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def __init__(self, vocabulary: bytes):
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pattern, self.known = regex.compile(PATTERN), {}
 
@@ -52,6 +52,11 @@ class Counter:
         return n
 
 
+def load(path: str = VOCABULARY) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
 class Tree:
     """A document's text with its pre-token counts; edit() keeps them right."""
 
@@ -132,7 +137,9 @@ class Tree:
 def redactions(text: str) -> list[tuple[int, int, str]]:
     """Edits that replace personal data, the last first, so that earlier offsets stay right."""
     found = [m.span() for m in _MAIL.finditer(text)] if "@" in text else []
-    found += [m.span() for m in _PHONE.finditer(text) if not any(a < m.end() and m.start() < b for a, b in found)]
+    starts, ends = [a for a, _ in found], [b for _, b in found]
+    # mail addresses are in order and apart, so those that a number meets are the ones that end after its start and start before its end
+    found += [m.span() for m in _PHONE.finditer(text) if bisect.bisect_right(ends, m.start()) == bisect.bisect_left(starts, m.end())]
     return [(a, b, REDACTED) for a, b in sorted(found, reverse=True)]
 
 
@@ -152,10 +159,12 @@ def count(docs: DataFrame, edits=redactions, path: str = VOCABULARY) -> DataFram
     """doc_id, n_tokens, n_pretokens, n_edits, n_tokens_edited and n_reencoded (pre-tokens tokenised again) of every row.
 
     edits: a function from a text to (start, end, new text) in the order in which they apply. A null text is empty and has no tokens.
+    The driver reads the vocabulary (a file of fixed size) and executors get it with the code.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches):
-        counter = Counter(path)
+        counter = Counter(shared.value)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -167,4 +176,5 @@ def count(docs: DataFrame, edits=redactions, path: str = VOCABULARY) -> DataFram
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: tokens before and after personal data is replaced, and how much of it was tokenised again."""
     return count(spark.read.parquet(f"{sf_dir}/documents.parquet"))

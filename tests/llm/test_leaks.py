@@ -17,26 +17,33 @@ def data(seed=3):
     return docs + [(100, None), (101, ""), (102, (items[5][1] + " ") * 3000), (7, docs[7][1])], items
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, tmp_path):
     docs, items = data()
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = sorted(brute.leaks(docs, items))
-    d.write.mode("overwrite").parquet("/tmp/gridloom-test/documents.parquet")
-    b.write.mode("overwrite").parquet("/tmp/gridloom-test/benchmark.parquet")
-    assert sorted(map(tuple, op.op2_decontaminate(spark, "/tmp/gridloom-test").collect())) == want
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    b.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(map(tuple, op.op2_decontaminate(spark, str(tmp_path)).collect())) == want
     sliced = op.find(d, b, max_windows=300).collect()
     assert sorted((r.doc_id, sum(r.spans[1::2]) - sum(r.spans[::2]), len(r["items"])) for r in sliced) == [(x[0], x[2], x[3]) for x in want]
 
 
 def test_modes_and_clashing_columns(spark):
     docs, items = data()
-    d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, items int")
+    d = spark.createDataFrame([(*x, 1, 2, "s", 3) for x in docs], "doc_id long, text string, items int, n_words int, spans string, row int")
     b = spark.createDataFrame(items, "item_id long, text string")
     assert op.find(d.limit(0), b).count() == 0 and op.find(d, b.limit(0)).where("size(spans) > 0").count() == 0
-    clean = op.decontaminate(d.drop("items"), b)
-    assert clean.count() == sum(not x[5] for x in brute.leaks(docs, items))
-    cut = op.decontaminate(d.drop("items"), b, mode="spans")
-    assert cut.count() == len(docs) and cut.columns == ["doc_id", "text"]
+    clean = op.decontaminate(d, b)
+    assert clean.count() == sum(not x[5] for x in brute.leaks(docs, items)) and clean.columns == d.columns
+    assert {tuple(r)[2:] for r in clean.collect()} == {(1, 2, "s", 3)}
+    cut = op.decontaminate(d, b, mode="spans")
+    assert cut.count() == len(docs) and cut.columns == d.columns
     before = {x[0]: x for x in brute.leaks(docs, items)}
     for r in cut.collect():
-        assert len(brute.ALNUM.findall(brute.low(r.text))) == before[r.doc_id][1] - before[r.doc_id][2]
+        assert len(brute.ALNUM.findall(brute.low(r.text))) == before[r.doc_id][1] - before[r.doc_id][2] and tuple(r)[2:] == (1, 2, "s", 3)
+
+
+def test_items_without_an_id(spark):
+    b = spark.createDataFrame([(None, "one two"), (5, "one two"), (None, None)], "item_id long, text string")
+    got = op.find(spark.createDataFrame([(1, "say one two"), (None, None)], "doc_id long, text string"), b).collect()
+    assert sorted((r.doc_id or 0, list(r["items"])) for r in got) == [(0, []), (1, ["", "5"])]

@@ -58,10 +58,25 @@ def test_very_long_texts_are_read_whole(monkeypatch):
     model = language_id.Model([(t, x) for _, t, x in corpus(60)])
     text = " ".join(t for _, t, _ in corpus(200))
     data = np.frombuffer(text.encode(), np.uint8)
-    whole = model.predict(data, np.array([0, len(data)]))
-    ids = [i for i, _ in language_id.subwords(data, np.array([0, len(data)]))]
+    ids = [i for i, _, _ in language_id.subwords(data, np.array([0, len(data)]))]
     logits = sum(model.scores[i].astype(float).sum(0) for i in ids) / sum(map(len, ids)) + model.bias
-    assert np.allclose(whole[0], language_id._softmax(logits[None] / model.temperature)[0], atol=1e-6)
+    before = language_id.sparse(text)
+    for size in (1000, 37, language_id.SLICE):
+        monkeypatch.setattr(language_id, "SLICE", size)
+        whole = model.predict(np.concatenate((data, data[:500])), np.array([0, len(data), len(data), len(data) + 500]))
+        assert np.allclose(whole[0], language_id._softmax(logits[None] / model.temperature)[0], atol=1e-6)
+        assert all((x == y).all() for x, y in zip(before, language_id.sparse(text), strict=True))
+
+
+def test_unknown_languages_are_rejected(spark):
+    model = language_id.Model([(t, x) for _, t, x in corpus(400)])
+    model.threshold = max(model.threshold, 0.4)
+    r = random.Random(8)
+    odd = [(i, " ".join("".join(r.choices("qwxyj", k=5)) for _ in range(40)), "zz") for i in range(20)]
+    known = [(100 + i, t, x) for i, t, x in corpus(40, 9)]
+    got = language_id.predict(spark.createDataFrame(odd + known, "doc_id long, text string, lang string"), model).collect()
+    assert sum(x.accepted for x in got if x.doc_id >= 100) >= 38
+    assert np.mean([x.score for x in got if x.doc_id < 100]) < np.mean([x.score for x in got if x.doc_id >= 100])
 
 
 def test_lm_score(spark, docs_dir):
@@ -157,6 +172,8 @@ def test_mixing_meets_targets(spark):
         assert abs(sum(x.rate * x.n_tokens * x.posterior[k] for x in got) / total - mix_sources.TARGETS[d]) < 0.1
     kind = dict((i, k) for i, _, k in rows)
     assert np.mean([x.rate for x in got if kind.get(x.doc_id) == "toxic"]) < 0.3 < np.mean([x.rate for x in got if kind.get(x.doc_id) == "good"])
+    mixed = mix_sources.mix(docs, docs, lab)
+    assert mix_sources.achieved(mixed)["good"] > 0.8 and abs(sum(mix_sources.achieved(mixed).values()) - 1) < 1e-9
     assert mix_sources.mix(docs.limit(0), docs.limit(0), lab).count() == 0
     assert mix_sources.mix(docs, docs, lab.limit(0)).count() == 503
 
@@ -189,6 +206,13 @@ def test_lm_weights_learn_from_all_grams(monkeypatch):
     assert sum(seen) == len(g)
 
 
+def test_nearest_with_vectors_of_several_lengths(spark):
+    rows = vectors()[:120]
+    df = spark.createDataFrame([*rows, (3000, [1.0] * 4), (3020, [1.0] * 16)], "vec_id long, embedding array<float>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in ann.search(df, F.col("vec_id") % 20 == 0).collect()}
+    assert got == {(q, k + 1): i for q, near in exact(rows).items() for k, (_, i) in enumerate(near)}
+
+
 def test_nearest_breaks_many_ties_by_id(spark):
     r = np.random.default_rng(3)
     rows = [(i, [float(v) for v in np.float32(r.normal(size=8))]) for i in range(100)]

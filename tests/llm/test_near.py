@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
-from gridloom.llm.jaccard_join import near_duplicates, search
+from gridloom.llm import _bytes
+from gridloom.llm.jaccard_join import deduplicate, near_duplicates, search
 from tests.llm import brute
 
 
@@ -30,14 +32,33 @@ def test_against_brute_force(spark, k, t):
 
 
 def test_nulls_repeats_and_empty(spark):
-    df = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (2, "A B C D")], "doc_id long, text string")
-    assert sorted(near_duplicates(df, 3, 90).collect(), key=str) == sorted([(4, 2, 2), (4, 2, 2), (2, 2, 2), (None, None, None), (None, None, None)], key=str)
+    df = spark.createDataFrame([(None, "a b c d"), (None, None), (4, "a b c d"), (4, "a b c d"), (2, "A B C D")], "doc_id long, text string")
+    assert sorted(near_duplicates(df, 3, 90).collect(), key=str) == sorted([(4, 2, 2), (4, 2, 2), (2, 2, 2), (None, 2, None), (None, 0, None)], key=str)
     assert near_duplicates(df.limit(0), 3, 90).collect() == []
 
 
-def test_search_skips_nothing():
-    import numpy as np
+def test_one_id_on_several_texts_is_one_node(spark):
+    a, b, c = "a b c d e", "p q r s t", "v w x y z"
+    df = spark.createDataFrame([(5, a), (5, b), (1, a), (9, b), (9, None), (7, c), (8, "")], "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, near_duplicates(df, 3, 90).collect())) == [(1, 3, 1), (5, 3, 1), (5, 3, 1), (7, 3, 7), (8, 0, 8), (9, 0, 1), (9, 3, 1)]
+    kept = deduplicate(df.withColumn("n_shingles", df.doc_id), 3, 90)
+    assert kept.columns == ["doc_id", "text", "n_shingles"] and sorted({r.doc_id for r in kept.collect()}) == [1, 7, 8]
+
+
+def test_texts_that_polynomials_of_two_to_the_64th_confuse(spark):
+    word = "a"
+    while len(word) < 1024:  # a Thue-Morse word
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    for n in (1024, 100):
+        data = np.frombuffer((word[:n] + other[:n]).encode(), np.uint8)
+        x, y = _bytes.between(_bytes.prefix_hash(data), np.array([0, n]), np.array([n, 2 * n]))
+        assert x != y
+    got = near_duplicates(spark.createDataFrame([(1, word), (2, other), (3, word)], "doc_id long, text string"), 3, 90)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
 
+
+def test_search_skips_nothing():
     r = np.random.default_rng(1)
     core = r.integers(0, 2**62, 100, dtype=np.uint64)
     sets = [np.unique(np.concatenate((np.delete(core, r.integers(0, 100, r.integers(0, 6))), r.integers(0, 2**62, r.integers(0, 6), dtype=np.uint64)))) for _ in range(120)]

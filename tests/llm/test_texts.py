@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from gridloom.llm import line_dedup, token_counts, warc
 from gridloom.llm._work import Workspace
 
-COUNTER = token_counts.Counter()
+COUNTER = token_counts.Counter(token_counts.load())
 TEXT = st.text(st.sampled_from("ab' s'll1 .\n\t é漢-"), max_size=60)
 
 
