@@ -29,10 +29,12 @@ _pows: list[list[np.ndarray]] = [[np.ones(1, U64), np.ones(1, U64)] for _ in _BA
 
 
 def _mod(x: np.ndarray) -> np.ndarray:
-    """x, below 2**63, modulo the prime."""
+    """x, below 2**62, modulo the prime, in its own place."""
     for _ in range(2):
-        x = (x & _M) + (x >> U64(31))
-    return np.where(x >= _M, x - _M, x)
+        y = x >> U64(31)
+        x &= _M
+        x += y
+    return np.subtract(x, _M, out=x, where=x >= _M)
 
 
 def powers(n: int) -> list[list[np.ndarray]]:
@@ -61,14 +63,16 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     """For each polynomial H with H[e] - H[s] = the sum of its terms for data[s:e]."""
     h = np.zeros((2, len(data) + 1), U64)
     for own, terms, (pw, _) in zip(h, TERMS, powers(len(data) + 1), strict=True):
-        np.cumsum(_mod(terms[data] * pw[: len(data)]), out=own[1:])
+        np.cumsum(_mod(terms[data] * pw[: len(data)]), out=own[1:])  # below 2**31 each, so the sum of 2**31 of them stays below 2**62
     return h
 
 
 def between(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """Fingerprints of data[s:e], equal for equal bytes wherever they stand."""
     x, y = (_mod(_mod(own[e] - own[s]) * inv[s]) for own, (_, inv) in zip(h, powers(h.shape[1]), strict=True))
-    return mix(x | (y << U64(32)))
+    y <<= U64(32)
+    y |= x
+    return mix(y)
 
 
 def column(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

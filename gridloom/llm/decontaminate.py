@@ -77,6 +77,28 @@ def _merged(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
+#: Words of a long item that stand in one piece of it.
+PIECE = 20_000
+
+
+def _pieces(n: int, most: int):
+    """Items in pieces of so many words, which overlap by n - 1 words, so that each window stands in one of them at least."""
+
+    def run(batches):
+        for batch in batches:
+            ids, out = batch.column(0).to_pylist(), []
+            for item, text in zip(ids, batch.column(1).to_pylist(), strict=True):
+                data = np.frombuffer(text.encode(), np.uint8)
+                s, e, _, _ = words(data, np.array([0, len(data)]), ALNUM)
+                for a in range(0, max(1, len(s) - n + 1), most):
+                    b = min(len(s), a + most + n - 1)
+                    if b > a:
+                        out.append((item, data[s[a] : e[b - 1]].tobytes().decode()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], ["item_id", "text"])
+
+    return run
+
+
 def find(docs: DataFrame, benchmark: DataFrame, n: int = N, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Documents with n_words, spans (runs of hit words: start, end, start, end, ...) and items (sorted ids).
 
@@ -85,7 +107,8 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N, max_windows: int = M
     that size, each a pass over the documents. Other columns stay, whatever their names but these three.
     """
     spark = docs.sparkSession
-    bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where("text is not null")
+    bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    bench = bench.mapInArrow(_pieces(n, PIECE), "item_id string, text string").distinct()
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # no more windows than bytes
     slices = max(1, -(-total // max_windows))
     docs = docs.drop("n_words", "spans", "items")

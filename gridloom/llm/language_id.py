@@ -138,7 +138,7 @@ def sample(rows: DataFrame, most: int, *by: str) -> DataFrame:
 
 
 def features_of(rows: DataFrame, one, *others: str) -> list:
-    """Rows of a bounded sample as (hash of text, one's ids and weights of the whole text, others), worked out where the texts are."""
+    """Rows of a bounded sample as (hash of text, one's ids (below 65536) and weights of the whole text, others), worked out where the texts are."""
     schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("ids", T.BinaryType()), T.StructField("weights", T.BinaryType()), *(rows.schema[c] for c in others)])
 
     def run(batches):
@@ -146,11 +146,11 @@ def features_of(rows: DataFrame, one, *others: str) -> list:
             for i, text in enumerate(batch.column(0)):
                 ids, weights = one(text.as_py())
                 key = hashlib.blake2b(text.as_py().encode(), digest_size=16).hexdigest()
-                made = [pa.array([key]), pa.array([ids.astype(np.int32).tobytes()]), pa.array([weights.astype(np.float32).tobytes()])]
+                made = [pa.array([key]), pa.array([ids.astype(np.uint16).tobytes()]), pa.array([weights.astype(np.float32).tobytes()])]
                 yield pa.RecordBatch.from_arrays([*made, *(batch.column(1 + j).slice(i, 1) for j in range(len(others)))], ["key", "ids", "weights", *others])
 
     got = rows.select(F.col("text").cast("string").alias("text"), *others).mapInArrow(run, schema).toLocalIterator()
-    return [(r.key, (np.frombuffer(r.ids, np.int32).astype(np.int64), np.frombuffer(r.weights, np.float32)), *(r[c] for c in others)) for r in got]
+    return [(r.key, (np.frombuffer(r.ids, np.uint16), np.frombuffer(r.weights, np.float32)), *(r[c] for c in others)) for r in got]
 
 
 def fit(labelled: DataFrame) -> Model:

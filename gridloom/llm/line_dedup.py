@@ -31,6 +31,8 @@ SIMILAR = 80
 #: Count sketch: 2 ** SKETCH_BITS levels, each twice the binary logarithm of a count.
 SKETCH_BITS = 17
 HASH_BITS = 56
+#: Lines of so many words have parity bits of 128 places, shorter ones of 64.
+LONG = 96
 #: Longs of parity bits that candidates are held against before their words (a power of 2).
 WIDE = 4
 #: Lists of words that occur more than 2 ** SALT_AT times are split.
@@ -88,25 +90,31 @@ def need(n: Column) -> Column:
 
 def prefixes(lines: DataFrame, levels: list[int]) -> DataFrame:
     """Of each line: place, hashes, size, parity bits and first words by rarity."""
-    high = F.split(F.lit(",".join(str(q << HASH_BITS) for q in levels)), ",").cast("array<bigint>")
+    level = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
 
     def token(w: Column) -> Column:
-        return F.get(high, _bucket(w)).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+        return F.shiftleft(F.get(level, _bucket(w)), HASH_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
     sets = lines.select(*LINE, *signature(), F.sort_array(F.array_distinct(F.transform(words(F.col("line")), token))).alias("toks"))
     sets = sets.withColumn("n", F.size("toks"))
-    bits = F.aggregate("toks", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    return sets.select(*LINE, "sig", "sig2", "n", bits.alias("bits"), F.slice("toks", 1, F.col("n") - need(F.col("n")) + 1).alias("toks"))
+    half = F.when(F.col("n") >= LONG, _parity(F.filter("toks", lambda x: x.bitwiseAND(F.lit(64)) != 0))).otherwise(0)
+    return sets.select(*LINE, "sig", "sig2", "n", _parity(F.col("toks")).alias("bits"), half.alias("half"), F.slice("toks", 1, F.col("n") - need(F.col("n")) + 1).alias("toks"))
 
 
-def _similar(n: Column, at: Column, bits: Column, m: Column, place: Column, other: Column) -> Column:
-    """Length, positional and parity filters of two lines that share a word."""
-    t = SIMILAR
-    return (
-        (100 * F.least(n, m) >= t * F.greatest(n, m))
-        & ((100 + t) * F.least(n - at, m - place) >= t * (n + m))
-        & ((100 + t) * F.bit_count(bits.bitwiseXOR(other)) <= (100 - t) * (n + m))
-    )
+def _parity(toks: Column) -> Column:
+    """64 bits: how many of the words have each remainder, modulo 2."""
+    return F.aggregate(toks, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def _similar(one: list[Column], other: list[Column]) -> Column:
+    """Length, positional and parity filters of two lines (n, at, bits, half) that share a word.
+
+    Long lines have their words in two halves, so theirs are 128 bits.
+    """
+    (n, at, bits, half), (m, place, bits2, half2), t = one, other, SIMILAR
+    all_, some = bits.bitwiseXOR(bits2), half.bitwiseXOR(half2)
+    apart = F.when((n >= LONG) & (m >= LONG), F.bit_count(some) + F.bit_count(all_.bitwiseXOR(some))).otherwise(F.bit_count(all_))
+    return (100 * F.least(n, m) >= t * F.greatest(n, m)) & ((100 + t) * F.least(n - at, m - place) >= t * (n + m)) & ((100 + t) * apart <= (100 - t) * (n + m))
 
 
 def _level() -> Column:
@@ -155,23 +163,23 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, row, nos): numbers of the lines to remove from each row of docs (doc_id, row, text)."""
     ws = Workspace(docs.sparkSession, "lines")
     lines = ws.table("lines", lines_of(docs))
-    rep = F.min_by(F.struct(*LINE, "n", "bits", "toks"), F.struct("doc_id", "no", "row")).alias("r")
+    rep = F.min_by(F.struct(*LINE, "n", "bits", "half", "toks"), F.struct("doc_id", "no", "row")).alias("r")
     reps = ws.table("reps", prefixes(lines, rarity(lines)).groupBy("sig", "sig2").agg(rep, F.count("*").alias("times")).select("sig", "sig2", "times", "r.*"))
     ws.drop()
     by_size = Window.partitionBy("tok", "salt").orderBy("n", "doc_id", "no", "row")
-    every = reps.select(*LINE, "n", "bits", F.posexplode("toks").alias("at", "tok")).withColumn("salts", _salts()).withColumn("salt", F.pmod(F.xxhash64(*LINE), "salts"))
+    every = reps.select(*LINE, "n", "bits", "half", F.posexplode("toks").alias("at", "tok")).withColumn("salts", _salts()).withColumn("salt", F.pmod(F.xxhash64(*LINE), "salts"))
     parts = []
     for k in range(PASSES):
         part = every.where(F.shiftrightunsigned("tok", 20).bitwiseAND(F.lit(PASSES - 1)) == k)
         part = part.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size), "deep": F.coalesce(F.lag("n", DEEP).over(by_size) == F.col("n"), F.lit(False))})
         part = part.where((100 * F.col("less") >= SIMILAR * F.col("n")) | (100 * F.col("n") >= SIMILAR * F.col("more")) | (F.col("salts") > 1))
-        parts.append(ws.table(f"posted{k}", part.select("tok", "salt", *LINE, "n", "at", "bits", "deep")))
+        parts.append(ws.table(f"posted{k}", part.select("tok", "salt", *LINE, "n", "at", "bits", "half", "deep")))
         ws.drop()
     posted = functools.reduce(DataFrame.unionAll, parts)
     own_size = Window.partitionBy("tok", "salt", "n").orderBy("doc_id", "no", "row")
-    one, mine = F.struct(*LINE, "at", "bits"), [F.col(c) for c in ("n", "at", "bits")]
+    one, mine = F.struct(*LINE, "at", "bits", "half"), [F.col(c) for c in ("n", "at", "bits", "half")]
     deep = posted.where("deep").withColumns({"p0": F.first(one).over(own_size)} | {f"p{i}": F.lag(one, i).over(own_size) for i in LAGS})
-    prev = [F.when((F.struct(f"{p}.doc_id", f"{p}.no") < F.struct("doc_id", "no")) & _similar(*mine, F.col("n"), F.col(f"{p}.at"), F.col(f"{p}.bits")), _place(p, f"{p}.")) for p in ("p0", *(f"p{i}" for i in LAGS))]
+    prev = [F.when((F.struct(f"{p}.doc_id", f"{p}.no") < F.struct("doc_id", "no")) & _similar(mine, [F.col("n"), *(F.col(f"{p}.{c}") for c in ("at", "bits", "half"))]), _place(p, f"{p}.")) for p in ("p0", *(f"p{i}" for i in LAGS))]
     near = verified(ws, "near", deep.select(_place("late"), F.explode(F.array_compact(F.array(*prev))).alias("early")), lines)
     # sizes of two similar lines lie in the same class or in classes side by side
     by_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / SIMILAR) + 1e-9).cast("int")
@@ -183,7 +191,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         a, b = seek.alias("a"), every.alias("b")
         same = (F.col("a.tok") == F.col("b.tok")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.salt") == F.col("b.salt"))
         earlier = (F.col("b.doc_id") < F.col("a.doc_id")) | ((F.col("b.doc_id") == F.col("a.doc_id")) & (F.col("b.no") < F.col("a.no")))
-        filters = earlier & _similar(*(F.col(f"{s}.{c}") for s in "ab" for c in ("n", "at", "bits")))
+        filters = earlier & _similar(*([F.col(f"{s}.{c}") for c in ("n", "at", "bits", "half")] for s in "ab"))
         far.append(ws.table(f"far{k}", a.join(b, same & filters).select(_place("late", "a."), _place("early", "b."))))
         ws.drop(f"posted{k}")
     far = verified(ws, "far", functools.reduce(DataFrame.unionAll, far), lines)

@@ -1,11 +1,11 @@
 """Language-model scoring by logistic mixing of hashed-context bit predictors.
 
-The model codes a text's bytes (A-Z as a-z), then an end mark, bit by bit. For each of four contexts (1 to 3 bytes, and the word so
+The model codes a text's bytes (A-Z as a-z), then an end mark, bit by bit. For each of five contexts (1 to 4 bytes, and the word so
 far), a table of hashed slots counts zeros and ones; their logits are mixed by two sets of weights, one gated by how much the longest known
 context has seen, one by the bit's place, and an adaptive probability map refines the sum.
 
 Training is online: each task goes once through its texts in slices, predicts a slice with what it knows, then learns from it.
-Counts of all tasks are summed, weights averaged by bits seen. The model has a fixed size. For scoring it is frozen, so that a
+Counts of all tasks are summed, weights averaged by bits seen (so they follow a little from how rows were dealt to tasks). The model has a fixed size. For scoring it is frozen, so that a
 score depends on the text alone and not on the order of rows or on lost tasks. Within a slice equal four-byte
 strings after equal word beginnings are evaluated once.
 """
@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm._bytes import LOWER, NONSPACE, between, blob, column, groups, mix, prefix_hash, words
+from gridloom.llm._bytes import LOWER, MIX, NONSPACE, blob, column, groups, mix, words
 from gridloom.llm._exchange import block_ids, cuts, n_buckets
 from gridloom.llm._work import Workspace, text_bytes
 
-SLOT_BITS = (16, 19, 21, 22)
+SLOT_BITS = (16, 19, 21, 22, 22)
 K = len(SLOT_BITS)
+#: Tables of so many tasks are summed in one, in as many rounds as it takes.
+FAN = 32
 STARTS = np.concatenate(([0], np.cumsum([1 << b for b in SLOT_BITS])))
 CHUNK = 1 << 16
 GATES = 4 * K + 1
@@ -33,12 +35,16 @@ FIRST, TRAIN_SLICE = 1 << 15, 1 << 21
 END = 255
 RATE = 0.7
 STEP = 1 << 13
-_LOG = np.log(np.arange(65536, dtype=np.float32) + 0.4)
-_CONF = np.minimum(3, np.log2(np.arange(65536, dtype=np.float64) + 1) / 2).astype(np.int64)
+#: Logits are whole numbers of this part, and share an int32 with the slot's gate.
+UNIT = 1 << 16
+_LOG = np.round(np.log(np.arange(65536) + 0.4) * UNIT).astype(np.int32)
+_SEEN = np.arange(2 * 65536, dtype=np.float64)
+#: For each context the gate of a slot that has seen so much: 0 for nothing, then four steps.
+_GATE = [np.where(_SEEN > 0, 4 * k + 1 + np.minimum(3, np.log2(_SEEN + 1) / 2).astype(int), 0).astype(np.int32) for k in range(K)]
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte and end mark: itself, the three bytes before it in its text, and 32 bits for its word so far; and where each text begins."""
+    """For every byte and end mark: itself, the four bytes before it in its text, and 24 bits for its word so far; and where each text begins."""
     n = len(offsets) - 1
     x = np.full(len(data) + n, END, np.uint8)
     at = offsets + np.arange(n + 1)
@@ -55,54 +61,77 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         g |= before << np.uint64(8 * j)
     begin = np.where(NONSPACE[x], -1, here + 1)
     begin = np.maximum(here - place, np.maximum.accumulate(np.concatenate(([-1], begin[:-1])))) if len(x) else here
-    word = between(prefix_hash(x), begin, here) >> np.uint64(8 * K)
+    word = _beginnings(x, begin, here) >> np.uint64(8 * K)
     word[begin == here] = 0
     return g | (word << np.uint64(8 * K)), at
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def _beginnings(x: np.ndarray, begin: np.ndarray, here: np.ndarray) -> np.ndarray:
+    """A number for each x[begin:here]. Contexts that it confuses do no harm, so it need not be as sound as _bytes.between()."""
+    if not _POWERS or len(_POWERS[0]) <= len(x):
+        _POWERS[:] = []
+        for base in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)):
+            p = np.full(max(len(x) + 1, 1 << 21), base, np.uint64)
+            p[0] = 1
+            _POWERS.append(np.multiply.accumulate(p))
+    h = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(MIX[x] * _POWERS[0][: len(x)], out=h[1:])
+    return mix((h[here] - h[begin]) * _POWERS[1][begin])
+
+
 class Model:
-    """counts: zeros and ones of all slots; wa, wb: weights by gate and by bit; hits, ones: of the adaptive map."""
+    """counts: zeros and ones of all slots; state: each slot's logit and gate, which follow from these; wa, wb: weights by gate and by bit; hits, ones: of the adaptive map."""
 
     def __init__(self):
-        self.counts = np.zeros((int(STARTS[-1]), 2), np.uint32)
+        n = int(STARTS[-1])
+        self.counts, self.state = np.zeros((n, 2), np.uint32), np.zeros(n, np.int32)
         self.wa, self.wb = np.full((GATES, K + 1), 0.3, np.float32), np.zeros((8, K + 1), np.float32)
         self.wa[:, K] = 0
         self.ga, self.gb = np.zeros(self.wa.shape), np.zeros(self.wb.shape)
         self.hits, self.ones = np.zeros((256, APM)), np.zeros((256, APM))
 
     def freeze(self) -> Model:
-        """Counts become each slot's logit and gate, the map becomes probabilities."""
-        n = np.minimum(self.counts, 65535)
-        self.logit = (_LOG[n[:, 1]] - _LOG[n[:, 0]]).astype(np.float16)
-        self.gate = np.concatenate([_gates(k, n[a:b]) for k, (a, b) in enumerate(zip(STARTS[:-1], STARTS[1:], strict=True))])
+        """All slots get their logit and gate, the map becomes probabilities."""
+        for k in range(K):
+            self._derive(k, slice(STARTS[k], STARTS[k + 1]))
         self.counts, self.map = None, self._map()
         return self
 
+    def _derive(self, k: int, at) -> None:
+        n = np.minimum(self.counts[at], 65535)
+        self.state[at] = ((_LOG[n[:, 1]] - _LOG[n[:, 0]]) << 8) | _GATE[k][n[:, 0] + n[:, 1]]
+
     def _map(self) -> np.ndarray:
         centre = 1 / (1 + np.exp(-(np.arange(APM) / 2 - 8)))
         return ((self.ones + 100 * centre) / (self.hits + 100)).astype(np.float32)
 
-    def mix(self, x, gate):
-        """Sum of weighted logits, by gate and by bit; x: (K, 8, m)."""
+    def mix(self, slots):
+        """Logits of the contexts, the gates, and the sum of weighted logits, by gate and by bit; all (8, m)."""
+        x, gate = [], None
+        for i in slots:
+            state = self.state[i]
+            own = (state & 255).astype(np.uint8)
+            gate = own if gate is None else np.maximum(gate, own, out=gate)
+            state >>= 8
+            x.append(state * np.float32(1 / UNIT))
         w = (self.wa[None] + self.wb[:, None]).reshape(-1, K + 1)
-        at = gate + np.arange(8)[:, None] * GATES
+        at = gate + np.arange(0, 8 * GATES, GATES)[:, None]
         z = w[:, K][at]
         for k in range(K):
             z += w[:, k][at] * x[k]
-        return np.clip(z, -11, 11)
+        return x, gate, np.clip(z, -11, 11, out=z)
 
     def log10(self, g: np.ndarray) -> np.ndarray:
         """log10 of the probability of each gram's last byte."""
-        out = np.empty(len(g))
+        out, flat = np.empty(len(g)), self.map.reshape(-1)
         for a in range(0, len(g), STEP):
             bits, nodes, slots = _slots(g[a : a + STEP])
-            gate = self.gate[slots[0]].astype(np.int64)
-            for k in range(1, K):
-                np.maximum(gate, self.gate[slots[k]], out=gate)
-            z = self.mix([self.logit[i] for i in slots], gate)
+            _, _, z = self.mix(slots)
             p, (lo, f) = 1 / (1 + np.exp(-z)), _place(z)
             lo += nodes * APM
-            flat = self.map.reshape(-1)
             p = 0.6 * p + 0.4 * ((1 - f) * flat[lo] + f * flat[lo + 1])
             out[a : a + STEP] = np.log10(np.where(bits == 1, p, 1 - p).prod(0, dtype=np.float64))
         return out
@@ -110,41 +139,52 @@ class Model:
     def learn(self, g: np.ndarray, c: np.ndarray) -> int:
         """One online step over the distinct grams of a slice and how often each occurs; returns the bits seen.
 
-        Weights step on chunks of the grams, all of them at every size.
+        All grams are predicted from the slices before, and weights and map step on chunks of them; then the slice's counts are added, each
+        context's grams once.
         """
-        flat = self.counts.reshape(-1)
         for a in range(0, len(g), STEP):
-            bits, nodes, slots = _slots(g[a : a + STEP])
-            own = c[a : a + STEP]
-            self._step(bits, nodes, slots, own.astype(np.float32))
-            whole = np.broadcast_to(own.astype(np.uint32), bits.shape).ravel()
-            for k in range(K):
-                np.add.at(flat, (2 * slots[k] + bits).ravel(), whole)
+            self._step(*_slots(g[a : a + STEP]), c[a : a + STEP].astype(np.float32))
+        flat = self.counts.reshape(-1)
+        for k in range(K):
+            code, own = _distinct((_context(k, g) << np.uint64(8)) | (g & np.uint64(255)))
+            times = np.bincount(code, c, len(own)).astype(np.uint32)
+            for a in range(0, len(own), STEP):
+                part = own[a : a + STEP]
+                bits, nodes, low, half = _bits(part)
+                at = _line(k, part >> np.uint64(8), half, nodes, low)
+                np.add.at(flat, (2 * at + bits).ravel(), np.broadcast_to(times[a : a + STEP], bits.shape).ravel())
+                self._derive(k, at.ravel())
         return 8 * int(c.sum())
 
     def _step(self, bits, nodes, slots, w) -> None:
-        x, gate = [], np.zeros(bits.shape, np.int64)
-        for k in range(K):
-            n = np.minimum(self.counts[slots[k]], 65535)
-            x.append(_LOG[n[..., 1]] - _LOG[n[..., 0]])
-            np.maximum(gate, _gates(k, n), out=gate)
-        z = self.mix(x, gate)
+        x, gate, z = self.mix(slots)
+        x.append(np.ones_like(z))
+        one = bits.astype(np.float32)
         p = 1 / (1 + np.exp(-z))
-        err = (bits - p) * w
-        bend, at = np.maximum(p * (1 - p), 0.25 * np.abs(bits - p)) * w, gate.ravel()
+        err = one - p
+        bend = np.maximum(p * (1 - p), 0.25 * np.abs(err))
+        err *= w
+        bend *= w
+        order = np.argsort(gate.ravel(), kind="stable")
+        runs = np.flatnonzero(np.diff(gate.ravel()[order], prepend=np.uint8(255)))
+        here, e0, h0 = gate.ravel()[order[runs]], err.ravel()[order], bend.ravel()[order]
         for k in range(K + 1):
-            e, h = (err * x[k], bend * x[k] ** 2) if k < K else (err, bend)
-            self.ga[:, k] += np.bincount(at, h.ravel(), GATES)
-            self.gb[:, k] += h.sum(1)
-            self.wa[:, k] += RATE * np.bincount(at, e.ravel(), GATES) / (K * np.bincount(at, h.ravel(), GATES) + 0.01 * self.ga[:, k] + 100)
-            self.wb[:, k] += RATE * e.sum(1) / (4 * K * h.sum(1) + 0.01 * self.gb[:, k] + 100)
+            own = x[k].ravel()[order]
+            by_e, by_h = np.zeros(GATES), np.zeros(GATES)
+            by_e[here] = np.add.reduceat(e0 * own, runs, dtype=np.float64)
+            by_h[here] = np.add.reduceat(h0 * own * own, runs, dtype=np.float64)
+            self.ga[:, k] += by_h
+            self.wa[:, k] += RATE * by_e / (K * by_h + 0.01 * self.ga[:, k] + 100)
+            e, h = (err * x[k]).sum(1, dtype=np.float64), (bend * x[k] * x[k]).sum(1, dtype=np.float64)
+            self.gb[:, k] += h
+            self.wb[:, k] += RATE * e / (4 * K * h + 0.01 * self.gb[:, k] + 100)
         np.clip(self.wa, -1, 2, out=self.wa)
         np.clip(self.wb, -1, 1, out=self.wb)
-        lo, f = _place(z)
-        for j, share in ((lo, 1 - f), (lo + 1, f)):
-            j = (nodes * APM + j).ravel()
-            self.hits += np.bincount(j, (share * w).ravel(), 256 * APM).reshape(256, APM)
-            self.ones += np.bincount(j, (share * w * bits).ravel(), 256 * APM).reshape(256, APM)
+        # the map learns at the nearest of its points
+        near = np.clip((z + 8.25) * 2, 0, APM - 1).astype(np.int64)
+        both = np.bincount(((nodes * APM + near) * 2 + bits).ravel(), np.broadcast_to(w, bits.shape).ravel(), 512 * APM).reshape(256, APM, 2)
+        self.hits += both.sum(2)
+        self.ones += both[:, :, 1]
 
 
 def _place(z):
@@ -153,32 +193,36 @@ def _place(z):
     return lo, (at - lo).astype(np.float32)
 
 
-def _gates(k: int, n: np.ndarray) -> np.ndarray:
-    seen = n[..., 0].astype(np.int64) + n[..., 1]
-    return np.where(seen > 0, 4 * k + 1 + _CONF[np.minimum(seen, 65535)], 0).astype(np.uint8)
+def _context(k: int, g: np.ndarray) -> np.ndarray:
+    return (g >> np.uint64(8)) & np.uint64((1 << 8 * (k + 1)) - 1) if k < K - 1 else g >> np.uint64(8 * K)
 
 
-def _slots(g: np.ndarray):
-    """For packed grams: the last byte's bits, the nodes they stand at, and each context's slots; all (8, m)."""
+def _bits(g: np.ndarray):
+    """For packed grams: the last byte's bits, the nodes they stand at, their places in a context's two lines, and which second line; all but the last (8, m)."""
     cur, shift = (g & np.uint64(255)).astype(np.int64), np.arange(8)[:, None]
     bits = (cur[None] >> (7 - shift)) & 1
     nodes = (1 << shift) | (cur[None] >> (8 - shift))
-    # a context's nodes lie in two lines of 16 slots, one for each half of the byte
     low = nodes.copy()
     low[4:] = (nodes[4:] & ((1 << (shift[4:] - 4)) - 1)) | (1 << (shift[4:] - 4))
-    half, out = (cur >> 4).astype(np.uint64) + np.uint64(1), []
-    for k in range(K):
-        ctx = (g >> np.uint64(8)) & np.uint64((1 << 8 * (k + 1)) - 1) if k < K - 1 else g >> np.uint64(8 * K)
-        if k == 0:
-            out.append((ctx.astype(np.int64)[None] << 8) | nodes)
-        else:
-            line = np.uint64(64 - SLOT_BITS[k] + 4)
-            own = ctx * np.uint64(32)
-            first, second = ((mix(x * np.uint64(K + 2) + np.uint64(k)) >> line << np.uint64(4)).astype(np.int64) + int(STARTS[k]) for x in (own, own + half))
-            at = np.empty_like(nodes)
-            at[:4], at[4:] = first, second
-            out.append(at + low)
-    return bits, nodes, out
+    return bits, nodes, low, (cur >> 4).astype(np.uint64) + np.uint64(1)
+
+
+def _line(k: int, ctx: np.ndarray, half: np.ndarray, nodes: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """A context's slots: its nodes lie in two lines of 16, one for each half of the byte; the shortest context has them all."""
+    if k == 0:
+        return (ctx.astype(np.int64)[None] << 8) | nodes
+    line, own = np.uint64(64 - SLOT_BITS[k] + 4), ctx * np.uint64(32)
+    first, second = ((mix(x * np.uint64(K + 2) + np.uint64(k)) >> line << np.uint64(4)).astype(np.int64) + int(STARTS[k]) for x in (own, own + half))
+    at = np.empty_like(nodes)
+    at[:4], at[4:] = first, second
+    at += low
+    return at
+
+
+def _slots(g: np.ndarray):
+    """For packed grams: the last byte's bits, the nodes they stand at, and each context's slots; all (8, m)."""
+    bits, nodes, low, half = _bits(g)
+    return bits, nodes, [_line(k, _context(k, g), half, nodes, low) for k in range(K)]
 
 
 def _distinct(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,37 +266,57 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE):
 
 
 def _sum_learned(batches):
-    total: dict[int, np.ndarray] = {}
+    """Sums by (part, chunk); a row of a part that is whole has the slots left out."""
+    total: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
-        for c, at, x in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+        for part, c, at, x in zip(*(col.to_pylist() for col in batch.columns), strict=True):
             if c < 0:
-                total[c] = total.get(c, 0) + np.frombuffer(x, np.float64)
+                total[part, c] = total.get((part, c), 0) + np.frombuffer(x, np.float64)
             else:
-                if c not in total:
-                    total[c] = np.zeros((CHUNK, 2), np.int64)
-                total[c][np.frombuffer(at, np.uint16)] += np.frombuffer(x, np.uint32).reshape(-1, 2)
-    for c, x in total.items():
+                if (part, c) not in total:
+                    total[part, c] = np.zeros((CHUNK, 2), np.int64)
+                total[part, c][np.frombuffer(at, np.uint16)] += np.frombuffer(x, np.uint32).reshape(-1, 2)
+    for (part, c), x in total.items():
+        at = b""
         if c >= 0:
-            x = np.minimum(65535, np.ceil(x / np.maximum(1, x.max(1, keepdims=True) / 65535))).astype(np.uint16)
-        yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([blob(x)])], ["chunk", "counts"])
+            # counts beyond what 32 bits hold keep their proportion
+            x = np.ceil(x / np.maximum(1, x.max(1, keepdims=True) / (2**32 - 1))).astype(np.uint32)
+            own = np.flatnonzero(x.any(1))
+            at, x = blob(own.astype(np.uint16)), x[own]
+        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([c]), pa.array([at]), pa.array([blob(x)])], ["part", "chunk", "slots", "counts"])
+
+
+LEARNED = "part long, chunk long, slots binary, counts binary"
 
 
 def train(texts: DataFrame) -> Model:
-    """A model from the column text of all rows. What comes to the driver has the model's size, whatever the input."""
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    learned = texts.select("text").mapInArrow(_train, "chunk long, slots binary, counts binary")
+    """A model from the column text of all rows. What comes to the driver has the model's size, whatever the input.
+
+    Tables of FAN tasks meet in one task a chunk, and so on, so that what a task reads stays bounded.
+    """
+    spark = texts.sparkSession
+    ws = Workspace(spark, "lm-train")
+    learned = texts.select("text").mapInArrow(_train, "chunk long, slots binary, counts binary").select(F.spark_partition_id().cast("long").alias("part"), "chunk", "slots", "counts")
+    learned, level = ws.table("learned0", learned), 0
+    parts, shuffled = int(learned.agg(F.max("part")).first()[0] or 0) + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    while parts > 1 or not level:
+        parts, level = -(-parts // FAN), level + 1
+        some = learned.withColumn("part", F.floor(F.col("part") / FAN)).repartition(shuffled, "part", "chunk")
+        learned = ws.table(f"learned{level}", some.mapInArrow(_sum_learned, LEARNED))
+        ws.drop(f"learned{level - 1}")
     model = Model()
-    model.counts = np.zeros(model.counts.shape, np.uint16)
-    for r in learned.repartition(parts, "chunk").mapInArrow(_sum_learned, "chunk long, counts binary").toLocalIterator():
+    for r in learned.select("chunk", "slots", "counts").toLocalIterator():
         if r.chunk >= 0:
-            at = r.chunk * CHUNK
-            model.counts[at : at + CHUNK] = np.frombuffer(r.counts, np.uint16).reshape(-1, 2)[: len(model.counts) - at]
+            x = np.frombuffer(r.counts, np.uint32).reshape(-1, 2).astype(np.int64)
+            x = np.ceil(x / np.maximum(1, x.max(1, keepdims=True) / 65535))
+            model.counts[r.chunk * CHUNK + np.frombuffer(r.slots, np.uint16).astype(np.int64)] = x
         else:
             x = np.frombuffer(r.counts, np.float64)
             a, b = model.wa.size, model.wa.size + model.wb.size
             model.wa = (x[:a] / x[b]).reshape(model.wa.shape).astype(np.float32)
             model.wb = (x[a:b] / x[b]).reshape(model.wb.shape).astype(np.float32)
             model.hits, model.ones = x[b + 1 : b + 1 + 256 * APM].reshape(256, APM), x[b + 1 + 256 * APM :].reshape(256, APM)
+    ws.drop(f"learned{level}")
     return model.freeze()
 
 
@@ -291,7 +355,7 @@ def _requests(shared, n: int):
                 h, text = h[new], text[new].astype(np.uint16 if b - a < 65536 else np.uint32)
                 block, train = next(ids), blob(~held[a:b])
                 some = doc.slice(a, b - a)
-                head = [blob(some.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)), blob(np.column_stack((np.diff(first), some.is_null().to_numpy(zero_copy_only=False), held[a:b])).astype(np.int64)), blob(score), b""]
+                head = [blob(some.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)), blob(np.column_stack((np.diff(first), some.is_null().to_numpy(zero_copy_only=False), held[a:b], np.diff(at))).astype(np.int64)), blob(score), b""]
                 yield pa.RecordBatch.from_arrays([pa.array([-1 - block % n]), pa.array([block]), *(pa.array([x]) for x in head)], ["bucket", "block", "keys", "docs", "times", "extra"])
                 rows = list(cuts(h, n))
                 small = times.astype(np.uint16 if times.max(initial=0) < 65536 else np.uint32)
@@ -328,15 +392,15 @@ def _gather(table: pa.Table) -> pa.Table:
     logs = known = 0
     for bucket, keys, docs, times in zip(*(table.column(c).to_pylist() for c in ("bucket", "keys", "docs", "times")), strict=True):
         if bucket < 0:
-            ids, info, score = np.frombuffer(keys, np.int64), np.frombuffer(docs, np.int64).reshape(-1, 3), np.frombuffer(times, np.float64)
+            ids, info, score = np.frombuffer(keys, np.int64), np.frombuffer(docs, np.int64).reshape(-1, 4), np.frombuffer(times, np.float64)
         else:
             logs, known = logs + np.frombuffer(keys, np.float64), known + np.frombuffer(docs, np.float64)
     zero = np.zeros(len(ids))
-    return pa.table({"doc_id": pa.array(ids, mask=info[:, 1] == 1), "held_out": info[:, 2] == 1, "words": info[:, 0], "known": (known + zero).astype(np.int64), "logs": logs + zero, "score": score})
+    return pa.table({"doc_id": pa.array(ids, mask=info[:, 1] == 1), "held_out": info[:, 2] == 1, "words": info[:, 0], "known": (known + zero).astype(np.int64), "logs": logs + zero, "score": score, "n_bytes": info[:, 3]})
 
 
 def score(docs: DataFrame, held_out) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text).
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits and bits_per_byte (the end mark is a byte) of every row of docs (doc_id, text).
 
     held_out: a condition on doc_id and text; the other rows teach the model. A null text is empty: one token, the end. If nothing
     teaches, N and V are 0 and each base probability is 1.
@@ -348,14 +412,14 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     n = n_buckets(spark, 1.4 * text_bytes(docs))
     got = ws.table("counts", docs.mapInArrow(_requests(shared, n), SENT).groupBy("bucket").applyInArrow(_count, SENT))
     v = sum(int.from_bytes(r[0], "little") for r in got.where("block = -1").select("keys").toLocalIterator())
-    rows = ws.table("rows", got.where("block <> -1").groupBy("block").applyInArrow(_gather, "doc_id long, held_out boolean, words long, known long, logs double, score double"))
+    rows = ws.table("rows", got.where("block <> -1").groupBy("block").applyInArrow(_gather, "doc_id long, held_out boolean, words long, known long, logs double, score double, n_bytes long"))
     ws.drop("counts")
     ends, tokens = (int(x or 0) for x in rows.where("not held_out").agg(F.count("*"), F.sum("words")).first())
     total, v = tokens + ends, v + (ends > 0)
     return rows.select(
         "doc_id", "held_out", (F.col("words") + 1).alias("n_tokens"), (F.col("known") + int(ends > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("logs") + F.lit(float(np.log10(ends + 1))) - (F.col("words") + 1) * F.lit(float(np.log10(total + v + 1)))).alias("base_score"), "score",
-        (-F.col("score") * F.lit(float(np.log2(10)))).alias("bits"),
+        (-F.col("score") * F.lit(float(np.log2(10)))).alias("bits"), (-F.col("score") * F.lit(float(np.log2(10))) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )
 
 

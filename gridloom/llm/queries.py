@@ -51,4 +51,33 @@ ORACLE_SQL: dict[str, str] = {
         reach as (select doc_id a, doc_id b from documents union select reach.a, link.y from reach join link on reach.b = link.x),
         comp as (select a, min(b) c from reach group by a)
         select doc_id, coalesce(n, 0)::bigint n_shingles, c component_id from documents left join n using (doc_id) join comp on a = doc_id""",
+    "op4_warc": r"""
+    with d as (select page_id, octet_length(encode(coalesce(html, '')))::bigint payload_bytes, list_aggregate(list_transform(string_split(sha1(coalesce(html, '')), ''), lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), 'string_agg', '') b, min(page_id) over (partition by coalesce(html, '')) f from pages)
+    select page_id, payload_bytes, list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + substr(b, i + 1, 1)::int * 16 + substr(b, i + 2, 1)::int * 8 + substr(b, i + 3, 1)::int * 4 + substr(b, i + 4, 1)::int * 2 + substr(b, i + 5, 1)::int, 1)
+    for i in range(0, 160, 5)], 'string_agg', '') payload_digest, case when page_id = f then 'response' else 'revisit' end record_type, case when page_id <> f then f end refers_to from d""",
+    "op6_suffix_dedup": r"""
+    with doc as (select row_number() over () r, doc_id, hex(encode(coalesce(text, ''))) h from documents),
+    seg as (select r, q, substr(h, 2000 * q + 1, 2398) s, least(1000, n - 199 - 1000 * q) m from (select r, h, len(h) // 2 n, unnest(range(0, (len(h) // 2000 + 1)::bigint)) q from doc)),
+    win as (select r, 1000 * q + i p, md5_number(substr(s, 2 * i + 1, 400)) k from (select r, q, s, unnest(range(0, m::bigint)) i from seg where m > 0)),
+    dup as (select k from win group by k having count(*) > 1),
+    hit as (select r, p, p > 200 + lag(p) over (partition by r order by p) is not false fresh from win semi join dup using (k)),
+    span as (select r, min(p) a, max(p) + 200 b from (select r, p, sum(fresh::int) over (partition by r order by p) i from hit) group by r, i),
+    gap as (select r, h, coalesce(lag(b) over w, 0) e, a, last_value(b) over (partition by r order by a rows between unbounded preceding and unbounded following) z from span join doc using (r) window w as (partition by r order by a)),
+    kept as (select r, string_agg(substr(h, 2 * e + 1, 2 * (a - e)), '' order by a) || any_value(substr(h, 2 * z + 1)) k from gap group by r),
+    sums as (select r, sum(b - a)::bigint n_removed, count(*) n_spans from span group by r)
+    select doc_id, (len(h) // 2)::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans, sha256(unhex(coalesce(k, h))) kept_sha256
+    from doc left join sums using (r) left join kept using (r)""",
+    "op8_line_dedup": r"""
+    with doc as (select row_number() over () r, doc_id, text from documents),
+    ln as (select r, doc_id, no, lines[no] line from (select r, doc_id, lines, unnest(range(1, len(lines) + 1)) no from (select r, doc_id, string_split(text, chr(10)) lines from doc where text is not null))),
+    own as (select *, list_sort(list_distinct(list_filter(string_split_regex(lower(line), '[ \t\v\f\r]+'), lambda w: w <> ''))) w from ln),
+    sets as (select row_number() over () s, w, len(w) n, min({'d': doc_id, 'no': no}) f from own where len(w) > 0 and doc_id is not null group by w),
+    tok as (select s, n, unnest(w) t from sets), cnt as (select t, count(*) c from tok group by t),
+    ranked as (select s, n, t, row_number() over (partition by s order by c, t) k from tok join cnt using (t)),
+    pair as (select distinct a.s x, b.s y from ranked a join tok b using (t) where a.k <= a.n - ceil(0.8 * a.n) + 1 and a.s <> b.s and 10 * least(a.n, b.n) >= 8 * greatest(a.n, b.n)),
+    near as (select x, y from pair join sets a on a.s = x join sets b on b.s = y where 180 * len(list_intersect(a.w, b.w)) >= 80 * (a.n + b.n)),
+    best as (select s, least(any_value(sets.f), min(o.f)) f from sets left join (select x s, f from near join sets on sets.s = y union all select y s, f from near join sets on sets.s = x) o using (s) group by s),
+    kept as (select r, string_agg(line, chr(10) order by no) k from own left join sets using (w) left join best using (s) where best.f is null or doc_id is null or not best.f < {'d': doc_id, 'no': no} group by r)
+    select doc_id, (case when text is null then 0 else len(string_split(text, chr(10))) end)::bigint n_lines, case when text is null then 0 else octet_length(encode(coalesce(k, ''))) end::bigint kept_bytes,
+    case when text is not null then sha256(coalesce(k, '')) end kept_sha256 from doc left join kept using (r)""",
 }

@@ -17,13 +17,14 @@ def data(seed=3):
     return docs + [(100, None), (101, ""), (102, (items[5][1] + " ") * 3000), (7, docs[7][1])], items
 
 
-def test_against_brute_force(spark, tmp_path):
+def test_against_brute_force(spark, tmp_path, monkeypatch):
     docs, items = data()
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = sorted(brute.leaks(docs, items))
     d.write.parquet(f"{tmp_path}/documents.parquet")
     b.write.parquet(f"{tmp_path}/benchmark.parquet")
     assert sorted(map(tuple, op.op2_decontaminate(spark, str(tmp_path)).collect())) == want
+    monkeypatch.setattr(op, "PIECE", 4)
     sliced = op.find(d, b, max_windows=300).collect()
     assert sorted((r.doc_id, sum(r.spans[1::2]) - sum(r.spans[::2]), len(r["items"])) for r in sliced) == [(x[0], x[2], x[3]) for x in want]
 
