@@ -78,6 +78,11 @@ def saturate(g: Grid, low: int, high: int) -> Grid:
     return g.map(lambda v: F.when(v == g.meta.missing, low).otherwise(F.least(F.greatest(v, F.lit(low)), F.lit(high))))
 
 
+def saturate_above(g: Grid, top: int) -> Grid:
+    """Valid values above top become top."""
+    return g.map_valid(lambda v: F.least(v, F.lit(top)))
+
+
 def invert(g: Grid, a: int) -> Grid:
     return g.map_valid(lambda v: a - v)
 

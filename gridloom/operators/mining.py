@@ -42,7 +42,7 @@ def fuzzy_mean(*x: Column) -> Column:
     return sum(x) / len(x)
 
 
-def market(pop: Column, light: Column, sparse=(5.0, 20.0), crowded=(100.0, 300.0), bright=(20.0, 60.0)) -> Column:
+def market(pop: Column, light: Column, sparse=(5.0, 10.0), crowded=(30.0, 80.0), bright=(30.0, 70.0)) -> Column:
     """0..10: not sparse, not crowded, well lit."""
     return jround(10 * fuzzy_and(fuzzy_not(is_low(pop, *sparse)), fuzzy_not(is_high(pop, *crowded)), is_high(light, *bright)))
 
@@ -79,6 +79,19 @@ def least_squares(df: DataFrame, y: str, xs: list[str]) -> np.ndarray:
     return np.linalg.solve(m[:-1, :-1], m[:-1, -1])
 
 
+def cross_validated(df: DataFrame, y: str, xs: list[str], fold: Column, folds: int = 5) -> list[tuple[int, int, float]]:
+    """(fold, rows, mean squared error) of a linear model fitted on the other folds; one pass gathers the sums of products by fold."""
+    cols = [F.lit(1.0), *(F.col(x).cast("double") for x in xs), F.col(y).cast("double")]
+    k = len(cols)
+    rows = df.groupBy(F.pmod(fold, F.lit(folds)).cast("int").alias("fold")).agg(F.count("*").alias("n"), *(F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k))).collect()
+    own = {r.fold: (r.n, np.array([[r[f"s{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])) for r in rows}
+    total, out = sum(m for _, m in own.values()), []
+    for f, (n, m) in sorted(own.items()):
+        b = np.linalg.lstsq((total - m)[:-1, :-1], (total - m)[:-1, -1], rcond=None)[0]
+        out.append((f, n, float(m[-1, -1] - 2 * b @ m[:-1, -1] + b @ m[:-1, :-1] @ b) / n))
+    return out
+
+
 def rbf_fit(g: Grid, centres: list[tuple[float, float, float, float]]) -> np.ndarray:
     """Least-squares amplitudes of kernels exp(-(dx/sx)**2 - (dy/sy)**2) at (row, col, sx, sy), over all cells, missing ones included."""
     h = [F.exp(-F.pow((F.col("row") - a) / F.lit(float(s)), 2) - F.pow((F.col("col") - b) / F.lit(float(u)), 2)) for a, b, s, u in centres]

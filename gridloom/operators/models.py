@@ -148,3 +148,34 @@ def summary(df: DataFrame, value: str) -> DataFrame:
     """min, q1, median, mean, q3 and max; quartiles interpolate."""
     q = lambda p: F.percentile(value, F.lit(p))
     return df.agg(F.min(value).alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), F.avg(value).alias("mean"), q(0.75).alias("q3"), F.max(value).alias("max"))
+
+
+def fit_tree(df: DataFrame, label: str, features: list[str], depth: int = 5, least: int = 20):
+    """A classification tree on label (rounded), as a pipeline model; rows with a null take no part."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    tree = DecisionTreeClassifier(labelCol="__label", maxDepth=depth, minInstancesPerNode=least, seed=1)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), tree]).fit(_labelled(df, label))
+
+
+def fit_net(df: DataFrame, label: str, features: list[str], hidden: int = 2, rounds: int = 100):
+    """A network with one hidden layer on label (rounded, classes from 0), over standardised features, as a pipeline model."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    rows = _labelled(df, label)
+    classes = int(rows.agg(F.max("__label")).first()[0] or 0) + 1
+    stages = [VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), MultilayerPerceptronClassifier(labelCol="__label", layers=[len(features), hidden, max(2, classes)], maxIter=rounds, seed=1)]
+    return Pipeline(stages=stages).fit(rows)
+
+
+def _labelled(df: DataFrame, label: str) -> DataFrame:
+    return df.withColumn("__label", F.floor(F.col(label) + 0.5).cast("double")).where(F.col("__label") >= 0)
+
+
+def confusion(model, df: DataFrame, label: str) -> DataFrame:
+    """label (rounded), prediction and n of a fitted tree or net."""
+    return model.transform(_labelled(df, label)).groupBy(F.col("__label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction")).agg(F.count("*").alias("n"))

@@ -131,6 +131,36 @@ def ellipses(r: DataFrame) -> DataFrame:
     return r.select("label", (2 * F.sqrt(F.greatest(e1, F.lit(0.0)))).alias("a"), (2 * F.sqrt(F.greatest(e2, F.lit(0.0)))).alias("b"), F.degrees(F.atan2(e1 - s11, s12)).alias("phi"))
 
 
+def aspect(e: DataFrame) -> DataFrame:
+    """label and aspect (the shorter half axis by the longer one; 1 for a point) of ellipses()."""
+    return e.select("label", F.coalesce(F.try_divide(F.col("b"), F.col("a")), F.lit(1.0)).alias("aspect"))
+
+
+def in_ellipses(cells: DataFrame, r: DataFrame) -> DataFrame:
+    """cells (row, col, ...) with ellipse: the last label of regions() whose fitted ellipse holds the cell, or 0.
+
+    An ellipse goes to the rows and columns of its bounding square only, so cells and ellipses meet by equality.
+    """
+    e = r.select("label", "cx", "cy").join(ellipses(r), "label").where("a > 0 and b > 0")
+    reach = lambda c: F.explode(F.sequence(F.floor(F.col(c) - F.col("a")).cast("int"), F.ceil(F.col(c) + F.col("a")).cast("int")))
+    e = e.withColumn("row", reach("cx")).withColumn("col", reach("cy"))
+    x, y, turn = F.col("row") - F.col("cx"), F.col("col") - F.col("cy"), F.radians("phi")
+    p, q = (x * F.cos(turn) + y * F.sin(turn)) / F.col("a"), (y * F.cos(turn) - x * F.sin(turn)) / F.col("b")
+    held = e.where(p * p + q * q < 1).groupBy("row", "col").agg(F.max("label").alias("ellipse"))
+    return cells.join(held, ["row", "col"], "left").withColumn("ellipse", F.coalesce("ellipse", F.lit(0)))
+
+
+def category_counts(df: DataFrame, column: str) -> DataFrame:
+    """category and n; a null is a category of its own."""
+    return df.groupBy(F.col(column).alias("category")).agg(F.count("*").alias("n"))
+
+
+def prune_where(cells: DataFrame, r: DataFrame, keep) -> DataFrame:
+    """cells whose regions() meet a condition, numbered 1.. in the old order; others become 0."""
+    ids = r.where(keep).select("label", F.dense_rank().over(Window.orderBy("label")).alias("id"))  # one row a region
+    return cells.join(ids, "label", "left").select("row", "col", "value", F.coalesce("id", F.lit(0)).alias("label"))
+
+
 def prune(cells: DataFrame, least: int) -> DataFrame:
     """cells with labels of at least so many cells, numbered 1.. in the old order; others become 0."""
     keep = cells.where("label > 0").groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= least)

@@ -13,6 +13,10 @@ from gridloom.operators import cells, motion, segment, stats, stencil
 from gridloom.plans.tables import keep
 
 
+#: Objects of a frame whose assignment may be solved on the driver, and cells of a frame that may come there.
+MOST_SOLVED, MOST_CELLS = 3000, 20_000_000
+
+
 def shrink(g: Grid, f: int) -> Grid:
     """Smoothed by an odd boxcar of at least f, then every f-th cell."""
     return g if f == 1 else cells.decimate(stencil.smooth(g, stencil.boxcar(f + 1 - f % 2)), f)
@@ -51,7 +55,9 @@ def pyramid(before: Grid, now: Grid, most: int) -> DataFrame:
 
 
 def edge_motion(before: Grid, now: Grid) -> tuple[np.ndarray, np.ndarray]:
-    """Optical flow between the Sobel responses of two frames, missing as 0; a frame has to fit in the driver."""
+    """Optical flow between the Sobel responses of two frames, missing as 0; a frame, of MOST_CELLS at most, goes to the driver."""
+    if now.meta.nrows * now.meta.ncols > MOST_CELLS:
+        raise ValueError("frames are too large for the driver; crop or decimate them first")
     out = []
     for g in (before, now):
         p = stencil.sobel(g).map(lambda v, m=g.meta.missing: F.when(v == m, 0).otherwise(v)).df.toPandas()
@@ -65,7 +71,7 @@ def track(before: Grid, now: Grid, low: int, high: int, least: int, mode: str =
     """row, col, u, v of cells of now: tenfold shift of the centre of their object from the one assigned in before; 0 without.
 
     Objects come by hysteresis and have at least as many cells as least. greedy assigns by joins alone; reference and optimal
-    solve on the driver, over a matrix of objects.
+    solve on the driver, over a matrix of objects, of which there may be MOST_SOLVED in a frame.
     """
     sides = [stats.prune(segment.hysteresis(g, low, high), least) for g in (before, now)]
     old, new = (keep(stats.regions(s).select("label", "cx", "cy"), "track") for s in sides)
@@ -73,6 +79,8 @@ def track(before: Grid, now: Grid, low: int, high: int, least: int, mode: str =
     if mode == "greedy":
         pairs = motion.greedy(cost).select("i", "j")
     else:
+        if max(old.count(), new.count()) > MOST_SOLVED:
+            raise ValueError("too many objects to solve for on the driver; assign greedily or prune the small ones")
         rows = cost.collect()
         m = np.full((max((r.i for r in rows), default=0), max((r.j for r in rows), default=0)), 10000.0)
         for r in rows:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.grid import Grid, idiv
+from gridloom.grid import Grid, GridMeta, idiv
 from gridloom.operators import cells, distance, geometry, mining, models, objects, segment, spectral, stats, stencil
 from gridloom.plans.tables import keep
 
@@ -55,13 +55,17 @@ def metro(g: Grid, low: int, incr: int, nbins: int, most: int) -> Grid:
     return cells.threshold(near, otsu_of(near, 0, max(1, most // 50), 50))
 
 
+def named(r: DataFrame, meta: GridMeta, places: DataFrame, radius: float = 0.5) -> DataFrame:
+    """label, lat, lon, size and mean value of regions, and the nearest place (place, plat, plon) within radius degrees of their centres."""
+    lat, lon = meta.nw_lat - (F.col("cx") + 0.5) * meta.lat_res, meta.nw_lon + (F.col("cy") + 0.5) * meta.lon_res
+    at = r.select(F.col("label").alias("id"), lat.alias("lat"), lon.alias("lon"), "size", "cval")
+    return at.join(geometry.nearest(at.select("id", "lat", "lon"), places, radius).select("id", "place"), "id", "left").withColumnRenamed("id", "label")
+
+
 def cities(g: Grid, t: int, least: int, places: DataFrame, radius: float = 0.5) -> DataFrame:
-    """label, lat, lon, size, mean, half axes and phi of regions above t with at least so many cells, and the nearest place (place, plat, plon)."""
+    """named() with half axes and phi, of regions above t with at least so many cells."""
     r = keep(stats.regions(stats.prune(segment.label(g, t), least)), "cities")
-    lat, lon = g.meta.nw_lat - (F.col("cx") + 0.5) * g.meta.lat_res, g.meta.nw_lon + (F.col("cy") + 0.5) * g.meta.lon_res
-    at = r.select(F.col("label").alias("id"), lat.alias("lat"), lon.alias("lon"), "size", "cval")
-    near = geometry.nearest(at.select("id", "lat", "lon"), places, radius).select("id", "place")
-    return at.join(near, "id", "left").join(stats.ellipses(r).withColumnRenamed("label", "id"), "id").withColumnRenamed("id", "label")
+    return named(r, g.meta, places, radius).join(stats.ellipses(r), "label")
 
 
 def primary_cities(regions: DataFrame, countries: Grid) -> DataFrame:
@@ -84,6 +88,34 @@ def paint(labels: DataFrame, attribute: DataFrame, column: str, like: Grid) -> G
     return Grid(labels.join(attribute.select("label", F.col(column).cast("int").alias("__x")), "label", "left").select("row", "col", F.coalesce("__x", F.lit(0)).alias("value")), like.meta)
 
 
+def city_categories(pop: Grid, light: Grid, labels: DataFrame) -> Grid:
+    """At the cells of each region the number, from 1, of the nearest published centre to its mean population and light; 0 elsewhere."""
+    p = patterns(labels, {"pop": pop, "light": light})
+    # means, deviations and standardised centres as published (fixed values)
+    mean, std = [32.6673, 42.5539], [33.05260, 31.75972]
+    centres = [[4.0449725, 1.1114502], [-0.2898599, -0.7153647], [0.1143215, 1.0642556]]
+    raw = [[c * s + m for c, m, s in zip(centre, mean, std, strict=True)] for centre in centres]
+    return paint(labels, p.withColumn("category", mining.nearest_centre([F.col("pop"), F.col("light")], mean, std, raw) + 1), "category", pop)
+
+
+def market_raster(pop: Grid, light: Grid) -> Grid:
+    """The market score of each cell; missing where either grid is."""
+    both = pop.df.join(light.df.withColumnRenamed("value", "light"), ["row", "col"])
+    gap = (F.col("value") == pop.meta.missing) | (F.col("light") == light.meta.missing)
+    return Grid(both.select("row", "col", F.when(gap, pop.meta.missing).otherwise(mining.market(F.col("value").cast("double"), F.col("light").cast("double"))).alias("value")), pop.meta)
+
+
+def training_patterns(pop: Grid, light: Grid, level: Grid, countries: Grid, labels: DataFrame) -> DataFrame:
+    """label, pop, light and gdi (mean level of development) of the primary city of each country."""
+    first = primary_cities(stats.regions(labels), countries).select("label").distinct()
+    return patterns(labels.join(first, "label", "left_semi"), {"pop": pop, "light": light, "gdi": level})
+
+
+def write_patterns(p: DataFrame, path: str) -> None:
+    """One line of two-decimal numbers, parted by spaces, for each pattern, in order of label."""
+    p.orderBy("label").select(F.concat_ws(" ", *(F.format_string("%.2f", F.col(c).cast("double")) for c in p.columns if c != "label")).alias("value")).write.text(path)
+
+
 def city_models(pop: Grid, light: Grid, labels: DataFrame) -> DataFrame:
     """label, pop, light and what four models make of each region: linear, tree, net, market."""
     p = patterns(labels, {"pop": pop, "light": light})

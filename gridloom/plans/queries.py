@@ -310,7 +310,7 @@ def _spline(spark, d):
 
 # mining
 _m = lambda x: f"least(greatest({x}, 0.0), 1.0)"
-grid_query("fuzzy_market", lambda g: Grid(g.df, g.meta).map(lambda v: mining.market((v % 400).cast("double"), (v % 70).cast("double"))), _map(f"floor(10 * least(least(1 - {_m(f'(20.0::double - {V} % 400) / 15.0')}, 1 - {_m(f'({V} % 400 - 100.0::double) / 200.0')}), {_m(f'({V} % 70 - 20.0::double) / 40.0')}) + 0.5)"))
+grid_query("fuzzy_market", lambda g: Grid(g.df, g.meta).map(lambda v: mining.market((v % 400).cast("double"), (v % 70).cast("double"))), _map(f"floor(10 * least(least(1 - {_m(f'(10.0::double - {V} % 400) / 5.0')}, 1 - {_m(f'({V} % 400 - 30.0::double) / 50.0')}), {_m(f'({V} % 70 - 30.0::double) / 40.0')}) + 0.5)"))
 grid_query("linear_model", lambda g: g.map(lambda v: mining.linear_model((v % 400).cast("double"), (v % 70).cast("double"))), _map(f"floor(0.003494::double + 0.034444::double * ({V} % 70) - 0.005992::double * ({V} % 400) + 0.5)"))
 grid_query("nearest_centre", lambda g: g.map(lambda v: mining.nearest_centre([(v % 400).cast("double")], [100.0], [50.0], [[160.0], [38.0], [22.0]])), _map(f"case when abs({V} % 400 - 160) <= least(abs({V} % 400 - 38), abs({V} % 400 - 22)) then 0 when abs({V} % 400 - 38) <= abs({V} % 400 - 22) then 1 else 2 end"))
 query("correlations", "select round(corr(l_quantity, l_extendedprice), 6) r_l_quantity, round(corr(l_discount, l_extendedprice), 6) r_l_discount from lineitem")(lambda s, d: _rounded(mining.correlations(read(s, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"])))
@@ -438,8 +438,47 @@ query("primary_city", sql("g1 g1g", f"""select country, label, round(cval, 6) cv
 _CITY = lambda sig: f"""select label, round(pop, 6) pop, round(light, 6) light, floor(0.003494::double + 0.034444::double * light - 0.005992::double * pop + 0.5)::int linear,
     case when light < 17.61 then 0 when light < 48.91 then 1 when light < 81.25 then case when pop >= 31.77 then 1 else 2 end when pop >= 105.7 then 2 else 4 end tree,
     floor(100 * {sig(f"2.4291 * {sig('3.06728::double * pop + 3.26584 + 1.77153::double * light')} + 3.12817 - 11.29847 * {sig('0.00625::double * pop + 2.82917 - 0.03631::double * light')}")} + 0.5)::int net,
-    floor(10 * least(least(1 - {_m('(20.0::double - pop) / 15.0')}, 1 - {_m('(pop - 100.0::double) / 200.0')}), {_m('(light - 20.0::double) / 40.0')}) + 0.5)::int market
+    floor(10 * least(least(1 - {_m('(10.0::double - pop) / 5.0')}, 1 - {_m('(pop - 30.0::double) / 50.0')}), {_m('(light - 30.0::double) / 40.0')}) + 0.5)::int market
     from (select {_L} label, avg({V}) pop, avg({V} % 90) light from g1g where {_L} > 0 group by 1)"""
 query("city_models", sql("g1 g1g", _CITY(_sig)))(lambda s, d: _rounded(compositions.city_models(g1g(s, d), g1g(s, d).map(lambda v: v % 90), _labels(g1g(s, d)))))
 grid_query("skeleton_lines", lambda g: compositions.skeleton_lines(g, 500))
 grid_query("outlines", lambda g: compositions.outlines(_raised(g), _cut(_raised(g)), _cut(_raised(g)) + 20, 12))
+
+# further parts of whole analyses
+grid_query("saturate_above", lambda g: cells.saturate_above(g, 600), _map(f"case when {V} = {M} then {M} else least({V}, 600) end"))
+_ELL = f"""(select label, cx, cy, 2 * sqrt(greatest(e1, 0)) a, 2 * sqrt(greatest(e2, 0)) b, atan2(e1 - s11, s12) phi from (select *, (s11 + s22 + sqrt(power(s11 - s22, 2) + 4 * s12 * s12)) / 2 e1, (s11 + s22 - sqrt(power(s11 - s22, 2) + 4 * s12 * s12)) / 2 e2 from
+    (select {_L} label, avg("row") cx, avg(col) cy, avg("row" * "row") - power(avg("row"), 2) s11, avg(col * col) - power(avg(col), 2) s22, avg("row" * col) - avg("row") * avg(col) s12 from g1g where {_L} > 0 group by 1)))"""
+grid_query("ellipse_aspect", lambda g: _rounded(stats.aspect(stats.ellipses(stats.regions(_labels(g))))), f"select label, round(b / a, 6) aspect from {_ELL}")
+grid_query("in_ellipses", lambda g: stats.in_ellipses(g.df, stats.regions(_labels(g))), f"""select "row", col, {V}, coalesce(max(label) filter (power((("row" - cx) * cos(phi) + (col - cy) * sin(phi)) / a, 2) + power(((col - cy) * cos(phi) - ("row" - cx) * sin(phi)) / b, 2) < 1), 0)::int ellipse
+    from g1g, {_ELL} group by 1, 2, 3""")
+grid_query("prune_where", lambda g: stats.prune_where(_labels(g), stats.regions(_labels(g)), F.col("cval") > 500), f"""select "row", col, {V}, coalesce(k, 0)::int label from (select *, {_L} l from g1g) left join
+    (select l, dense_rank() over (order by l) k from (select {_L} l, avg({V}) c from g1g group by 1) where l > 0 and c > 500) using (l)""")
+query("category_counts", "select p_brand category, count(*) n from part group by 1")(lambda s, d: stats.category_counts(read(s, d, "part"), "p_brand"))
+query("cross_validated", """with f as (select unnest(range(5)) k), m as (select k, regr_slope(l_extendedprice, l_quantity) b, regr_intercept(l_extendedprice, l_quantity) a from lineitem, f where l_orderkey % 5 <> k group by 1)
+    select k::int fold, count(*) n, round(avg(power(l_extendedprice - a - b * l_quantity, 2)), 1) mse from lineitem join m on l_orderkey % 5 = k group by 1""")(
+    lambda s, d: s.createDataFrame([(f, n, round(e, 1)) for f, n, e in mining.cross_validated(read(s, d, "lineitem"), "l_extendedprice", ["l_quantity"], F.col("l_orderkey"))], "fold int, n long, mse double"))
+
+
+def _ranks(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "lineitem").select("l_quantity", "l_extendedprice", F.floor(F.col("l_extendedprice") / F.col("l_quantity") / 700).alias("level"))
+
+
+query("fitted_tree")(lambda s, d: models.confusion(models.fit_tree(_ranks(s, d), "level", ["l_quantity", "l_extendedprice"]), _ranks(s, d), "level"))
+query("fitted_net")(lambda s, d: models.confusion(models.fit_net(_ranks(s, d), "level", ["l_quantity", "l_extendedprice"], 3, 20), _ranks(s, d), "level"))
+query("object_track_reference")(lambda s, d: tracking.track(g2(s, d, 3), g2(s, d, 4), 0, 1, 3, "reference"))
+query("cities", sql("g1 g1g pts", f"""select label, round(lat, 6) lat, round(lon, 6) lon, size, round(cval, 6) cval, arg_min(id, (power(lat - plat, 2) + power(lon - plon, 2), id)) filter (power(lat - plat, 2) + power(lon - plon, 2) < 0.25) place
+    from (select {_L} label, 50.0::double - (avg("row") + 0.5) * 0.5 lat, -100.0::double + (avg(col) + 0.5) * 0.5 lon, count(*) size, avg({V}) cval from g1g where {_L} > 0 group by 1), (select id, lat plat, lon plon from pts) group by 1, 2, 3, 4, 5"""))(
+    lambda s, d: _rounded(compositions.named(stats.regions(_labels(g1g(s, d))), META, points(s, d).select(F.col("id").alias("place"), F.col("lat").alias("plat"), F.col("lon").alias("plon")))))
+query("city_categories", sql("g1 g1g", f"""select "row", col, coalesce(k, 0)::int "value" from (select *, {_L} label from g1g) left join (select label, arg_min(k, (power((pop - 32.6673) / 33.05260 - c1, 2) + power((light - 42.5539) / 31.75972 - c2, 2), k)) k from
+    (select {_L} label, avg({V} % 300)::double pop, avg({V} % 90)::double light from g1g where {_L} > 0 group by 1), (values (1, 4.0449725::double, 1.1114502::double), (2, -0.2898599, -0.7153647), (3, 0.1143215, 1.0642556)) t(k, c1, c2) group by 1) using (label)"""))(
+    lambda s, d: compositions.city_categories(g1g(s, d).map(lambda v: v % 300), g1g(s, d).map(lambda v: v % 90), _labels(g1g(s, d))).df)
+query("market_raster", sql("g1 g1g", f"""select "row", col, case when {V} = {M} then {M} else floor(10 * least(least(1 - {_m(f'(10.0::double - {V} % 100) / 5.0')}, 1 - {_m(f'({V} % 100 - 30.0::double) / 50.0')}), {_m(f'({V} % 90 - 30.0::double) / 40.0')}) + 0.5)::int end "value" from g1g"""))(
+    lambda s, d: compositions.market_raster(g1g(s, d).map_valid(lambda v: v % 100), g1g(s, d).map_valid(lambda v: v % 90)).df)
+query("code_raster", sql("g1 g1g", f"""select "row", col, coalesce(n_regionkey, {V})::int "value" from g1g left join nation on n_nationkey = {V} and n_nationkey % 2 = 0"""))(
+    lambda s, d: compositions.code_raster(g1g(s, d), read(s, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("place"), F.col("n_regionkey").alias("code"))).df)
+query("training_patterns", sql("g1 g1g", f"""select label, round(avg({V}), 6) pop, round(avg({V} % 90), 6) light, round(avg({V} % 5), 6) gdi from (select *, {_L} label from g1g) where label in (select label from (select label, b."value" // 300 country, cval from
+    (select {_L} label, avg("row") cx, avg(col) cy, avg({V}) cval from g1g where {_L} > 0 group by 1) r join g1g b on b."row" = floor(cx)::int and b.col = floor(cy)::int where b."value" <> {M}) qualify row_number() over (partition by country order by cval desc, label) = 1) group by 1"""))(
+    lambda s, d: _rounded(compositions.training_patterns(g1g(s, d), g1g(s, d).map(lambda v: v % 90), g1g(s, d).map(lambda v: v % 5), g1g(s, d).map(lambda v: F.when(v == M, -1).otherwise(F.floor(v / 300))), _labels(g1g(s, d)))))
+query("bilinear", sql("g1 g1g pts", f"""select id, round(sum(w * "value") / sum(w), 6) "value" from pts left join lateral (select "value", (1 - abs(y - "row")) * (1 - abs(x - col)) w from (select (50.0::double - lat) / 0.5::double - 0.5 y, (lon + 100.0::double) / 0.5::double - 0.5 x) q, g1g
+    where "row" in (floor(y), ceil(y)) and col in (floor(x), ceil(x)) and "value" <> {M}) on true group by 1"""))(
+    lambda s, d: _rounded(cells.bilinear(g1g(s, d), points(s, d).select("id", ((F.lit(50.0) - F.col("lat")) / 0.5 - 0.5).alias("y"), ((F.col("lon") + 100.0) / 0.5 - 0.5).alias("x"))).select("id", "value")))
