@@ -115,7 +115,12 @@ for _how, _n in {"range": "1 + floor(log2(greatest(hi - lo, 1)) + 0.5)", "full":
     grid_query(f"hist_bins_{_how}", lambda g, how=_how: stats.bin_choice(g, how), f"""select lo low, {'1' if _how == 'full' else 'greatest(1, (hi - lo) // nbins)'}::int incr, nbins from (select *, ({_n})::int nbins from
         (select min({V}) lo, max({V}) hi, stddev_pop({V}) sd, count(*) n from g1g where {V} <> {M}))""")
 grid_query("band_hist", lambda g: stats.band(g, 0, 50, 16), _map(f"case when {V} = {M} or {V} < 0 then {M} else least({V} // 50, 15) * 50 + 25 end"))
-grid_query("equal_freq_band", lambda g: stats.equal_frequency_band(g, stats.quantizer(_hist(g), 4)))
+grid_query("equal_freq_band", lambda g: stats.equal_frequency_band(g, stats.quantizer(_hist(g), 4)), "select 1")
+ORACLE["equal_freq_band"] = "with recursive " + sql("g1 g1g", "")[5:-1] + _H + f""", want as (select sum(n) / 4.0::double w from h),
+    fill as (select -1 bin, 0::hugeint have, 0 k, 0 hi, false full_ union all
+        select h.bin, case when fill.have + n >= w and fill.k < 4 then 0 else fill.have + n end, fill.k + (fill.have + n >= w and fill.k < 4)::int, h.hi, fill.have + n >= w and fill.k < 4 from fill join h on h.bin = fill.bin + 1, want),
+    bound as (select k - 1 i, hi from fill where full_ union all select i, (select max(hi) from h) from (select unnest(range(4)) i) where i >= (select max(k) from fill))
+    select "row", col, coalesce(min(i), {M})::int "value" from g1g left join bound on {V} < hi group by 1, 2"""
 _B = f"case when {V} = {M} or {V} < 0 then 6 else least({V} // 200, 5) end"
 _GLCM = f""", b as (select "row", col, {_B} b from g1g), m as (select x.b b1, coalesce(y.b, 6) b2, count(*) / 3072.0::double p from b x left join b y on y."row" = x."row" and y.col = x.col + 1 group by 1, 2)"""
 grid_query("glcm_east", lambda g: _rounded(stats.glcm(g, 0, 200, 6), 9), "select 1")
@@ -189,18 +194,22 @@ def _otsu_sql(name: str, src: str, low: int, incr: int, nbins: int, missing: int
     from (select unnest(range({nbins})) b) left join (select least(("value" - {low}) // {incr}, {nbins - 1}) k, count(*) n from {src} where "value" <> {missing} and "value" >= {low} group by 1) on k = b))) order by v desc, bin limit 1)"""
 
 
+def _label_ctes(p: str, src: str, ncols: int, low: str, first: str) -> str:
+    """Components of cells of src above low, by the smallest id that reaches a cell (p_reach), numbered by their first cell for which first holds (p_no)."""
+    return f"""{p}_live as (select "row" r, col c, "row" * {ncols} + col id, "value" v from {src} where "value" > {low}),
+    {p}_reach(id, r, c, root) using key (id) as (select id, r, c, id from {p}_live union
+        select l.id, l.r, l.c, min(x.root) from {p}_reach x join {p}_live l on abs(l.r - x.r) <= 1 and abs(l.c - x.c) <= 1 join recurring.{p}_reach y on y.id = l.id where x.root < y.root group by all),
+    {p}_no as (select root, row_number() over (order by k) n from (select root, min(id) k from {p}_reach join {p}_live using (id) where {first} group by 1))"""
+
+
 def _labels_sql(low: str, first: str) -> str:
-    """Components of cells above low, by the smallest id that reaches a cell; numbered by their first cell for which first holds."""
-    return f"""with recursive {sql("g1 g1g", "")[5:-1]}, {_otsu_sql("cut", "g1g", 0, 25, 60)}, live as (select "row" r, col c, "row" * 64 + col id, "value" v, t from g1g, cut where "value" > {low}),
-    reach(id, r, c, root) using key (id) as (select id, r, c, id from live union
-        select l.id, l.r, l.c, min(x.root) from reach x join live l on abs(l.r - x.r) <= 1 and abs(l.c - x.c) <= 1 join recurring.reach y on y.id = l.id where x.root < y.root group by all),
-    strong as (select root, min(id) k from reach join live using (id) where {first} group by 1), numbered as (select root, row_number() over (order by k) n from strong)
-    select g1g."row", g1g.col, "value", coalesce(n, 0)::int label from g1g left join reach on reach.id = g1g."row" * 64 + g1g.col left join numbered using (root)"""
+    return f"""with recursive {sql("g1 g1g", "")[5:-1]}, {_otsu_sql("cut", "g1g", 0, 25, 60)}, {_label_ctes("a", "g1g", 64, low, first)}
+    select g1g."row", g1g.col, "value", coalesce(n, 0)::int label from g1g left join a_reach on a_reach.id = g1g."row" * 64 + g1g.col left join a_no using (root)"""
 
 
 grid_query("threshold_segment", lambda g: segment.label(g, _cut(g)))
 grid_query("hysteresis", lambda g: segment.hysteresis(g, _cut(g), _cut(g) + 60))
-ORACLE |= {"threshold_segment": _labels_sql("t", "true"), "hysteresis": _labels_sql("t", "v > t + 60")}
+ORACLE |= {"threshold_segment": _labels_sql("(select t from cut)", "true"), "hysteresis": _labels_sql("(select t from cut)", "v > (select t from cut) + 60")}
 grid_query("watershed", lambda g: segment.watershed(g, _cut(g)))
 grid_query("kmeans_contiguity", lambda g: segment.kmeans_contiguity(g, _cut(g), _cut(g) + 120, 400.0, 20.0, 2))
 _EDT = f"""select a."row", a.col, coalesce(min((a."row" - b."row") * (a."row" - b."row") + (a.col - b.col) * (a.col - b.col)), 6400)::int "value" from g1g a left join g1g b on b."value" > 800 group by a."row", a.col"""
@@ -210,7 +219,20 @@ grid_query("medial_axis", lambda g: distance.medial_axis(g, 500), "select 1")
 ORACLE["medial_axis"] = sql("g1 g1g", "")[:-1] + """, d as (select a."row", a.col, coalesce(min((a."row" - b."row") * (a."row" - b."row") + (a.col - b.col) * (a.col - b.col)), 6400) v from g1g a left join g1g b on b."value" <= 500 group by 1, 2)
     select "row", col, (v <> 0 and v >= coalesce(lag(v) over r, 0) and v >= coalesce(lead(v) over r, 0) and v >= coalesce(lag(v) over c, 0) and v >= coalesce(lead(v) over c, 0))::int "value" from d
     window r as (partition by "row" order by col), c as (partition by col order by "row")"""
+_RING = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
+
+
+def _thin_sql(src: str) -> str:
+    """Rounds of peeling of the cells (r, c, v) of src, 40 of them: more than any shape of 48 rows needs, and a thin one stays."""
+    got = ", ".join(f"coalesce(max(y.v) filter (y.r = x.r + {i} and y.c = x.c + {j}), 0) p{k}" for k, (i, j) in enumerate(_RING))
+    change = " + ".join(f"(p{k} = 0 and p{(k + 1) % 8} = 1)::int" for k in range(8))
+    return f"""thin(k, r, c, v) as (select 0, r, c, v from {src} union all select k + 1, r, c, case when v = 1 and r between 1 and 46 and c between 1 and 62 and b between 2 and 6 and a = 1
+        and (p0 * p2 * p6 = 0 or north <> 1) and (p0 * p2 * p4 = 0 or east <> 1) then 0 else v end from (select *, coalesce(lag(a) over (partition by c order by r), 0) north, coalesce(lead(a) over (partition by r order by c), 0) east
+        from (select *, {change} a, p0 + p1 + p2 + p3 + p4 + p5 + p6 + p7 b from (select x.k, x.r, x.c, any_value(x.v) v, {got} from thin x left join thin y on abs(y.r - x.r) <= 1 and abs(y.c - x.c) <= 1 where x.k < 40 group by 1, 2, 3))))"""
+
+
 grid_query("skeleton", lambda g: distance.skeleton(g, 500))
+ORACLE["skeleton"] = f"""with recursive {sql("g1 g1g", "")[5:-1]}, bold as (select "row" r, col c, ({V} > 500)::int v from g1g), {_thin_sql("bold")} select r "row", c col, v "value" from thin where k = 40"""
 
 
 # geometry and points
@@ -263,7 +285,13 @@ def _oban(spark, d):
     return geometry.interpolate(points(spark, d), GridMeta(24, 32, M, 50.0, -100.0, 1.0, 1.0), geometry.cressman(3.0), 3.0).df
 
 
-@query("oban_multipass")
+_near = lambda src, v: f"""select r, c, coalesce(floor(sum(w * x) / sum(w) + 0.5)::int, -9999) v from (select unnest(range(24)) r), (select unnest(range(32)) c) left join lateral
+    (select {v} x, exp(-d / 2) w from (select {v}, power(50.0::double - (r + 0.5) - lat, 2) + power(-100.0::double + (c + 0.5) - lon, 2) d from {src}) where d < 18) on true group by r, c"""
+
+
+@query("oban_multipass", sql("pts", "")[:-1] + f""", a as ({_near("pts", '"value"')}), res as (select lat, lon, "value" - v rest from pts join a on r = trunc(50.0::double - lat)::int and c = trunc(lon + 100.0::double)::int where v <> {M}),
+    b as ({_near("res", "rest")}), ends as (select min("value") lo, max("value") hi from pts)
+    select a.r::int "row", a.c::int col, case when a.v = {M} or b.v = {M} then a.v else least(greatest(a.v + b.v, lo), hi) end "value" from a join b on a.r = b.r and a.c = b.c, ends""")
 def _oban2(spark, d):
     return geometry.interpolate_passes(points(spark, d), GridMeta(24, 32, M, 50.0, -100.0, 1.0, 1.0), geometry.gaussian(1.0), 4.3, 2).df
 
@@ -363,11 +391,22 @@ query("line_pixels", sql("g1 g1g", "")[:-1] + _LINES.format(t=800) + """, k as (
     o as (select *, floor(round(case when by_row then (rho - k * cos(radians(theta::double))) / sin(radians(theta::double)) else (rho - k * sin(radians(theta::double))) / cos(radians(theta::double)) end, 6) + 0.5) other from k)
     select theta, bin, (case when by_row then k else other end)::int "row", (case when by_row then other else k end)::int col from o where other >= 0 and other < case when by_row then 64 else 48 end""")(
     lambda s, d: spectral.line_pixels(spectral.hough(g1g(s, d), 800), META.nrows, META.ncols))
-query("phase_correlation")(lambda s, d: spectral.phase_correlation(g2(s, d, 3), g2(s, d, 4), 6, 6))
+_wave = lambda p, v, f: f"""{p} as (select i, j, sum(v * cos(2 * pi() * ((i * r + j * c) % 32) / 32)) re, -sum(v * sin(2 * pi() * ((i * r + j * c) % 32) / 32)) im from (select "row" r, col c, "value" v from {f}), (select unnest(range(32)) i), (select unnest(range(32)) j) group by 1, 2)"""
+query("phase_correlation", sql("f1 f2", "")[:-1] + f""", {_wave("a", "v", "f1")}, {_wave("b", "v", "f2")},
+    x as (select i, j, coalesce((a.re * b.re + a.im * b.im) / nullif(s, 0), 0) re, coalesce((a.re * b.im - a.im * b.re) / nullif(s, 0), 0) im from (select *, sqrt(power(a.re * b.re + a.im * b.im, 2) + power(a.re * b.im - a.im * b.re, 2)) s from a join b using (i, j)) q(i, j, are, aim, bre, bim, s), lateral (select are re, aim im) a, lateral (select bre re, bim im) b),
+    y as (select u, v, round((power(sum(re * cos(t) - im * sin(t)), 2) + power(sum(re * sin(t) + im * cos(t)), 2)) / power(1024, 2), 9) c from (select u, v, re, im, 2 * pi() * (i * u + j * v) / 32 t from x, (select unnest(range(-6, 7)) u), (select unnest(range(-6, 7)) v)) group by 1, 2)
+    select u::int u, v::int v from y order by c desc, abs(u), abs(v), u, v limit 1""")(lambda s, d: spectral.phase_correlation(g2(s, d, 3), g2(s, d, 4), 6, 6))
 assert FRAME.nrows == 24
 
 # texture and frequency
-grid_query("log_edges", lambda g: texture.log_edges(g, 3, 20))
+_LOG = ", ".join(f"({i - 3}, {j - 3}, {w!r}::double)" for i, line in enumerate(texture.log_kernel(3)) for j, w in enumerate(line))
+_pair = lambda a, b: f"case when {a} * {b} < 0 then abs({a} - {b}) else 0 end"
+grid_query("log_edges", lambda g: texture.log_edges(g, 3, 20), "select 1")
+ORACLE["log_edges"] = sql("g1 g1g", "")[:-1] + f""", r as (select a."row", a.col, coalesce(floor(sum(w * b."value") filter (b."value" <> {M}) + 0.5), 0)::bigint v from g1g a, (values {_LOG}) t(i, j, w) join g1g b on b."row" = a."row" + i and b.col = a.col + j group by 1, 2),
+    n as (select "row", col, lag(v) over c u, lead(v) over c d, lag(v) over x l, lead(v) over x e, lag(v) over p ul, lead(v) over p dr, lag(v) over q ur, lead(v) over q dl from r
+    window c as (partition by col order by "row"), x as (partition by "row" order by col), p as (partition by "row" - col order by col), q as (partition by "row" + col order by "row")),
+    s as (select "row", col, (greatest({_pair("u", "d")}, {_pair("l", "e")}, {_pair("ul", "dr")}, {_pair("ur", "dl")}) // 2)::int s from n)
+    select "row", col, case when "row" between 7 and 40 and col between 7 and 56 and s > 20 then s else 0 end "value" from s"""
 _MASKS = ", ".join(f"({f}, {i - 3}, {j - 3})" for f, m in enumerate(texture.ellipse_masks(4, 3, 1)) for i, line in enumerate(m) for j, on in enumerate(line) if on)
 grid_query("oriented_ellipses", lambda g: texture.oriented(g, 4, 3, 1), f"""select a."row", a.col, coalesce(m, {M})::int "value" from g1g a left join (select "row", col, max(floor(x + 0.5)) m from (select a."row", a.col, f, avg(b."value") x from g1g a, (values {_MASKS}) t(f, i, j)
     join g1g b on b."row" = a."row" + i and b.col = a.col + j where b."value" <> {M} and a."row" between 3 and 44 and a.col between 3 and 60 group by 1, 2, 3) group by 1, 2) using ("row", col)""")
@@ -392,7 +431,16 @@ grid_query("decision_tree", lambda g: g.map(lambda v: models.decision_tree(_p(v)
 _sig = lambda x: f"(1 / (1 + exp(-({x}))))"
 grid_query("neural_net", lambda g: g.map(lambda v: models.neural_net(_p(v), _l(v))), _map("floor(100 * " + _sig(f"2.4291 * {_sig(f'3.06728::double * ({V} % 400) + 3.26584 + 1.77153::double * ({V} % 100)')} + 3.12817 - 11.29847 * {_sig(f'0.00625::double * ({V} % 400) + 2.82917 - 0.03631::double * ({V} % 100)')}") + " + 0.5)"))
 query("projection_pursuit")(lambda s, d: s.createDataFrame([(*map(float, c), w) for c, w in models.projection_pursuit(cells.replace_value(g1g(s, d), M, 0), 100.0, 3)], "row double, col double, sx double, sy double, amplitude double"))
-query("gmm_start")(lambda s, d: s.createDataFrame(models.gmm_start(g1g(s, d), 4), "row double, col double"))
+def _starts_sql(k: int) -> str:
+    """The highest cell, then the highest at least 10 away from all before, and so on."""
+    out = sql("g1 g1g", "")[:-1]
+    for i in range(k):
+        far = "".join(f' and power("row" - (select "row" from c{j}), 2) + power(col - (select col from c{j}), 2) >= 100' for j in range(i))
+        out += f', c{i} as (select "row", col from g1g where {V} <> {M}{far} order by {V} desc, "row", col limit 1)'
+    return out + " " + " union all ".join(f'select "row"::double "row", col::double col from c{i}' for i in range(k))
+
+
+query("gmm_start", _starts_sql(4))(lambda s, d: s.createDataFrame(models.gmm_start(g1g(s, d), 4), "row double, col double"))
 _G = lambda x, y, a, b, c: f'exp(-({c}::double * power("row" - {x}, 2) - 2 * {b}::double * ("row" - {x}) * (col - {y}) + {a}::double * power(col - {y}, 2)) / (2 * {a * c - b * b}::double))'
 grid_query("gmm_render", lambda g: models.gmm_render(g, [(20, 30, 40.0, 5.0, 60.0), (35, 10, 30.0, 0.0, 20.0)], 100.0), f'select "row", col, floor(({_G(20, 30, 40.0, 5.0, 60.0)} + {_G(35, 10, 30.0, 0.0, 20.0)}) * 100 + 0.5)::int "value" from g1g')
 query("kmeans")(lambda s, d: s.createDataFrame(sorted(map(tuple, models.kmeans(read(s, d, "lineitem"), ["l_quantity", "l_discount"])[0])), "l_quantity double, l_discount double"))
@@ -406,7 +454,14 @@ query("summary", "select min(l_quantity)::double \"min\", quantile_cont(l_quanti
 grid_query("peak_objects", lambda g: objects.peak_objects(g, _cut(g), 25, _cut(g) + 400, 6, 4))
 grid_query("kmeans_levels", lambda g: objects.kmeans_levels(g, _cut(g), _cut(g) + 200, 4, 3))
 query("pyramid")(lambda s, d: tracking.pyramid(g2(s, d, 3), g2(s, d, 4), 4))
-query("object_track")(lambda s, d: tracking.track(g2(s, d, 3), g2(s, d, 4), 0, 1, 3))
+def _sides(p: str, src: str) -> str:
+    return f"""{_label_ctes(p, src, 24, "0", "v > 1")}, {p}_cell as (select {src}."row" r, {src}.col c, dense_rank() over (order by n) label from {src} join {p}_reach on id = {src}."row" * 24 + {src}.col join (select root, n from {p}_no join (select root, count(*) size from {p}_reach group by 1) using (root) where size >= 3) using (root)),
+    {p} as (select label, avg(r) cx, avg(c) cy from {p}_cell group by 1)"""
+
+
+query("object_track", f"""with recursive {sql("f1 f2", "")[5:-1]}, {_sides("o", "f1")}, {_sides("w", "f2")},
+    best as (select w.label, arg_min(10 * (w.cx - o.cx), (power(w.cx - o.cx, 2) + power(w.cy - o.cy, 2), o.label)) u, arg_min(10 * (w.cy - o.cy), (power(w.cx - o.cx, 2) + power(w.cy - o.cy, 2), o.label)) v from w, o where power(w.cx - o.cx, 2) + power(w.cy - o.cy, 2) < 10000 group by 1)
+    select "row", col, coalesce(floor(u + 0.5), 0)::int u, coalesce(floor(v + 0.5), 0)::int v from f2 left join w_cell on r = "row" and c = col left join best using (label)""")(lambda s, d: tracking.track(g2(s, d, 3), g2(s, d, 4), 0, 1, 3))
 query("hybrid_track")(lambda s, d: tracking.hybrid(g2(s, d, 3), g2(s, d, 4), stats.prune(segment.hysteresis(g2(s, d, 4), 0, 1), 3), 2, 2))
 query("prefix_lookup", """with a as (select distinct substring(p_name, 1, 12) "name" from part), t as (select "name", min(p_partkey) code from (select substring(p_name, 1, 12) "name", p_partkey from part where p_partkey % 3 = 0) group by 1)
     select a."name", coalesce(t.code, (select arg_min(x.code, x."name") from t x where starts_with(x."name", substring(a."name", 1, length(a."name") // 2)))) code from a left join t using ("name")""")(lambda s, d: compositions.prefix_lookup(*_names(s, d)))
@@ -441,7 +496,9 @@ _CITY = lambda sig: f"""select label, round(pop, 6) pop, round(light, 6) light,
     floor(10 * least(least(1 - {_m('(10.0::double - pop) / 5.0')}, 1 - {_m('(pop - 30.0::double) / 50.0')}), {_m('(light - 30.0::double) / 40.0')}) + 0.5)::int market
     from (select {_L} label, avg({V}) pop, avg({V} % 90) light from g1g where {_L} > 0 group by 1)"""
 query("city_models", sql("g1 g1g", _CITY(_sig)))(lambda s, d: _rounded(compositions.city_models(g1g(s, d), g1g(s, d).map(lambda v: v % 90), _labels(g1g(s, d)))))
-grid_query("skeleton_lines", lambda g: compositions.skeleton_lines(g, 500))
+grid_query("skeleton_lines", lambda g: compositions.skeleton_lines(g, 500).withColumn("rho", F.col("rho") + 0.0))
+ORACLE["skeleton_lines"] = f"""with recursive {sql("g1 g1g", "")[5:-1]}, s0 as (select "row", col, ({V} >= 500)::int {V} from g1g), s1 as ({_around('max(b."value")', 1, src="s0")}), s2 as ({_around('min(b."value")', 1, src="s1")}), s3 as ({_around('min(b."value")', 1, src="s2")}),
+    bold as (select "row" r, col c, ({V} > 0)::int v from s3), {_thin_sql("bold")}, g as (select r "row", c col, v {V} from thin where k = 40)""" + _LINES.format(t=0).replace("from g1g,", "from g,") + " select theta, bin, rho + 0.0::double rho, votes, r0, c0, r1, c1, quality from found order by quality desc, theta, bin limit 20"
 grid_query("outlines", lambda g: compositions.outlines(_raised(g), _cut(_raised(g)), _cut(_raised(g)) + 20, 12))
 
 # further parts of whole analyses
@@ -460,7 +517,7 @@ query("cross_validated", """with f as (select unnest(range(5)) k), m as (select
 
 
 def _ranks(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "lineitem").select("l_quantity", "l_extendedprice", F.floor(F.col("l_extendedprice") / F.col("l_quantity") / 700).alias("level"))
+    return read(s, d, "lineitem").select("l_quantity", "l_extendedprice", F.floor(F.col("l_extendedprice") / F.col("l_quantity") / 20000).alias("level"))
 
 
 query("fitted_tree")(lambda s, d: models.confusion(models.fit_tree(_ranks(s, d), "level", ["l_quantity", "l_extendedprice"]), _ranks(s, d), "level"))
@@ -479,6 +536,6 @@ query("code_raster", sql("g1 g1g", f"""select "row", col, coalesce(n_regionkey,
 query("training_patterns", sql("g1 g1g", f"""select label, round(avg({V}), 6) pop, round(avg({V} % 90), 6) light, round(avg({V} % 5), 6) gdi from (select *, {_L} label from g1g) where label in (select label from (select label, b."value" // 300 country, cval from
     (select {_L} label, avg("row") cx, avg(col) cy, avg({V}) cval from g1g where {_L} > 0 group by 1) r join g1g b on b."row" = floor(cx)::int and b.col = floor(cy)::int where b."value" <> {M}) qualify row_number() over (partition by country order by cval desc, label) = 1) group by 1"""))(
     lambda s, d: _rounded(compositions.training_patterns(g1g(s, d), g1g(s, d).map(lambda v: v % 90), g1g(s, d).map(lambda v: v % 5), g1g(s, d).map(lambda v: F.when(v == M, -1).otherwise(F.floor(v / 300))), _labels(g1g(s, d)))))
-query("bilinear", sql("g1 g1g pts", f"""select id, round(sum(w * "value") / sum(w), 6) "value" from pts left join lateral (select "value", (1 - abs(y - "row")) * (1 - abs(x - col)) w from (select (50.0::double - lat) / 0.5::double - 0.5 y, (lon + 100.0::double) / 0.5::double - 0.5 x) q, g1g
-    where "row" in (floor(y), ceil(y)) and col in (floor(x), ceil(x)) and "value" <> {M}) on true group by 1"""))(
+query("bilinear", sql("g1 g1g pts", f"""select id, round(sum(w * g) / sum(w), 6) "value" from pts left join lateral (select g1g."value" g, (1 - abs(y - "row")) * (1 - abs(x - col)) w from (select (50.0::double - lat) / 0.5::double - 0.5 y, (lon + 100.0::double) / 0.5::double - 0.5 x) q, g1g
+    where "row" in (floor(y), ceil(y)) and col in (floor(x), ceil(x)) and g1g."value" <> {M}) on true group by 1"""))(
     lambda s, d: _rounded(cells.bilinear(g1g(s, d), points(s, d).select("id", ((F.lit(50.0) - F.col("lat")) / 0.5 - 0.5).alias("y"), ((F.col("lon") + 100.0) / 0.5 - 0.5).alias("x"))).select("id", "value")))
