@@ -6,7 +6,9 @@ import time
 
 from pyspark.sql import SparkSession
 
+from gridloom.operators import distance, segment, stats, stencil
 from gridloom.plans.queries import QUERIES
+from gridloom.plans.tables import keep, large
 
 NAMES = ["histogram", "otsu", "dilate", "smooth_boxcar", "local_stats", "threshold_segment", "region_props", "edt", "nearest_point", "oban_gather", "hough", "glcm_measures"]
 
@@ -20,4 +22,11 @@ if __name__ == "__main__":
         t = time.time()
         QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - t, 3)
+    # the same operators on a grid of a million cells, to show how they grow
+    g = large(spark, sf)
+    g = type(g)(keep(g.df, "bench"), g.meta)
+    for name, run in {"histogram": lambda: stats.histogram(g, 0, 10, 60), "dilate": lambda: stencil.dilate(g, 2).df, "local_stats": lambda: stencil.local_stats(g, 5, 5), "threshold_segment": lambda: segment.label(g, 20), "edt": lambda: distance.edt(g, 45).df}.items():
+        t = time.time()
+        run().write.format("noop").mode("overwrite").save()
+        took[f"{name}_1000x1000"] = round(time.time() - t, 3)
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf}))

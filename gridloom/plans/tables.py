@@ -54,6 +54,13 @@ def g1(spark: SparkSession, sf_dir: str) -> Grid:
     return Grid(s, META).filled(s)
 
 
+def large(spark: SparkSession, sf_dir: str, n: int = 1000) -> Grid:
+    """Summed quantities by order and part key: n x n, missing where there are none."""
+    meta = GridMeta(n, n, -9999, 50.0, -100.0, 0.01, 0.01)
+    s = read(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % n).cast("int").alias("row"), (F.col("l_partkey") % n).cast("int").alias("col")).agg(F.sum("l_quantity").cast("int").alias("value"))
+    return Grid(s, meta).filled(s)
+
+
 def g1g(spark: SparkSession, sf_dir: str) -> Grid:
     """g1 with a gap wherever 7 divides the value."""
     return g1(spark, sf_dir).map(lambda v: F.when(v % 7 == 0, META.missing).otherwise(v))
