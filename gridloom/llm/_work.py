@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import uuid
 
@@ -11,9 +13,11 @@ from gridloom.plans.tables import shared_dir
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nobody holds any more."""
+    """Let Spark drop the shuffle files of plans that nobody holds any more, and give the driver's free memory back."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class Workspace:

@@ -329,12 +329,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, t: int = 80, broadcast_rows: in
     if reps.count() <= broadcast_rows:
         ids = F.broadcast(ids)
     sets = ws.table("sets", known.join(ids, "doc_id").select("doc_id", "text", "hi", "lo").mapInArrow(_sets(k), "rep long, n long, keys binary"))
+    ws.drop()
     total = int(sets.agg(F.sum("n")).first()[0] or 0)
     shared = spark.sparkContext.broadcast(rarity(sets.select("keys")))
     n = n_buckets(spark, 56 * total * (101 - t) / 100)
     posted = sets.mapInArrow(_postings(shared, t, n), "bucket long, keys binary, reps binary, sizes binary, bins binary")
     candidates = ws.table("candidates", posted.groupBy("bucket").applyInArrow(families(t), "a long, b long"))
     family = ws.table("family", components(candidates).withColumnsRenamed({"node": "rep", "component": "family"}))
+    ws.drop()
     members = sets.join(family, "rep")
     weight = members.groupBy("family").agg(F.sum(8 * F.col("n")).alias("bytes"))
     blocks = weight.select("family", F.ceil(F.col("bytes") / family_bytes).cast("int").alias("g"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm._bytes import LOWER, column, groups, mix
+from gridloom.llm._work import release
 
 BITS = 15
 DIM = 16
@@ -60,12 +61,13 @@ def slices(data: np.ndarray, offsets: np.ndarray, a: int, b: int):
 
 
 def sparse(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the grams of a text, and how often each occurs, in 16 bits (of a very long text in proportion)."""
     data = np.frombuffer(text.encode(), np.uint8)
     total = np.zeros(1 << BITS, np.int64)
     for ids, _ in slices(data, np.array([0, len(data)]), 0, 1):
         total += np.bincount(ids, minlength=len(total))
     ids = np.flatnonzero(total)
-    return ids, (total[ids] / max(1, total.sum())).astype(np.float32)
+    return ids.astype(np.uint16), np.ceil(total[ids] / max(1.0, total.max(initial=0) / 65535)).astype(np.uint16)
 
 
 class Model:
@@ -80,6 +82,7 @@ class Model:
             return
         y = np.array([self.names.index(lang) for _, lang in rows])
         x = [sparse(text) if isinstance(text, str) else text for text, _ in rows]
+        share = lambda i: (x[i][1] / max(1, x[i][1].sum(dtype=np.int64))).astype(np.float32)
         held = np.arange(len(rows)) % 5 == 4 if len(rows) >= 50 else np.zeros(len(rows), bool)
         fit = np.flatnonzero(~held)
         rng = np.random.default_rng(seed)
@@ -88,7 +91,7 @@ class Model:
         for epoch in range(epochs):
             step = rate * (1 - epoch / epochs)
             for part in np.array_split(rng.permutation(fit), -(-len(fit) // 32)):
-                ids, val = np.concatenate([x[i][0] for i in part]), np.concatenate([x[i][1] for i in part])
+                ids, val = np.concatenate([x[i][0] for i in part]), np.concatenate([share(i) for i in part])
                 at = np.cumsum([0, *(len(x[i][0]) for i in part)])[:-1]
                 h = np.add.reduceat(e[ids] * val[:, None], at, axis=0) if len(ids) else np.zeros((len(part), DIM), np.float32)
                 g = _softmax(h @ w + b)
@@ -105,7 +108,7 @@ class Model:
             known[x[i][0]] = True
         self.scores, self.bias = np.where(known[:, None], e @ w, 0).astype(np.float32), b
         cal = np.flatnonzero(held) if held.any() else fit
-        logits = np.array([(self.scores[x[i][0]] * x[i][1][:, None]).sum(0) + b for i in cal])
+        logits = np.array([(self.scores[x[i][0]] * share(i)[:, None]).sum(0) + b for i in cal])
         grid = np.geomspace(0.05, 20, 60)
         loss = [-np.log(_softmax(logits / t)[np.arange(len(cal)), y[cal]] + 1e-12).mean() for t in grid]
         self.temperature = float(grid[int(np.argmin(loss))])
@@ -138,7 +141,7 @@ def sample(rows: DataFrame, most: int, *by: str) -> DataFrame:
 
 
 def features_of(rows: DataFrame, one, *others: str) -> list:
-    """Rows of a bounded sample as (hash of text, one's ids (below 65536) and weights of the whole text, others), worked out where the texts are."""
+    """Rows of a bounded sample as (hash of text, one's ids and counts (16 bits) of the whole text, others), worked out where the texts are."""
     schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("ids", T.BinaryType()), T.StructField("weights", T.BinaryType()), *(rows.schema[c] for c in others)])
 
     def run(batches):
@@ -146,18 +149,20 @@ def features_of(rows: DataFrame, one, *others: str) -> list:
             for i, text in enumerate(batch.column(0)):
                 ids, weights = one(text.as_py())
                 key = hashlib.blake2b(text.as_py().encode(), digest_size=16).hexdigest()
-                made = [pa.array([key]), pa.array([ids.astype(np.uint16).tobytes()]), pa.array([weights.astype(np.float32).tobytes()])]
+                made = [pa.array([key]), pa.array([ids.astype(np.uint16).tobytes()]), pa.array([weights.astype(np.uint16).tobytes()])]
                 yield pa.RecordBatch.from_arrays([*made, *(batch.column(1 + j).slice(i, 1) for j in range(len(others)))], ["key", "ids", "weights", *others])
 
     got = rows.select(F.col("text").cast("string").alias("text"), *others).mapInArrow(run, schema).toLocalIterator()
-    return [(r.key, (np.frombuffer(r.ids, np.uint16), np.frombuffer(r.weights, np.float32)), *(r[c] for c in others)) for r in got]
+    return [(r.key, (np.frombuffer(r.ids, np.uint16), np.frombuffer(r.weights, np.uint16)), *(r[c] for c in others)) for r in got]
 
 
 def fit(labelled: DataFrame) -> Model:
     """From rows (text, lang), told apart by doc_id if there is one: a bounded sample, the same whatever their order."""
     rows = labelled.where("text is not null and lang is not null")
     rows = sample(rows, SAMPLE_ROWS, "text", "lang", *(["doc_id"] if "doc_id" in labelled.columns else []))
-    return Model([(x, lang) for _, x, lang in sorted(features_of(rows, sparse, "lang"), key=lambda r: hash_key(r[0], r[2]))])
+    model = Model([(x, lang) for _, x, lang in sorted(features_of(rows, sparse, "lang"), key=lambda r: hash_key(r[0], r[2]))])
+    release(labelled.sparkSession)
+    return model
 
 
 def hash_key(*values) -> bytes:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm._bytes import ALNUM, NONSPACE, column, groups, words
-from gridloom.llm._work import Workspace
+from gridloom.llm._work import Workspace, release
 from gridloom.llm.language_id import features_of, hash_key, sample
 
 DOMAINS = ("good", "plain", "toxic")
@@ -101,7 +101,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("toxic").isNull() | F.col("quality").isNull(), None).when(F.col("quality") == 0, 1).otherwise(0)
     drawn = sample(labels.select("doc_id", domain.alias("domain")).where("domain is not null and doc_id is not null").distinct(), SAMPLE_ROWS, "doc_id")
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id").limit(2 * SAMPLE_ROWS)
-    return Classifier([(x[0], d) for _, x, d in sorted(features_of(rows, presence, "domain"), key=lambda r: hash_key(r[0], r[2]))])
+    model = Classifier([(x[0], d) for _, x, d in sorted(features_of(rows, presence, "domain"), key=lambda r: hash_key(r[0], r[2]))])
+    release(docs.sparkSession)
+    return model
 
 
 def posteriors(docs: DataFrame, model: Classifier, names: tuple[str, ...] = DOMAINS) -> DataFrame:
