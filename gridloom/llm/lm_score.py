@@ -116,7 +116,7 @@ class Model:
             own = (state & 255).astype(np.uint8)
             gate = own if gate is None else np.maximum(gate, own, out=gate)
             state >>= 8
-            x.append(state * np.float32(1 / UNIT))
+            x.append(state.astype(np.float32) * np.float32(1 / UNIT))
         w = (self.wa[None] + self.wb[:, None]).reshape(-1, K + 1)
         at = gate + np.arange(0, 8 * GATES, GATES)[:, None]
         z = w[:, K][at]
