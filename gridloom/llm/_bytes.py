@@ -75,6 +75,15 @@ def between(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return mix(y)
 
 
+def windows(h: np.ndarray, w: int) -> np.ndarray:
+    """between() of every run of w bytes."""
+    n = max(0, h.shape[1] - w)
+    x, y = (_mod(_mod(own[w:] - own[:n]) * inv[:n]) for own, (_, inv) in zip(h, powers(h.shape[1]), strict=True))
+    y <<= U64(32)
+    y |= x
+    return mix(y)
+
+
 def column(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a text or binary column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

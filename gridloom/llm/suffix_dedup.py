@@ -9,7 +9,7 @@ and a difference cover decides beforehand which suffixes can tie at all:
 2. The remaining suffixes are ranked by their W bytes in PASSES ranges of the key, one after the other, each dealt to
    buckets that are sorted one at a time. Ties mark starts of repeated strings.
 
-Ranks are 64-bit fingerprints. A block of texts sends each rank once, with a bit for "more than once here", so a rank that
+Ranks are 62-bit fingerprints. A block of texts sends each rank once, with a bit for "more than once here", so a rank that
 very many positions share costs one entry a block. Answers are a bit for each entry sent. Texts over SEGMENT bytes are cut into
 segments that overlap by W - 1 bytes; each start belongs to one.
 """
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm._bytes import between, blob, column, prefix_hash
+from gridloom.llm._bytes import between, blob, column, prefix_hash, windows
 from gridloom.llm._exchange import block_ids, cuts, n_buckets
 from gridloom.llm._work import Workspace, text_bytes
 
@@ -155,8 +155,7 @@ def _starts(r: dict, w: int):
     """Ranks of the starts that are left, piece by piece."""
     for k, raw in enumerate(r["data"]):
         data = np.frombuffer(raw, np.uint8)
-        p = np.arange(len(data) - w + 1)
-        yield k, between(prefix_hash(data), p, p + w)
+        yield k, windows(prefix_hash(data), w)
 
 
 def find(docs: DataFrame, w: int = W, passes: int = PASSES) -> tuple[Workspace, DataFrame, DataFrame, int]:
