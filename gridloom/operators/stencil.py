@@ -60,7 +60,7 @@ def matched(g: Grid, k: Kernel) -> Grid:
     """10000 * correlation share with the kernel at sum 1; missing is -1."""
     total = sum(map(sum, k))
     s = reach(g, [[w / total for w in line] for line in k]).groupBy("row", "col").agg(F.sum(F.col("w") * F.col("value")).alias("s"), F.sum("value").alias("v"))
-    return g.filled(s.where("v <> 0").select("row", "col", jround(F.lit(10000.0) * F.col("s") / F.col("v")).alias("value")), missing=-1)
+    return g.filled(s.where("v <> 0").select("row", "col", jround(F.round(F.lit(10000.0) * F.col("s") / F.col("v"), 6)).alias("value")), missing=-1)
 
 
 def _extreme(g: Grid, h: int, agg: Callable) -> Grid:

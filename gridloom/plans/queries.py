@@ -172,7 +172,7 @@ ORACLE["separable_smooth"] = sql("g1 g1g", "")[:-1] + ", one as (" + _three("g1g
 grid_query("median", lambda g: stencil.median(g, 1), _around('list_sort(list(b."value") filter (b."value" is not null))[count(b."value") // 2 + 1]', 1))
 grid_query("speckle", lambda g: stencil.speckle(g, 1, 80), f"""select "row", col, case when m."value" <> {M} and abs(g1g."value" - m."value") > 80 then m."value" else g1g."value" end "value" from g1g join (""" + _around('list_sort(list(b."value") filter (b."value" is not null))[count(b."value") // 2 + 1]', 1) + ') m using ("row", col)')
 _K = '(2 - abs(b."row" - a."row") - abs(b.col - a.col))'
-grid_query("matched_filter", lambda g: stencil.matched(g, [[0.0, 1.0, 0.0], [1.0, 2.0, 1.0], [0.0, 1.0, 0.0]]), _around(f'floor(10000 * sum({_K} / 6.0::double * b."value") / nullif(sum(b."value") filter ({_K} > 0), 0)::double + 0.5)', 1, none=-1))
+grid_query("matched_filter", lambda g: stencil.matched(g, [[0.0, 1.0, 0.0], [1.0, 2.0, 1.0], [0.0, 1.0, 0.0]]), _around(f'floor(round(10000 * sum({_K} / 6.0::double * b."value") / nullif(sum(b."value") filter ({_K} > 0), 0)::double, 6) + 0.5)', 1, none=-1))
 _at = lambda i, j: f'max(b."value") filter (b."row" = a."row" + {i} and b.col = a.col + {j})'
 _GX = f"{_at(-1, 1)} + 2 * {_at(0, 1)} + {_at(1, 1)} - {_at(-1, -1)} - 2 * {_at(0, -1)} - {_at(1, -1)}"
 _GY = f"{_at(1, -1)} + 2 * {_at(1, 0)} + {_at(1, 1)} - {_at(-1, -1)} - 2 * {_at(-1, 0)} - {_at(-1, 1)}"
