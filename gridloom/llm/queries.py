@@ -11,6 +11,7 @@ from gridloom.llm.language_id import op10_language_id
 from gridloom.llm.line_dedup import op8_line_dedup
 from gridloom.llm.lm_score import op3_lm_score
 from gridloom.llm.mix_sources import op9_mix_sources
+from gridloom.llm.source_audit import op13_source_audit
 from gridloom.llm.suffix_dedup import op6_suffix_dedup
 from gridloom.llm.token_counts import op1_token_counts
 from gridloom.llm.warc import op4_warc
@@ -22,7 +23,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_lm_score, op4_warc, op5_ann, op6_suffix_dedup, op7_jaccard_join, op8_line_dedup, op9_mix_sources, op10_language_id, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_lm_score, op4_warc, op5_ann, op6_suffix_dedup, op7_jaccard_join, op8_line_dedup, op9_mix_sources, op10_language_id, op13_source_audit, pipeline)}
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -80,4 +81,19 @@ ORACLE_SQL: dict[str, str] = {
     kept as (select r, string_agg(line, chr(10) order by no) k from own left join sets using (w) left join best using (s) where best.f is null or doc_id is null or not best.f < {'d': doc_id, 'no': no} group by r)
     select doc_id, (case when text is null then 0 else len(string_split(text, chr(10))) end)::bigint n_lines, case when text is null then 0 else octet_length(encode(coalesce(k, ''))) end::bigint kept_bytes,
     case when text is not null then sha256(coalesce(k, '')) end kept_sha256 from doc left join kept using (r)""",
+    "op13_source_audit": r"""
+    with d as (select row_number() over () r, coalesce(lang, '') lang, coalesce(source, '') source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') w from documents),
+    tok as (select r, lang, source, unnest(w) t from d),
+    kept as (select lang, t from tok group by lang, t having count(distinct r) >= 3),
+    cnt as (select lang, source, t, count(*)::hugeint n from tok semi join kept using (lang, t) group by lang, source, t),
+    grp as (select lang, source, coalesce(sum(n), 0)::hugeint n from (select distinct lang, source from d) left join cnt using (lang, source) group by lang, source),
+    voc as (select lang, count(t)::hugeint v from (select distinct lang from d) left join kept using (lang) group by lang),
+    p as (select lang, source, t, coalesce(c.n, 0) n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (grp.n + v) p from grp join voc using (lang) join kept using (lang) left join cnt c using (lang, source, t)),
+    q as (select lang, t, 1 + (1000000000 * (sum(n) + 1)::hugeint) // (any_value(a) + any_value(v)) q from p join (select lang, sum(n)::hugeint a from grp group by lang) using (lang) join voc using (lang) group by lang, t),
+    pair as (select a.lang, a.source, b.source item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0)::bigint "value" from grp a join grp b on a.lang = b.lang and a.source <> b.source
+        left join p x on x.lang = a.lang and x.source = a.source left join p y on y.lang = b.lang and y.source = b.source and y.t = x.t where x.t is null or y.t is not null group by all),
+    term as (select lang, source, t item, ((p - q) * (p - q) // q)::bigint "value" from p join q using (lang, t) where n > 0 and p > q),
+    ranked as (select *, 'pair' part, row_number() over (partition by lang, source order by "value" desc, item)::int "rank" from pair
+        union all select *, 'term' part, row_number() over (partition by lang, source order by "value" desc, item)::int "rank" from term qualify "rank" <= 200)
+    select lang, source, part, item, "value", "rank" from ranked""",
 }
