@@ -10,6 +10,7 @@ from gridloom.llm.jaccard_join import op7_jaccard_join
 from gridloom.llm.language_id import op10_language_id
 from gridloom.llm.line_dedup import op8_line_dedup
 from gridloom.llm.lm_score import op3_lm_score
+from gridloom.llm.minhash import op12_minhash
 from gridloom.llm.mix_sources import op9_mix_sources
 from gridloom.llm.source_audit import op13_source_audit
 from gridloom.llm.suffix_dedup import op6_suffix_dedup
@@ -23,7 +24,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_lm_score, op4_warc, op5_ann, op6_suffix_dedup, op7_jaccard_join, op8_line_dedup, op9_mix_sources, op10_language_id, op13_source_audit, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_lm_score, op4_warc, op5_ann, op6_suffix_dedup, op7_jaccard_join, op8_line_dedup, op9_mix_sources, op10_language_id, op12_minhash, op13_source_audit, pipeline)}
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -81,6 +82,17 @@ ORACLE_SQL: dict[str, str] = {
     kept as (select r, string_agg(line, chr(10) order by no) k from own left join sets using (w) left join best using (s) where best.f is null or doc_id is null or not best.f < {'d': doc_id, 'no': no} group by r)
     select doc_id, (case when text is null then 0 else len(string_split(text, chr(10))) end)::bigint n_lines, case when text is null then 0 else octet_length(encode(coalesce(k, ''))) end::bigint kept_bytes,
     case when text is not null then sha256(coalesce(k, '')) end kept_sha256 from doc left join kept using (r)""",
+    "op12_minhash": r"""
+    with recursive doc as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+    sh as (select distinct doc_id, array_to_string(w[p:p + 1], ' ') s from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) p from doc where len(w) > 0)),
+    n as (select doc_id, count(*) n from sh group by 1),
+    common as (select s from sh group by s having count(*) > 1),
+    few as (select sh.doc_id, s from sh join common using (s)),
+    pair as (select a.doc_id x, b.doc_id y, count(*) c from few a join few b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+    link as (select x, y from pair join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+    reach as (select doc_id a, doc_id b from documents union select reach.a, link.y from reach join link on reach.b = link.x),
+    comp as (select a, min(b) c from reach group by a)
+    select doc_id, coalesce(n, 0)::bigint n_shingles, c component_id, doc_id = c kept from documents left join n using (doc_id) join comp on a = doc_id""",
     "op13_source_audit": r"""
     with d as (select row_number() over () r, coalesce(lang, '') lang, coalesce(source, '') source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') w from documents),
     tok as (select r, lang, source, unnest(w) t from d),
