@@ -12,6 +12,7 @@ from gridloom.llm.line_dedup import op8_line_dedup
 from gridloom.llm.lm_score import op3_lm_score
 from gridloom.llm.minhash import op12_minhash
 from gridloom.llm.mix_sources import op9_mix_sources
+from gridloom.llm.prefix_trie import op11_prefix_trie
 from gridloom.llm.source_audit import op13_source_audit
 from gridloom.llm.suffix_dedup import op6_suffix_dedup
 from gridloom.llm.token_counts import op1_token_counts
@@ -24,7 +25,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_lm_score, op4_warc, op5_ann, op6_suffix_dedup, op7_jaccard_join, op8_line_dedup, op9_mix_sources, op10_language_id, op12_minhash, op13_source_audit, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_lm_score, op4_warc, op5_ann, op6_suffix_dedup, op7_jaccard_join, op8_line_dedup, op9_mix_sources, op10_language_id, op11_prefix_trie, op12_minhash, op13_source_audit, pipeline)}
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -82,6 +83,19 @@ ORACLE_SQL: dict[str, str] = {
     kept as (select r, string_agg(line, chr(10) order by no) k from own left join sets using (w) left join best using (s) where best.f is null or doc_id is null or not best.f < {'d': doc_id, 'no': no} group by r)
     select doc_id, (case when text is null then 0 else len(string_split(text, chr(10))) end)::bigint n_lines, case when text is null then 0 else octet_length(encode(coalesce(k, ''))) end::bigint kept_bytes,
     case when text is not null then sha256(coalesce(k, '')) end kept_sha256 from doc left join kept using (r)""",
+    "op11_prefix_trie": r"""
+    with src as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce("text", '')) p, {'r': coalesce(role, ''), 't': coalesce("text", '')} u from conversations where conv_id is not null),
+    len as (select conv_id, count(*) n, (list_reduce(list_prepend(4294967295::ubigint, flatten(list_transform(string_split(conv_id::varchar, ''), lambda x: list_concat([ascii(x)::ubigint], list_transform(range(8), lambda i: 999::ubigint))))),
+        lambda a, x: case when x = 999 then xor(a >> 1, 3988292384::ubigint * (a & 1)) else xor(a, x) end)) c from src group by conv_id),
+    h as (select conv_id, n, xor(c, 4294967295::ubigint)::bigint % 4 h from len),
+    conv as (select h.conv_id, list_concat(coalesce((select list(u order by p) from src where src.conv_id = h.conv_id - h.conv_id % 20 and p <= h), []), coalesce((select list(u order by p) from src where src.conv_id = h.conv_id and p > h), [])) s from h),
+    mem as (select conv_id, d, s[1:d] k, len(s) = d ends from (select conv_id, s, unnest(range(0, len(s) + 1)) d from conv)),
+    node as (select d, k, min(conv_id) c, count(*) n, coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '') e, case when d = 0 then 0 else len(regexp_extract_all(k[d].t, '[^\x20\x09-\x0D]+')) end w from mem group by d, k),
+    kids as (select d - 1 d, k[1:d - 1] k, count(*) m from node where d > 0 group by all),
+    whole as (select node.*, coalesce(m, 0) m from node left join kids using (d, k)),
+    up as (select a d, k[1:a] k, count(*) filter (m = 0) leaves, sum((n - 1) * w) saved from (select *, unnest(range(0, d + 1)) a from whole) group by all)
+    select x.c conv_id, x.d "depth", p.c parent_conv_id, x.n n_convs, x.m n_children, leaves n_leaves, saved::bigint saved_tokens, sha256(x.e) ends_sha256
+    from whole x join up using (d, k) left join node p on p.d = x.d - 1 and p.k = x.k[1:x.d - 1]""",
     "op12_minhash": r"""
     with recursive doc as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
     sh as (select distinct doc_id, array_to_string(w[p:p + 1], ' ') s from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) p from doc where len(w) > 0)),
