@@ -243,13 +243,15 @@ def trie(ws: Workspace, turns: DataFrame, convs: DataFrame, chunk: int = CHUNK,
         rows = ws.table(f"rows{k}", rows.select("cls", F.lit(0).cast("long").alias("skip"), F.lit(k * chunk).cast("long").alias("depth"), "up", "rep", "n", "turns", *sub, ends_here.alias("ends")))
         sums, made = _level(ws, rows, k, class_bytes)
         nodes = [*nodes, made]
-    top = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0")
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    below = sums.where(F.col("cls") == F.lit(ROOT)).select("n_children", "n_leaves", "saved_tokens", F.lit(1).alias("one")) if sums is not None else None
-    root = top.withColumn("one", F.lit(1)).join(below, "one", "left") if below is not None else top.withColumns({c: F.lit(None).cast("long") for c in ("n_children", "n_leaves", "saved_tokens")})
-    root_ends = ends.where(F.col("label") == F.lit(ROOT + b"0")).select("ends", F.lit(1).alias("one"))
-    root = root.withColumn("one", F.lit(1)).join(root_ends, "one", "left")
-    root = root.select("conv_id", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), "n_convs", zero(F.col("n_children")).alias("n_children"), F.coalesce("n_leaves", F.lit(1).cast("long")).alias("n_leaves"), zero(F.col("saved_tokens")).alias("saved_tokens"), F.coalesce("ends", F.lit(EMPTY)).alias("ends_sha256"))
+    # the root from one-row tables, without a join: what one of them knows is null in the others
+    root = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"))
+    root = root.unionByName(ends.where(F.col("label") == F.lit(ROOT + b"0")).select(F.col("ends").alias("ends_sha256")), True)
+    if sums is not None:
+        root = root.unionByName(sums.where(F.col("cls") == F.lit(ROOT)).select("n_children", "n_leaves", "saved_tokens"), True)
+    value = {c: F.max(c) if c in root.columns else F.lit(None).cast("long") for c in ("conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")}
+    value |= {c: F.coalesce(value[c], F.lit(other)) for c, other in (("n_children", 0), ("n_leaves", 1), ("saved_tokens", 0), ("ends_sha256", EMPTY))}
+    root = root.agg(*(x.alias(c) for c, x in value.items())).where("n_convs > 0").withColumns({"depth": F.lit(0).cast("long"), "parent_conv_id": F.lit(None).cast("long")})
+    root = root.select("conv_id", "depth", "parent_conv_id", "n_convs", *(F.col(c).cast("long") for c in ("n_children", "n_leaves", "saved_tokens")), "ends_sha256")
     for x in nodes:
         root = root.unionByName(x)
     return root

@@ -28,7 +28,7 @@ TERM = np.zeros(256, bool)
 TERM[65:91] = TERM[97:123] = TERM[128:] = True
 #: Bytes of text that are tokenised at once, and that are summed before they are sent.
 PIECE = 1 << 20
-BLOCK = 24 << 20
+BLOCK = 8 << 20
 SCALE_STEPS = 3  # p is in parts of 1000 ** 3
 SCHEMA = "lang string, bucket long, sources array<string>, source binary, n binary, df binary, size binary, terms binary"
 CELLS = "lang string, bucket long, sources array<string>, totals array<long>, v long, indptr binary, indices binary, counts binary, size binary, terms binary"
