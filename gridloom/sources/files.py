@@ -6,29 +6,76 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.grid import Grid, GridMeta
+from gridloom.sources import esri
 
 
 def read_esri(spark: SparkSession, path: str, scale=lambda v: v) -> Grid:
-    """An ESRI ASCII grid, gzip or plain: six header lines by position, then values row by row, which may wrap over lines.
+    """An ESRI ASCII grid, gzip or plain, through the data source of sources/esri, which cuts plain files into ranges.
 
-    scale: a function of the value's column; the result is rounded half up. The header's no-data text is missing.
+    scale: a function of the value's column; the result is rounded half up. The header's no-data text is missing. A folder holds one grid.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("i"), F.trim("value").alias("line"))
-    head = [r.line.split()[1] for r in lines.orderBy("i").limit(6).collect()]
-    nc, nr, x, y, res, nodata = int(head[0]), int(head[1]), float(head[2]), float(head[3]), float(head[4]), head[5]
-    meta = GridMeta(nr, nc, int(float(nodata)), y + res * nr, x, res, res)
-    body = spark.read.text(path, wholetext=True).select(F.posexplode(F.slice(F.split(F.trim("value"), "\\s+"), 13, nr * nc)).alias("p", "t"))
-    v = F.when(F.col("t") == nodata, meta.missing).otherwise(F.floor(scale(F.col("t").cast("double")) + 0.5)).cast("int")
-    return Grid(body.select(F.expr(f"cast(p div {nc} as int)").alias("row"), (F.col("p") % nc).alias("col"), v.alias("value")), meta)
+    esri.register(spark)
+    found = esri.grids_at(path)
+    if len(found) != 1:
+        raise ValueError(f"{path} holds {len(found)} grids; read_esri_all() reads several")
+    meta, _ = esri.header(found[0])
+    cells = spark.read.format("esri").load(found[0])
+    return Grid(cells.select("row", "col", _scaled(F.col("value"), scale, meta.missing)), meta)
+
+
+def read_esri_all(spark: SparkSession, path: str, pattern: str | None = None, scale=lambda v: v) -> tuple[DataFrame, dict[str, GridMeta]]:
+    """(grid, row, col, value) of every grid of a folder whose name matches pattern, and their shapes; grid is the file's path."""
+    esri.register(spark)
+    metas = {x: esri.header(x)[0] for x in esri.grids_at(path, pattern)}
+    read = spark.read.format("esri")
+    cells = (read.option("pathGlobFilter", pattern) if pattern else read).load(path)
+    missing = F.create_map(*(F.lit(x) for k, m in metas.items() for x in (k, m.missing))) if metas else F.create_map()
+    return cells.select("grid", "row", "col", _scaled(F.col("value"), scale, F.try_element_at(missing, F.col("grid")) if metas else F.lit(None))), metas
+
+
+def _scaled(v, scale, missing):
+    return F.when(v.isNull(), missing).otherwise(F.floor(scale(v) + 0.5)).cast("int").alias("value")
+
+
+def population(spark: SparkSession, path: str, log: bool = False) -> Grid:
+    """People per area in thousandths; with log 100 * log10(v), 0 up to 1."""
+    return read_esri(spark, path, (lambda v: F.when(v > 1, 100 * F.log10(v)).otherwise(0.0)) if log else (lambda v: v * 0.001))
+
+
+def night_lights(spark: SparkSession, path: str) -> Grid:
+    """Lights from 0 to 63, brought to 0 to 100."""
+    return read_esri(spark, path, lambda v: v * (100 / 63.0))
 
 
 def write_esri(g: Grid, path: str) -> None:
-    """One gzip text file in a folder: the header, then a line for each row."""
+    """One gzip file, grid.asc.gz, in a folder: the header, then a line for each row. Tasks write ranges of rows, which are joined at the end."""
+    esri.register(g.df.sparkSession)
     m = g.meta
-    head = [("ncols", m.ncols), ("nrows", m.nrows), ("xllcorner", m.nw_lon), ("yllcorner", m.nw_lat - m.lat_res * m.nrows), ("cellsize", m.lat_res), ("NODATA_value", m.missing)]
-    rows = g.df.groupBy("row").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda x: x["value"].cast("string"))).alias("value"))
-    top = g.df.sparkSession.createDataFrame([(i - len(head), f"{k} {v}") for i, (k, v) in enumerate(head)], "row int, value string")
-    top.unionByName(rows).coalesce(1).sortWithinPartitions("row").select("value").write.text(path, compression="gzip")
+    rows = g.df.select(*(F.col(c).cast("int").alias(c) for c in ("row", "col", "value"))).repartitionByRange("row").sortWithinPartitions("row", "col")
+    options = {"nrows": m.nrows, "ncols": m.ncols, "missing": m.missing, "nw_lat": m.nw_lat, "nw_lon": m.nw_lon, "lat_res": m.lat_res}
+    rows.write.format("esri").options(**options).mode("append").save(path)
+
+
+def read_numbers(spark: SparkSession, path: str, names: list[str], header: bool = False) -> DataFrame:
+    """A table of numbers between white space, the first len(names) of every line; with header, lines that aren't numbers are left out."""
+    f = F.split(F.trim("value"), "\\s+")
+    rows = spark.read.text(path).where(F.trim("value") != "").select(f.alias("f"))
+    at = [F.get("f", F.lit(i)) for i in range(len(names))]
+    rows = rows.select(*((x.try_cast("double") if header else x.cast("double")).alias(n) for x, n in zip(at, names, strict=True)))
+    return rows.where(F.col(names[0]).isNotNull()) if header else rows
+
+
+def write_numbers(df: DataFrame, path: str, order: list[str]) -> None:
+    """The columns of df between spaces, a line for each row, in parts that follow each other in that order."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).select(F.concat_ws(" ", *(F.col(c).cast("string") for c in df.columns)).alias("value")).write.text(path)
+
+
+def write_assignment(cost: DataFrame, chosen: DataFrame, path: str, columns: int, top: int = 10000) -> None:
+    """A matrix of costs (i, j, cost; top where there is none) as lines of text, j from 1 to columns; chosen (i, j) bear a star."""
+    cells = cost.select("i", F.explode(F.sequence(F.lit(1), F.lit(columns))).alias("j")).distinct().join(cost, ["i", "j"], "left").join(chosen.select("i", "j", F.lit("*").alias("star")), ["i", "j"], "left")
+    text = F.concat(F.coalesce(F.col("cost").cast("long"), F.lit(top)).cast("string"), F.coalesce("star", F.lit("")))
+    rows = cells.groupBy("i").agg(F.concat_ws("  & ", F.transform(F.array_sort(F.collect_list(F.struct("j", text.alias("t")))), lambda x: x["t"])).alias("line"))
+    rows.repartitionByRange("i").sortWithinPartitions("i").select(F.concat("line", F.lit(r" \\")).alias("value")).write.text(path)
 
 
 def read_points(spark: SparkSession, path: str, scale: float, missing: int) -> DataFrame:
