@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,46 +15,76 @@ from gridloom.plans.tables import forget, keep
 CAP = 250 * 250
 
 
+#: Columns of a strip, and the most cells it may hold.
+WIDTH, STRIP = 128, 1 << 22
+
+
 def _envelope(g: np.ndarray) -> np.ndarray:
-    """For each row r the least of g[k] + (r - k)**2 over k, by the lower envelope of these parabolas; inf in g is no parabola."""
-    seeds = np.flatnonzero(np.isfinite(g))
-    if not len(seeds):
-        return np.full(len(g), np.inf)
-    at, start = [], []
-    for k in seeds.tolist():
-        while at:
-            x = (g[k] + k * k - g[at[-1]] - at[-1] * at[-1]) / (2 * (k - at[-1]))
-            if x > start[-1]:
-                break
-            at.pop()
-            start.pop()
-        start.append(x if at else -np.inf)
-        at.append(k)
-    r = np.arange(len(g))
-    best = np.array(at)[np.searchsorted(start, r, "right") - 1]
-    return g[best] + (r - best) ** 2
+    """For each row r and column the least of g[k] + (r - k)**2 over k, by the lower envelope of these parabolas; inf in g is no parabola.
+
+    All columns go down together: each has a stack of the parabolas that its envelope holds so far and of the rows where they take over.
+    """
+    n, m = g.shape
+    at, start = np.zeros((n, m), np.int64), np.full((n, m), np.inf)
+    top = np.full(m, -1)
+    for k in range(n):
+        new = np.flatnonzero(np.isfinite(g[k]))
+        x = np.full(len(new), -np.inf)
+        live = np.flatnonzero(top[new] >= 0)
+        while len(live):
+            c = new[live]
+            was = at[top[c], c]
+            x[live] = (g[k, c] + k * k - g[was, c] - was * was) / (2.0 * (k - was))
+            gone = x[live] <= start[top[c], c]
+            start[top[c[gone]], c[gone]] = np.inf
+            top[c[gone]] -= 1
+            live = live[gone]
+            empty = top[new[live]] < 0
+            x[live[empty]] = -np.inf
+            live = live[~empty]
+        top[new] += 1
+        at[top[new], new], start[top[new], new] = k, x
+    out = np.full((n, m), np.inf)
+    cols = np.flatnonzero(top >= 0)
+    if len(cols):
+        now, deep = np.zeros(len(cols), np.int64), top[cols]
+        for r in range(n):
+            while True:
+                on = np.flatnonzero((now < deep) & (start[np.minimum(now + 1, n - 1), cols] <= r))
+                if not len(on):
+                    break
+                now[on] += 1
+            k = at[now, cols]
+            out[r, cols] = g[k, cols] + (r - k) ** 2
+    return out
 
 
 def edt(g: Grid, t: int) -> Grid:
     """Squared distance to the nearest value above t; nrows**2 + ncols**2 where there is none.
 
-    The distance along the row comes from two windows; the second pass takes one column at a time, in linear time.
+    The distance along the row comes from two windows; the second pass takes a strip of columns at once, in linear time.
     """
-    top, nrows = g.meta.nrows**2 + g.meta.ncols**2, g.meta.nrows
+    top, nrows, ncols = g.meta.nrows**2 + g.meta.ncols**2, g.meta.nrows, g.meta.ncols
     w = Window.partitionBy("row").orderBy("col")
     seed = F.when(F.col("value") > t, F.col("col"))
     left = F.last(seed, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     right = F.first(seed, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     d = F.least(F.col("col") - left, right - F.col("col"))
-
-    def column(pdf: pd.DataFrame) -> pd.DataFrame:
-        along = np.full(nrows, np.inf)
-        along[pdf["row"]] = pdf["g"]
-        best = _envelope(along)
-        return pd.DataFrame({"row": np.arange(nrows), "col": pdf["col"].iloc[0], "value": np.where(np.isfinite(best), best, top).astype(np.int64)})
-
-    one = g.df.select("row", "col", (d * d).cast("double").alias("g"))
-    return Grid(one.groupBy("col").applyInPandas(column, "row int, col int, value int"), g.meta)
+    width = max(1, min(WIDTH, STRIP // nrows))
+
+    def strip(table: pa.Table) -> pa.Table:
+        row, col = table.column("row").to_numpy(), table.column("col").to_numpy()
+        first = int(col.min()) // width * width
+        a = np.full((nrows, min(width, ncols - first)), np.inf)
+        along = table.column("d")
+        known = along.is_valid().to_numpy()
+        a[row[known], col[known] - first] = along.drop_null().to_numpy().astype(float) ** 2
+        best = _envelope(a)
+        r, c = np.indices(best.shape, np.int32)
+        return pa.table({"row": r.ravel(), "col": c.ravel() + np.int32(first), "value": np.where(np.isfinite(best), best, top).astype(np.int32).ravel()})
+
+    one = g.df.select("row", "col", d.alias("d"), F.floor(F.col("col") / width).alias("strip"))
+    return Grid(one.groupBy("strip").applyInArrow(strip, "row int, col int, value int"), g.meta)
 
 
 def edt_clamped(g: Grid, t: int, cap: int = CAP) -> Grid:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.grid import Grid
 from gridloom.operators.cells import difference as frame_difference  # noqa: F401
+from gridloom.operators.tiles import by_tiles, shifted
 
 
 def cross_correlation(before: Grid, now: Grid, est: int, max_u: int, max_v: int) -> DataFrame:
@@ -18,16 +21,30 @@ def cross_correlation(before: Grid, now: Grid, est: int, max_u: int, max_v: int)
     Ties go to the first shift in order; (0, 0) where none counts. Both frames use now's mark for missing.
     """
     miss = now.meta.missing
-    shifts = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(u).alias("u"), F.lit(v).alias("v")) for k, (u, v) in enumerate((u, v) for u in range(-max_u, max_u + 1) for v in range(-max_v, max_v + 1))))
-    moved = before.df.where(F.col("value") != miss).withColumn("s", F.explode(shifts)).select((F.col("row") + F.col("s.u")).alias("row"), (F.col("col") + F.col("s.v")).alias("col"), "s", F.col("value").alias("was"))
-    d = moved.join(now.df.where(F.col("value") != miss), ["row", "col"]).select("row", "col", "s", F.pow((F.col("value") - F.col("was")).cast("double"), 2).alias("d"), F.pow(F.col("value").cast("double"), 2).alias("q"))
-    # sums over windows by two passes, one along each axis
-    for axis in ("row", "col"):
-        e = d.withColumn("o", F.explode(F.sequence(F.lit(-est), F.lit(est)))).withColumn(axis, F.col(axis) + F.col("o"))
-        d = e.groupBy("row", "col", "s").agg(F.sum("d").alias("d"), F.sum("q").alias("q"), F.sum(F.lit(1) if axis == "row" else F.col("n")).alias("n"))
-    ok = d.where((F.col("q") > 0) & (F.col("d") < 0.75 * F.col("q")) & (2 * F.col("n") >= (2 * est + 1) ** 2))
-    best = ok.groupBy("row", "col").agg(F.min(F.struct(F.try_divide(F.col("d"), F.col("q")).alias("e"), F.col("s.k").alias("k"), F.col("s.u").alias("u"), F.col("s.v").alias("v"))).alias("b"))
-    return now.df.select("row", "col").join(best, ["row", "col"], "left").select("row", "col", F.coalesce("b.u", F.lit(0)).alias("u"), F.coalesce("b.v", F.lit(0)).alias("v"))
+    most = (2 * est + 1) ** 2
+
+    def run(b: np.ndarray, a: np.ndarray) -> dict[str, np.ndarray]:
+        have = a != miss
+        best, u_best, v_best = np.full(b.shape, np.inf), np.zeros(b.shape, np.int32), np.zeros(b.shape, np.int32)
+        for u in range(-max_u, max_u + 1):
+            for v in range(-max_v, max_v + 1):
+                both = (b != miss) & shifted(have, -u, -v, False)
+                d = np.where(both, b - shifted(a, -u, -v, 0), 0).astype(float) ** 2
+                d, q, n = (_window(x, est) for x in (d, np.where(both, b, 0).astype(float) ** 2, both.astype(float)))
+                e = np.divide(d, q, out=np.full(b.shape, np.inf), where=(q > 0) & (d < 0.75 * q) & (2 * n >= most))
+                less = e < best
+                best, u_best, v_best = np.where(less, e, best), np.where(less, u, u_best), np.where(less, v, v_best)
+        return {"u": u_best, "v": v_best}
+
+    return by_tiles([now, Grid(before.df, replace(before.meta, missing=miss))], (est + max_u, est + max_v), run, "u int, v int")
+
+
+def _window(x: np.ndarray, h: int) -> np.ndarray:
+    """Sums over windows of half size h, term by term, so that doubles don't lose what running sums would."""
+    for axis in (0, 1):
+        p = np.pad(x, [(h, h) if k == axis else (0, 0) for k in (0, 1)])
+        x = sum(np.take(p, range(i, i + x.shape[axis]), axis) for i in range(2 * h + 1))
+    return x
 
 
 def cost_matrix(a: DataFrame, b: DataFrame, most: float = 10000.0) -> DataFrame:

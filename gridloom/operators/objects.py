@@ -9,12 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.grid import Grid, idiv
+from gridloom.grid import Grid
 from gridloom.operators import segment, stats
 from gridloom.operators.stats import DIRECTIONS
+from gridloom.operators.tiles import box_sum, by_tiles, shifted
 from gridloom.plans.tables import keep
 
 FREE, FOOT = -1, -2
+#: Side of the squares in which contours and cells meet.
+SQUARE = 64
 RING = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
 
 
@@ -157,8 +160,13 @@ def snake_array(gradient: np.ndarray, nodes: list[tuple[int, int]], rounds: int
 def snakes(gradient: Grid, nodes: DataFrame, rounds: int = 50) -> DataFrame:
     """contour, seq, row, col of contours (contour, seq, row, col) pulled to the gradient, a task for each; each gets the grid's cells around it only."""
     margin = rounds
+    square = lambda c: F.floor(c / SQUARE)
+    span = lambda a, b: F.explode(F.sequence(square(F.col(a) - margin), square(F.col(b) + margin)))
     box = nodes.groupBy("contour").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
-    cells = gradient.df.join(box, F.col("row").between(F.col("r0") - margin, F.col("r1") + margin) & F.col("col").between(F.col("c0") - margin, F.col("c1") + margin)).select("contour", F.lit(-1).alias("seq"), "row", "col", "value")
+    # a contour goes to the squares that its box touches, so cells and contours meet by equality
+    box = box.withColumn("sr", span("r0", "r1")).withColumn("sc", span("c0", "c1"))
+    cells = gradient.df.withColumns({"sr": square(F.col("row")), "sc": square(F.col("col"))}).join(box, ["sr", "sc"])
+    cells = cells.where(F.col("row").between(F.col("r0") - margin, F.col("r1") + margin) & F.col("col").between(F.col("c0") - margin, F.col("c1") + margin)).select("contour", F.lit(-1).alias("seq"), "row", "col", "value")
     every = cells.unionByName(nodes.select("contour", "seq", "row", "col", F.lit(0).alias("value")))
     missing = gradient.meta.missing
 
@@ -176,20 +184,26 @@ def snakes(gradient: Grid, nodes: DataFrame, rounds: int = 50) -> DataFrame:
 def local_texture(g: Grid, nx: int, ny: int, low: int, incr: int, nbins: int) -> DataFrame:
     """row, col, direction, uniformity and max_prob (hundredfold, rounded) of the pairs of bins in the window around each cell.
 
-    Bin nbins holds what is missing or outside. Pairs are exploded over the window and counted; the counts combine on the map side.
+    Bin nbins holds what is missing or outside. A tile counts one pair of bins after another by running sums.
     """
-    hx, hy, m = nx // 2, ny // 2, g.meta
-    b = F.when((F.col("value") == m.missing) | (F.col("value") < low), nbins).otherwise(F.least(idiv(F.col("value") - low, incr), F.lit(nbins - 1))).cast("int")
-    edge_r, edge_c = F.explode(F.sequence(F.lit(-hx), F.lit(m.nrows - 1 + hx))), F.explode(F.sequence(F.lit(-hy), F.lit(m.ncols - 1 + hy)))
-    wide = g.df.sparkSession.range(1).select(edge_r.alias("row")).select("row", edge_c.alias("col"))
-    own = wide.join(g.df.select("row", "col", b.alias("b1")), ["row", "col"], "left").withColumn("b1", F.coalesce("b1", F.lit(nbins)))
-    to = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(j).alias("j")) for d, (i, j) in DIRECTIONS.items())))
-    asked = own.withColumn("t", to).select("row", "col", "b1", F.col("t.d").alias("direction"), (F.col("row") + F.col("t.i")).alias("r2"), (F.col("col") + F.col("t.j")).alias("c2"))
-    other = own.select(F.col("row").alias("r2"), F.col("col").alias("c2"), F.col("b1").alias("b2"))
-    pairs = asked.join(other, ["r2", "c2"], "left").select("row", "col", "direction", "b1", F.coalesce("b2", F.lit(nbins)).alias("b2"))
-    over = pairs.withColumn("i", F.explode(F.sequence(F.lit(-hx), F.lit(hx)))).withColumn("j", F.explode(F.sequence(F.lit(-hy), F.lit(hy))))
-    at = over.select((F.col("row") + F.col("i")).alias("row"), (F.col("col") + F.col("j")).alias("col"), "direction", "b1", "b2")
-    at = at.where(F.col("row").between(0, m.nrows - 1) & F.col("col").between(0, m.ncols - 1))
-    p = F.col("n") / ((2 * hx + 1) * (2 * hy + 1))
-    counts = at.groupBy("row", "col", "direction", "b1", "b2").agg(F.count("*").alias("n"))
-    return counts.groupBy("row", "col", "direction").agg(F.floor(100 * F.round(F.sum(p * p), 9) + 0.5).cast("int").alias("uniformity"), F.floor(100 * F.round(F.max(p), 9) + 0.5).cast("int").alias("max_prob"))
+    hx, hy = nx // 2, ny // 2
+    miss, cells = g.meta.missing, (2 * hx + 1) * (2 * hy + 1)
+    names = list(DIRECTIONS)
+
+    def run(a: np.ndarray) -> dict[str, np.ndarray]:
+        bins = np.where((a == miss) | (a < low), nbins, np.minimum((a - low) // incr, nbins - 1))
+        uniformity, largest = (np.zeros((*a.shape, len(names)), np.int32) for _ in range(2))
+        for d, name in enumerate(names):
+            pair = bins * (nbins + 1) + shifted(bins, *DIRECTIONS[name], nbins)
+            squares, most = np.zeros(a.shape, np.int64), np.zeros(a.shape, np.int64)
+            for x in np.unique(pair):
+                n = box_sum((pair == x).astype(np.int64), hx, hy)
+                squares += n * n
+                np.maximum(most, n, out=most)
+            uniformity[..., d] = np.floor(100 * np.round(squares / cells**2, 9) + 0.5)
+            largest[..., d] = np.floor(100 * np.round(most / cells, 9) + 0.5)
+        return {"uniformity": uniformity, "max_prob": largest}
+
+    at = by_tiles([g], (hx + 1, hy + 1), run, "uniformity array<int>, max_prob array<int>")
+    one = F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("direction"), "uniformity", "max_prob")).alias("x")
+    return at.select("row", "col", one).select("row", "col", F.col("x.direction").alias("direction"), F.col("x.uniformity").alias("uniformity"), F.col("x.max_prob").alias("max_prob"))

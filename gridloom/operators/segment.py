@@ -7,12 +7,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.grid import Grid
 from gridloom.operators.graph import connected
-from gridloom.plans.tables import keep
+from gridloom.operators.ranks import ranked
+from gridloom.plans.tables import forget, keep
 
 
 #: Side of the tiles that are labelled one by one.
@@ -81,7 +82,7 @@ def hysteresis(g: Grid, t1: int, t2: int) -> DataFrame:
 
 
 def _numbered(g: Grid, found: DataFrame, order: DataFrame) -> DataFrame:
-    ids = order.select("root", F.row_number().over(Window.orderBy("first")).alias("label"))  # one row a component
+    ids = ranked(order.select("root", "first"), "first", "label").drop("first")
     got = found.join(ids, "root").select("row", "col", "label")
     return g.df.join(got, ["row", "col"], "left").select("row", "col", "value", F.coalesce("label", F.lit(0)).alias("label"))
 
@@ -146,24 +147,31 @@ def watershed(g: Grid, t: int) -> DataFrame:
 def kmeans_contiguity(g: Grid, t: int, seed: int, max_diff: float, max_size: float, rounds: int = 9) -> DataFrame:
     """Label cells above t by the nearest cluster: 0.1 * share of unlike neighbours + 0.8 * |v - mean| / max_diff + 0.1 * distance**2 / max_size**2, if below 1.
 
-    Clusters begin as components above seed. Means go by broadcast: their number is that of the first components, at most
-    a cell in four, and is checked.
+    Clusters begin as components above seed, and rounds end when no label changes. A cluster can only win cells whose value and place lie
+    within the reach of a distance below 1; it goes to the buckets of value, row and column around its own, and cells meet it there by equality.
     """
-    cells = label(g, seed)
+    value_side, side = 1.25 * max_diff, math.sqrt(10) * max_size
+    cells = keep(label(g, seed), "kmeans")
+    live = g.df.where(F.col("value") > t).select("row", "col", "value", F.floor(F.col("value") / value_side).alias("bv"), F.floor(F.col("row") / side).alias("br"), F.floor(F.col("col") / side).alias("bc"))
     for _ in range(rounds):
         v = F.col("value").cast("double")
         means = cells.where("label > 0").groupBy("label").agg((F.sum(F.col("row") * v) / F.sum(v)).alias("cx"), (F.sum(F.col("col") * v) / F.sum(v)).alias("cy"), F.avg(v).alias("cval"))
-        means = keep(means, "kmeans")
+        around = lambda c, s: F.explode(F.sequence(F.floor(F.col(c) / s) - 1, F.floor(F.col(c) / s) + 1))
+        means = means.withColumn("bv", around("cval", value_side)).withColumn("br", around("cx", side)).withColumn("bc", around("cy", side))
+        pairs = live.join(means, ["bv", "br", "bc"])
         step = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)))
         near = cells.where("label > 0").select(step.alias("o"), "row", "col", "label").select((F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"), "label").groupBy("row", "col", "label").agg(F.count("*").alias("like"))
-        live = g.df.where(F.col("value") > t)
-        pairs = live.join(F.broadcast(means) if means.count() <= 10_000 else means, (F.abs(F.col("cval") - F.col("value")) < 1.25 * max_diff) & (F.abs(F.col("row") - F.col("cx")) < 3.17 * max_size))
         d = 0.1 * (1 - F.coalesce("like", F.lit(0)) / 8) + 0.8 * F.abs(F.col("value") - F.col("cval")) / max_diff + 0.1 * (F.pow(F.col("row") - F.col("cx"), 2) + F.pow(F.col("col") - F.col("cy"), 2)) / max_size**2
         best = pairs.join(near, ["row", "col", "label"], "left").withColumn("d", d).where("d < 1").groupBy("row", "col").agg(F.min(F.struct("d", "label")).alias("b"))
-        new = keep(g.df.join(best, ["row", "col"], "left").select("row", "col", "value", F.coalesce("b.label", F.lit(0)).alias("label")), "kmeans")
-        if not new.join(cells.select("row", "col", F.col("label").alias("was")), ["row", "col"]).where("label <> was").limit(1).count():
-            return new
-        cells = new
+        new = g.df.join(best, ["row", "col"], "left").select("row", "col", "value", F.coalesce("b.label", F.lit(0)).alias("label"))
+        new = keep(new.join(cells.select("row", "col", F.col("label").alias("was")), ["row", "col"]), "kmeans")
+        same = new.where("label <> was").isEmpty()
+        forget(cells)
+        new_cells = new.select("row", "col", "value", "label")
+        new_cells.kept_at = new.kept_at
+        cells = new_cells
+        if same:
+            break
     return cells
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.grid import Grid, idiv, jround
+from gridloom.operators.ranks import ranked
 
 DIRECTIONS = {"EAST": (0, 1), "SOUTH": (1, 0), "NORTHEAST": (-1, 1), "SOUTHEAST": (1, -1)}
 
@@ -157,14 +158,14 @@ def category_counts(df: DataFrame, column: str) -> DataFrame:
 
 def prune_where(cells: DataFrame, r: DataFrame, keep) -> DataFrame:
     """cells whose regions() meet a condition, numbered 1.. in the old order; others become 0."""
-    ids = r.where(keep).select("label", F.dense_rank().over(Window.orderBy("label")).alias("id"))  # one row a region
+    ids = ranked(r.where(keep).select("label"), "label", "id")
     return cells.join(ids, "label", "left").select("row", "col", "value", F.coalesce("id", F.lit(0)).alias("label"))
 
 
 def prune(cells: DataFrame, least: int) -> DataFrame:
     """cells with labels of at least so many cells, numbered 1.. in the old order; others become 0."""
     keep = cells.where("label > 0").groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    ids = keep.select("label", F.dense_rank().over(Window.orderBy("label")).alias("id"))  # one row a region
+    ids = ranked(keep.select("label"), "label", "id")
     return cells.join(ids, "label", "left").select("row", "col", "value", F.coalesce("id", F.lit(0)).alias("label"))
 
 

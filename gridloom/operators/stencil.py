@@ -1,20 +1,24 @@
-"""Neighbourhood filters. Extrema and local statistics are separable windows; other kernels explode each cell to the cells it reaches.
+"""Neighbourhood filters. Extrema and local statistics are separable windows; kernels and medians go by tiles with a rim.
 
-Filters leave a border of half a kernel missing. An exploded kernel multiplies rows by its size before one aggregation that combines
-on the map side; kernels beyond about 7 x 7 are better given as separable ones.
+Filters leave a border of half a kernel missing. A kernel of any size is one exchange of tiles, which carries each border once.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.grid import Grid, jround
+from gridloom.operators.tiles import by_tiles, weighted
 
 Kernel = list[list[float]]
+#: Above every value of a grid.
+MOST = 1 << 40
 
 
 def boxcar(n: int) -> Kernel:
@@ -27,40 +31,54 @@ def gauss(n: int) -> Kernel:
     return [[math.exp(-(((i - n / 2) / s) ** 2) - ((j - n / 2) / s) ** 2) for j in range(n)] for i in range(n)]
 
 
-def reach(g: Grid, k: Kernel, valid: bool = True) -> DataFrame:
-    """(row, col, w, value): every value under the kernel of every inner cell."""
+def _inner(g: Grid, hr: int, hc: int):
+    return F.col("row").between(hr, g.meta.nrows - 1 - hr) & F.col("col").between(hc, g.meta.ncols - 1 - hc)
+
+
+def _windowed(g: Grid, k: Kernel, f, none: int) -> Grid:
+    """A grid from f(values, valid) of each tile: results and where there are any; other cells, and the border, become none."""
     if len(k) % 2 == 0 or len(k[0]) % 2 == 0:
         raise ValueError("a kernel needs odd sizes")
-    hr, hc = len(k) // 2, len(k[0]) // 2
-    cells = F.array(*(F.struct(F.lit(i - hr).alias("i"), F.lit(j - hc).alias("j"), F.lit(float(w)).alias("w")) for i, line in enumerate(k) for j, w in enumerate(line) if w))
-    e = (g.valid if valid else g.df).withColumn("o", F.explode(cells))
-    e = e.select((F.col("row") - F.col("o.i")).alias("row"), (F.col("col") - F.col("o.j")).alias("col"), F.col("o.w").alias("w"), "value")
-    return e.where(F.col("row").between(hr, g.meta.nrows - 1 - hr) & F.col("col").between(hc, g.meta.ncols - 1 - hc))
+    hr, hc, miss = len(k) // 2, len(k[0]) // 2, g.meta.missing
 
+    def run(a: np.ndarray) -> dict[str, np.ndarray]:
+        valid = a != miss
+        got, ok = f(np.where(valid, a, 0), valid)
+        return {"value": np.where(ok, got, none).astype(np.int32)}
 
-def _inner(g: Grid, hr: int, hc: int):
-    return F.col("row").between(hr, g.meta.nrows - 1 - hr) & F.col("col").between(hc, g.meta.ncols - 1 - hc)
+    cells = by_tiles([g], (hr, hc), run, "value int")
+    return Grid(cells.select("row", "col", F.when(_inner(g, hr, hc), F.col("value")).otherwise(none).alias("value")), replace(g.meta, missing=none))
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    return np.floor(x + 0.5)
 
 
 def smooth(g: Grid, k: Kernel) -> Grid:
     """Weighted mean of valid values; missing where the weights sum to nothing."""
-    s = reach(g, k).groupBy("row", "col").agg(F.sum(F.col("w") * F.col("value")).alias("s"), F.sum("w").alias("w"))
-    return g.filled(s.where("w > 0").select("row", "col", jround(F.col("s") / F.col("w")).alias("value")))
+
+    def mean(a, valid):
+        s, w = weighted(a, k), weighted(valid.astype(np.int64), k)
+        return _rounded(np.divide(s, w, out=np.zeros_like(s), where=w > 0)), w > 0
+
+    return _windowed(g, k, mean, g.meta.missing)
 
 
 def convolve(g: Grid, k: Kernel) -> Grid:
     """Weighted sum of valid values; inner cells without any are 0."""
-    s = reach(g, k).groupBy("row", "col").agg(jround(F.sum(F.col("w") * F.col("value"))).alias("value"))
-    full = g.filled(s)
-    inner = _inner(g, len(k) // 2, len(k[0]) // 2)
-    return Grid(full.df.select("row", "col", F.when(inner & (F.col("value") == g.meta.missing), 0).otherwise(F.col("value")).alias("value")), g.meta)
+    return _windowed(g, k, lambda a, valid: (_rounded(weighted(a, k)), True), g.meta.missing)
 
 
 def matched(g: Grid, k: Kernel) -> Grid:
     """10000 * correlation share with the kernel at sum 1; missing is -1."""
     total = sum(map(sum, k))
-    s = reach(g, [[w / total for w in line] for line in k]).groupBy("row", "col").agg(F.sum(F.col("w") * F.col("value")).alias("s"), F.sum("value").alias("v"))
-    return g.filled(s.where("v <> 0").select("row", "col", jround(F.round(F.lit(10000.0) * F.col("s") / F.col("v"), 6)).alias("value")), missing=-1)
+    unit, under = [[w / total for w in line] for line in k], [[float(w != 0) for w in line] for line in k]
+
+    def share(a, valid):
+        s, v = weighted(a, unit), weighted(a, under)
+        return _rounded(np.round(np.divide(10000.0 * s, v, out=np.zeros_like(s), where=v != 0), 6)), v != 0
+
+    return _windowed(g, k, share, -1)
 
 
 def _extreme(g: Grid, h: int, agg: Callable) -> Grid:
@@ -93,9 +111,23 @@ def open_(g: Grid, h: int, times: int = 1) -> Grid:
 
 
 def median(g: Grid, h: int) -> Grid:
-    """The upper median of valid values."""
-    s = reach(g, boxcar(2 * h + 1)).groupBy("row", "col").agg(F.array_sort(F.collect_list("value")).alias("a"))
-    return g.filled(s.select("row", "col", F.expr("a[size(a) div 2]").alias("value")))
+    """The upper median of valid values. A tile sorts the windows of some rows at a time, so its memory doesn't follow the window."""
+
+    def upper(a, valid):
+        n = 2 * h + 1
+        out = np.zeros(a.shape, np.int64)
+        windows = np.lib.stride_tricks.sliding_window_view(np.where(valid, a, MOST), (n, n))
+        full = np.lib.stride_tricks.sliding_window_view(valid, (n, n)).sum((2, 3))
+        step = max(1, (1 << 21) // (n * n * windows.shape[1]))
+        for r in range(0, windows.shape[0], step):
+            w = np.sort(windows[r : r + step].reshape(-1, n * n), axis=1)
+            c = full[r : r + step].ravel()
+            out[h + r : h + min(r + step, windows.shape[0]), h : a.shape[1] - h] = w[np.arange(len(w)), np.minimum(c // 2, n * n - 1)].reshape(-1, windows.shape[1])
+        ok = np.zeros(a.shape, bool)
+        ok[h : a.shape[0] - h, h : a.shape[1] - h] = full > 0
+        return out, ok
+
+    return _windowed(g, boxcar(2 * h + 1), upper, g.meta.missing)
 
 
 def speckle(g: Grid, h: int, change: int) -> Grid:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.grid import Grid, jround
 from gridloom.operators import stencil
+from gridloom.operators.tiles import weighted
 
 
 def log_kernel(h: int) -> stencil.Kernel:
@@ -42,15 +44,18 @@ def ellipse_masks(n: int, a: int, b: int) -> list[list[list[bool]]]:
 
 
 def oriented(g: Grid, n: int, a: int, b: int) -> Grid:
-    """The largest of the means under n turned ellipses. All masks share one exploded kernel and one aggregation."""
-    if n > 52:
-        raise ValueError("at most 52 orientations share a kernel")
-    masks = ellipse_masks(n, a, b)
-    bits = [[float(sum(1 << f for f in range(n) if masks[f][i][j])) for j in range(len(masks[0]))] for i in range(len(masks[0]))]
-    under = [F.getbit(F.col("w").cast("long"), F.lit(f)) == 1 for f in range(n)]
-    sums = stencil.reach(g, bits).groupBy("row", "col").agg(*(F.avg(F.when(x, F.col("value"))).alias(f"m{f}") for f, x in enumerate(under)))
-    means = [jround(F.col(f"m{f}")) for f in range(n)]
-    return g.filled(sums.select("row", "col", (F.greatest(*means) if n > 1 else means[0]).alias("value")).where("value is not null"))
+    """The largest of the means under n turned ellipses; a tile takes them in turn."""
+    masks = [[[float(x) for x in line] for line in m] for m in ellipse_masks(n, a, b)]
+
+    def largest(values, valid):
+        best, any_valid = np.full(values.shape, -np.inf), valid.astype(np.int64)
+        for m in masks:
+            s, w = weighted(values, m), weighted(any_valid, m)
+            best = np.maximum(best, np.divide(s, w, out=np.full(values.shape, -np.inf), where=w > 0))
+        ok = np.isfinite(best)
+        return np.floor(np.where(ok, best, 0) + 0.5), ok
+
+    return stencil._windowed(g, masks[0], largest, g.meta.missing)
 
 
 def normalised(g: Grid) -> Grid:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.grid import Grid, jround
 from gridloom.operators import cells, motion, segment, stats, stencil
+from gridloom.operators.field import inverse_distance
 from gridloom.plans.tables import keep
 
 
@@ -92,11 +93,11 @@ def track(before: Grid, now: Grid, low: int, high: int, least: int, mode: str =
     return sides[1].join(shift, "label", "left").select("row", "col", F.coalesce("u", F.lit(0)).alias("u"), F.coalesce("v", F.lit(0)).alias("v"))
 
 
-def hybrid(before: Grid, now: Grid, labels: DataFrame, max_u: int, max_v: int, most: int = 100_000) -> DataFrame:
+def hybrid(before: Grid, now: Grid, labels: DataFrame, max_u: int, max_v: int) -> DataFrame:
     """row, col, u, v: each object's shift of least absolute difference, then weighted by size / (distance**4 + 0.0001) over all objects.
 
     labels: row, col, value, label of now. Cells that a shift takes off the grid add no difference; ties go to the first shift.
-    With one object or none, its cells keep its shift and others 0. Objects go by broadcast: most of them is the bound, and is checked.
+    With one object or none, its cells keep its shift and others 0. Far objects count by boxes, see operators/field: within 1 of the plain sum.
     """
     shifts = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(u).alias("u"), F.lit(v).alias("v")) for k, (u, v) in enumerate((u, v) for u in range(-max_u, max_u + 1) for v in range(-max_v, max_v + 1))))
     own = labels.where("label > 0")
@@ -105,18 +106,6 @@ def hybrid(before: Grid, now: Grid, labels: DataFrame, max_u: int, max_v: int, m
     errors = was.groupBy("label", "s").agg(F.sum(F.coalesce(F.abs(F.col("is") - F.col("value")), F.lit(0))).alias("e"))
     best = errors.groupBy("label").agg(F.min(F.struct("e", F.col("s.k").alias("k"), F.col("s.u").alias("u"), F.col("s.v").alias("v"))).alias("b"))
     objects = keep(stats.regions(own).join(best, "label").select("label", "cx", "cy", "size", "b.u", "b.v"), "hybrid")
-    n = objects.count()
-    if n > most:
-        raise ValueError("too many objects; prune the small ones first")
-    if n < 2:
+    if objects.count() < 2:
         return labels.select("row", "col", "label").join(objects.select("label", "u", "v"), "label", "left").select("row", "col", F.coalesce("u", F.lit(0)).alias("u"), F.coalesce("v", F.lit(0)).alias("v"))
-    table = objects.select(F.struct("cx", "cy", "size", "u", "v").alias("o")).agg(F.collect_list("o").alias("all"))  # at most `most` objects, one row
-    d2 = lambda o: F.pow(o["cx"] - F.col("row"), 2) + F.pow(o["cy"] - F.col("col"), 2)
-    zero = F.struct(*(F.lit(0.0).alias(c) for c in ("u", "v", "w")))
-
-    def step(s, o):
-        w = o["size"] / (F.pow(d2(o), 2) + 0.0001)
-        return F.struct((s["u"] + w * o["u"]).alias("u"), (s["v"] + w * o["v"]).alias("v"), (s["w"] + w).alias("w"))
-
-    near = now.df.select("row", "col").join(F.broadcast(table)).withColumn("s", F.aggregate("all", zero, step))
-    return near.select("row", "col", jround(F.col("s.u") / F.col("s.w")).alias("u"), jround(F.col("s.v") / F.col("s.w")).alias("v"))
+    return inverse_distance(objects, now.meta)

@@ -211,7 +211,7 @@ grid_query("threshold_segment", lambda g: segment.label(g, _cut(g)))
 grid_query("hysteresis", lambda g: segment.hysteresis(g, _cut(g), _cut(g) + 60))
 ORACLE |= {"threshold_segment": _labels_sql("(select t from cut)", "true"), "hysteresis": _labels_sql("(select t from cut)", "v > (select t from cut) + 60")}
 grid_query("watershed", lambda g: segment.watershed(g, _cut(g)))
-grid_query("kmeans_contiguity", lambda g: segment.kmeans_contiguity(g, _cut(g), _cut(g) + 120, 400.0, 20.0, 2))
+grid_query("kmeans_contiguity", lambda g: segment.kmeans_contiguity(g, _cut(g), _cut(g) + 120, 400.0, 20.0))
 _EDT = f"""select a."row", a.col, coalesce(min((a."row" - b."row") * (a."row" - b."row") + (a.col - b.col) * (a.col - b.col)), 6400)::int "value" from g1g a left join g1g b on b."value" > 800 group by a."row", a.col"""
 grid_query("edt", lambda g: distance.edt(g, 800), _EDT)
 grid_query("edt_clamped", lambda g: distance.edt_clamped(g, 800, 50), f'select "row", col, case when "value" > 50 then {M} else "value" end "value" from ({_EDT})')
