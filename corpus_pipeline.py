@@ -8,6 +8,7 @@ every stage, but take no part in line and document matches.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, jaccard_join, language_id, line_dedup, mix_sources
 from gridloom.llm._work import Workspace
@@ -16,7 +17,9 @@ from gridloom.llm._work import Workspace
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those whose best language is less probable than the calibrated threshold."""
     model = language_id.fit(docs)
-    return language_id.predict(docs.withColumnsRenamed({"score": "__score", "accepted": "__accepted", "lang_pred": "__pred"}), model).where("accepted").drop("lang_pred", "score", "accepted").withColumnsRenamed({"__score": "score", "__accepted": "accepted", "__pred": "lang_pred"})
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))  # columns of any name pass in one
+    found = language_id.predict(docs.select(rest.alias("row"), "text"), model).where("accepted")
+    return found.select(*(F.col(c if c == "text" else f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +37,15 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+#: Rates are spread widely in the last stage. By this ridge a document that is surely of a domain with target 0 keeps at most the rate
+#: LEAST_RATE / (1 + LEAST_RATE); what isn't drawn more often than LEAST_RATE goes.
+LEAST_RATE = 0.05
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds n_tokens, posterior and rate, and drops documents whose rate is 0: they are of a domain whose target is none."""
+    """Adds n_tokens, posterior and rate, and drops documents of rates up to LEAST_RATE: they are of a domain whose target is none."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return mix_sources.mix(docs, docs, labels).where("rate > 0")
+    return mix_sources.mix(docs, docs, labels, ridge=LEAST_RATE).where(F.col("rate") > LEAST_RATE)
 
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("mixing", mixing)]

@@ -6,12 +6,13 @@ nonnegative rates r, near 1, whose expected domain tokens sum(r * tokens * poste
     minimise 1/2 * sum over domains weight / share * ((T(r) - target) / total)**2 + ridge / 2 * weighted mean of (r - 1)**2,  r >= 0
 
 A residual counts against its domain's share of the tokens as they are, so the ridge is as small for a rare domain as for a common
-one. It would still hold the rate of a document of a domain with target 0 at ridge / (1 + ridge): at the end, rates up to ridge
-are 0. Domains with a target above 0 weigh more, so that the ridge moves them little. Steps have momentum, which starts anew when it
-points uphill, and end when the projected gradient is below TOLERANCE.
+one. Domains with a target above 0 weigh more, so that the ridge moves them little. The ridge is the caller's choice between meeting the targets and
+spreading the rates: the smaller it is, the nearer the totals and the more rates are 0 or large. Rates are the optimum as it stands.
 
-A document's rate follows from its posterior and the sequence of residuals and momenta alone, so an iteration is one pass over (tokens,
-posterior) that sums two numbers more than there are domains; nothing else travels.
+A rate's gradient is posterior . w + ridge * (r - 1), where w = weight / share * (T(r) - target) / total has one number a domain; a rate that its projected
+gradient leaves in place is max(0, 1 - posterior . w / ridge). So the descent keeps w alone: every step moves it along the gradient, scaled by the
+curvature of the rates that are not at 0 (a matrix of domains by domains), and projects all rates to r >= 0. A step that doesn't
+lower the objective enough is halved. An iteration is one pass over (tokens, posterior) that sums a dozen numbers; nothing else travels.
 """
 
 from __future__ import annotations
@@ -33,13 +34,13 @@ BITS = 16
 #: The classifier is fitted on at most so many labelled rows, drawn by hash of doc_id. Whole texts count; the driver gets their features only.
 SAMPLE_ROWS = 6000
 #: Posteriors are whole numbers of this part, so that documents of one posterior can be summed for the fit.
-GRAIN = 1000
+GRAIN = 10**6
 #: Residuals of domains with a target above 0 count so many times.
 WEIGHT = 10
-RIDGE = 0.05
-#: Mean size of the projected gradient at which the descent ends, and steps after which it gives up.
-TOLERANCE = 5e-5
-ROUNDS = 1000
+RIDGE = 1e-3
+#: Largest difference between the totals, as shares of all tokens, and what the rates' gradient says they are, at which the descent ends.
+TOLERANCE = 1e-9
+ROUNDS = 200
 
 
 def features(data: np.ndarray, offsets: np.ndarray):
@@ -126,57 +127,67 @@ def posteriors(docs: DataFrame, model: Classifier, names: tuple[str, ...] = DOMA
     return docs.mapInArrow(run, schema)
 
 
-def _descend(p: np.ndarray, steps: np.ndarray, ridge: float):
-    """Rates after the steps (rows: gradient by domain, momentum), the point of the next step, and the last step's start and former rates."""
-    r = at = start = former = np.ones(len(p))
-    for *grad, momentum in steps:
-        start, former = at, r
-        r = np.maximum(0.0, at - (p @ np.array(grad) + ridge * (at - 1)) / (WEIGHT + ridge))
-        at = r + momentum * (r - former)
-    return r, at, start, former
+def _projected(p: np.ndarray, w: np.ndarray, ridge: float) -> np.ndarray:
+    """The rates that the gradient leaves in place."""
+    return np.maximum(0.0, 1 - p @ w / ridge)
 
 
 def fit_rates(scored: DataFrame, targets: dict[str, float] = TARGETS, ridge: float = RIDGE, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> np.ndarray:
-    """The sequence of steps, from which rates() follow. scored: n_tokens, posterior."""
-    want, steps, age = np.array([targets[d] for d in DOMAINS]), np.zeros((0, len(DOMAINS) + 1)), 1.0
+    """w, from which rates() follow. scored: n_tokens, posterior."""
+    k, want = len(DOMAINS), np.array([targets[d] for d in DOMAINS])
+    names = [f"x{i}" for i in range(k + k * k + 1)]
     total = float(scored.agg(F.sum("n_tokens")).first()[0] or 0)
-    names = [*DOMAINS, "__uphill", "__moved"]
-    for _ in range(rounds if total else 0):
 
-        def sums(batches, steps=steps):
+    def at(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Tokens by domain, the curvature of rates above 0, and the mean square of the rates."""
+
+        def sums(batches):
             out = np.zeros(len(names))
             for batch in batches:
-                p, n = np.array(batch.column(1).to_pylist()).reshape(-1, len(DOMAINS)), batch.column(0).to_numpy()
-                r, at, start, former = _descend(p, steps, ridge)
-                out += [*((at * n) @ p), n @ ((start - r) * (r - former)), n @ np.abs(r - start)]
+                p, n = batch.column(1).flatten().to_numpy().reshape(-1, k), batch.column(0).to_numpy().astype(float)
+                r = _projected(p, w, ridge)
+                on = p[r > 0]
+                out += [*((r * n) @ p), *((on * n[r > 0, None]).T @ on).ravel(), n @ r**2]
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names)
 
-        row = scored.select("n_tokens", "posterior").mapInArrow(sums, ", ".join(f"{d} double" for d in names)).agg(*(F.sum(d) for d in names)).first()
-        *now, uphill, moved = np.array(row) / total
-        if not len(steps):
-            scale = np.where(want > 0, WEIGHT, 1) / np.maximum(now, 1e-12)
-        elif moved * (WEIGHT + ridge) < tolerance:
-            return steps
-        before, age = (1.0 if uphill > 0 else age), (1 + np.sqrt(1 + 4 * (1.0 if uphill > 0 else age) ** 2)) / 2
-        steps = np.vstack((steps, [*((np.array(now) - want) * scale), (before - 1) / age]))
-    if total:
-        raise RuntimeError(f"rates have not settled in {rounds} rounds")
-    return steps
-
-
-def rates(scored: DataFrame, steps: np.ndarray, ridge: float = RIDGE) -> DataFrame:
+        row = np.array(scored.select("n_tokens", "posterior").mapInArrow(sums, ", ".join(f"{x} double" for x in names)).agg(*(F.sum(x) for x in names)).first()) / total
+        return row[:k], row[k:-1].reshape(k, k), row[-1]
+
+    w = np.zeros(k)
+    if not total:
+        return w
+    tokens, bend, square = at(w)
+    scale = np.where(want > 0, WEIGHT, 1) / np.maximum(tokens, 1e-12)
+    height = lambda w, square: float(w @ (w / scale) + ridge * square) / 2 + float(want @ w)
+    high, length, step, slope = height(w, square), 0.0, None, 0.0
+    for _ in range(rounds):
+        if step is None:
+            gradient = w / scale + want - tokens
+            if np.abs(gradient).max() < tolerance:
+                return w
+            step, length = -np.linalg.solve(bend / ridge + np.diag(1 / scale), gradient), 1.0
+            slope = float(gradient @ step)
+        tokens, bend, square = at(w + length * step)
+        new = height(w + length * step, square)
+        if new > high + 1e-4 * length * slope + 1e-14:
+            length /= 2
+        else:
+            w, high, step = w + length * step, new, None
+    raise RuntimeError(f"rates have not settled in {rounds} rounds")
+
+
+def rates(scored: DataFrame, w: np.ndarray, ridge: float = RIDGE) -> DataFrame:
     schema = T.StructType([*scored.schema.fields, T.StructField("rate", T.DoubleType())])
 
     def run(batches):
         for batch in batches:
-            p = np.array(batch.column(batch.schema.get_field_index("posterior")).to_pylist()).reshape(-1, len(DOMAINS))
-            r = _descend(p, steps, ridge)[0]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(r > ridge, r, 0.0))], [f.name for f in schema.fields])
+            p = batch.column(batch.schema.get_field_index("posterior")).flatten().to_numpy().reshape(-1, len(DOMAINS))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_projected(p, w, ridge))], [f.name for f in schema.fields])
 
     return scored.mapInArrow(run, schema)
 
 
-def mix(docs: DataFrame, labelled: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, keep_text: bool = True) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, keep_text: bool = True, ridge: float = RIDGE) -> DataFrame:
     """docs with n_tokens, posterior and rate: how often to draw each document. Every row stays; columns of these names are replaced.
 
     Without labelled rows the posterior is uniform. labelled: documents that labels refer to. For the fit, tokens are summed by
@@ -186,7 +197,7 @@ def mix(docs: DataFrame, labelled: DataFrame, labels: DataFrame, targets: dict[s
     scored = posteriors(docs.drop("rate"), fit(labelled, labels))
     scored = ws.table("scored", scored if keep_text else scored.drop("text"))
     small = ws.table("sums", scored.groupBy("posterior").agg(F.sum("n_tokens").alias("n_tokens")))
-    return rates(scored, fit_rates(small, targets))
+    return rates(scored, fit_rates(small, targets, ridge), ridge)
 
 
 def achieved(mixed: DataFrame) -> dict[str, float]:

@@ -72,8 +72,8 @@ def test_stages_follow_one_another(spark, made):
         elif name == "benchmark":
             want = [x for x, hit in zip(had, brute.leaks([x[:2] for x in had], bench), strict=True) if not hit[5]]
         else:
-            every = mix_sources.mix(before, before, spark.read.parquet(f"{at}/labels.parquet"))
-            want = [x for x in every.collect() if x.rate > 0]
+            every = mix_sources.mix(before, before, spark.read.parquet(f"{at}/labels.parquet"), ridge=corpus_pipeline.LEAST_RATE)
+            want = [x for x in every.collect() if x.rate > corpus_pipeline.LEAST_RATE]
             toxic = {d for d, _, t in labels if t}
             assert toxic & {x[0] for x in had} and not toxic & {x.doc_id for x in want}
         assert got == key(want), name
