@@ -65,12 +65,12 @@ class Lambert:
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, ellipsoid=WGS84) -> Column:
-    """Great-circle distance with the radius of curvature at the first latitude."""
+    """Great-circle distance with a radius of curvature taken at the mean latitude (with its sine where the formula has the sine's square)."""
     a, e2 = ellipsoid
     p1, p2 = F.radians(lat1), F.radians(lat2)
-    h = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    s = 1 - e2 * F.sin(p1)
-    return a * (1 - e2) / F.pow(s * s, F.lit(1.5)) / 1000 * 2 * F.asin(F.sqrt(h))
+    h = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin((F.radians(lon2) - F.radians(lon1)) / 2), 2)
+    s = 1 - e2 * F.sin((p1 + p2) / 2)
+    return a * (1 - e2) / F.pow(s * s, F.lit(1.5)) / 1000 * 2 * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
 
 
 def edges(vertices: DataFrame) -> DataFrame:

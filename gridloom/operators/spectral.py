@@ -27,7 +27,7 @@ def fft2(g: Grid | DataFrame, nrows: int = 0, ncols: int = 0) -> DataFrame:
     def one(key: str, along: str, n: int):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             x = np.zeros(n, complex)
-            x[pdf[along]] = pdf["re"] + 1j * pdf["im"]
+            x[pdf[along]] = pdf["re"].to_numpy(float) + 1j * pdf["im"].to_numpy(float)  # a null becomes no number, and so does what it enters
             x = np.fft.fft(x)
             return pd.DataFrame({key: pdf[key].iloc[0], along: np.arange(n), "re": x.real, "im": x.imag})[["row", "col", "re", "im"]]
 
@@ -65,18 +65,25 @@ def line_pixels(lines: DataFrame, nrows: int, ncols: int) -> DataFrame:
 
 
 def phase_correlation(before: Grid, now: Grid, max_u: int, max_v: int) -> DataFrame:
-    """u, v: the one shift, of up to max_u rows and max_v columns, that takes the frame before to now, from the whitened cross power.
+    """u, v: the one shift that takes the frame before to now, from the whitened cross power of both.
 
-    Transforms and the product of spectra are DataFrames; the inverse transform's cells within reach compete, and on ties the shorter shift,
-    then the smaller one wins.
+    Cells of now in a border of max_u rows and max_v columns count as 0 (at the far side one less), and the whole inverse transform is searched: its
+    largest squared modulus wins, the first by rows of the shift back on ties (to 9 digits). A shift beyond half the padded size is
+    one the other way. A spectrum with a zero in it says nothing, which gives (0, 0). Transforms and the product of spectra are DataFrames.
+    Departure from the published code: that compares a squared modulus with the real part of the best so far, so what it finds hangs on the order of cells.
     """
-    a, b = (fft2(g).select("row", "col", F.col("re").alias(f"re{k}"), F.col("im").alias(f"im{k}")) for k, g in enumerate((before, now)))
+    m = now.meta
+    inside = F.col("row").between(max_u, m.nrows - max_u) & F.col("col").between(max_v, m.ncols - max_v)
+    middle = Grid(now.df.select("row", "col", F.when(inside, F.col("value")).otherwise(0).alias("value")), m)
+    a, b = (fft2(g).select("row", "col", F.col("re").alias(f"re{k}"), F.col("im").alias(f"im{k}")) for k, g in enumerate((before, middle)))
     re, im = F.expr("re0 * re1 + im0 * im1"), F.expr("re0 * im1 - im0 * re1")
     size = F.sqrt(re * re + im * im)
-    nr, nc = padded(now.meta.nrows), padded(now.meta.ncols)
+    nr, nc = padded(m.nrows), padded(m.ncols)
     # the inverse transform is the transform of the conjugate, conjugated and divided by the number of cells
-    x = fft2(a.join(b, ["row", "col"]).select("row", "col", F.coalesce(F.try_divide(re, size), F.lit(0.0)).alias("re"), F.coalesce(F.try_divide(-im, size), F.lit(0.0)).alias("im")), nr, nc)
-    u, v = F.expr(f"if(row > {nr // 2}, row - {nr}, row)"), F.expr(f"if(col > {nc // 2}, col - {nc}, col)")
-    found = x.select(u.alias("u"), v.alias("v"), F.round((F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (nr * nc) ** 2, 9).alias("c")).where(F.col("u").between(-max_u, max_u) & F.col("v").between(-max_v, max_v))
-    best = found.agg(F.min_by(F.struct("u", "v"), F.struct(-F.col("c"), F.abs("u"), F.abs("v"), "u", "v")).alias("b"))
-    return best.select("b.u", "b.v")
+    x = fft2(a.join(b, ["row", "col"]).select("row", "col", F.try_divide(re, size).alias("re"), F.try_divide(-im, size).alias("im")), nr, nc)
+    u, v = F.expr(f"if(row >= {-(-nr // 2)} and row > 0, row - {nr}, row)"), F.expr(f"if(col >= {-(-nc // 2)} and col > 0, col - {nc}, col)")
+    back = F.struct(F.expr(f"({nr} - row) % {nr}"), F.expr(f"({nc} - col) % {nc}"))
+    power = F.round((F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (nr * nc) ** 2, 9)
+    found = x.select(u.alias("u"), v.alias("v"), back.alias("back"), F.when(~F.isnan(power), power).alias("c"))
+    best = found.where("c is not null").agg(F.min_by(F.struct("u", "v"), F.struct(-F.col("c"), "back")).alias("b"))
+    return best.select(F.coalesce("b.u", F.lit(0)).cast("int").alias("u"), F.coalesce("b.v", F.lit(0)).cast("int").alias("v"))

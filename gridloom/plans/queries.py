@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from gridloom.grid import Grid, GridMeta
 from gridloom.operators import cells, distance, frequency, geometry, mining, models, motion, objects, segment, spectral, stats, stencil, texture, tracking
 from gridloom.plans import compositions
-from gridloom.plans.tables import FRAME, META, g1, g1g, g2, points, read, sql
+from gridloom.plans.tables import FRAME, META, g1, g1g, g2, points, read, shared_dir, sql
+from gridloom.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -249,11 +251,17 @@ def _nn(spark, d):
     return _rounded(geometry.mean_neighbour_distance(points(spark, d)))
 
 
-_POLY = "(values (1, 1, 30.05::double, -95.03::double), (1, 2, 45.07, -90.01), (1, 3, 33.02, -80.04), (2, 1, 40.01, -99.02), (2, 2, 40.03, -85.05), (2, 3, 28.06, -85.07), (2, 4, 28.08, -99.09)) t(poly, seq, lat, lon)"
+#: Rings around the customers of each nation: the eighth k of them, by key, stretches corner k.
+_CORNERS = [(1.0, 0.0), (0.7, 0.7), (0.0, 1.0), (-0.7, 0.7), (-1.0, 0.0), (-0.7, -0.7), (0.0, -1.0), (0.7, -0.7)]
+_POLY = f"""(select n poly, k seq, 29.03::double + n % 5 * 4 + (1 + 0.37::double * (c % 7)) * y lat, -96.01::double + n // 5 * 6 + (1 + 0.37::double * (c % 7)) * x lon
+    from (select c_nationkey n, c_custkey % 8 k, count(*) c from customer group by 1, 2) join (values {", ".join(f"({k}, {y}::double, {x}::double)" for k, (y, x) in enumerate(_CORNERS))}) t(k, y, x) using (k)) t"""
 
 
-def _vertices(spark):
-    return spark.sql(f"select * from values {_POLY[8:].replace('::double', 'D').replace(' t(poly', ' as t(poly').split(')) as t')[0]}) as t(poly, seq, lat, lon)").select("poly", "seq", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+def _vertices(spark: SparkSession, d: str) -> DataFrame:
+    n = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("poly"), (F.col("c_custkey") % 8).alias("seq")).agg(F.count("*").alias("c"))
+    far = 1 + F.lit(0.37) * (F.col("c") % 7)
+    y, x = (F.get(F.array(*(F.lit(c[i]) for c in _CORNERS)), F.col("seq").cast("int")) for i in (0, 1))
+    return n.select("poly", "seq", (F.lit(29.03) + F.col("poly") % 5 * 4 + far * y).alias("lat"), (F.lit(-96.01) + F.floor(F.col("poly") / 5) * 6 + far * x).alias("lon"))
 
 
 @query("point_in_polygon", sql("pts", f""", e as (select poly, lat y0, lon x0, coalesce(lead(lat) over w, first_value(lat) over w) y1, coalesce(lead(lon) over w, first_value(lon) over w) x1 from {_POLY} window w as (partition by poly order by seq)),
@@ -261,13 +269,13 @@ def _vertices(spark):
     and count(*) filter ((x0 > lon) <> (x1 > lon) and lat < y0 + (lon - x0) * (y1 - y0) / (x1 - x0)) % 2 = 1)
     select id, lat, lon, coalesce(min(poly), -1)::int poly from pts left join h using (id) group by 1, 2, 3""").replace(") , e", "), e"))
 def _pip(spark, d):
-    return geometry.point_in_polygon(points(spark, d).drop("value"), _vertices(spark)).select("id", "lat", "lon", "poly")
+    return geometry.point_in_polygon(points(spark, d).drop("value"), _vertices(spark, d)).select("id", "lat", "lon", "poly")
 
 
 @query("polygon_area", f"""with e as (select poly, lat y0, lon x0, coalesce(lead(lat) over w, first_value(lat) over w) y1, coalesce(lead(lon) over w, first_value(lon) over w) x1 from {_POLY} window w as (partition by poly order by seq))
     select poly, round(abs(sum(x0 * y1 - x1 * y0) / 2), 6) area from e group by 1""")
 def _area(spark, d):
-    return geometry.area(_vertices(spark)).select("poly", F.round("area", 6).alias("area"))
+    return geometry.area(_vertices(spark, d)).select("poly", F.round("area", 6).alias("area"))
 
 
 @query("polygon_raster", f"""with pts as (select r::int "row", c::int col, 50.0::double - (r + 0.5) * 0.5 lat, -100.0::double + (c + 0.5) * 0.5 lon from (select unnest(range(48)) r), (select unnest(range(64)) c)),
@@ -276,7 +284,7 @@ def _area(spark, d):
     and count(*) filter ((x0 > lon) <> (x1 > lon) and lat < y0 + (lon - x0) * (y1 - y0) / (x1 - x0)) % 2 = 1)
     select "row", col, coalesce(min(poly), -1)::int "value" from pts left join h using ("row", col) group by 1, 2""")
 def _praster(spark, d):
-    return geometry.polygon_raster(META, _vertices(spark)).df
+    return geometry.polygon_raster(META, _vertices(spark, d)).df
 
 
 @query("oban_gather", sql("pts", """select r::int "row", c::int col, coalesce(cast(floor(sum(w * "value") / sum(w) + 0.5) as int), -9999) "value" from (select unnest(range(24)) r), (select unnest(range(32)) c) left join lateral
@@ -392,10 +400,11 @@ query("line_pixels", sql("g1 g1g", "")[:-1] + _LINES.format(t=800) + """, k as (
     select theta, bin, (case when by_row then k else other end)::int "row", (case when by_row then other else k end)::int col from o where other >= 0 and other < case when by_row then 64 else 48 end""")(
     lambda s, d: spectral.line_pixels(spectral.hough(g1g(s, d), 800), META.nrows, META.ncols))
 _wave = lambda p, v, f: f"""{p} as (select i, j, sum(v * cos(2 * pi() * ((i * r + j * c) % 32) / 32)) re, -sum(v * sin(2 * pi() * ((i * r + j * c) % 32) / 32)) im from (select "row" r, col c, "value" v from {f}), (select unnest(range(32)) i), (select unnest(range(32)) j) group by 1, 2)"""
-query("phase_correlation", sql("f1 f2", "")[:-1] + f""", {_wave("a", "v", "f1")}, {_wave("b", "v", "f2")},
-    x as (select i, j, coalesce((a.re * b.re + a.im * b.im) / nullif(s, 0), 0) re, coalesce((a.re * b.im - a.im * b.re) / nullif(s, 0), 0) im from (select *, sqrt(power(a.re * b.re + a.im * b.im, 2) + power(a.re * b.im - a.im * b.re, 2)) s from a join b using (i, j)) q(i, j, are, aim, bre, bim, s), lateral (select are re, aim im) a, lateral (select bre re, bim im) b),
-    y as (select u, v, round((power(sum(re * cos(t) - im * sin(t)), 2) + power(sum(re * sin(t) + im * cos(t)), 2)) / power(1024, 2), 9) c from (select u, v, re, im, 2 * pi() * (i * u + j * v) / 32 t from x, (select unnest(range(-6, 7)) u), (select unnest(range(-6, 7)) v)) group by 1, 2)
-    select u::int u, v::int v from y order by c desc, abs(u), abs(v), u, v limit 1""")(lambda s, d: spectral.phase_correlation(g2(s, d, 3), g2(s, d, 4), 6, 6))
+query("phase_correlation", sql("f1 f2", "")[:-1] + f""", mid as (select "row", col, case when "row" < 6 or col < 6 or "row" > 24 - 6 or col > 24 - 6 then 0 else "value" end "value" from f2), {_wave("a", "v", "f1")}, {_wave("b", "v", "mid")},
+    x as (select i, j, (a.re * b.re + a.im * b.im) / s re, (a.im * b.re - a.re * b.im) / s im from (select a.i, a.j, a, b, sqrt((a.re * a.re + a.im * a.im) * (b.re * b.re + b.im * b.im)) s from a join b using (i, j))),
+    y as (select r, c, round((power(sum(re * cos(t) - im * sin(t)), 2) + power(sum(re * sin(t) + im * cos(t)), 2)) / power(1024, 2), 9) p from (select r, c, re, im, 2 * pi() * ((i * r + j * c) % 32) / 32 t from x, (select unnest(range(32)) r), (select unnest(range(32)) c)) group by 1, 2),
+    best as (select r, c from y order by p desc, r, c limit 1)
+    select (case when r > 16 then 32 - r else -r end)::int u, (case when c > 16 then 32 - c else -c end)::int v from best""")(lambda s, d: spectral.phase_correlation(g2(s, d, 3), g2(s, d, 4), 6, 6))
 assert FRAME.nrows == 24
 
 # texture and frequency
@@ -462,7 +471,12 @@ def _sides(p: str, src: str) -> str:
 query("object_track", f"""with recursive {sql("f1 f2", "")[5:-1]}, {_sides("o", "f1")}, {_sides("w", "f2")},
     best as (select w.label, arg_min(10 * (w.cx - o.cx), (power(w.cx - o.cx, 2) + power(w.cy - o.cy, 2), o.label)) u, arg_min(10 * (w.cy - o.cy), (power(w.cx - o.cx, 2) + power(w.cy - o.cy, 2), o.label)) v from w, o where power(w.cx - o.cx, 2) + power(w.cy - o.cy, 2) < 10000 group by 1)
     select "row", col, coalesce(floor(u + 0.5), 0)::int u, coalesce(floor(v + 0.5), 0)::int v from f2 left join w_cell on r = "row" and c = col left join best using (label)""")(lambda s, d: tracking.track(g2(s, d, 3), g2(s, d, 4), 0, 1, 3))
-query("hybrid_track")(lambda s, d: tracking.hybrid(g2(s, d, 3), g2(s, d, 4), stats.prune(segment.hysteresis(g2(s, d, 4), 0, 1), 3), 2, 2))
+query("hybrid_track", f"""with recursive {sql("f1 f2", "")[5:-1]}, {_sides("w", "f2")},
+    sh as (select (row_number() over (order by u, v))::int k, u::int u, v::int v from (select unnest(range(-2, 3)) u), (select unnest(range(-2, 3)) v)),
+    err as (select label, k, u, v, sum(coalesce(abs(f2."value" - f1."value"), 0)) e from w_cell join f2 on f2."row" = r and f2.col = c cross join sh left join f1 on f1."row" = r - u and f1.col = c - v group by all),
+    obj as (select label, any_value(cx) cx, any_value(cy) cy, any_value(n) size, arg_min(u, (e, k)) u, arg_min(v, (e, k)) v from err join w using (label) join (select label, count(*) n from w_cell group by 1) using (label) group by 1),
+    wt as (select "row", col, u, v, size / (power(power(cx - "row", 2) + power(cy - col, 2), 2) + 0.0001::double) q from f2, obj)
+    select "row", col, floor(sum(q * u) / sum(q) + 0.5)::int u, floor(sum(q * v) / sum(q) + 0.5)::int v from wt group by 1, 2""")(lambda s, d: tracking.hybrid(g2(s, d, 3), g2(s, d, 4), stats.prune(segment.hysteresis(g2(s, d, 4), 0, 1), 3), 2, 2))
 query("prefix_lookup", """with a as (select distinct substring(p_name, 1, 12) "name" from part), t as (select "name", min(p_partkey) code from (select substring(p_name, 1, 12) "name", p_partkey from part where p_partkey % 3 = 0) group by 1)
     select a."name", coalesce(t.code, (select arg_min(x.code, x."name") from t x where starts_with(x."name", substring(a."name", 1, length(a."name") // 2)))) code from a left join t using ("name")""")(lambda s, d: compositions.prefix_lookup(*_names(s, d)))
 
@@ -539,3 +553,20 @@ query("training_patterns", sql("g1 g1g", f"""select label, round(avg({V}), 6) po
 query("bilinear", sql("g1 g1g pts", f"""select id, round(sum(w * g) / sum(w), 6) "value" from pts left join lateral (select g1g."value" g, (1 - abs(y - "row")) * (1 - abs(x - col)) w from (select (50.0::double - lat) / 0.5::double - 0.5 y, (lon + 100.0::double) / 0.5::double - 0.5 x) q, g1g
     where "row" in (floor(y), ceil(y)) and col in (floor(x), ceil(x)) and g1g."value" <> {M}) on true group by 1"""))(
     lambda s, d: _rounded(cells.bilinear(g1g(s, d), points(s, d).select("id", ((F.lit(50.0) - F.col("lat")) / 0.5 - 0.5).alias("y"), ((F.col("lon") + 100.0) / 0.5 - 0.5).alias("x"))).select("id", "value")))
+
+
+# distances, files
+query("distance_km", sql("pts", """, a as (select id, radians(lat) p1, radians(38.5::double) p2, radians(lon) l1, radians(-84.25::double) l2 from pts),
+    h as (select id, power(sin((p2 - p1) / 2), 2) + cos(p1) * cos(p2) * power(sin((l2 - l1) / 2), 2) h, 1 - (2 - 1 / 298.257223563::double) / 298.257223563::double * sin((p1 + p2) / 2) s from a)
+    select id, round(2 * 6378.137::double * (1 - (2 - 1 / 298.257223563::double) / 298.257223563::double) / power(s * s, 1.5) * asin(least(1, sqrt(h))), 5) km from h""").replace(") , a", "), a"))(
+    lambda s, d: points(s, d).select("id", F.round(geometry.haversine_km(F.col("lat"), F.col("lon"), F.lit(38.5), F.lit(-84.25)), 5).alias("km")))
+
+
+def _there_and_back(g: Grid) -> Grid:
+    """The grid as a file in the session's shared folder, written by ranges of rows and read by ranges of bytes."""
+    path = f"{shared_dir(g.df.sparkSession)}/gridloom/esri-{uuid.uuid4().hex}"
+    files.write_esri(g, path)
+    return files.read_esri(g.df.sparkSession, path)
+
+
+grid_query("esri_there_and_back", _there_and_back, 'select "row", col, "value" from g1g')

@@ -77,10 +77,19 @@ def test_thinning_in_tiles(spark):
 
 
 def test_phase_correlation(spark):
-    a = np.random.default_rng(1).integers(0, 100, (16, 16))
-    for u, v in ((2, -3), (0, 0), (-4, 1)):
-        got = spectral.phase_correlation(grid(spark, a), grid(spark, np.roll(a, (u, v), (0, 1))), 5, 5).first()
-        assert tuple(got) == (u, v)
+    """Frames cut from one scene, as far apart as the shift; a border of now doesn't count."""
+    scene = np.random.default_rng(1).integers(0, 100, (80, 84))
+    for u, v in ((2, -3), (0, 0), (5, 9), (-2, -3)):
+        a, b = scene[20:52, 20:52], scene[20 - u : 52 - u, 20 - v : 52 - v]
+        got = spectral.phase_correlation(grid(spark, a), grid(spark, b), 3, 3).first()
+        mid = b.copy()
+        i, j = np.indices(b.shape)
+        mid[(i < 3) | (j < 3) | (i > 29) | (j > 29)] = 0
+        x = np.fft.fft2(a) * np.conj(np.fft.fft2(mid))
+        r, c = np.unravel_index(np.argmax(np.round(np.abs(np.fft.ifft2(x / np.abs(x))) ** 2, 9)), x.shape)
+        assert tuple(got) == (u, v) == (-r + 32 * (r > 16), -c + 32 * (c > 16))
+    flat = grid(spark, np.full((8, 8), 5))  # its spectrum has zeros
+    assert tuple(spectral.phase_correlation(flat, flat, 1, 1).first()) == (0, 0)
 
 
 def correlate(a, b, est, most, miss):
