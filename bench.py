@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from gridloom.operators import distance, segment, stats, stencil
+from gridloom.operators import distance, motion, objects, segment, stats, stencil
 from gridloom.plans.queries import QUERIES
 from gridloom.plans.tables import keep, large
 
@@ -25,7 +25,7 @@ if __name__ == "__main__":
     # the same operators on a grid of a million cells, to show how they grow
     g = large(spark, sf)
     g = type(g)(keep(g.df, "bench"), g.meta)
-    for name, run in {"histogram": lambda: stats.histogram(g, 0, 10, 60), "dilate": lambda: stencil.dilate(g, 2).df, "local_stats": lambda: stencil.local_stats(g, 5, 5), "threshold_segment": lambda: segment.label(g, 20), "edt": lambda: distance.edt(g, 45).df}.items():
+    for name, run in {"histogram": lambda: stats.histogram(g, 0, 10, 60), "dilate": lambda: stencil.dilate(g, 2).df, "local_stats": lambda: stencil.local_stats(g, 5, 5), "threshold_segment": lambda: segment.label(g, 20), "edt": lambda: distance.edt(g, 45).df, "smooth_11x11": lambda: stencil.smooth(g, stencil.boxcar(11)).df, "median_5x5": lambda: stencil.median(g, 2).df, "local_texture": lambda: objects.local_texture(g, 3, 3, 0, 20, 6), "cross_correlation": lambda: motion.cross_correlation(g, g, 2, 2, 2)}.items():
         t = time.time()
         run().write.format("noop").mode("overwrite").save()
         took[f"{name}_1000x1000"] = round(time.time() - t, 3)
