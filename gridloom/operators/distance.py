@@ -16,7 +16,7 @@ CAP = 250 * 250
 
 
 #: Columns of a strip, and the most cells it may hold.
-WIDTH, STRIP = 128, 1 << 22
+WIDTH, STRIP = 64, 1 << 22
 
 
 def _envelope(g: np.ndarray) -> np.ndarray:
