@@ -4,10 +4,14 @@ The model codes a text's bytes (A-Z as a-z), then an end mark, bit by bit. For e
 far), a table of hashed slots counts zeros and ones; their logits are mixed by two sets of weights, one gated by how much the longest known
 context has seen, one by the bit's place, and an adaptive probability map refines the sum.
 
-Training is online: each task goes once through its texts in slices, predicts a slice with what it knows, then learns from it.
-Counts of all tasks are summed, weights averaged by bits seen (so they follow a little from how rows were dealt to tasks). The model has a fixed size. For scoring it is frozen, so that a
-score depends on the text alone and not on the order of rows or on lost tasks. Within a slice equal four-byte
-strings after equal word beginnings are evaluated once.
+Training counts first: tables of all tasks are summed. Weights and map are then learned online against the whole counts, where each occurrence is
+predicted as if it had not been counted itself. This goes by blocks of about BLOCK bytes: a hash of the row picks its block and its place there, so a block is the
+same however rows were dealt to tasks; one task goes once through a block, and weights are averaged by bits seen, in the order of blocks. For scoring the model is frozen. So a
+score is a function of the text and the set of training rows, not of partitions, the order of rows or lost tasks. The model has a fixed size.
+Within a slice equal four-byte strings after equal word beginnings are evaluated once.
+
+Rows alike in all columns fall into one block, which is read as a stream. Each block of texts asks for the count of a token once, so a token
+of every document costs one entry a block.
 """
 
 from __future__ import annotations
@@ -28,19 +32,25 @@ K = len(SLOT_BITS)
 FAN = 32
 STARTS = np.concatenate(([0], np.cumsum([1 << b for b in SLOT_BITS])))
 CHUNK = 1 << 16
-GATES = 4 * K + 1
+#: Steps of how much a slot has seen, and these again for slots that saw but one value.
+SURE = 6
+GATES = 2 * SURE * K + 1
 APM = 33
+#: Grams are made of so many bytes at once, and evaluated for slices of more.
 SLICE = 1 << 21
-FIRST, TRAIN_SLICE = 1 << 15, 1 << 21
+FIRST, TRAIN_SLICE = 1 << 21, 1 << 25
+#: Bytes of training text in a block, and of texts that ask for counts together.
+BLOCK, ASK = 1 << 26, 1 << 23
 END = 255
-RATE = 0.7
+RATE, FADE = 0.7, 0.1
 STEP = 1 << 13
 #: Logits are whole numbers of this part, and share an int32 with the slot's gate.
 UNIT = 1 << 16
 _LOG = np.round(np.log(np.arange(65536) + 0.4) * UNIT).astype(np.int32)
+_LOGIT = np.log(np.arange(65536) + 0.4).astype(np.float32)
 _SEEN = np.arange(2 * 65536, dtype=np.float64)
-#: For each context the gate of a slot that has seen so much: 0 for nothing, then four steps.
-_GATE = [np.where(_SEEN > 0, 4 * k + 1 + np.minimum(3, np.log2(_SEEN + 1) / 2).astype(int), 0).astype(np.int32) for k in range(K)]
+#: For each context the gate of a slot that has seen so much: 0 for nothing, then steps.
+_GATE = [np.where(_SEEN > 0, 2 * SURE * k + 1 + np.minimum(SURE - 1, np.log2(np.maximum(1, _SEEN)) * 0.75).astype(int), 0).astype(np.int32) for k in range(K)]
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,43 +61,53 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     keep = np.ones(len(x), bool)
     keep[at[1:] - 1] = False
     x[keep] = LOWER[data]
-    here = np.arange(len(x))
-    place = here - np.repeat(at[:-1], np.diff(at))
-    g = x.astype(np.uint64)
-    for j in range(1, K):
-        before = np.zeros(len(x), np.uint64)
-        before[j:] = x[:-j] if j < len(x) else x[:0]
-        before[place < j] = 0
-        g |= before << np.uint64(8 * j)
-    begin = np.where(NONSPACE[x], -1, here + 1)
-    begin = np.maximum(here - place, np.maximum.accumulate(np.concatenate(([-1], begin[:-1])))) if len(x) else here
-    word = _beginnings(x, begin, here) >> np.uint64(8 * K)
+    here, first, long = np.arange(len(x), dtype=np.int32 if len(x) < 2**31 else np.int64), at[:-1], np.diff(at)
+    padded = np.concatenate((np.zeros(K - 1, np.uint8), x))
+    before = np.ndarray(len(x), ">u4", padded, strides=(1,)).astype(np.uint32)
+    for j in range(K - 1):
+        before[first[long > j] + j] &= np.uint32(256**j - 1)
+    g = before.astype(np.uint64)
+    g <<= np.uint64(8)
+    g |= x
+    begin = np.zeros_like(here)
+    np.copyto(begin[1:], here[1:], where=~NONSPACE[x[:-1]])
+    begin[first] = first
+    begin = np.maximum.accumulate(begin)
+    word = _beginnings(x, begin, here) >> np.uint32(8)
     word[begin == here] = 0
-    return g | (word << np.uint64(8 * K)), at
+    g |= word.astype(np.uint64) << np.uint64(8 * K)
+    return g, at
 
 
 _POWERS: list[np.ndarray] = []
+_TERM = (MIX >> np.uint64(24)).astype(np.uint32) | np.uint32(1)
 
 
 def _beginnings(x: np.ndarray, begin: np.ndarray, here: np.ndarray) -> np.ndarray:
-    """A number for each x[begin:here]. Contexts that it confuses do no harm, so it need not be as sound as _bytes.between()."""
+    """32 bits for each x[begin:here]. Contexts that they confuse do no harm, so they need not be as sound as _bytes.between()."""
     if not _POWERS or len(_POWERS[0]) <= len(x):
         _POWERS[:] = []
-        for base in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)):
-            p = np.full(max(len(x) + 1, 1 << 21), base, np.uint64)
+        for base in (0x9E3779B1, pow(0x9E3779B1, -1, 2**32)):
+            p = np.full(max(len(x) + 1, 1 << 21), base, np.uint32)
             p[0] = 1
-            _POWERS.append(np.multiply.accumulate(p))
-    h = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(MIX[x] * _POWERS[0][: len(x)], out=h[1:])
-    return mix((h[here] - h[begin]) * _POWERS[1][begin])
+            _POWERS.append(np.multiply.accumulate(p, dtype=np.uint32))
+    h = np.zeros(len(x) + 1, np.uint32)
+    np.cumsum(_TERM[x] * _POWERS[0][: len(x)], out=h[1:], dtype=np.uint32)
+    h = (h[:-1] - h[begin]) * _POWERS[1][begin]
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h ^= h >> np.uint32(shift)
+        h *= np.uint32(factor)
+    return h
 
 
 class Model:
     """counts: zeros and ones of all slots; state: each slot's logit and gate, which follow from these; wa, wb: weights by gate and by bit; hits, ones: of the adaptive map."""
 
-    def __init__(self):
+    def __init__(self, counts: np.ndarray | None = None, tuned: bool = True):
         n = int(STARTS[-1])
-        self.counts, self.state = np.zeros((n, 2), np.uint32), np.zeros(n, np.int32)
+        self.counts = np.zeros((n, 2), np.uint32) if counts is None else counts
+        if not tuned:
+            return
         self.wa, self.wb = np.full((GATES, K + 1), 0.3, np.float32), np.zeros((8, K + 1), np.float32)
         self.wa[:, K] = 0
         self.ga, self.gb = np.zeros(self.wa.shape), np.zeros(self.wb.shape)
@@ -95,14 +115,20 @@ class Model:
 
     def freeze(self) -> Model:
         """All slots get their logit and gate, the map becomes probabilities."""
+        self.state = np.zeros(len(self.counts), np.int32)
         for k in range(K):
             self._derive(k, slice(STARTS[k], STARTS[k + 1]))
         self.counts, self.map = None, self._map()
         return self
 
     def _derive(self, k: int, at) -> None:
-        n = np.minimum(self.counts[at], 65535)
-        self.state[at] = ((_LOG[n[:, 1]] - _LOG[n[:, 0]]) << 8) | _GATE[k][n[:, 0] + n[:, 1]]
+        zeros, ones = self._seen(at)
+        self.state[at] = ((_LOG[ones] - _LOG[zeros]) << 8) | (_GATE[k][zeros + ones] + SURE * ((zeros == 0) ^ (ones == 0)))
+
+    def _seen(self, at) -> tuple[np.ndarray, np.ndarray]:
+        width = self.counts.itemsize
+        both = self.counts.reshape(-1).view(f"u{2 * width}")[at]
+        return tuple(np.minimum(n, 65535).astype(np.int32) for n in (both & (256**width - 1), both >> (8 * width)))
 
     def _map(self) -> np.ndarray:
         centre = 1 / (1 + np.exp(-(np.arange(APM) / 2 - 8)))
@@ -117,12 +143,28 @@ class Model:
             gate = own if gate is None else np.maximum(gate, own, out=gate)
             state >>= 8
             x.append(state.astype(np.float32) * np.float32(1 / UNIT))
+        return x, gate, self._sum(x, gate)
+
+    def _without(self, slots, bits):
+        """mix() of bits as they would be, had they not been counted once. Where counts were scaled down to 16 bits, one is less than a unit and stays."""
+        x, gate = [], None
+        for k, i in enumerate(slots):
+            zeros, ones = self._seen(i)
+            small = np.maximum(zeros, ones) < 65535
+            ones -= small & (bits == 1)
+            zeros -= small & (bits == 0)
+            own = _GATE[k][zeros + ones].astype(np.uint8) + np.uint8(SURE) * ((zeros == 0) ^ (ones == 0))
+            gate = own if gate is None else np.maximum(gate, own, out=gate)
+            x.append(_LOGIT[ones] - _LOGIT[zeros])
+        return x, gate, self._sum(x, gate)
+
+    def _sum(self, x, gate):
         w = (self.wa[None] + self.wb[:, None]).reshape(-1, K + 1)
         at = gate + np.arange(0, 8 * GATES, GATES)[:, None]
         z = w[:, K][at]
         for k in range(K):
             z += w[:, k][at] * x[k]
-        return x, gate, np.clip(z, -11, 11, out=z)
+        return np.clip(z, -11, 11, out=z)
 
     def log10(self, g: np.ndarray) -> np.ndarray:
         """log10 of the probability of each gram's last byte."""
@@ -137,13 +179,12 @@ class Model:
         return out
 
     def learn(self, g: np.ndarray, c: np.ndarray) -> int:
-        """One online step over the distinct grams of a slice and how often each occurs; returns the bits seen.
+        """Count the distinct grams of a slice, c times each, then tune(); returns the bits seen."""
+        self.count(g, c)
+        return self.tune(g, c)
 
-        All grams are predicted from the slices before, and weights and map step on chunks of them; then the slice's counts are added, each
-        context's grams once.
-        """
-        for a in range(0, len(g), STEP):
-            self._step(*_slots(g[a : a + STEP]), c[a : a + STEP].astype(np.float32))
+    def count(self, g: np.ndarray, c: np.ndarray) -> None:
+        """Add a slice's counts, each context's grams once."""
         flat = self.counts.reshape(-1)
         for k in range(K):
             code, own = _distinct((_context(k, g) << np.uint64(8)) | (g & np.uint64(255)))
@@ -153,11 +194,17 @@ class Model:
                 bits, nodes, low, half = _bits(part)
                 at = _line(k, part >> np.uint64(8), half, nodes, low)
                 np.add.at(flat, (2 * at + bits).ravel(), np.broadcast_to(times[a : a + STEP], bits.shape).ravel())
-                self._derive(k, at.ravel())
+
+    def tune(self, g: np.ndarray, c: np.ndarray) -> int:
+        """One online pass of weights and map, in steps, over counted grams, shuffled (rare ones come last in a slice); returns the bits seen."""
+        order = np.random.default_rng(len(g)).permutation(len(g))
+        g, c = g[order], c[order]
+        for a in range(0, len(g), STEP):
+            self._step(*_slots(g[a : a + STEP]), c[a : a + STEP].astype(np.float32))
         return 8 * int(c.sum())
 
     def _step(self, bits, nodes, slots, w) -> None:
-        x, gate, z = self.mix(slots)
+        x, gate, z = self._without(slots, bits)
         x.append(np.ones_like(z))
         one = bits.astype(np.float32)
         p = 1 / (1 + np.exp(-z))
@@ -174,10 +221,10 @@ class Model:
             by_e[here] = np.add.reduceat(e0 * own, runs, dtype=np.float64)
             by_h[here] = np.add.reduceat(h0 * own * own, runs, dtype=np.float64)
             self.ga[:, k] += by_h
-            self.wa[:, k] += RATE * by_e / (K * by_h + 0.01 * self.ga[:, k] + 100)
+            self.wa[:, k] += RATE * by_e / (K * by_h + FADE * self.ga[:, k] + 100)
             e, h = (err * x[k]).sum(1, dtype=np.float64), (bend * x[k] * x[k]).sum(1, dtype=np.float64)
             self.gb[:, k] += h
-            self.wb[:, k] += RATE * e / (4 * K * h + 0.01 * self.gb[:, k] + 100)
+            self.wb[:, k] += RATE * e / (4 * K * h + FADE * self.gb[:, k] + 100)
         np.clip(self.wa, -1, 2, out=self.wa)
         np.clip(self.wb, -1, 1, out=self.wb)
         # the map learns at the nearest of its points
@@ -230,28 +277,62 @@ def _distinct(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code, np.asarray(values, np.uint64)
 
 
-def _train(batches):
-    """Rows (chunk, slots, counts) of what one task has learned; chunk -1: weights times bits, bits, and the map's sums."""
-    model, bits, size = Model(), 0, FIRST
+def _together(seen: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of several pieces and how often each occurs."""
+    code, g = _distinct(np.concatenate([x for x, _ in seen]))
+    return g, np.bincount(code, np.concatenate([c for _, c in seen]), len(g)).astype(np.int64)
+
+
+def _slices(batches):
+    """Distinct grams of each slice and how often each occurs. Slices grow, so that the first ones need not wait for long, and end with the text that fills them, whatever the batches."""
+    size, have, seen = FIRST, 0, []
     for batch in batches:
         data, offsets = column(batch.column(0))
         a = 0
-        while a < len(offsets) - 1:  # slices grow, so that there are predictions to learn from early on
-            b = min(len(offsets) - 1, max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1))
-            for piece in _pieces(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size):
-                code, g = _distinct(piece)
-                bits += model.learn(g, np.bincount(code, minlength=len(g)))
-            a, size = b, min(TRAIN_SLICE, 2 * size)
-    if not bits:
-        return
-    made = [(-1, b"", blob(np.concatenate([(model.wa * bits).ravel(), (model.wb * bits).ravel(), [bits], model.hits.ravel(), model.ones.ravel()]).astype(np.float64)))]
-    for c in range(0, len(model.counts), CHUNK):
-        part = model.counts[c : c + CHUNK]
+        while a < len(offsets) - 1:
+            b = min(len(offsets) - 1, max(a + 1, int(np.searchsorted(offsets, offsets[a] + size - have))))
+            for i, j in groups(offsets[a : b + 1], SLICE):
+                for piece in _pieces(data[offsets[a + i] : offsets[a + j]], offsets[a + i : a + j + 1] - offsets[a + i]):
+                    code, g = _distinct(piece)
+                    seen.append((g, np.bincount(code, minlength=len(g))))
+                    if len(seen) == 16:
+                        seen = [_together(seen)]
+            a, have = b, have + int(offsets[b] - offsets[a])
+            if have >= size:
+                yield _together(seen)
+                size, have, seen = min(TRAIN_SLICE, 2 * size), 0, []
+    if seen:
+        yield _together(seen)
+
+
+def _learned(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["chunk", "slots", "counts"])
+
+
+def _counted(batches):
+    """Rows (chunk, slots, counts) of what the texts of one task hold."""
+    model = None
+    for g, c in _slices(batches):
+        model = model or Model(tuned=False)
+        model.count(g, c)
+    for i in range(0, len(model.counts) if model else 0, CHUNK):
+        part = model.counts[i : i + CHUNK]
         at = np.flatnonzero(part.any(1))
         if len(at):
-            made.append((c // CHUNK, blob(at.astype(np.uint16)), blob(part[at])))
-    for row in made:
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["chunk", "slots", "counts"])
+            yield _learned([(i // CHUNK, blob(at.astype(np.uint16)), blob(part[at]))])
+
+
+def _tuned(shared):
+    """A row (-1, nothing, sums) of a block: weights times bits, bits, and the map's sums."""
+
+    def run(batches):
+        model, bits = Model(shared.value), 0
+        for g, c in _slices(batches):
+            bits += model.tune(g, c)
+        if bits:
+            yield _learned([(-1, b"", blob(np.concatenate([(model.wa * bits).ravel(), (model.wb * bits).ravel(), [bits], model.hits.ravel(), model.ones.ravel()]).astype(np.float64)))])
+
+    return run
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE):
@@ -266,16 +347,19 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE):
 
 
 def _sum_learned(batches):
-    """Sums by (part, chunk); a row of a part that is whole has the slots left out."""
+    """Sums by (part, chunk) of the sums by block; those of weights in the order of blocks, as they are rounded."""
     total: dict[tuple[int, int], np.ndarray] = {}
+    weights: dict[int, list] = {}
     for batch in batches:
-        for part, c, at, x in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+        for part, before, c, at, x in zip(*(col.to_pylist() for col in batch.columns), strict=True):
             if c < 0:
-                total[part, c] = total.get((part, c), 0) + np.frombuffer(x, np.float64)
+                weights.setdefault(part, []).append((before, np.frombuffer(x, np.float64)))
             else:
                 if (part, c) not in total:
                     total[part, c] = np.zeros((CHUNK, 2), np.int64)
                 total[part, c][np.frombuffer(at, np.uint16)] += np.frombuffer(x, np.uint32).reshape(-1, 2)
+    for part, rows in weights.items():
+        total[part, -1] = sum(x for _, x in sorted(rows, key=lambda r: r[0]))
     for (part, c), x in total.items():
         at = b""
         if c >= 0:
@@ -290,41 +374,56 @@ LEARNED = "part long, chunk long, slots binary, counts binary"
 
 
 def train(texts: DataFrame) -> Model:
-    """A model from the column text of all rows. What comes to the driver has the model's size, whatever the input.
+    """A model from the column text of all rows; all columns tell a row's block. What comes to the driver has the model's size, whatever the input.
 
-    Tables of FAN tasks meet in one task a chunk, and so on, so that what a task reads stays bounded.
+    Tables of FAN blocks meet in one task a chunk, and so on, so that what a task reads stays bounded.
     """
     spark = texts.sparkSession
     ws = Workspace(spark, "lm-train")
-    learned = texts.select("text").mapInArrow(_train, "chunk long, slots binary, counts binary").select(F.spark_partition_id().cast("long").alias("part"), "chunk", "slots", "counts")
-    learned, level = ws.table("learned0", learned), 0
-    parts, shuffled = int(learned.agg(F.max("part")).first()[0] or 0) + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-text_bytes(texts) // BLOCK))
+    counts = np.zeros((int(STARTS[-1]), 2), np.uint16)
+    for r in _summed(ws, "counts", texts.select("text").mapInArrow(_counted, "chunk long, slots binary, counts binary")):
+        x = np.frombuffer(r.counts, np.uint32).reshape(-1, 2).astype(np.int64)
+        counts[r.chunk * CHUNK + np.frombuffer(r.slots, np.uint16).astype(np.int64)] = np.minimum(65535, np.ceil(x / np.maximum(1, x.max(1, keepdims=True) / 65535)))
+    model, shared = Model(counts), spark.sparkContext.broadcast(counts)
+    blocks = texts.select("text", F.xxhash64(*texts.columns).alias("place"))
+    blocks = blocks.repartitionById(parts, F.pmod("place", F.lit(parts)).cast("int")).sortWithinPartitions("place", "text").select("text")
+    for r in _summed(ws, "weights", blocks.mapInArrow(_tuned(shared), "chunk long, slots binary, counts binary")):
+        x = np.frombuffer(r.counts, np.float64)
+        a, b = model.wa.size, model.wa.size + model.wb.size
+        model.wa = (x[:a] / x[b]).reshape(model.wa.shape).astype(np.float32)
+        model.wb = (x[a:b] / x[b]).reshape(model.wb.shape).astype(np.float32)
+        model.hits, model.ones = x[b + 1 : b + 1 + 256 * APM].reshape(256, APM), x[b + 1 + 256 * APM :].reshape(256, APM)
+    shared.unpersist()
+    return model.freeze()
+
+
+def _summed(ws: Workspace, name: str, learned: DataFrame):
+    """Rows (chunk, slots, counts) summed over all tasks, FAN of them at a time."""
+    shuffled = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
+    learned, level = ws.table(f"{name}0", learned.select(F.spark_partition_id().cast("long").alias("part"), "chunk", "slots", "counts")), 0
+    parts = int(learned.agg(F.max("part")).first()[0] or 0) + 1
     while parts > 1 or not level:
         parts, level = -(-parts // FAN), level + 1
-        some = learned.withColumn("part", F.floor(F.col("part") / FAN)).repartition(shuffled, "part", "chunk")
-        learned = ws.table(f"learned{level}", some.mapInArrow(_sum_learned, LEARNED))
-        ws.drop(f"learned{level - 1}")
-    model = Model()
-    for r in learned.select("chunk", "slots", "counts").toLocalIterator():
-        if r.chunk >= 0:
-            x = np.frombuffer(r.counts, np.uint32).reshape(-1, 2).astype(np.int64)
-            x = np.ceil(x / np.maximum(1, x.max(1, keepdims=True) / 65535))
-            model.counts[r.chunk * CHUNK + np.frombuffer(r.slots, np.uint16).astype(np.int64)] = x
-        else:
-            x = np.frombuffer(r.counts, np.float64)
-            a, b = model.wa.size, model.wa.size + model.wb.size
-            model.wa = (x[:a] / x[b]).reshape(model.wa.shape).astype(np.float32)
-            model.wb = (x[a:b] / x[b]).reshape(model.wb.shape).astype(np.float32)
-            model.hits, model.ones = x[b + 1 : b + 1 + 256 * APM].reshape(256, APM), x[b + 1 + 256 * APM :].reshape(256, APM)
-    ws.drop(f"learned{level}")
-    return model.freeze()
+        some = learned.select(F.floor(F.col("part") / FAN).alias("part"), F.col("part").alias("before"), "chunk", "slots", "counts").repartition(shuffled, "part", "chunk")
+        learned = ws.table(f"{name}{level}", some.mapInArrow(_sum_learned, LEARNED))
+        ws.drop(f"{name}{level - 1}")
+    yield from learned.select("chunk", "slots", "counts").toLocalIterator()
+    ws.drop(f"{name}{level}")
 
 
 def log10_probability(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    if len(data) <= 4 * SLICE:
-        g, at = grams(data, offsets)
-        code, values = _distinct(g)
-        return np.add.reduceat(model.log10(values)[code], at[:-1]) if len(offsets) > 1 else np.zeros(0)
+    if len(offsets) > 2 or len(data) <= 4 * SLICE:
+        parts, made, n = [], [np.zeros(0, np.uint64)], 0
+        for i, j in groups(offsets, SLICE):
+            g, at = grams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            code, values = _distinct(g)
+            parts.append(((code + n).astype(np.uint32), at[:-1]))
+            made.append(values)
+            n += len(values)
+        code, values = _distinct(np.concatenate(made))
+        each = model.log10(values)[code]
+        return np.concatenate([np.zeros(0), *(np.add.reduceat(each[own], at) for own, at in parts)])
     total = 0.0
     for part in _pieces(data, offsets):
         code, values = _distinct(part)
@@ -332,71 +431,77 @@ def log10_probability(model: Model, data: np.ndarray, offsets: np.ndarray) -> np
     return np.array([total])
 
 
-SENT = "bucket long, block long, keys binary, docs binary, times binary, extra binary"
+SENT = "bucket long, block long, keys binary, counts binary, info binary, score binary"
+
+
+def _row(bucket: int, block: int, *cols: bytes) -> dict:
+    return dict(zip(("bucket", "block", "keys", "counts", "info", "score"), (bucket, block, *cols, *[b""] * (4 - len(cols))), strict=True))
+
+
+def _table(rows: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(rows, pa.schema([(c, pa.int64() if c[0] == "b" else pa.binary()) for c in ("bucket", "block", "keys", "counts", "info", "score")]))
 
 
 def _requests(shared, n: int):
-    """Scores of each block of texts (header, bucket < 0), and its tokens by bucket: hash, text and times."""
+    """Of each block of texts a row (bucket -1) with scores and the tokens of each text, and its distinct tokens by bucket: hash, and times in training texts.
+
+    A text's tokens are places among the block's, with times; info: id, null id, held out, bytes, tokens and distinct tokens.
+    """
 
     def run(batches):
         ids, model = block_ids(), shared.value
         for batch in batches:
             data, offsets = column(batch.column(1))
             doc, held = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
-            for a, b in groups(offsets, 2 * SLICE):
+            for a, b in groups(offsets, ASK):
                 own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 score = log10_probability(model, own, at)
                 _, _, h, first = words(own, at, NONSPACE)
-                text = np.repeat(np.arange(b - a), np.diff(first))
-                order = np.argsort(h, kind="stable")
-                h, text = h[order], text[order]
-                new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])))) if len(h) else np.zeros(0, int)
-                times = np.diff(np.append(new, len(h)))
-                h, text = h[new], text[new].astype(np.uint16 if b - a < 65536 else np.uint32)
-                block, train = next(ids), blob(~held[a:b])
-                some = doc.slice(a, b - a)
-                head = [blob(some.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)), blob(np.column_stack((np.diff(first), some.is_null().to_numpy(zero_copy_only=False), held[a:b], np.diff(at))).astype(np.int64)), blob(score), b""]
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - block % n]), pa.array([block]), *(pa.array([x]) for x in head)], ["bucket", "block", "keys", "docs", "times", "extra"])
-                rows = list(cuts(h, n))
-                small = times.astype(np.uint16 if times.max(initial=0) < 65536 else np.uint32)
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), *(pa.array([blob(col[i:j]) for _, i, j in rows], pa.binary()) for col in (h, text, small)), pa.array([train] * len(rows), pa.binary())], ["bucket", "block", "keys", "docs", "times", "extra"])
+                code, keys = _distinct(h)
+                order = np.argsort(keys)
+                keys, place = keys[order], np.empty(len(keys), np.int64)
+                place[order] = np.arange(len(keys))
+                pair, times = np.unique(np.repeat(np.arange(b - a), np.diff(first)) * len(keys) + place[code], return_counts=True)
+                text, token = np.divmod(pair, max(1, len(keys)))
+                learned = np.bincount(token, times * ~held[a:b][text], len(keys)).astype(np.uint64)
+                some, block = doc.slice(a, b - a), next(ids)
+                info = (some.fill_null(0).to_numpy(zero_copy_only=False), some.is_null().to_numpy(zero_copy_only=False), held[a:b], np.diff(at), np.diff(first), np.bincount(text, minlength=b - a))
+                rows = [_row(-1, block, _narrow(token), _narrow(times), blob(np.column_stack(info).astype(np.int64)), blob(score))]
+                rows += [_row(k, block, blob(keys[i:j]), _narrow(learned[i:j])) for k, i, j in cuts(keys, n)]
+                yield from _table(rows).to_batches()
 
     return run
 
 
-def _narrow(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32)
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as hold them all, and that number first."""
+    size = next(k for k in (1, 2, 4, 8) if int(x.max(initial=0)) < 256**k)
+    return bytes([size]) + blob(x.astype(f"u{size}"))
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"u{raw[0]}", offset=1).astype(np.int64)
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """Training counts of a bucket's tokens, then for each block's texts the sum of log10(c + 1) and the tokens with c > 0."""
-    if table.column("bucket")[0].as_py() < 0:
-        return table
-    cols = [table.column(c).to_pylist() for c in ("block", "keys", "docs", "times", "extra")]
-    keys = [np.frombuffer(x, np.uint64) for x in cols[1]]
-    docs, times = [_narrow(x, len(k)) for x, k in zip(cols[2], keys, strict=True)], [_narrow(x, len(k)) for x, k in zip(cols[3], keys, strict=True)]
-    train = [np.frombuffer(x, bool) for x in cols[4]]
+    """Training counts of a bucket's tokens, for each block those that it asks for in their order; and how many have any (block -1)."""
+    bucket, blocks = table.column("bucket")[0].as_py(), table.column("block").to_pylist()
+    keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
     values, code = np.unique(np.concatenate(keys), return_inverse=True)
-    c = np.bincount(code, np.concatenate([t * f[d] for t, d, f in zip(times, docs, train, strict=True)]), len(values))
-    logs, at, rows = np.log10(c + 1), 0, []
-    for block, k, d, t, f in zip(cols[0], keys, docs, times, train, strict=True):
-        own = code[at : at + len(k)]
-        at += len(k)
-        rows.append((block, blob(np.bincount(d, t * logs[own], len(f))), blob(np.bincount(d, t * (c[own] > 0), len(f)))))
-    rows.append((-1, int((c > 0).sum()).to_bytes(8, "little"), b""))
-    bucket = table.column("bucket")[0].as_py()
-    return pa.table({"bucket": [bucket] * len(rows), "block": [r[0] for r in rows], "keys": pa.array([r[1] for r in rows], pa.binary()), "docs": pa.array([r[2] for r in rows], pa.binary()), "times": pa.array([None] * len(rows), pa.binary()), "extra": pa.array([None] * len(rows), pa.binary())})
+    c = np.zeros(len(values), np.int64)
+    np.add.at(c, code, np.concatenate([_wide(x) for x in table.column("counts").to_pylist()]))
+    ends = np.cumsum([len(k) for k in keys])
+    rows = [_row(bucket, block, b"", _narrow(c[code[e - len(k) : e]])) for block, k, e in zip(blocks, keys, ends.tolist(), strict=True)]
+    return _table([*rows, _row(bucket, -1, b"", _narrow(np.array([(c > 0).sum()])))])
 
 
 def _gather(table: pa.Table) -> pa.Table:
-    logs = known = 0
-    for bucket, keys, docs, times in zip(*(table.column(c).to_pylist() for c in ("bucket", "keys", "docs", "times")), strict=True):
-        if bucket < 0:
-            ids, info, score = np.frombuffer(keys, np.int64), np.frombuffer(docs, np.int64).reshape(-1, 4), np.frombuffer(times, np.float64)
-        else:
-            logs, known = logs + np.frombuffer(keys, np.float64), known + np.frombuffer(docs, np.float64)
-    zero = np.zeros(len(ids))
-    return pa.table({"doc_id": pa.array(ids, mask=info[:, 1] == 1), "held_out": info[:, 2] == 1, "words": info[:, 0], "known": (known + zero).astype(np.int64), "logs": logs + zero, "score": score, "n_bytes": info[:, 3]})
+    rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
+    head, c = rows[0], np.concatenate([np.zeros(0, np.int64), *(_wide(r["counts"]) for r in rows[1:])])
+    info, token, times = np.frombuffer(head["info"], np.int64).reshape(-1, 6), _wide(head["keys"]), _wide(head["counts"])
+    text = np.repeat(np.arange(len(info)), info[:, 5])
+    logs, known = (np.bincount(text, times * x[token], len(info)).astype(float) for x in (np.log10(c + 1), c > 0))
+    return pa.table({"doc_id": pa.array(info[:, 0], mask=info[:, 1] == 1), "held_out": info[:, 2] == 1, "words": info[:, 4], "known": known.astype(np.int64), "logs": logs, "score": np.frombuffer(head["score"], np.float64), "n_bytes": info[:, 3]})
 
 
 def score(docs: DataFrame, held_out) -> DataFrame:
@@ -408,12 +513,14 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     spark = docs.sparkSession
     ws = Workspace(spark, "lm")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(True)).alias("held"))
-    shared = spark.sparkContext.broadcast(train(docs.where("not held")))
-    n = n_buckets(spark, 1.4 * text_bytes(docs))
-    got = ws.table("counts", docs.mapInArrow(_requests(shared, n), SENT).groupBy("bucket").applyInArrow(_count, SENT))
-    v = sum(int.from_bytes(r[0], "little") for r in got.where("block = -1").select("keys").toLocalIterator())
-    rows = ws.table("rows", got.where("block <> -1").groupBy("block").applyInArrow(_gather, "doc_id long, held_out boolean, words long, known long, logs double, score double, n_bytes long"))
-    ws.drop("counts")
+    shared = spark.sparkContext.broadcast(train(docs.where("not held").select("doc_id", "text")))
+    n = n_buckets(spark, text_bytes(docs))
+    sent = ws.table("sent", docs.mapInArrow(_requests(shared, n), SENT))
+    got = ws.table("counts", sent.where("bucket >= 0").select("bucket", "block", "keys", "counts").groupBy("bucket").applyInArrow(_count, SENT))
+    v = sum(int(_wide(r[0])[0]) for r in got.where("block = -1").select("counts").toLocalIterator())
+    rows = sent.where("bucket = -1").unionByName(got.where("block <> -1")).groupBy("block").applyInArrow(_gather, "doc_id long, held_out boolean, words long, known long, logs double, score double, n_bytes long")
+    rows = ws.table("rows", rows)
+    ws.drop("sent", "counts")
     ends, tokens = (int(x or 0) for x in rows.where("not held_out").agg(F.count("*"), F.sum("words")).first())
     total, v = tokens + ends, v + (ends > 0)
     return rows.select(
@@ -424,5 +531,6 @@ def score(docs: DataFrame, held_out) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score() of whole documents, learned from those whose crc32 of the id modulo 7 isn't 2; a missing id is held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)

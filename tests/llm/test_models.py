@@ -155,6 +155,41 @@ def test_lm_tables_meet_in_rounds(spark, monkeypatch):
     assert (once.state == rounds.state).all() and np.allclose(once.map, rounds.map) and np.allclose(once.wa, rounds.wa, atol=1e-5)
 
 
+def test_lm_score_follows_the_rows_alone(spark, monkeypatch):
+    """The same scores however rows are dealt to tasks and ordered, with several blocks of training rows."""
+    monkeypatch.setattr(lm_score, "BLOCK", 1 << 15)
+    rows = [(i, t) for i, (_, t, _) in enumerate(corpus(150))]
+    rows += [(1000 + i, "one word common to all") for i in range(200)] + [(2000, "x" * 50000), (2001, None), (2002, "")]
+    held = F.col("doc_id") % 7 == 2
+    got = []
+    for parts, order in ((1, rows), (16, rows[::-1])):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(parts)
+        got.append({r.doc_id: r for r in lm_score.score(df, held).collect()})
+    assert got[0].keys() == got[1].keys() == {i for i, _ in rows}
+    for i, r in got[0].items():
+        q = got[1][i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (q.held_out, q.n_tokens, q.n_known, q.train_tokens)
+        assert math.isclose(r.score, q.score, rel_tol=1e-6) and math.isclose(r.base_score, q.base_score, rel_tol=1e-12)
+
+
+def test_lm_weights_leave_out_what_they_predict():
+    """What tuning sees of an occurrence is what the table would say without it."""
+    model = lm_score.Model()
+    data = np.frombuffer(b"the cat sat on the mat " * 3 + b"quiz", np.uint8)
+    g, _ = lm_score.grams(data, np.array([0, len(data)]))
+    code, g = lm_score._distinct(g)
+    c = np.bincount(code)
+    model.count(g, c)
+    for i in range(0, len(g), 7):
+        bits, _, slots = lm_score._slots(g[i : i + 1])
+        x, gate, z = model._without(slots, bits)
+        less = lm_score.Model(model.counts.copy())
+        for at in slots:
+            np.subtract.at(less.counts, (at.ravel(), bits.ravel()), 1)
+        y, other, _ = less.freeze().mix(slots)
+        assert (gate == other).all() and np.allclose(x, y, atol=1e-3)
+
+
 def test_lm_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lm_score.score(df, F.lit(False)).count() == 0
