@@ -20,6 +20,11 @@ def release(spark: SparkSession) -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: For tables whose rows are megabytes: a row group is read as one batch, and by default holds 100 rows at least and 128 MB of packed bytes,
+#: so that a task's memory would follow the size of its file.
+WIDE_ROWS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+
+
 class Workspace:
     """Named Parquet tables of one operator call. A table survives lost executors, as its files are shared."""
 
@@ -27,8 +32,8 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
 
-    def table(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+    def table(self, name: str, df: DataFrame, wide: bool = False) -> DataFrame:
+        df.write.options(compression="zstd", **(WIDE_ROWS if wide else {})).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:

@@ -91,8 +91,8 @@ def _packed(block: int, pack: list, doc: pa.Array, rows: int) -> pa.RecordBatch:
 
 def _rows(batches):
     for batch in batches:
-        for r in batch.to_pylist():
-            yield r
+        for i in range(len(batch)):
+            yield batch.slice(i, 1).to_pylist()[0]
 
 
 def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +164,7 @@ def find(docs: DataFrame, w: int = W, passes: int = PASSES) -> tuple[Workspace,
     ws = Workspace(spark, "suffixes")
     v, cover = cover_for(w)
     m = w - v + 1
-    blocks = ws.table("blocks", docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_store(w), BLOCK))
+    blocks = ws.table("blocks", docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_store(w), BLOCK), wide=True)
     size = text_bytes(docs)
     n = n_buckets(spark, 8 * size * len(cover) / v)
 
@@ -200,7 +200,7 @@ def find(docs: DataFrame, w: int = W, passes: int = PASSES) -> tuple[Workspace,
             if pieces:
                 yield pa.RecordBatch.from_arrays([pa.array([r["block"]]), *(pa.array([[x[c] for x in pieces]], pa.list_(pa.int64())) for c in (0, 1, 2)), pa.array([[x[3] for x in pieces]], pa.list_(pa.binary()))], ["block", "segment", "start", "own", "data"])
 
-    left = ws.table("left", blocks.join(answers, "block", "left").mapInArrow(candidates, "block long, segment array<long>, start array<long>, own array<long>, data array<binary>"))
+    left = ws.table("left", blocks.join(answers, "block", "left").mapInArrow(candidates, "block long, segment array<long>, start array<long>, own array<long>, data array<binary>"), wide=True)
     ws.drop("ranks")
     starts = int(left.agg(F.sum(F.expr("aggregate(own, 0L, (a, x) -> a + x)"))).first()[0] or 0)
     n2 = n_buckets(spark, 8 * starts / passes)
@@ -280,7 +280,7 @@ def remove_repeats(docs: DataFrame, w: int = W, passes: int = PASSES) -> DataFra
         spans = _join([(x["start"] + a, x["start"] + b) for x in rows for a, b in zip(x["runs"][::2], x["runs"][1::2], strict=True)])
         return pa.table({"doc_id": pa.array([rows[0]["doc_id"]], pa.int64()), "row": [rows[0]["row"]], "n_bytes": [rows[0]["n_bytes"]], "runs": pa.array([spans], pa.list_(pa.int64())), "kept": [_cut(b"".join(x["kept"] for x in rows), spans)]})
 
-    one = ws.table("segments", blocks.join(per, "block", "left").mapInArrow(finish, "doc_id long, row long, n_bytes long, start long, runs array<long>, kept binary"))
+    one = ws.table("segments", blocks.join(per, "block", "left").mapInArrow(finish, "doc_id long, row long, n_bytes long, start long, runs array<long>, kept binary"), wide=True)
     ws.drop("blocks", "runs")
     parts = one.where(F.col("n_bytes") > SEGMENT).groupBy("row").applyInArrow(assemble, "doc_id long, row long, n_bytes long, runs array<long>, kept binary")
     return one.where(F.col("n_bytes") <= SEGMENT).drop("start").unionAll(parts)

@@ -1,5 +1,7 @@
+import glob
 import random
 
+import pyarrow.parquet as pq
 import pytest
 
 from gridloom.llm import suffix_dedup as op
@@ -54,3 +56,12 @@ def test_passage_over_the_cut_of_an_otherwise_unrepeated_text(spark, monkeypatch
     got = op.remove_repeats(df).selectExpr("doc_id", "n_bytes", "n_bytes - octet_length(kept)", "cast(size(runs) / 2 as int)", "sha2(kept, 256)")
     want = brute.repeats(data)
     assert [x[2] for x in want] == [200, 200] and sorted(map(tuple, got.collect())) == want
+
+
+def test_row_groups_of_blocks_are_bounded(spark):
+    """A task reads a row group at once, so its memory must not follow the size of a file."""
+    df = spark.range(12, numPartitions=1).selectExpr("id doc_id", "concat_ws('', transform(sequence(1, 64000), x -> sha2(concat(id, ' ', x), 256))) text")
+    ws, *_, size = op.find(df)
+    footers = [pq.ParquetFile(f).metadata for f in glob.glob(f"{ws.path.removeprefix('file://')}/blocks/*.parquet")]
+    sizes = [m.row_group(i).total_byte_size for m in footers for i in range(m.num_row_groups)]
+    assert size == 12 * 64000 * 64 and sum(sizes) > size and max(sizes) < 16 << 20
