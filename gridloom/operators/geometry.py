@@ -107,17 +107,61 @@ def point_in_polygon(points: DataFrame, vertices: DataFrame, most: int = 100_000
     return points.join(odd.groupBy("id").agg(F.min("poly").alias("poly")), "id", "left").withColumn("poly", F.coalesce("poly", F.lit(-1)))
 
 
+#: The fullest cell of a search's first round holds at most so many distinct positions.
+CROWD = 64
+
+
+def _crowd_free(sites: DataFrame, size: float) -> float:
+    """size, or a fraction of it at which no cell holds more than CROWD of the distinct positions (plat, plon), down to 1e-6."""
+    while size > 1e-6:
+        n = sites.groupBy(F.floor(F.col("plat") / size), F.floor(F.col("plon") / size)).count().agg(F.max("count")).first()[0] or 0
+        if n <= CROWD:
+            break
+        size /= 2 ** math.ceil(math.log2(n / CROWD) / 2)
+    return size
+
+
+def _meet(spots: DataFrame, sites: DataFrame, size: float) -> DataFrame:
+    """Pairs of spots (lat, lon, ...) and sites (plat, plon, ...) up to size apart, and some farther ones, with their squared distance d: a site lies in nine cells."""
+    cell = lambda c: F.floor(F.col(c) / (size * (1 + 1e-6)))
+    step = F.sequence(F.lit(-1), F.lit(1))
+    around = sites.withColumn("i", F.explode(step)).withColumn("j", F.explode(step)).select(*sites.columns, (cell("plat") + F.col("i")).alias("ci"), (cell("plon") + F.col("j")).alias("cj"))
+    d = F.pow(F.col("lat") - F.col("plat"), 2) + F.pow(F.col("lon") - F.col("plon"), 2)
+    return spots.withColumns({"ci": cell("lat"), "cj": cell("lon")}).join(around, ["ci", "cj"]).withColumn("d", d)
+
+
+def _closest(spots: DataFrame, sites: DataFrame, size: float, most: float, fits: str) -> DataFrame:
+    """lat, lon, d and place of the closest site (plat, plon, place, ...) that fits each of the distinct spots (lat, lon, ...) nearer than most.
+
+    Cells begin so small that none is crowded, and widen fourfold for spots without a site within a cell's size. Spots that are far from
+    a dense cluster of distinct positions still meet all of it.
+    """
+    from gridloom.plans.tables import keep
+
+    size, found = _crowd_free(sites, size), None
+    while True:
+        size = min(size, most)
+        best = _meet(spots, sites, size).where(F.expr(fits) & (F.col("d") < size * size)).groupBy("lat", "lon").agg(F.min(F.struct("d", "place")).alias("b")).select("lat", "lon", "b.*")
+        got = best if size == most else keep(best, "nearest")
+        found = got if found is None else found.unionAll(got)
+        if size == most:
+            return found
+        spots = spots.join(got, ["lat", "lon"], "left_anti")
+        if not spots.limit(1).count():
+            return found
+        size *= 4
+
+
 def nearest(points: DataFrame, places: DataFrame, radius: float = 0.5) -> DataFrame:
     """points (id, lat, lon) with place: the nearest of places (place, plat, plon) within radius degrees, the smallest on ties; null if none.
 
-    Both sides meet in cells of the radius, a place in the nine around its own, so there is no product of the two.
+    Points of one position are searched for once, and places of one position count as the smallest of them, so there is no product of the two.
     """
-    cell = lambda c: F.floor(F.col(c) / radius)
-    step = F.sequence(F.lit(-1), F.lit(1))
-    around = places.withColumn("i", F.explode(step)).withColumn("j", F.explode(step)).select("place", "plat", "plon", (cell("plat") + F.col("i")).alias("ci"), (cell("plon") + F.col("j")).alias("cj"))
-    d = F.pow(F.col("lat") - F.col("plat"), 2) + F.pow(F.col("lon") - F.col("plon"), 2)
-    got = points.withColumns({"ci": cell("lat"), "cj": cell("lon")}).join(around, ["ci", "cj"]).withColumn("d", d).where(F.col("d") < radius * radius)
-    return points.join(got.groupBy("id").agg(F.min(F.struct("d", "place")).alias("b")).select("id", "b.place"), "id", "left")
+    from gridloom.plans.tables import keep
+
+    sites = keep(places.where("plat is not null and plon is not null").groupBy("plat", "plon").agg(F.min("place").alias("place")), "nearest")
+    spots = keep(points.where("lat is not null and lon is not null").select("lat", "lon").distinct(), "nearest")
+    return points.join(_closest(spots, sites, radius, radius, "true").drop("d"), ["lat", "lon"], "left").select(*points.columns, "place")
 
 
 def mean_neighbour_distance(points: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from gridloom.grid import Grid, GridMeta
-from gridloom.operators import distance, segment, stencil
+from gridloom.operators import distance, geometry, segment, stencil
 from tests.compare import compare
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +39,19 @@ def test_opening_and_closing_bound_the_grid(spark):
 def test_optimal_assignment():
     cost = np.array([[1, 2, 9], [1, 4, 9], [9, 9, 3]])
     assert segment.hungarian(cost, "optimal").tolist() == [1, 0, 2]
+
+
+def test_nearest_positions_are_searched_once(spark):
+    """Copies of positions and dense cells make no product: pairs follow the distinct positions."""
+    rng = np.random.default_rng(3)
+    p = np.concatenate([rng.uniform(0, 9, (150, 2)), rng.uniform(5, 5.01, (250, 2)), [[40.0, 80.0]]])
+    q = np.concatenate([rng.uniform(0, 9, (60, 2)), rng.uniform(5, 5.01, (400, 2))])
+    at, to = p[np.arange(3000) % len(p)], q[np.arange(4000) % len(q)]
+    points = spark.createDataFrame([(i, float(y), float(x)) for i, (y, x) in enumerate(at)], "id long, lat double, lon double")
+    places = spark.createDataFrame([(i, float(y), float(x)) for i, (y, x) in enumerate(to)], "place long, plat double, plon double")
+    d = ((p[:, None] - q[None]) ** 2).sum(2)
+    want = {i: int(d[i % len(p)].argmin()) if d[i % len(p)].min() < 0.25 else None for i in range(3000)}
+    assert {r.id: r.place for r in geometry.nearest(points, places).collect()} == want
+    sites = spark.createDataFrame(q.tolist(), "plat double, plon double")
+    size = geometry._crowd_free(sites, 0.5)
+    assert geometry._meet(spark.createDataFrame(p.tolist(), "lat double, lon double"), sites, size).count() <= 9 * geometry.CROWD * len(p) < len(at) * len(to) / 40
