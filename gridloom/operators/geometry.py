@@ -165,20 +165,20 @@ def nearest(points: DataFrame, places: DataFrame, radius: float = 0.5) -> DataFr
 
 
 def mean_neighbour_distance(points: DataFrame) -> DataFrame:
-    """Mean distance, in degrees, of points to their nearest other point. A query of all pairs in equal cells would miss far ones, so
-    the search widens: cells of 1, 4, 16, ... degrees until every point has a neighbour within the cell's size."""
-    left, size, found = points.select("id", "lat", "lon"), 1.0, None
-    other = points.select(F.col("id").alias("place"), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
-    while True:
-        step = F.sequence(F.lit(-1), F.lit(1))
-        near = other.withColumn("i", F.explode(step)).withColumn("j", F.explode(step)).select("place", "plat", "plon", (F.floor(F.col("plat") / size) + F.col("i")).alias("ci"), (F.floor(F.col("plon") / size) + F.col("j")).alias("cj"))
-        d = F.sqrt(F.pow(F.col("lat") - F.col("plat"), 2) + F.pow(F.col("lon") - F.col("plon"), 2))
-        got = left.withColumns({"ci": F.floor(F.col("lat") / size), "cj": F.floor(F.col("lon") / size)}).join(near, ["ci", "cj"]).where("id <> place").groupBy("id").agg(F.min(d).alias("d")).where(F.col("d") <= size)
-        found = got if found is None else found.unionAll(got)
-        left = left.join(got, "id", "left_anti")
-        size *= 4
-        if size > 360 or not left.limit(1).count():
-            return found.agg(F.avg("d").alias("mean"), F.count("*").alias("n"))
+    """Mean distance, in degrees, of points to their nearest other point (of another id), and the number of points that have one.
+
+    Where two ids share a position it is 0; only points alone at theirs are searched for, among positions, in cells that widen until each has a
+    neighbour. Points that a round leaves have none within a quarter of a cell, so a cell holds few of them, however many positions it has.
+    """
+    from gridloom.plans.tables import keep
+
+    own = points.select("id", "lat", "lon").where("id is not null and lat is not null and lon is not null")
+    sites = keep(own.groupBy(F.col("lat").alias("plat"), F.col("lon").alias("plon")).agg(F.min("id").alias("place"), F.max("id").alias("last")), "nearest")
+    spans = sites.agg(F.max("plat") - F.min("plat"), F.max("plon") - F.min("plon")).first()
+    at = sites.select(F.col("plat").alias("lat"), F.col("plon").alias("lon"), F.col("place").alias("id"), "last")
+    alone = _closest(at.where("id = last").select("lat", "lon", "id"), sites, 1.0, max(1.0, 1.5 * max(x or 0 for x in spans)), "place <> id or last <> id")
+    d = at.where("id <> last").select("lat", "lon", F.lit(0.0).alias("d")).unionAll(alone.select("lat", "lon", F.sqrt("d").alias("d")))
+    return own.join(d, ["lat", "lon"]).groupBy("id").agg(F.min("d").alias("d")).agg(F.avg("d").alias("mean"), F.count("*").alias("n"))
 
 
 def cressman(radius: float) -> Callable[[Column], Column]:

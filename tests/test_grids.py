@@ -55,3 +55,13 @@ def test_nearest_positions_are_searched_once(spark):
     sites = spark.createDataFrame(q.tolist(), "plat double, plon double")
     size = geometry._crowd_free(sites, 0.5)
     assert geometry._meet(spark.createDataFrame(p.tolist(), "lat double, lon double"), sites, size).count() <= 9 * geometry.CROWD * len(p) < len(at) * len(to) / 40
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 300, 700])
+def test_mean_neighbour_distance(spark, n):
+    rng = np.random.default_rng(n)
+    p = np.concatenate([rng.uniform(0, 9, (200, 2)), rng.uniform(5, 5.001, (298, 2)), [[500.0, -80.0], [39.0, 80.0]]])[-n:] if n else np.zeros((0, 2))
+    p = p[np.arange(n) % max(1, len(p))]
+    got = geometry.mean_neighbour_distance(spark.createDataFrame([(i, float(y), float(x)) for i, (y, x) in enumerate(p)], "id long, lat double, lon double")).first()
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2)) + np.diag(np.full(n, np.inf))
+    assert (got.mean, got.n) == ((pytest.approx(d.min(1).mean()), n) if n > 1 else (None, 0))
