@@ -88,16 +88,37 @@ def gmm_render(g: Grid, components: list[tuple], scale: float) -> Grid:
     return Grid(g.df.select("row", "col", jround(total * scale).alias("value")), g.meta)
 
 
+#: Distinct rows that a partition of a k-means fit holds in memory.
+FIT_ROWS = 100_000
+
+
+def _weighted(df: DataFrame, features: list[str]) -> tuple[DataFrame, list[float], list[float]]:
+    """Distinct rows of features, standardised, as vectors in partitions of about FIT_ROWS, with how often each occurs (n); means and deviations.
+
+    Rows with a null or NaN take no part. Partitions and their order follow the values alone, not the files or partitions of df.
+    """
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = df.select(*(F.col(c).cast("double").alias(c) for c in features)).dropna()
+    rows = keep(rows.groupBy(*features).agg(F.count("*").cast("double").alias("n")), "kmeans")
+    many, total, *sums = rows.agg(F.count("*"), F.sum("n"), *(F.sum(F.col("n") * F.col(c)) for c in features)).first()
+    if not many:
+        raise ValueError("there are no rows without nulls")
+    means = [x / total for x in sums]
+    squares = rows.agg(*(F.sum(F.col("n") * F.pow(F.col(c) - m, 2)) for c, m in zip(features, means, strict=True))).first()
+    deviations = [math.sqrt(x / max(total - 1, 1)) for x in squares]
+    parts = rows.repartition(-(-many // FIT_ROWS), *features).sortWithinPartitions(*features)
+    parts = parts.withColumns({c: (F.col(c) - m) / s if s else F.lit(0.0) for c, m, s in zip(features, means, deviations, strict=True)})
+    return VectorAssembler(inputCols=features, outputCol="features").transform(parts).select("features", "n"), means, deviations
+
+
 def kmeans(df: DataFrame, features: list[str], k: int = 3, seed: int = 1) -> tuple[list[list[float]], float]:
-    """Centres in original units and the cost in standardised ones."""
+    """Centres in original units and the cost in standardised ones. Equal rows are one with a weight."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    rows = VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip").transform(df)
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(rows)
-    model = KMeans(k=k, seed=seed).fit(scaler.transform(rows))
-    back = [[x * s + m for x, s, m in zip(c, scaler.std, scaler.mean, strict=True)] for c in model.clusterCenters()]
-    return [[float(x) for x in c] for c in back], float(model.summary.trainingCost)
+    rows, means, deviations = _weighted(df, features)
+    model = KMeans(k=k, seed=seed, weightCol="n").fit(rows)
+    return [[float(x) * s + m for x, s, m in zip(c, deviations, means, strict=True)] for c in model.clusterCenters()], float(model.summary.trainingCost)
 
 
 def _ranked(values: DataFrame, key: str) -> DataFrame:

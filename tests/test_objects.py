@@ -142,3 +142,18 @@ def test_sprawl_reports_growth(spark):
     a, b = (np.minimum(x, 100) ** 2 // 10 for x in (a, b))
     rows = compositions.sprawl(Grid(grid(spark, a).df, GridMeta(30, 30)), grid(spark, b), 0, 20, 60).collect()
     assert max(r.growth for r in rows) > 20
+
+
+def test_kmeans_does_not_follow_partitions(spark, monkeypatch):
+    """Copies are weights, and what a task holds follows distinct rows, however few files or partitions they come in."""
+    rng = np.random.default_rng(5)
+    p = np.concatenate([rng.normal(c, 0.1, (40, 2)) for c in ((0, 0), (5, 0), (0, 9))])
+    rows = spark.createDataFrame(p[np.arange(1200) % 120].tolist() + [(None, 1.0), (float("nan"), 2.0)], "x double, y double")
+    one, many = (models.kmeans(rows.repartition(n), ["x", "y"], seed=3) for n in (1, 7))
+    centres = [p[i : i + 40].mean(0) for i in (0, 80, 40)]
+    assert np.allclose(sorted(one[0]), sorted(map(list, centres))) and np.allclose(one[0], many[0]) and one[1] == pytest.approx(many[1])
+    z = (p - p.mean(0)) / p[np.arange(1200) % 120].std(0, ddof=1)
+    assert one[1] == pytest.approx(10 * sum(((z[i : i + 40] - z[i : i + 40].mean(0)) ** 2).sum() for i in (0, 40, 80)))
+    monkeypatch.setattr(models, "FIT_ROWS", 30)
+    held = models._weighted(rows.coalesce(1), ["x", "y"])[0].rdd.glom().map(len).collect()
+    assert sum(held) == 120 and max(held) < 60
