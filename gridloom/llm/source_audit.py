@@ -29,6 +29,9 @@ TERM[65:91] = TERM[97:123] = TERM[128:] = True
 #: Bytes of text that are tokenised at once, and that are summed before they are sent.
 PIECE = 1 << 20
 BLOCK = 8 << 20
+#: Bytes of text whose matrices one task holds against each other, and sums and terms that it holds before it sends them.
+SHARE = 64 << 20
+HELD = 1 << 18
 SCALE_STEPS = 3  # p is in parts of 1000 ** 3
 SCHEMA = "lang string, bucket long, sources array<string>, source binary, n binary, df binary, size binary, terms binary"
 CELLS = "lang string, bucket long, sources array<string>, totals array<long>, v long, indptr binary, indices binary, counts binary, size binary, terms binary"
@@ -288,17 +291,40 @@ def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _parts(top: int):
-    """What each matrix adds to the divergence of pairs, and its best terms."""
+    """What the matrices of a task add to the divergence of pairs, and their best terms: summed, and cut to the best, before they leave it."""
 
     def run(batches):
+        pairs: dict[tuple[str, str, str], int] = {}
+        terms: dict[tuple[str, str], list[tuple[int, bytes, str]]] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                yield _one(row, top)
+            for i in range(len(batch)):
+                row = batch.slice(i, 1).to_pylist()[0]
+                for source, part, item, value in _one(row, top):
+                    if part == "pair":
+                        key = row["lang"], source, item
+                        pairs[key] = pairs.get(key, 0) + value
+                    else:
+                        terms.setdefault((row["lang"], source), []).append((-value, item.encode(), item))
+                for key in [k for k in terms if k[0] == row["lang"]]:
+                    if len(terms[key]) > top:
+                        terms[key] = sorted(terms[key])[:top]
+                if len(pairs) + top * len(terms) > HELD:
+                    yield _sent(pairs, terms)
+                    pairs, terms = {}, {}
+        yield _sent(pairs, terms)
 
     return run
 
 
-def _one(row: dict, top: int) -> pa.RecordBatch:
+def _sent(pairs: dict, terms: dict) -> pa.RecordBatch:
+    rows = [(lang, source, "pair", item, value) for (lang, source, item), value in pairs.items()]
+    rows += [(lang, source, "term", item, -value) for (lang, source), best in terms.items() for value, _, item in best]
+    cols = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:4]), pa.array(cols[4], pa.int64())], ["lang", "source", "part", "item", "value"])
+
+
+def _one(row: dict, top: int) -> list[tuple[str, str, str, int]]:
+    """source, part, item and value of one matrix."""
     names = [x["source"] for x in row["all"]]
     total = np.array([x["n"] for x in row["all"]], np.int64)
     T, V = row["v"], row["v_all"]
@@ -341,8 +367,7 @@ def _one(row: dict, top: int) -> pa.RecordBatch:
             i = i[f[i] >= 0]
             i = i[np.lexsort((indices[i], -f[i]))[:top]]
             out += [(names[a], "term", text[at[t] : at[t + 1]].decode(), v) for t, v in zip(indices[i].tolist(), f[i].tolist(), strict=True)]
-    cols = list(zip(*out, strict=True)) or [[], [], [], []]
-    return pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(out), pa.string()), *(pa.array(c, pa.string()) for c in cols[:3]), pa.array(cols[3], pa.int64())], ["lang", "source", "part", "item", "value"])
+    return out
 
 
 def audit(docs: DataFrame, min_docs: int = 3, top: int = 200) -> DataFrame:
@@ -355,16 +380,17 @@ def audit(docs: DataFrame, min_docs: int = 3, top: int = 200) -> DataFrame:
     spark = docs.sparkSession
     ws = Workspace(spark, "audit")
     docs = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
-    n = n_buckets(spark, text_bytes(docs))
+    size = text_bytes(docs)
+    n = n_buckets(spark, size)
     sent = docs.mapInArrow(_counts(n), SCHEMA)
     cells = ws.table("cells", sent.groupBy("lang", "bucket").applyInArrow(_matrix(min_docs), CELLS))
     ws.drop()
     group = cells.select("lang", F.explode(F.arrays_zip("sources", "totals")).alias("x")).groupBy("lang", F.col("x.sources").alias("source")).agg(F.sum("x.totals").alias("n"))
     kept = cells.groupBy("lang").agg(F.sum("v").alias("v_all"))
     known = group.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("all")).join(kept, "lang")
-    # one copy of a language's sums for each of its buckets, so that no task gets all buckets of a language
-    known = known.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    parts = ws.table("parts", cells.join(known, ["lang", "bucket"]).mapInArrow(_parts(top), "lang string, source string, part string, item string, value long"))
+    # sums are one row a language, so they go to all tasks; these are as many as the text needs, whatever the number of buckets
+    shares = cells.join(F.broadcast(known), "lang").coalesce(max(1, size // SHARE))
+    parts = ws.table("parts", shares.mapInArrow(_parts(top), "lang string, source string, part string, item string, value long"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = parts.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value")).withColumn("rank", F.row_number().over(order))
     terms = parts.where("part = 'term'").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

@@ -94,3 +94,24 @@ def test_shares_are_exact_beyond_64_bits():
     total = 8 * 10**15 + 7
     got = op.share(np.array([0, 1, 10**15 + 3, total]), total)
     assert got.tolist() == [1 + 10**9 * c // total for c in (0, 1, 10**15 + 3, total)]
+
+
+def test_rows_between_steps_do_not_follow_buckets(spark, monkeypatch):
+    """A task sums pairs and keeps the best terms of all its matrices, and may send them in parts."""
+    data, made, table = rows(7), {}, op.Workspace.table
+
+    def count(ws, name, df, *more):
+        out = table(ws, name, df, *more)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(op.Workspace, "table", count)
+    df = spark.createDataFrame(data, SCHEMA)
+    sent = []
+    for n in (2, 40):
+        monkeypatch.setattr(op, "n_buckets", lambda *_, n=n: n)
+        assert sorted(map(tuple, op.audit(df, top=5).collect())) == divergences(data, top=5)
+        sent.append(made["parts"])
+    assert sent[0] == sent[1] and made["cells"] > 40
+    monkeypatch.setattr(op, "HELD", 10)
+    assert sorted(map(tuple, op.audit(df, top=5).collect())) == divergences(data, top=5)
