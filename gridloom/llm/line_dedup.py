@@ -7,12 +7,12 @@ Lines of equal words in equal order count once, under 128 bits of hash, for whic
 then its hash, so sorting a line's words orders them by rarity (a count sketch of fixed size, 128 kB, that each task gets with its
 code). Two lines as similar as that share one of their n - ceil(0.8 n) + 1 first words. Each such word has a list of lines, in order of size:
 
-1. A line whose neighbours are both too far off in size has no match in its list and leaves it. Lines that have more than a few of their
-   size before them are held against some of these: the first, and those LAGS places before. That settles all but a few
-   members of a large family of near copies, with a fixed number of candidates per line and list.
-2. Lines that have no earlier match so far are held against all of their lists, under the length filter (in long lists, size classes
-   are part of the join key), the positional filter and a bound on the difference by parity bits. Filters are conditions of the join: pairs that
-   fail them are never rows.
+1. A line's family is its two rarest words of those that are not rare. A line that has more than a few of its family and size before it is
+   held against some of these: the first, and those LAGS places before. That settles most members of a large family of near copies, with one row
+   a line and a fixed number of candidates.
+2. Lines meet in their lists, the larger looking for the smaller. A line can be found only at places where a line of its size or larger could still
+   match it, so about half of its rows are looked for. Pairs pass the length filter (in long lists, size classes are part of the join key), the positional filter
+   and a bound on the difference by parity bits, all conditions of the join: pairs that fail them are never rows. Pairs of two settled lines are left out.
 
 Candidates of either step are verified on the words themselves. Lists of frequent words are split by salts.
 """
@@ -35,16 +35,18 @@ HASH_BITS = 56
 LONG = 96
 #: Longs of parity bits that candidates are held against before their words (a power of 2).
 WIDE = 4
+#: Lines of so many words have them.
+WIDE_AT = 224
 #: Lists of words that occur more than 2 ** SALT_AT times are split.
 SALT_AT = 17
 #: Lists go in so many passes (a power of 2), by hash of the word, so that only a share of them is shuffled at once.
 PASSES = 4
-#: Step 1 is for lines with at least so many lines of their own size before them in a list ...
-DEEP = 4
-#: ... and holds a line against the first of these and those so many places before it.
-LAGS = (1, 2, 4)
+#: A family goes by a line's two rarest words of those that occur 2 ** FAMILY_AT times or more.
+FAMILY_AT = 5
+#: Step 1 holds a line against the first of its size in its family and those so many places before it, if there are as many.
+LAGS = (1, 2, 3, 4)
 #: Lists of words that occur more than 2 ** CLASS_AT times are searched by size class.
-CLASS_AT = 10
+CLASS_AT = 8
 LINE = ("doc_id", "row", "no")
 
 
@@ -89,16 +91,17 @@ def need(n: Column) -> Column:
 
 
 def prefixes(lines: DataFrame, levels: list[int]) -> DataFrame:
-    """Of each line: place, hashes, size, parity bits and first words by rarity."""
+    """Of each line: place, hashes, size, parity bits, family and first words by rarity."""
     level = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
 
     def token(w: Column) -> Column:
         return F.shiftleft(F.get(level, _bucket(w)), HASH_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
     sets = lines.select(*LINE, *signature(), F.sort_array(F.array_distinct(F.transform(words(F.col("line")), token))).alias("toks"))
-    sets = sets.withColumn("n", F.size("toks"))
+    sets = sets.withColumn("n", F.size("toks")).withColumn("first", F.col("n") - need(F.col("n")) + 1)
     half = F.when(F.col("n") >= LONG, _parity(F.filter("toks", lambda x: x.bitwiseAND(F.lit(64)) != 0))).otherwise(0)
-    return sets.select(*LINE, "sig", "sig2", "n", _parity(F.col("toks")).alias("bits"), half.alias("half"), F.slice("toks", 1, F.col("n") - need(F.col("n")) + 1).alias("toks"))
+    often = F.slice(F.filter(F.slice("toks", 1, F.col("first") + 2), lambda x: x >= 2 * FAMILY_AT << HASH_BITS), 1, 2)
+    return sets.select(*LINE, "sig", "sig2", "n", _parity(F.col("toks")).alias("bits"), half.alias("half"), often.alias("family"), F.slice("toks", 1, F.col("first")).alias("toks"))
 
 
 def _parity(toks: Column) -> Column:
@@ -106,28 +109,23 @@ def _parity(toks: Column) -> Column:
     return F.aggregate(toks, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def _similar(one: list[Column], other: list[Column]) -> Column:
-    """Length, positional and parity filters of two lines (n, at, bits, half) that share a word.
+def _alike(n: Column, bits: Column, half: Column, m: Column, bits2: Column, half2: Column) -> Column:
+    """Length and parity filters of two lines.
 
     Long lines have their words in two halves, so theirs are 128 bits.
     """
-    (n, at, bits, half), (m, place, bits2, half2), t = one, other, SIMILAR
     all_, some = bits.bitwiseXOR(bits2), half.bitwiseXOR(half2)
     apart = F.when((n >= LONG) & (m >= LONG), F.bit_count(some) + F.bit_count(all_.bitwiseXOR(some))).otherwise(F.bit_count(all_))
-    return (100 * F.least(n, m) >= t * F.greatest(n, m)) & ((100 + t) * F.least(n - at, m - place) >= t * (n + m)) & ((100 + t) * apart <= (100 - t) * (n + m))
+    return (100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)) & ((100 + SIMILAR) * apart <= (100 - SIMILAR) * (n + m))
 
 
-def _level() -> Column:
+def _level(tok: Column) -> Column:
     """Binary logarithm of the number of times that a word may occur."""
-    return F.floor(F.shiftrightunsigned("tok", HASH_BITS) / 2).cast("int")
+    return F.floor(F.shiftrightunsigned(tok, HASH_BITS) / 2).cast("int")
 
 
-def _salts() -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), _level() - SALT_AT))
-
-
-def _place(name: str, prefix: str = "") -> Column:
-    return F.struct(*(F.col(f"{prefix}{c}").alias(c) for c in LINE)).alias(name)
+def _salts(tok: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), _level(tok) - SALT_AT))
 
 
 def wide_parity(w: Column) -> Column:
@@ -139,67 +137,107 @@ def wide_parity(w: Column) -> Column:
     return F.array(*(bits(i) for i in range(WIDE)))
 
 
-def verified(ws: Workspace, name: str, pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Places of lines (late) that an earlier one (early) of their pairs is similar to, by the words themselves; wide parity bits go first."""
+def _words_agree(ws: Workspace, name: str, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Ids (late) of pairs (late, early, sum) whose words are similar."""
+    for side in ("late", "early"):
+        pairs = pairs.join(texts.select(F.col("id").alias(side), F.col("w").alias(f"{side}_w")), side)
+    same = (100 + SIMILAR) * F.size(F.array_intersect("late_w", "early_w")) >= SIMILAR * F.col("sum")
+    return ws.table(name, pairs.where(same).select("late").distinct())
+
+
+def verified(ws: Workspace, name: str, pairs: DataFrame, heads: DataFrame, lines: DataFrame) -> DataFrame:
+    """Ids of lines that are similar to an earlier one of their pairs (one, other), by the words themselves; of very long lines, wide parity bits go first.
+
+    A line is held against one of its earlier lines first, and against the others if that one is not similar.
+    """
     pairs = ws.table(f"{name}-pairs", pairs.distinct())
-    asked = ws.table(f"{name}-asked", pairs.select(F.explode(F.array("late", "early")).alias("p")).select("p.*").distinct())
-    texts = lines.join(asked, list(LINE)).select(_place("p"), "line", F.array_distinct(words(F.col("line"))).alias("w"))
-    texts = texts.select("p", "line", F.size("w").alias("n"), wide_parity(F.col("w")).alias("bits"))
-    texts = ws.table(f"{name}-texts", texts.dropDuplicates(["p"]))
+    asked = ws.table(f"{name}-asked", pairs.select(F.explode(F.array("one", "other")).alias("id")).distinct().join(heads.select("id", *LINE), "id"))
+    ws.drop()
+    texts = lines.join(asked, list(LINE)).select("id", F.struct("doc_id", "no").alias("place"), "line").dropDuplicates(["id"])
+    texts = texts.withColumn("w", F.array_distinct(words(F.col("line")))).withColumn("n", F.size("w"))
+    texts = ws.table(f"{name}-texts", texts.select("id", "place", "n", F.when(F.col("n") >= WIDE_AT, wide_parity(F.col("w"))).alias("bits"), "w"))
+    ws.drop()
     both = pairs
-    for side in ("late", "early"):
-        both = both.join(texts.select(F.col("p").alias(side), F.col("n").alias(f"{side}_n"), F.col("bits").alias(f"{side}_bits")), side)
-    apart = sum((F.bit_count(F.get("late_bits", F.lit(i)).bitwiseXOR(F.get("early_bits", F.lit(i)))) for i in range(WIDE)), F.lit(0))
-    both = both.where((100 + SIMILAR) * apart <= (100 - SIMILAR) * (F.col("late_n") + F.col("early_n")))
-    both = ws.table(f"{name}-likely", both.select("late", "early", (F.col("late_n") + F.col("early_n")).alias("sum")))
-    for side in ("late", "early"):
-        both = both.join(texts.select(F.col("p").alias(side), words(F.col("line")).alias(f"{side}_w")), side)
-    hits = ws.table(f"{name}-hits", both.where((100 + SIMILAR) * F.size(F.array_intersect("late_w", "early_w")) >= SIMILAR * F.col("sum")).select("late.*").distinct())
+    for side in ("one", "other"):
+        both = both.join(texts.select(F.col("id").alias(side), F.struct("place", "id", "n", "bits").alias(f"{side}_")), side)
+    both = both.select(F.greatest("one_", "other_").alias("late"), F.least("one_", "other_").alias("early")).where("late.place > early.place")
+    apart = sum((F.bit_count(F.get("late.bits", F.lit(i)).bitwiseXOR(F.get("early.bits", F.lit(i)))) for i in range(WIDE)), F.lit(0))
+    total = F.col("late.n") + F.col("early.n")
+    both = both.where(F.coalesce((100 + SIMILAR) * apart <= (100 - SIMILAR) * total, F.lit(True)))
+    likely = ws.table(f"{name}-likely", both.select(F.col("late.id").alias("late"), F.col("early.id").alias("early"), total.alias("sum")))
+    one = likely.groupBy("late").agg(F.min("early").alias("early")).join(likely, ["late", "early"])
+    hits = _words_agree(ws, f"{name}-hits", one, texts)
+    more = _words_agree(ws, f"{name}-more", likely.join(hits, "late", "left_anti"), texts)
     ws.drop(f"{name}-pairs", f"{name}-asked", f"{name}-texts", f"{name}-likely")
-    return hits
+    return hits.union(more).select(F.col("late").alias("id"))
+
+
+def families(reps: DataFrame) -> DataFrame:
+    """Pairs (one, other) of lines that have more than a few of their size and family before them, with some of these."""
+    own = Window.partitionBy("key", "n").orderBy("doc_id", "no", "row")
+    one = F.struct("id", "bits", "half")
+    salt = F.pmod(F.col("id"), _salts(F.get("family", F.lit(0))))
+    deep = reps.where(F.size("family") > 0).select(F.xxhash64("family", salt).alias("key"), "n", *LINE, "id", "bits", "half")
+    deep = deep.withColumns({"p0": F.first(one).over(own)} | {f"p{i}": F.lag(one, i).over(own) for i in LAGS}).where(F.col(f"p{max(LAGS)}").isNotNull())
+    prev = [F.when(_alike(F.col("n"), F.col("bits"), F.col("half"), F.col("n"), F.col(f"{p}.bits"), F.col(f"{p}.half")), F.col(f"{p}.id")) for p in ("p0", *(f"p{i}" for i in LAGS))]
+    return deep.select(F.col("id").alias("one"), F.explode(F.array_compact(F.array(*prev))).alias("other"))
+
+
+def met(sets: DataFrame, k: int) -> DataFrame:
+    """Pairs (one, other) of lines that meet in a list of pass k and pass the filters; the first is as large as the other or larger.
+
+    A line has its home in one part of a list, if a line of its size or larger can match it at this place, and looks for
+    smaller ones in all salts and, in long lists, in its own size class and the one below.
+    """
+    rows = sets.select("id", "n", "bits", "half", "settled", F.posexplode("toks").alias("at", "tok"))
+    rows = rows.where(F.shiftrightunsigned("tok", 20).bitwiseAND(F.lit(PASSES - 1)) == k)
+    tok, long = F.col("tok"), _level(F.col("tok")) >= CLASS_AT
+    # sizes of two similar lines lie in the same class or in classes side by side
+    size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / SIMILAR) + 1e-9).cast("int")
+    # the largest size that can match at this place
+    rows = rows.withColumn("reach", (F.floor((100 + SIMILAR) * (F.col("n") - F.col("at")) / SIMILAR + 1e-9) - F.col("n")).cast("int"))
+    salts = _salts(tok)
+    part = lambda c, s: F.xxhash64("tok", c, s)
+    both = lambda s: F.array(part(size_class, s), part(size_class - 1, s))
+    every = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), salts - 1), both))
+    sizes = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft("reach", 1).cast("long")).bitwiseOR(F.col("settled").cast("long")).alias("sizes")
+    home = rows.where("reach >= n").select(F.when(long, part(size_class, F.pmod(F.xxhash64("id"), salts))).otherwise(tok).alias("key"), "id", sizes, "bits", "half")
+    keys = F.when(~long, F.array(tok)).when(salts == 1, both(F.lit(0).cast("long"))).otherwise(every)
+    seek = rows.select(F.explode(keys).alias("key"), "id", sizes, "bits", "half")
+    a, b = seek.alias("a"), home.alias("b")
+    n, m = (F.shiftright(f"{s}.sizes", 32) for s in "ab")
+    reach, reach2 = (F.shiftright(F.col(f"{s}.sizes").bitwiseAND(F.lit((1 << 32) - 1)), 1) for s in "ab")
+    all_, some = (F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in ("bits", "half"))
+    near = lambda apart: (100 + SIMILAR) * apart <= (100 - SIMILAR) * (n + m)
+    fits = near(F.bit_count(all_)) & (100 * m >= SIMILAR * n) & (n <= reach2) & (m <= reach) & ((n > m) | ((n == m) & (F.col("a.id") > F.col("b.id"))))
+    fits = fits & ((m < LONG) | near(F.bit_count(some) + F.bit_count(all_.bitwiseXOR(some)))) & (F.col("a.sizes").bitwiseAND(F.col("b.sizes")).bitwiseAND(F.lit(1)) == 0)
+    return a.join(b.hint("shuffle_hash"), (F.col("a.key") == F.col("b.key")) & fits).select(F.col("a.id").alias("one"), F.col("b.id").alias("other"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, row, nos): numbers of the lines to remove from each row of docs (doc_id, row, text)."""
     ws = Workspace(docs.sparkSession, "lines")
     lines = ws.table("lines", lines_of(docs))
-    rep = F.min_by(F.struct(*LINE, "n", "bits", "half", "toks"), F.struct("doc_id", "no", "row")).alias("r")
-    reps = ws.table("reps", prefixes(lines, rarity(lines)).groupBy("sig", "sig2").agg(rep, F.count("*").alias("times")).select("sig", "sig2", "times", "r.*"))
+    rep = F.min_by(F.struct(*LINE, "n", "bits", "half", "family", "toks"), F.struct("doc_id", "no", "row")).alias("r")
+    reps = prefixes(lines, rarity(lines)).groupBy("sig", "sig2").agg(rep, F.count("*").alias("times")).select("sig", "sig2", "times", "r.*")
+    reps = ws.table("reps", reps.withColumn("id", F.monotonically_increasing_id()))
     ws.drop()
-    by_size = Window.partitionBy("tok", "salt").orderBy("n", "doc_id", "no", "row")
-    every = reps.select(*LINE, "n", "bits", "half", F.posexplode("toks").alias("at", "tok")).withColumn("salts", _salts()).withColumn("salt", F.pmod(F.xxhash64(*LINE), "salts"))
-    parts = []
+    heads = ws.table("heads", reps.select("sig", "sig2", "times", "id", *LINE))
+    near = verified(ws, "near", families(reps), heads, lines)
+    sets = reps.join(near.withColumn("settled", F.lit(1)), "id", "left").select("id", "n", "bits", "half", F.coalesce("settled", F.lit(0)).alias("settled"), "toks")
+    sets = ws.table("sets", sets)
+    ws.drop("reps")
+    far = []
     for k in range(PASSES):
-        part = every.where(F.shiftrightunsigned("tok", 20).bitwiseAND(F.lit(PASSES - 1)) == k)
-        part = part.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size), "deep": F.coalesce(F.lag("n", DEEP).over(by_size) == F.col("n"), F.lit(False))})
-        part = part.where((100 * F.col("less") >= SIMILAR * F.col("n")) | (100 * F.col("n") >= SIMILAR * F.col("more")) | (F.col("salts") > 1))
-        parts.append(ws.table(f"posted{k}", part.select("tok", "salt", *LINE, "n", "at", "bits", "half", "deep")))
+        far.append(ws.table(f"far{k}", met(sets, k).distinct()))
         ws.drop()
-    posted = functools.reduce(DataFrame.unionAll, parts)
-    own_size = Window.partitionBy("tok", "salt", "n").orderBy("doc_id", "no", "row")
-    one, mine = F.struct(*LINE, "at", "bits", "half"), [F.col(c) for c in ("n", "at", "bits", "half")]
-    deep = posted.where("deep").withColumns({"p0": F.first(one).over(own_size)} | {f"p{i}": F.lag(one, i).over(own_size) for i in LAGS})
-    prev = [F.when((F.struct(f"{p}.doc_id", f"{p}.no") < F.struct("doc_id", "no")) & _similar(mine, [F.col("n"), *(F.col(f"{p}.{c}") for c in ("at", "bits", "half"))]), _place(p, f"{p}.")) for p in ("p0", *(f"p{i}" for i in LAGS))]
-    near = verified(ws, "near", deep.select(_place("late"), F.explode(F.array_compact(F.array(*prev))).alias("early")), lines)
-    # sizes of two similar lines lie in the same class or in classes side by side
-    by_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / SIMILAR) + 1e-9).cast("int")
-    far = []
-    for k, part in enumerate(parts):
-        every = part.drop("deep").withColumn("class", F.when(_level() >= CLASS_AT, by_class).otherwise(0))
-        seek = every.drop("salt").join(near, list(LINE), "left_anti").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), _salts() - 1)))
-        seek = seek.withColumn("class", F.explode(F.when(_level() >= CLASS_AT, F.array(*(F.col("class") + i for i in (-1, 0, 1)))).otherwise(F.array("class"))))
-        a, b = seek.alias("a"), every.alias("b")
-        same = (F.col("a.tok") == F.col("b.tok")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.salt") == F.col("b.salt"))
-        earlier = (F.col("b.doc_id") < F.col("a.doc_id")) | ((F.col("b.doc_id") == F.col("a.doc_id")) & (F.col("b.no") < F.col("a.no")))
-        filters = earlier & _similar(*([F.col(f"{s}.{c}") for c in ("n", "at", "bits", "half")] for s in "ab"))
-        far.append(ws.table(f"far{k}", a.join(b, same & filters).select(_place("late", "a."), _place("early", "b."))))
-        ws.drop(f"posted{k}")
-    far = verified(ws, "far", functools.reduce(DataFrame.unionAll, far), lines)
+    ws.drop("sets")  # not to lie beside the texts
+    far = verified(ws, "far", functools.reduce(DataFrame.unionAll, far), heads, lines)
     hits = near.union(far).distinct().withColumn("hit", F.lit(True))
-    state = reps.select("sig", "sig2", "times", *LINE).join(hits, list(LINE), "left").where("hit or times > 1").select("sig", "sig2", "hit", F.struct("doc_id", "no").alias("first"))
+    state = heads.join(hits, "id", "left").where("hit or times > 1").select("sig", "sig2", "hit", F.struct("doc_id", "no").alias("first"))
     gone = lines.select(*LINE, *signature()).join(state, ["sig", "sig2"]).where("hit or struct(doc_id, no) > first")
     out = ws.table("gone", gone.groupBy("doc_id", "row").agg(F.collect_set("no").alias("nos")))
-    ws.drop("lines", "reps", "near-hits", "far-hits", *(f"far{k}" for k in range(PASSES)))
+    ws.drop("lines", "heads", *(f"{a}-{b}" for a in ("near", "far") for b in ("hits", "more")), *(f"far{k}" for k in range(PASSES)))
     return out
 
 
@@ -216,7 +254,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     # a table, so that Spark knows its size and doesn't shuffle texts for the few
-    repeated = Workspace(docs.sparkSession, "lines").table("repeated", own.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id", F.lit(True).alias("repeated")))
+    repeated = Workspace(docs.sparkSession, "lines").table("repeated", docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id", F.lit(True).alias("repeated")))
     own = own.join(repeated, "doc_id", "left").select("doc_id", _row(F.col("text"), F.col("repeated")).alias("row"), "text")
     gone = removed_lines(own).join(repeated, "doc_id", "left").alias("g")
     text = F.col("d.text").cast("string")

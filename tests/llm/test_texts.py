@@ -128,6 +128,28 @@ def test_short_lines_take_part(spark):
     assert got == {1: rows[0][1], 2: " \na c", 3: "\n\nnew"}
 
 
+def test_lines_meet_by_one_shuffle(spark):
+    """A list is dealt once to those that look and once to those that are found; families and very long lines lose no match."""
+    r = random.Random(8)
+    vocab = ["".join(r.choices("abcdefghijklmnop", k=7)) for _ in range(900)]
+    rows = [(i, " ".join(r.choices(vocab, k=r.randint(20, 70)))) for i in range(100)]
+    base = r.choices(vocab, k=400)
+    for i in range(100, 160):
+        w, v = list(base), vocab[:12]
+        for _ in range(r.randint(0, 60)):
+            w[r.randrange(len(w))] = r.choice(vocab)
+        v[r.randrange(12)] = r.choice(vocab)
+        rows.append((i, " ".join(w) + "\n" + " ".join(v)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    lines = line_dedup.lines_of(df.selectExpr("doc_id", "0L as row", "text"))
+    sets = line_dedup.prefixes(lines, line_dedup.rarity(lines)).selectExpr("doc_id as id", "n", "bits", "half", "0 as settled", "toks")
+    plan = line_dedup.met(sets, 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Window" not in plan and "Union" not in plan
+    want = plain_lines(rows)
+    assert {x.doc_id: x.text for x in line_dedup.dedup_lines(df).collect()} == {d: want[d, t] for d, t in rows}
+    assert sum(t != want[d, t] for d, t in rows) > 50
+
+
 def test_every_text_is_counted_by_its_tree(monkeypatch):
     built = []
 
