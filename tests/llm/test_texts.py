@@ -150,6 +150,32 @@ def test_lines_meet_by_one_shuffle(spark):
     assert sum(t != want[d, t] for d, t in rows) > 50
 
 
+def test_near_copies_are_not_tried_in_pairs(spark, monkeypatch):
+    """Candidates of a group of near copies follow its size, not its square."""
+    r = random.Random(9)
+    vocab = ["".join(r.choices("abcdefghijklmnop", k=5)) for _ in range(2000)]
+    base, n = r.sample(vocab, 80), 240
+    rows = []
+    for i in r.sample(range(1000), n):
+        w = list(base)
+        for _ in range(3):
+            w[r.randrange(len(w))] = r.choice(vocab)
+        rows.append((i, " ".join(w)))
+    tried, table = [], Workspace.table
+
+    def count(self, name, df, wide=False):
+        out = table(self, name, df, wide)
+        if name.startswith("far") and name[3:].isdigit() or name.endswith("-pairs"):
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(Workspace, "table", count)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = plain_lines(rows)
+    assert {x.doc_id: x.text for x in line_dedup.dedup_lines(df).collect()} == {d: want[d, t] for d, t in rows}
+    assert len(tried) == 2 + line_dedup.PASSES and sum(tried) < 16 * n
+
+
 def test_every_text_is_counted_by_its_tree(monkeypatch):
     built = []
 
