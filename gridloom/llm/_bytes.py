@@ -34,7 +34,7 @@ def _mod(x: np.ndarray) -> np.ndarray:
         y = x >> U64(31)
         x &= _M
         x += y
-    return np.subtract(x, _M, out=x, where=x >= _M)
+    return np.minimum(x, x - _M, out=x)  # what is below the prime wraps round to more; a masked subtraction takes twice as long
 
 
 def powers(n: int) -> list[list[np.ndarray]]:

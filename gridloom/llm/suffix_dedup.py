@@ -158,6 +158,12 @@ def _starts(r: dict, w: int):
         yield k, windows(prefix_hash(data), w)
 
 
+def _pass_of(keys: np.ndarray, passes: int) -> np.ndarray:
+    """The bits above the lowest 7, modulo passes; numpy divides by one number faster than it takes remainders."""
+    x, p = keys >> np.uint64(7), np.uint64(passes)
+    return (x - x // p * p).astype(np.uint8 if passes < 256 else np.int64)
+
+
 def find(docs: DataFrame, w: int = W, passes: int = PASSES) -> tuple[Workspace, DataFrame, DataFrame, int]:
     """(workspace, blocks of texts, runs of removed bytes, bytes); runs: block, segment and array of start, end in the text."""
     spark = docs.sparkSession
@@ -209,7 +215,7 @@ def find(docs: DataFrame, w: int = W, passes: int = PASSES) -> tuple[Workspace,
 
         def send(batches, k=k):
             for r in _rows(batches):
-                got = [x[(x >> np.uint64(7)) % np.uint64(passes) == k] for _, x in _starts(r, w)]
+                got = [x[_pass_of(x, passes) == k] for _, x in _starts(r, w)]
                 yield _send(r["block"], np.concatenate(got), n2)
 
         one = ws.table(f"pass{k}", left.mapInArrow(send, SENT).groupBy("bucket").applyInArrow(_ties, "bucket long, block long, bits binary"))
@@ -222,8 +228,9 @@ def find(docs: DataFrame, w: int = W, passes: int = PASSES) -> tuple[Workspace,
             each = list(_starts(r, w))
             every = np.concatenate([x for _, x in each])
             flags = np.zeros(len(every), bool)
+            own_pass = _pass_of(every, passes)
             for k in range(passes):
-                at = np.flatnonzero((every >> np.uint64(7)) % np.uint64(passes) == k)
+                at = np.flatnonzero(own_pass == k)
                 keys, code = np.unique(every[at], return_inverse=True)
                 flags[at] = _tied_keys(keys, [a for a in r["answers"] if a["pass"] == k], n2)[code]
             flags, found = _split(flags, [x for _, x in each]), {}

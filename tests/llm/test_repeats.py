@@ -1,9 +1,11 @@
 import glob
 import random
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
+from gridloom.llm import _bytes
 from gridloom.llm import suffix_dedup as op
 from tests.llm import brute
 
@@ -65,3 +67,11 @@ def test_row_groups_of_blocks_are_bounded(spark):
     footers = [pq.ParquetFile(f).metadata for f in glob.glob(f"{ws.path.removeprefix('file://')}/blocks/*.parquet")]
     sizes = [m.row_group(i).total_byte_size for m in footers for i in range(m.num_row_groups)]
     assert size == 12 * 64000 * 64 and sum(sizes) > size and max(sizes) < 16 << 20
+
+
+def test_remainders_at_their_edges():
+    m, r = 2**31 - 1, random.Random(2)
+    x = [0, 1, m - 1, m, m + 1, 2 * m - 1, 2 * m, 2 * m + 1, m * m, 2**62 - 1, *(r.randrange(2**62) for _ in range(999))]
+    assert _bytes._mod(np.array(x, np.uint64)).tolist() == [v % m for v in x]
+    for passes in (1, 2, 3, 4, 300):
+        assert op._pass_of(np.array([*x, 2**64 - 1], np.uint64), passes).tolist() == [(v >> 7) % passes for v in [*x, 2**64 - 1]]
