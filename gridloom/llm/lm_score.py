@@ -5,10 +5,11 @@ far), a table of hashed slots counts zeros and ones; their logits are mixed by t
 context has seen, one by the bit's place, and an adaptive probability map refines the sum.
 
 Training counts first: tables of all tasks are summed. Weights and map are then learned online against the whole counts, where each occurrence is
-predicted as if it had not been counted itself. This goes by blocks of about BLOCK bytes: a hash of the row picks its block and its place there, so a block is the
-same however rows were dealt to tasks; one task goes once through a block, and weights are averaged by bits seen, in the order of blocks. For scoring the model is frozen. So a
+predicted as if it had not been counted itself. Both go by blocks of about BLOCK bytes: a hash of the row picks its block and its place there, so a block is the
+same however rows were dealt to tasks; one task goes once through a block and weights are averaged by bits seen, in the order of blocks. For scoring the model is frozen. So a
 score is a function of the text and the set of training rows, not of partitions, the order of rows or lost tasks. The model has a fixed size.
-Within a slice equal four-byte strings after equal word beginnings are evaluated once.
+Within a slice equal four-byte strings after equal word beginnings are evaluated once; counting leaves the distinct ones of each block, with how often they occur, for the
+weights to learn from, so texts are read once for both.
 
 Rows alike in all columns fall into one block, which is read as a stream. Each block of texts asks for the count of a token once, so a token
 of every document costs one entry a block.
@@ -40,10 +41,14 @@ APM = 33
 SLICE = 1 << 21
 FIRST, TRAIN_SLICE = 1 << 21, 1 << 25
 #: Bytes of training text in a block, and of texts that ask for counts together.
-BLOCK, ASK = 1 << 26, 1 << 23
+BLOCK, ASK = 1 << 26, 1 << 24
 END = 255
 RATE, FADE = 0.7, 0.1
 STEP = 1 << 13
+#: Grams are sent on to learn weights from so many in a row, a multiple of STEP.
+ROW = 1 << 17
+#: Weights are learned against counts in 256 levels: as they are below EXACT, then in steps of 5 %.
+EXACT = 1 << 7
 #: Logits are whole numbers of this part, and share an int32 with the slot's gate.
 UNIT = 1 << 16
 _LOG = np.round(np.log(np.arange(65536) + 0.4) * UNIT).astype(np.int32)
@@ -51,6 +56,21 @@ _LOGIT = np.log(np.arange(65536) + 0.4).astype(np.float32)
 _SEEN = np.arange(2 * 65536, dtype=np.float64)
 #: For each context the gate of a slot that has seen so much: 0 for nothing, then steps.
 _GATE = [np.where(_SEEN > 0, 2 * SURE * k + 1 + np.minimum(SURE - 1, np.log2(np.maximum(1, _SEEN)) * 0.75).astype(int), 0).astype(np.int32) for k in range(K)]
+_VALUE = np.concatenate((np.arange(EXACT), np.round(EXACT * (65536 / EXACT) ** ((np.arange(256 - EXACT) + 0.5) / (256 - EXACT))))).astype(np.int64)
+_LEVEL = np.concatenate((np.arange(EXACT), EXACT + np.log(np.arange(EXACT, 65536) / EXACT) / np.log(65536 / EXACT) * (256 - EXACT))).astype(np.uint8)
+
+
+def _without_one() -> tuple[np.ndarray, list[np.ndarray]]:
+    """By bit, ones' level and zeros' level: the logit of a slot with one bit less, and for each context its gate. Beyond EXACT one is less than a step, and stays."""
+    level = np.arange(1 << 16)
+    zeros, ones = np.tile(_VALUE[level & 255], (2, 1)), np.tile(_VALUE[level >> 8], (2, 1))
+    zeros[0] -= (zeros[0] > 0) & (zeros[0] < EXACT)
+    ones[1] -= (ones[1] > 0) & (ones[1] < EXACT)
+    gates = [(g[zeros + ones] + SURE * ((zeros == 0) ^ (ones == 0))).astype(np.uint8).ravel() for g in _GATE]
+    return (_LOGIT[ones] - _LOGIT[zeros]).ravel(), gates
+
+
+_LOGIT_WITHOUT, _GATE_WITHOUT = _without_one()
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,11 +121,12 @@ def _beginnings(x: np.ndarray, begin: np.ndarray, here: np.ndarray) -> np.ndarra
 
 
 class Model:
-    """counts: zeros and ones of all slots; state: each slot's logit and gate, which follow from these; wa, wb: weights by gate and by bit; hits, ones: of the adaptive map."""
+    """counts: zeros and ones of all slots; levels: the same in two bytes; state: each slot's logit and gate, which follow from counts; wa, wb: weights by gate and by bit; hits, ones: of the adaptive map."""
 
-    def __init__(self, counts: np.ndarray | None = None, tuned: bool = True):
+    def __init__(self, counts: np.ndarray | None = None, tuned: bool = True, levels: np.ndarray | None = None):
         n = int(STARTS[-1])
         self.counts = np.zeros((n, 2), np.uint32) if counts is None else counts
+        self.levels = levels
         if not tuned:
             return
         self.wa, self.wb = np.full((GATES, K + 1), 0.3, np.float32), np.zeros((8, K + 1), np.float32)
@@ -139,31 +160,34 @@ class Model:
         x, gate = [], None
         for i in slots:
             state = self.state[i]
-            own = (state & 255).astype(np.uint8)
+            own = state.astype(np.uint8)
             gate = own if gate is None else np.maximum(gate, own, out=gate)
             state >>= 8
-            x.append(state.astype(np.float32) * np.float32(1 / UNIT))
+            x.append(state.astype(np.float32))
+            x[-1] *= np.float32(1 / UNIT)
         return x, gate, self._sum(x, gate)
 
     def _without(self, slots, bits):
-        """mix() of bits as they would be, had they not been counted once. Where counts were scaled down to 16 bits, one is less than a unit and stays."""
-        x, gate = [], None
+        """mix() of bits as they would be, had they not been counted once."""
+        if self.levels is None:
+            self.levels = levels_of(self.counts)
+        x, gate, bit = [], None, bits.astype(np.int64) << 16
         for k, i in enumerate(slots):
-            zeros, ones = self._seen(i)
-            small = np.maximum(zeros, ones) < 65535
-            ones -= small & (bits == 1)
-            zeros -= small & (bits == 0)
-            own = _GATE[k][zeros + ones].astype(np.uint8) + np.uint8(SURE) * ((zeros == 0) ^ (ones == 0))
+            at = self.levels[i].astype(np.int64)
+            at += bit
+            own = _GATE_WITHOUT[k][at]
             gate = own if gate is None else np.maximum(gate, own, out=gate)
-            x.append(_LOGIT[ones] - _LOGIT[zeros])
+            x.append(_LOGIT_WITHOUT[at])
         return x, gate, self._sum(x, gate)
 
     def _sum(self, x, gate):
-        w = (self.wa[None] + self.wb[:, None]).reshape(-1, K + 1)
+        w = np.ascontiguousarray((self.wa[None] + self.wb[:, None]).reshape(-1, K + 1).T)
         at = gate + np.arange(0, 8 * GATES, GATES)[:, None]
-        z = w[:, K][at]
+        z = w[K][at]
         for k in range(K):
-            z += w[:, k][at] * x[k]
+            part = w[k][at]
+            part *= x[k]
+            z += part
         return np.clip(z, -11, 11, out=z)
 
     def log10(self, g: np.ndarray) -> np.ndarray:
@@ -173,9 +197,13 @@ class Model:
             bits, nodes, slots = _slots(g[a : a + STEP])
             _, _, z = self.mix(slots)
             p, (lo, f) = 1 / (1 + np.exp(-z)), _place(z)
-            lo += nodes * APM
+            lo += nodes.astype(np.int64) * APM
             p = 0.6 * p + 0.4 * ((1 - f) * flat[lo] + f * flat[lo + 1])
-            out[a : a + STEP] = np.log10(np.where(bits == 1, p, 1 - p).prod(0, dtype=np.float64))
+            p = np.abs(p - (1 - bits).astype(np.float32))
+            every = p[0].astype(np.float64)
+            for one in p[1:]:
+                every *= one
+            out[a : a + STEP] = np.log10(every)
         return out
 
     def learn(self, g: np.ndarray, c: np.ndarray) -> int:
@@ -185,7 +213,7 @@ class Model:
 
     def count(self, g: np.ndarray, c: np.ndarray) -> None:
         """Add a slice's counts, each context's grams once."""
-        flat = self.counts.reshape(-1)
+        flat, self.levels = self.counts.reshape(-1), None
         for k in range(K):
             code, own = _distinct((_context(k, g) << np.uint64(8)) | (g & np.uint64(255)))
             times = np.bincount(code, c, len(own)).astype(np.uint32)
@@ -196,9 +224,10 @@ class Model:
                 np.add.at(flat, (2 * at + bits).ravel(), np.broadcast_to(times[a : a + STEP], bits.shape).ravel())
 
     def tune(self, g: np.ndarray, c: np.ndarray) -> int:
-        """One online pass of weights and map, in steps, over counted grams, shuffled (rare ones come last in a slice); returns the bits seen."""
-        order = np.random.default_rng(len(g)).permutation(len(g))
-        g, c = g[order], c[order]
+        """One online pass of weights and map, in steps, over counted grams; returns the bits seen."""
+        return self.steps(*shuffled(g, c))
+
+    def steps(self, g: np.ndarray, c: np.ndarray) -> int:
         for a in range(0, len(g), STEP):
             self._step(*_slots(g[a : a + STEP]), c[a : a + STEP].astype(np.float32))
         return 8 * int(c.sum())
@@ -212,28 +241,48 @@ class Model:
         bend = np.maximum(p * (1 - p), 0.25 * np.abs(err))
         err *= w
         bend *= w
-        order = np.argsort(gate.ravel(), kind="stable")
-        runs = np.flatnonzero(np.diff(gate.ravel()[order], prepend=np.uint8(255)))
-        here, e0, h0 = gate.ravel()[order[runs]], err.ravel()[order], bend.ravel()[order]
+        # sums by bit and gate, of which those by gate and those by bit are made
+        order = np.argsort(gate, 1, kind="stable")
+        order += np.arange(0, gate.size, gate.shape[1])[:, None]
+        order = order.ravel()
+        key = gate.ravel()[order]
+        runs = np.union1d(np.flatnonzero(key[1:] != key[:-1]) + 1, np.arange(0, gate.size, gate.shape[1]))
+        here, e0, h0 = key[runs] + GATES * (runs // gate.shape[1]), err.ravel()[order], bend.ravel()[order]
         for k in range(K + 1):
-            own = x[k].ravel()[order]
-            by_e, by_h = np.zeros(GATES), np.zeros(GATES)
-            by_e[here] = np.add.reduceat(e0 * own, runs, dtype=np.float64)
-            by_h[here] = np.add.reduceat(h0 * own * own, runs, dtype=np.float64)
+            own, by_e, by_h = x[k].ravel()[order], np.zeros((8, GATES)), np.zeros((8, GATES))
+            part = e0 * own
+            by_e.reshape(-1)[here] = np.add.reduceat(part, runs, dtype=np.float64)
+            np.multiply(h0, own, out=part)
+            part *= own
+            by_h.reshape(-1)[here] = np.add.reduceat(part, runs, dtype=np.float64)
+            (e, h), (by_e, by_h) = (by_e.sum(1), by_h.sum(1)), (by_e.sum(0), by_h.sum(0))
             self.ga[:, k] += by_h
             self.wa[:, k] += RATE * by_e / (K * by_h + FADE * self.ga[:, k] + 100)
-            e, h = (err * x[k]).sum(1, dtype=np.float64), (bend * x[k] * x[k]).sum(1, dtype=np.float64)
             self.gb[:, k] += h
             self.wb[:, k] += RATE * e / (4 * K * h + FADE * self.gb[:, k] + 100)
         np.clip(self.wa, -1, 2, out=self.wa)
         np.clip(self.wb, -1, 1, out=self.wb)
         # the map learns at the nearest of its points
         near = np.clip((z + 8.25) * 2, 0, APM - 1).astype(np.int64)
-        both = np.bincount(((nodes * APM + near) * 2 + bits).ravel(), np.broadcast_to(w, bits.shape).ravel(), 512 * APM).reshape(256, APM, 2)
+        both = np.bincount(((nodes.astype(np.int64) * APM + near) * 2 + bits).ravel(), np.broadcast_to(w, bits.shape).ravel(), 512 * APM).reshape(256, APM, 2)
         self.hits += both.sum(2)
         self.ones += both[:, :, 1]
 
 
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """The levels of a slot's zeros and, times 256, ones."""
+    out = np.empty(counts.shape, np.uint8)
+    for a in range(0, len(counts), 1 << 20):
+        out[a : a + (1 << 20)] = _LEVEL[np.minimum(counts[a : a + (1 << 20)], 65535)]
+    return out.reshape(-1).view("<u2")
+
+
+def shuffled(g: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A slice's grams in random order, as they come sorted."""
+    order = np.random.default_rng(len(g)).permutation(len(g))
+    return g[order], c[order]
+
+
 def _place(z):
     at = np.clip((z + 8) * 2, 0, APM - 1.001)
     lo = at.astype(np.int64)
@@ -246,11 +295,11 @@ def _context(k: int, g: np.ndarray) -> np.ndarray:
 
 def _bits(g: np.ndarray):
     """For packed grams: the last byte's bits, the nodes they stand at, their places in a context's two lines, and which second line; all but the last (8, m)."""
-    cur, shift = (g & np.uint64(255)).astype(np.int64), np.arange(8)[:, None]
-    bits = (cur[None] >> (7 - shift)) & 1
-    nodes = (1 << shift) | (cur[None] >> (8 - shift))
-    low = nodes.copy()
-    low[4:] = (nodes[4:] & ((1 << (shift[4:] - 4)) - 1)) | (1 << (shift[4:] - 4))
+    cur, shift = g.astype(np.uint8), np.arange(8, dtype=np.uint8)[:, None]
+    bits = (cur >> (7 - shift)) & np.uint8(1)
+    nodes = (cur >> 1 >> (7 - shift)) | (np.uint8(1) << shift)
+    low = nodes.astype(np.int64)
+    low[4:] = (low[4:] & ((1 << (shift[4:].astype(np.int64) - 4)) - 1)) | (1 << (shift[4:].astype(np.int64) - 4))
     return bits, nodes, low, (cur >> 4).astype(np.uint64) + np.uint64(1)
 
 
@@ -260,9 +309,9 @@ def _line(k: int, ctx: np.ndarray, half: np.ndarray, nodes: np.ndarray, low: np.
         return (ctx.astype(np.int64)[None] << 8) | nodes
     line, own = np.uint64(64 - SLOT_BITS[k] + 4), ctx * np.uint64(32)
     first, second = ((mix(x * np.uint64(K + 2) + np.uint64(k)) >> line << np.uint64(4)).astype(np.int64) + int(STARTS[k]) for x in (own, own + half))
-    at = np.empty_like(nodes)
-    at[:4], at[4:] = first, second
-    at += low
+    at = np.empty(nodes.shape, np.int64)
+    np.add(first, low[:4], out=at[:4])
+    np.add(second, low[4:], out=at[4:])
     return at
 
 
@@ -277,10 +326,18 @@ def _distinct(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code, np.asarray(values, np.uint64)
 
 
+def _starts(g: np.ndarray) -> np.ndarray:
+    """Where each of some sorted grams begins."""
+    return np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+
+
 def _together(seen: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams of several pieces and how often each occurs."""
-    code, g = _distinct(np.concatenate([x for x, _ in seen]))
-    return g, np.bincount(code, np.concatenate([c for _, c in seen]), len(g)).astype(np.int64)
+    """Distinct grams of several pieces, sorted, and how often each occurs."""
+    g = np.concatenate([x for x, _ in seen])
+    order = np.argsort(g)
+    g = g[order]
+    at = _starts(g)
+    return g[at], np.add.reduceat(np.concatenate([c for _, c in seen])[order], at)
 
 
 def _slices(batches):
@@ -293,9 +350,10 @@ def _slices(batches):
             b = min(len(offsets) - 1, max(a + 1, int(np.searchsorted(offsets, offsets[a] + size - have))))
             for i, j in groups(offsets[a : b + 1], SLICE):
                 for piece in _pieces(data[offsets[a + i] : offsets[a + j]], offsets[a + i : a + j + 1] - offsets[a + i]):
-                    code, g = _distinct(piece)
-                    seen.append((g, np.bincount(code, minlength=len(g))))
-                    if len(seen) == 16:
+                    g = np.sort(piece)  # takes a third of the time of hashing, where no codes are asked for
+                    at = _starts(g)
+                    seen.append((g[at], np.diff(at, append=len(g))))
+                    if len(seen) == 8:
                         seen = [_together(seen)]
             a, have = b, have + int(offsets[b] - offsets[a])
             if have >= size:
@@ -310,11 +368,15 @@ def _learned(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _counted(batches):
-    """Rows (chunk, slots, counts) of what the texts of one task hold."""
-    model = None
+    """Rows (chunk, slots, counts) of what the texts of one block hold; before them its grams, for the weights to learn from in order of chunks -1, -2 and on."""
+    model, n = None, 0
     for g, c in _slices(batches):
         model = model or Model(tuned=False)
         model.count(g, c)
+        g, c = shuffled(g, c)
+        for a in range(0, len(g), ROW):
+            n -= 1
+            yield _learned([(n, blob(g[a : a + ROW]), _narrow(c[a : a + ROW]))])
     for i in range(0, len(model.counts) if model else 0, CHUNK):
         part = model.counts[i : i + CHUNK]
         at = np.flatnonzero(part.any(1))
@@ -323,12 +385,13 @@ def _counted(batches):
 
 
 def _tuned(shared):
-    """A row (-1, nothing, sums) of a block: weights times bits, bits, and the map's sums."""
+    """A row (-1, nothing, sums) of a block's grams: weights times bits, bits, and the map's sums."""
 
     def run(batches):
-        model, bits = Model(shared.value), 0
-        for g, c in _slices(batches):
-            bits += model.tune(g, c)
+        model, bits = Model(levels=shared.value), 0
+        for batch in batches:
+            for g, c in zip(*(batch.column(i) for i in (0, 1)), strict=True):
+                bits += model.steps(np.frombuffer(g.as_buffer(), np.uint64), _wide(c.as_buffer()))
         if bits:
             yield _learned([(-1, b"", blob(np.concatenate([(model.wa * bits).ravel(), (model.wb * bits).ravel(), [bits], model.hits.ravel(), model.ones.ravel()]).astype(np.float64)))])
 
@@ -382,32 +445,43 @@ def train(texts: DataFrame) -> Model:
     ws = Workspace(spark, "lm-train")
     parts = max(1, -(-text_bytes(texts) // BLOCK))
     counts = np.zeros((int(STARTS[-1]), 2), np.uint16)
-    for r in _summed(ws, "counts", texts.select("text").mapInArrow(_counted, "chunk long, slots binary, counts binary")):
-        x = np.frombuffer(r.counts, np.uint32).reshape(-1, 2).astype(np.int64)
-        counts[r.chunk * CHUNK + np.frombuffer(r.slots, np.uint16).astype(np.int64)] = np.minimum(65535, np.ceil(x / np.maximum(1, x.max(1, keepdims=True) / 65535)))
-    model, shared = Model(counts), spark.sparkContext.broadcast(counts)
     blocks = texts.select("text", F.xxhash64(*texts.columns).alias("place"))
     blocks = blocks.repartitionById(parts, F.pmod("place", F.lit(parts)).cast("int")).sortWithinPartitions("place", "text").select("text")
-    for r in _summed(ws, "weights", blocks.mapInArrow(_tuned(shared), "chunk long, slots binary, counts binary")):
+    seen = ws.table("seen", _numbered(blocks.mapInArrow(_counted, "chunk long, slots binary, counts binary")), wide=True)
+    ws.drop()
+    for r in _summed(ws, "counts", seen.where("chunk >= 0")):
+        x = np.frombuffer(r.counts, np.uint32).reshape(-1, 2).astype(np.int64)
+        counts[r.chunk * CHUNK + np.frombuffer(r.slots, np.uint16).astype(np.int64)] = np.minimum(65535, np.ceil(x / np.maximum(1, x.max(1, keepdims=True) / 65535)))
+    model, shared = Model(counts), spark.sparkContext.broadcast(levels_of(counts))
+    grams = seen.where("chunk < 0").repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", F.desc("chunk")).select("slots", "counts")
+    learned = ws.table("weights", _numbered(grams.mapInArrow(_tuned(shared), "chunk long, slots binary, counts binary")))
+    ws.drop("seen")
+    for r in _summed(ws, "sums", learned):
         x = np.frombuffer(r.counts, np.float64)
         a, b = model.wa.size, model.wa.size + model.wb.size
         model.wa = (x[:a] / x[b]).reshape(model.wa.shape).astype(np.float32)
         model.wb = (x[a:b] / x[b]).reshape(model.wb.shape).astype(np.float32)
         model.hits, model.ones = x[b + 1 : b + 1 + 256 * APM].reshape(256, APM), x[b + 1 + 256 * APM :].reshape(256, APM)
     shared.unpersist()
+    ws.drop("weights")
     return model.freeze()
 
 
+def _numbered(learned: DataFrame) -> DataFrame:
+    return learned.select(F.spark_partition_id().cast("long").alias("part"), "chunk", "slots", "counts")
+
+
 def _summed(ws: Workspace, name: str, learned: DataFrame):
     """Rows (chunk, slots, counts) summed over all tasks, FAN of them at a time."""
     shuffled = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
-    learned, level = ws.table(f"{name}0", learned.select(F.spark_partition_id().cast("long").alias("part"), "chunk", "slots", "counts")), 0
+    level = 0
     parts = int(learned.agg(F.max("part")).first()[0] or 0) + 1
     while parts > 1 or not level:
         parts, level = -(-parts // FAN), level + 1
         some = learned.select(F.floor(F.col("part") / FAN).alias("part"), F.col("part").alias("before"), "chunk", "slots", "counts").repartition(shuffled, "part", "chunk")
         learned = ws.table(f"{name}{level}", some.mapInArrow(_sum_learned, LEARNED))
-        ws.drop(f"{name}{level - 1}")
+        if level > 1:
+            ws.drop(f"{name}{level - 1}")
     yield from learned.select("chunk", "slots", "counts").toLocalIterator()
     ws.drop(f"{name}{level}")
 
@@ -422,8 +496,8 @@ def log10_probability(model: Model, data: np.ndarray, offsets: np.ndarray) -> np
             made.append(values)
             n += len(values)
         code, values = _distinct(np.concatenate(made))
-        each = model.log10(values)[code]
-        return np.concatenate([np.zeros(0), *(np.add.reduceat(each[own], at) for own, at in parts)])
+        each = model.log10(values)
+        return np.concatenate([np.zeros(0), *(np.add.reduceat(each[code[own]], at) for own, at in parts)])
     total = 0.0
     for part in _pieces(data, offsets):
         code, values = _distinct(part)

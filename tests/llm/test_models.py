@@ -4,12 +4,15 @@ import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import ann, language_id, lm_score, mix_sources
+from gridloom.llm._bytes import column
 from tests.llm import brute
 
 SOUNDS = {"aa": "ka lo mi ta po ru na", "bb": "sch ung eit ber zu pf", "cc": "ção ão nho que é"}
@@ -190,6 +193,27 @@ def test_lm_weights_leave_out_what_they_predict():
         assert (gate == other).all() and np.allclose(x, y, atol=1e-3)
 
 
+def test_lm_weights_learn_from_what_counting_leaves():
+    """Texts are read once: a block's rows hold its grams and how often each occurs, and weights learned from these rows are those learned from the texts."""
+    texts = [t for _, t, _ in corpus(60)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    rows = [tuple(c[0] for c in b.columns) for b in lm_score._counted([batch])]
+    left = [(g, c) for chunk, g, c in rows if chunk.as_py() < 0]
+    assert [chunk.as_py() for chunk, *_ in rows][: len(left)] == [-1 - i for i in range(len(left))]
+    g, c = (np.concatenate(x) for x in zip(*((np.frombuffer(g.as_py(), np.uint64), lm_score._wide(c.as_py())) for g, c in left), strict=True))
+    data, offsets = column(batch.column(0))
+    want = Counter(lm_score.grams(data, offsets)[0].tolist())
+    assert len(g) == len(want) and dict(zip(g.tolist(), c.tolist(), strict=True)) == want
+    model = lm_score.Model()
+    model.count(g, c)
+    shared = SimpleNamespace(value=lm_score.levels_of(model.counts))
+    batches = [pa.RecordBatch.from_arrays([pa.array([g.as_py()]), pa.array([c.as_py()])], ["slots", "counts"]) for g, c in left]
+    (out,) = lm_score._tuned(shared)(batches)
+    model.steps(g, c)
+    sums, bits = np.frombuffer(out.column(2)[0].as_py(), np.float64), 8 * sum(want.values())
+    assert np.allclose(sums[: model.wa.size] / bits, model.wa.ravel()) and sums[model.wa.size + model.wb.size] == bits
+
+
 def test_lm_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lm_score.score(df, F.lit(False)).count() == 0
