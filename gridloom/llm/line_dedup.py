@@ -64,20 +64,20 @@ def plain(text: Column) -> Column:
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, row, no, line) of all lines with words; docs: (doc_id, row, text)."""
     rows = docs.select("doc_id", "row", F.posexplode(F.split(plain(F.col("text")), "\n", -1)).alias("no", "line"))
-    return rows.withColumn("line", F.btrim("line", F.lit(" "))).where("line <> ''")
+    return rows.withColumn("line", F.trim("line")).where("line <> ''")
 
 
 def words(line: Column) -> Column:
     return F.split(line, " ")
 
 
-def _bucket(word: Column) -> Column:
-    return F.hash(word).bitwiseAND(F.lit((1 << SKETCH_BITS) - 1))
+def _bucket(hash_: Column) -> Column:
+    return F.shiftrightunsigned(hash_, 64 - SKETCH_BITS).cast("int")
 
 
 def rarity(lines: DataFrame) -> list[int]:
     """A level for each bucket of words: twice the binary logarithm of how often they occur. Its size doesn't depend on the data."""
-    counts = lines.select(F.explode(words(F.col("line"))).alias("w")).groupBy(_bucket(F.col("w")).alias("b")).agg(F.count("*").alias("k"))
+    counts = lines.select(F.explode(words(F.col("line"))).alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("k"))
     levels = [0] * (1 << SKETCH_BITS)
     for r in counts.select("b", F.floor(2 * F.log2(F.col("k") + 1)).cast("int").alias("q")).toLocalIterator():
         levels[r.b] = r.q
@@ -94,20 +94,25 @@ def need(n: Column) -> Column:
 
 
 def prefixes(lines: DataFrame, levels: list[int]) -> DataFrame:
-    """Of each line: place, hashes, size, parity bits, family and first words by rarity."""
+    """Of each line: size, parity bits, families and first words by rarity, in place of its text.
+
+    No array here may hold null by its type, as Spark would sort objects then and not numbers.
+    """
     level = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
 
-    def token(w: Column) -> Column:
-        return F.shiftleft(F.get(level, _bucket(w)), HASH_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    def token(h: Column) -> Column:
+        return F.shiftleft(F.coalesce(F.get(level, _bucket(h)), F.lit(0).cast("long")), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
-    sets = lines.select(*LINE, *signature(), F.sort_array(F.array_distinct(F.transform(words(F.col("line")), token))).alias("toks"))
+    others = [c for c in lines.columns if c != "line"]
+    hashes = F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w)))
+    sets = lines.select(*others, *signature(), F.sort_array(F.transform(hashes, token)).alias("toks"))
     sets = sets.withColumn("n", F.size("toks")).withColumn("first", F.col("n") - need(F.col("n")) + 1)
-    half = F.when(F.col("n") >= LONG, _parity(F.filter("toks", lambda x: x.bitwiseAND(F.lit(64)) != 0))).otherwise(0)
+    half = F.when(F.col("n") >= LONG, _parity(F.col("toks"), lambda x: x.bitwiseAND(F.lit(64)) != 0)).otherwise(0)
     cut = F.greatest(F.col("first"), F.shiftright(F.col("n"), 1))
     sets = sets.withColumns({"rarer": _drawn(F.slice("toks", 1, cut)), "others": _drawn(F.slice("toks", cut + 1, F.col("n")))})
     few, ends = F.array(_family(F.slice("rarer", 1, FAMILY))), [F.slice("rarer", 1, FAMILY), F.slice("rarer", -FAMILY, FAMILY), F.slice("others", 1, FAMILY)]
     ends = F.when((F.size("rarer") < 2 * FAMILY) | (F.size("others") < FAMILY), few).otherwise(F.array(*map(_family, ends)))
-    return sets.select(*LINE, "sig", "sig2", "n", _parity(F.col("toks")).alias("bits"), half.alias("half"), ends.alias("family"), F.slice("toks", 1, F.col("first")).alias("toks"))
+    return sets.select(*others, "sig", "sig2", "n", _parity(F.col("toks")).alias("bits"), half.alias("half"), ends.alias("family"), F.slice("toks", 1, F.col("first")).alias("toks"))
 
 
 def _drawn(toks: Column) -> Column:
@@ -121,9 +126,10 @@ def _family(some: Column) -> Column:
     return F.xxhash64(some, F.pmod(F.col("sig"), _salts(F.shiftleft(rare, HASH_BITS))))
 
 
-def _parity(toks: Column) -> Column:
-    """64 bits: how many of the words have each remainder, modulo 2."""
-    return F.aggregate(toks, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+def _parity(toks: Column, of=None) -> Column:
+    """64 bits: how many of the words (for which a condition holds) have each remainder, modulo 2."""
+    flip = lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
+    return F.aggregate(toks, F.lit(0).cast("long"), flip if of is None else lambda a, x: F.when(of(x), flip(a, x)).otherwise(a))
 
 
 def _alike(n: Column, bits: Column, half: Column, m: Column, bits2: Column, half2: Column) -> Column:
@@ -240,9 +246,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, row, nos): numbers of the lines to remove from each row of docs (doc_id, row, text)."""
     ws = Workspace(docs.sparkSession, "lines")
     lines = ws.table("lines", lines_of(docs))
-    rep = F.min_by(F.struct(*LINE, "n", "bits", "half", "family", "toks"), F.struct("doc_id", "no", "row")).alias("r")
-    reps = prefixes(lines, rarity(lines)).groupBy("sig", "sig2").agg(rep, F.count("*").alias("times")).select("sig", "sig2", "times", "r.*")
-    reps = ws.table("reps", reps.withColumn("id", F.monotonically_increasing_id()))
+    firsts = lines.groupBy(*signature()).agg(F.min(F.struct("doc_id", "no", "row", "line")).alias("r"), F.count("*").alias("times")).select("times", "r.*")
+    reps = ws.table("reps", prefixes(firsts.withColumn("id", F.monotonically_increasing_id()), rarity(lines)))
     ws.drop()
     heads = ws.table("heads", reps.select("sig", "sig2", "times", "id", *LINE))
     near = verified(ws, "near", families(reps), heads, lines)

@@ -128,6 +128,17 @@ def test_short_lines_take_part(spark):
     assert got == {1: rows[0][1], 2: " \na c", 3: "\n\nnew"}
 
 
+def test_words_of_lines_sort_as_numbers_once_a_distinct_line(spark, monkeypatch):
+    """Arrays of words hold no null by their type, for which Spark would sort objects, and lines that repeat are split into words once."""
+    seen, prefixes = [], line_dedup.prefixes
+    monkeypatch.setattr(line_dedup, "prefixes", lambda lines, levels: seen.append((lines.count(), prefixes(lines, levels))) or seen[-1][1])
+    df = spark.createDataFrame([(i, f"one line of all\nline {i} alone") for i in range(30)], "doc_id long, text string")
+    kept = {x.doc_id: x.text for x in line_dedup.dedup_lines(df).collect()}
+    assert kept[0].startswith("one line of all\n") and all(kept[i] == f"line {i} alone" for i in range(1, 30))
+    ((n, sets),) = seen
+    assert n == 31 and not sets.schema["toks"].dataType.containsNull and not sets.schema["family"].dataType.containsNull
+
+
 def test_lines_meet_by_one_shuffle(spark):
     """A list is dealt once to those that look and once to those that are found; families and very long lines lose no match."""
     r = random.Random(8)
